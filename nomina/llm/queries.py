@@ -8,7 +8,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash, substring
+from . import mixing, packing, quality, simhash, substring
+
+#: Folder-independent paths of the tokenizer's files; pass others to operators.
+try:
+    import public_tokenizers
+
+    TOKENIZER = {"path": public_tokenizers.path("byte_bpe_50k.json"), "ranks": public_tokenizers.path("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN}
+except ModuleNotFoundError:  # only packing needs them
+    TOKENIZER = None
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +25,20 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", *quality.COUNTS, "base_failed", "kept", "anomaly")
+
+
+def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    return mixing.mix(mixing.quality_weights(docs, labels))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), **TOKENIZER).drop("ids")
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.digest(substring.remove_repeats(_table(spark, sf_dir, "documents")))
 
@@ -26,9 +48,28 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+OP5_SQL = r"""
+WITH marks AS (SELECT doc_id, min(quality) AS q FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+d AS (SELECT d.doc_id, d.source, CAST(len(regexp_extract_all(coalesce(d.text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+  CASE WHEN q >= 1 THEN 1.0 WHEN q < 1 THEN 0.1 ELSE 0.5 END::DOUBLE AS weight FROM documents d LEFT JOIN marks USING (doc_id)),
+k AS (SELECT *, pow((('0x' || substr(md5('42|' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0, 1.0 / weight) AS key FROM d),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS turn FROM k GROUP BY source),
+w AS (SELECT *, [5.0, 2.0, 1.0][1 + turn % 3]::DOUBLE AS w, 3 * source_size::DOUBLE AS cap FROM s),
+v AS (SELECT *, cap / w AS level, coalesce(sum(cap) OVER b, 0) AS held, sum(w) OVER () - coalesce(sum(w) OVER b, 0) AS open, sum(source_size) OVER () AS total
+  FROM w WINDOW b AS (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+f AS (SELECT *, (SELECT (total - held) / open FROM v WHERE level > (total - held) / open ORDER BY level, source NULLS LAST LIMIT 1) AS flow FROM v),
+t AS (SELECT source, source_size, CASE WHEN flow IS NULL OR level <= flow THEN cap ELSE flow * w END AS target FROM f),
+p AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target) AS BIGINT) // source_size ELSE 0 END AS epochs FROM t),
+r AS (SELECT k.*, p.source_size, p.target, p.epochs, CAST(floor(p.target) AS BIGINT) - p.epochs * p.source_size AS budget,
+  sum(k.size) OVER (PARTITION BY k.source ORDER BY k.key DESC, k.doc_id NULLS LAST, k.size ROWS UNBOUNDED PRECEDING) AS upto
+  FROM k JOIN p ON k.source IS NOT DISTINCT FROM p.source)
+SELECT doc_id, size, source_size, target, CAST(epochs * size + least(size, greatest(0, budget - upto + size)) AS BIGINT) AS taken FROM r
+"""
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op7_substring_dedup, op8_simhash)}
+    return {f.__name__: f for f in (op4_quality_rules, op5_source_mixing, op6_packing, op7_substring_dedup, op8_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_source_mixing": OP5_SQL}
