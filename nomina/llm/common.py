@@ -60,7 +60,7 @@ def map_rows(
 
 
 def _cuts(rows: int, texts: pa.Array | None, step: int, size: int) -> Iterator[tuple[int, int]]:
-    if texts is None or not pa.types.is_binary(texts.type):
+    if texts is None or not (pa.types.is_binary(texts.type) or pa.types.is_string(texts.type)):
         yield from ((at, min(step, rows - at)) for at in range(0, rows, step))
         return
     import pyarrow.compute as pc

@@ -8,23 +8,28 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, quality, simhash, substring
+from . import mixing, packing, pii, quality, simhash, substring
 
-#: Folder-independent paths of the tokenizer's files; pass others to operators.
-try:
-    import public_tokenizers
+Query = Callable[[SparkSession, str], DataFrame]
 
-    TOKENIZER = {"path": public_tokenizers.path("byte_bpe_50k.json"), "ranks": public_tokenizers.path("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN}
-except ModuleNotFoundError:  # only packing needs them
-    TOKENIZER = None
 
-Query = Callable[[SparkSession, str], DataFrame]
+def tokenizer() -> dict[str, str]:
+    """The public tokenizer's files on this machine, as ``packing.pack`` takes them."""
+    import public_tokenizers
+
+    path = public_tokenizers.path
+    return {"path": path("byte_bpe_50k.json"), "ranks": path("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN}
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.detect(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *(f"n_{k}" for k in pii.KINDS), F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
     return judged.select("doc_id", *quality.COUNTS, "base_failed", "kept", "anomaly")
@@ -36,7 +41,7 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_table(spark, sf_dir, "documents"), **TOKENIZER).drop("ids")
+    return packing.pack(_table(spark, sf_dir, "documents"), **tokenizer()).drop("ids")
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +73,7 @@ SELECT doc_id, size, source_size, target, CAST(epochs * size + least(size, great
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op4_quality_rules, op5_source_mixing, op6_packing, op7_substring_dedup, op8_simhash)}
+    return {f.__name__: f for f in (op3_pii, op4_quality_rules, op5_source_mixing, op6_packing, op7_substring_dedup, op8_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
