@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -123,16 +124,22 @@ def prefix_counts(docs: DataFrame, window: int, prefix: int) -> DataFrame:
     return partial.groupBy("prefix").agg(F.sum("n").alias("n"))
 
 
+def _leaves(tags: list[bytes], ahead: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each window of some suffixes: its row, its place in the row and its
+    node below the prefix (offset and tag)."""
+    count = np.fromiter(map(len, tags), np.int64, len(tags)) // TAG
+    row = np.repeat(np.arange(len(tags)), count)
+    nth = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+    wide = np.zeros((len(row), 8), np.uint8)
+    wide[:, :TAG] = np.frombuffer(b"".join(tags), np.uint8).reshape(-1, TAG)
+    return row, nth, wide.view("<u8").ravel() | (ahead[row] - nth).astype(_U) << _U(8 * TAG)
+
+
 def _subtrees(prefix: np.ndarray, doc: np.ndarray, start: np.ndarray, ahead: np.ndarray, tags: list[bytes]) -> tuple[np.ndarray, ...]:
     """Passages to remove among the suffixes of whole groups: the leaves below
     a node of full depth that has a leaf in an earlier document, neighbouring
     starts merged. A leaf's node is (prefix, offset, tag)."""
-    count = np.fromiter(map(len, tags), np.int64, len(tags)) // TAG
-    row = np.repeat(np.arange(len(tags)), count)
-    nth = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-    bytes_ = np.zeros((len(row), 8), np.uint8)
-    bytes_[:, :TAG] = np.frombuffer(b"".join(tags), np.uint8).reshape(-1, TAG)
-    tag = bytes_.view("<u8").ravel() | (ahead[row] - nth).astype(_U) << _U(8 * TAG)
+    row, nth, tag = _leaves(tags, ahead)
     group = np.cumsum(np.r_[0, prefix[1:] != prefix[:-1]])[row]
     order = np.lexsort((doc[row], tag, group))
     g, t, d = group[order], tag[order], doc[row][order]
@@ -149,59 +156,75 @@ def _subtrees(prefix: np.ndarray, doc: np.ndarray, start: np.ndarray, ahead: np.
     return doc[row[first]], start[row[first]] + nth[first], start[row[last]] + nth[last]
 
 
-def _cold(groups: DataFrame, most: int = 200_000) -> DataFrame:
+def _solve(groups: DataFrame, most: int) -> DataFrame:
+    """``doc_id, lo, hi`` of the memory-sized groups' passages; suffixes of
+    ``hot`` prefixes pass through with all their columns."""
+    schema = "doc_id long, lo int, hi int, prefix long, start int, ahead int, tags binary"
+    arrow = pa.schema([("doc_id", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("prefix", pa.int64()), ("start", pa.int32()), ("ahead", pa.int32()), ("tags", pa.binary())])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def solve(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        def solved(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
             t = pa.Table.from_batches(parts)
             doc, lo, hi = _subtrees(*(t.column(c).to_numpy() for c in ("prefix", "doc_id", "start", "ahead")), t.column("tags").to_pylist())
-            return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(lo, pa.int32()), pa.array(hi, pa.int32())], names=["doc_id", "lo", "hi"])
+            return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(lo, pa.int32()), pa.array(hi, pa.int32()), *(pa.nulls(len(doc), f.type) for f in list(arrow)[3:])], schema=arrow)
 
         held: list[pa.RecordBatch] = []
         rows = 0
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys = batch.column(0).to_numpy()
-            if rows and (rows + batch.num_rows >= most or keys[0] != held[-1].column(0)[-1].as_py()):
-                cut = int((keys != held[-1].column(0)[-1].as_py()).argmax()) if keys[-1] != held[-1].column(0)[-1].as_py() else len(keys)
-                if cut < len(keys):
-                    yield solve([*held, batch.slice(0, cut)])
-                    held, rows, batch = [], 0, batch.slice(cut)
-            held.append(batch)
-            rows += batch.num_rows
+            hot = batch.column("hot")
+            if hot.true_count:
+                b = batch.filter(hot)
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.nulls(len(b), pa.int32()), pa.nulls(len(b), pa.int32()), *(b.column(c) for c in ("prefix", "start", "ahead", "tags"))], schema=arrow)
+                batch = batch.filter(pc.invert(hot))
+            for at in range(0, batch.num_rows, most // 4):
+                part = batch.slice(at, most // 4)
+                keys = part.column("prefix").to_numpy()
+                # A group is complete once another prefix comes.
+                if held and rows + len(keys) > most:
+                    same = keys == held[-1].column("prefix")[-1].as_py()
+                    cut = len(keys) if same.all() else int(same.argmin())
+                    if cut < len(keys):
+                        yield solved([*held, part.slice(0, cut)])
+                        held, rows, part = [], 0, part.slice(cut)
+                held.append(part)
+                rows += part.num_rows
         if held:
-            yield solve(held)
+            yield solved(held)
 
-    n = partitions(groups)
-    return groups.repartition(n, "prefix").sortWithinPartitions("prefix").mapInArrow(run, "doc_id long, lo int, hi int")
+    key = F.when(F.col("hot"), F.xxhash64("prefix", "doc_id", "start")).otherwise(F.col("prefix"))
+    dealt = groups.withColumn("key", key).repartition(partitions(groups), "key")
+    return dealt.sortWithinPartitions("hot", "prefix").drop("key").mapInArrow(run, schema)
 
 
-def _hot(groups: DataFrame) -> DataFrame:
+def _deep(suffixes: DataFrame) -> DataFrame:
+    """``doc_id, lo, hi`` for suffixes of hot prefixes: below the full window a
+    subtree is one node, so its least document is a grouped minimum."""
+
     def run(columns: list[list]) -> list:
         prefix, tags, doc, start, ahead = columns
-        count = np.fromiter(map(len, tags), np.int64, len(tags)) // TAG
-        row = np.repeat(np.arange(len(tags)), count)
-        nth = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-        wide = np.zeros((len(row), 8), np.uint8)
-        wide[:, :TAG] = np.frombuffer(b"".join(tags), np.uint8).reshape(-1, TAG)
-        node = wide.view("<u8").ravel() | (np.array(ahead)[row] - nth).astype(_U) << _U(8 * TAG)
+        row, nth, node = _leaves(tags, np.array(ahead))
         return [np.array(prefix)[row], node.view(np.int64), np.array(doc)[row], (np.array(start)[row] + nth).astype(np.int32)]
 
-    rows = groups.select("prefix", "tags", "doc_id", "start", "ahead")
-    leaves = map_rows(rows, run, "prefix long, node long, doc_id long, start int", step=4096)
+    leaves = map_rows(suffixes.select("prefix", "tags", "doc_id", "start", "ahead"), run, "prefix long, node long, doc_id long, start int", step=4096)
     nodes = leaves.groupBy("prefix", "node").agg(F.min("doc_id").alias("least"))
     late = leaves.join(nodes, ["prefix", "node"]).filter("doc_id > least")
     return late.select("doc_id", F.col("start").alias("lo"), F.col("start").alias("hi"))
 
 
-def repeated_passages(docs: DataFrame, window: int = 50, prefix: int = 10, group: int = 50_000) -> DataFrame:
+def repeated_passages(docs: DataFrame, window: int = 50, prefix: int = 10, group: int = 20_000) -> DataFrame:
     """``doc_id, lo, hi``: in a document, the windows starting at word ``lo`` to
     word ``hi`` also start in a document with a smaller id."""
-    hot = checkpoint(prefix_counts(docs, window, prefix).filter(F.col("n") > group).select("prefix"))
+    hot = checkpoint(prefix_counts(docs, window, prefix).filter(F.col("n") > group).select("prefix", F.lit(True).alias("is_hot")))
+    n = hot.count()
     groups = suffix_groups(docs, window, prefix)
-    if hot.isEmpty():
-        return _cold(groups)
-    return _cold(groups.join(hot, "prefix", "left_anti")).unionByName(_hot(groups.join(hot, "prefix", "left_semi")))
+    if not n:
+        return _solve(groups.withColumn("hot", F.lit(False)), 2 * group).select("doc_id", "lo", "hi")
+    # Hot prefixes are few; more than fit a broadcast are joined by a shuffle.
+    small = F.broadcast(hot) if n <= 100_000 else hot
+    marked = groups.join(small, "prefix", "left").withColumn("hot", F.coalesce("is_hot", F.lit(False))).drop("is_hot")
+    both = checkpoint(_solve(marked, 2 * group))
+    deep = _deep(both.filter("prefix is not null"))
+    return both.filter("prefix is null").select("doc_id", "lo", "hi").unionByName(deep)
 
 
 def _finish(text: bytes | None, passages: list | None, window: int) -> tuple[int, bytes]:
@@ -216,7 +239,7 @@ def _finish(text: bytes | None, passages: list | None, window: int) -> tuple[int
     return len(words), b" ".join([w for w, g in zip(words, gone.tolist()) if not g])
 
 
-def remove_repeats(docs: DataFrame, window: int = 50, prefix: int = 10, group: int = 50_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 50, prefix: int = 10, group: int = 20_000) -> DataFrame:
     """``doc_id, n_words, n_removed, kept`` for each row of ``docs``: its words
     joined by single spaces, without those covered by a ``window`` whose words
     also start in a document with a smaller id.
