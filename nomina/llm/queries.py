@@ -8,7 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, pii, quality, simhash, substring
+from . import langid, mixing, packing, pii, quality, sharding, simhash, substring, topk, toxicity
+
+from .common import remainder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +27,17 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_threshold_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(_table(spark, sf_dir, "embeddings"))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    model = toxicity.fit(toxicity.training_rows(docs, labels))
+    held_out = F.coalesce(remainder("doc_id", 4) == 2, F.lit(False)).alias("held_out")
+    return toxicity.score(docs, model).select("doc_id", held_out, "score", "predicted", F.size("passages").alias("n_passages"))
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.detect(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", *(f"n_{k}" for k in pii.KINDS), F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
@@ -53,6 +66,42 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+#: Placement of documents: 64 shards over a table a hundred times as large.
+SHARDS, SLOTS = [f"shard-{i:03d}" for i in range(64)], 6421
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return sharding.place(docs.select("doc_id", "source"), "doc_id", SHARDS, SLOTS).select("doc_id", "source", "slot", "shard")
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = langid.identify(docs, langid.learn(langid.training_rows(docs)))
+    held_out = F.coalesce(remainder("doc_id", 3) == 1, F.lit(False)).alias("held_out")
+    return found.select("doc_id", held_out, "lang_pred", "score", "rejected")
+
+
+OP1_SQL = """
+WITH v AS (
+  SELECT vec_id, min(list_transform(CAST(embedding AS DOUBLE[]), lambda x: CAST(floor(64 * x) AS BIGINT))) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+  GROUP BY vec_id),
+p AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda x: x[1] * x[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id AND len(q.v) = len(c.v)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+#: The table is filled here; the SQL repeats the hashing and the look-up.
+OP9_SQL = f"""
+WITH k AS (
+  SELECT doc_id, source, CAST(CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) % {SLOTS} AS INTEGER) AS slot
+  FROM documents)
+SELECT doc_id, source, slot, 'shard-' || lpad(CAST({sharding.fill(SHARDS, SLOTS)}[slot + 1] AS VARCHAR), 3, '0') AS shard FROM k
+"""
+
 OP5_SQL = r"""
 WITH marks AS (SELECT doc_id, min(quality) AS q FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
 d AS (SELECT d.doc_id, d.source, CAST(len(regexp_extract_all(coalesce(d.text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
@@ -72,9 +121,15 @@ SELECT doc_id, size, source_size, target, CAST(epochs * size + least(size, great
 """
 
 
+OPERATORS = (
+    op1_threshold_topk, op2_toxicity, op3_pii, op4_quality_rules, op5_source_mixing,
+    op6_packing, op7_substring_dedup, op8_simhash, op9_sharding, op10_language_id,
+)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_pii, op4_quality_rules, op5_source_mixing, op6_packing, op7_substring_dedup, op8_simhash)}
+    return {f.__name__: f for f in OPERATORS}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_source_mixing": OP5_SQL}
+    return {"op1_threshold_topk": OP1_SQL, "op5_source_mixing": OP5_SQL, "op9_sharding": OP9_SQL}
