@@ -37,7 +37,7 @@ class _Hashes(dict):
     """Word to 64-bit hash; forgets all when full."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = made = xxhash.xxh64_intdigest(word, 7)
         return made
@@ -120,7 +120,7 @@ def prefix_counts(docs: DataFrame, window: int, prefix: int) -> DataFrame:
         return [values.view(np.int64), counts]
 
     rows = docs.filter("doc_id is not null").select("doc_id", raw("text").alias("t"))
-    partial = map_rows(rows, run, "prefix long, n long", step=4096, size=8_000_000)
+    partial = map_rows(rows, run, "prefix long, n long", size=1_000_000)
     return partial.groupBy("prefix").agg(F.sum("n").alias("n"))
 
 
