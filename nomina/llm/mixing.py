@@ -11,11 +11,16 @@ way, and single documents are ordered only within the last one, about a
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, checkpoint
 
+_WORDS = re.compile(WORD)
 #: A key range is split into this many.
 FAN = 4096
 
@@ -116,3 +121,29 @@ def quality_weights(docs: DataFrame, labels: DataFrame) -> DataFrame:
     sized = docs.select("doc_id", "source", size().alias("size"))
     weight = F.when(F.col("_q") >= 1, 1.0).when(F.col("_q") < 1, 0.1).otherwise(0.5)
     return sized.join(marks, "doc_id", "left").select("doc_id", "source", "size", weight.alias("weight"))
+
+
+def copies(docs: DataFrame, mixed: DataFrame) -> DataFrame:
+    """``docs`` as often as the mix takes them: a row for each whole epoch, and
+    one cut after its last taken word where the mix takes a part. Rows that
+    share an id (null is one) share the most that is taken of any of them."""
+    taken = mixed.groupBy("doc_id").agg(F.max("taken").alias("_taken")).filter("_taken > 0").withColumnRenamed("doc_id", "_id")
+    both = docs.join(taken, docs["doc_id"].eqNullSafe(taken["_id"])).select(*docs.columns, "_taken")
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                rows, texts = [], []
+                for i, (text, n) in enumerate(zip(part.column(at).to_pylist(), part.column(part.num_columns - 1).to_pylist())):
+                    ends = [m.end() for m in _WORDS.finditer(text or "")]
+                    while n > 0 and ends:
+                        rows.append(i)
+                        texts.append(text if n >= len(ends) else text[: ends[n - 1]])
+                        n -= len(ends)
+                out = part.take(pa.array(rows, pa.int64())).select(docs_names)
+                yield out.set_column(at, out.schema.field(at), pa.array(texts, out.schema.field(at).type))
+
+    docs_names = docs.columns
+    return both.mapInArrow(run, docs.schema)

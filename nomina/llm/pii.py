@@ -15,13 +15,15 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, map_rows
+from .common import map_rows
 
 KINDS = ("email", "ip", "card", "phone")
 LABELERS = ("valid", "structure", "gazetteer", "context", "alone")
@@ -209,68 +211,79 @@ def fit(counts: dict[tuple[int, str], int]) -> Model:
     return Model(prob, {name: (float(table[1, j, 0]), float(table[0, j, 2])) for j, name in enumerate(LABELERS)})
 
 
-def proposed(docs: DataFrame) -> DataFrame:
-    """``doc_id, starts, kinds, ends, votes, based`` (arrays) of each row."""
+def train(docs: DataFrame) -> Model:
+    """The model of a corpus, from the counts of (kind, votes) over all of it;
+    each task sends one row for each combination it has met."""
 
     def run(columns: list[list]) -> list:
-        ids, texts = columns
-        out: list[list] = [[], [], [], [], []]
-        for t in texts:
-            base = base_spans(t or "")
-            found = candidates(t or "", base)
-            mine = set(base)
-            for c, values in zip(out, zip(*((s, k, e, v, (s, k, e) in mine) for s, k, e, v in found)) if found else [()] * 5):
-                c.append(list(values))
-        return [ids, *out]
-
-    schema = "doc_id long, starts array<int>, kinds array<int>, ends array<int>, votes array<string>, based array<boolean>"
-    return map_rows(docs.select("doc_id", "text"), run, schema)
+        tally: Counter = Counter()
+        for t in columns[1]:
+            if t:
+                tally.update((k, v) for _, k, _, v in candidates(t, base_spans(t)))
+        return [[k for k, _ in tally], [v for _, v in tally], list(tally.values())]
+
+    part = map_rows(docs.select("doc_id", "text"), run, "kind int, votes string, n long", step=4096, size=16_000_000)
+    counts = part.groupBy("kind", "votes").agg(F.sum("n").alias("n")).collect()
+    return fit({(r["kind"], r["votes"]): r["n"] for r in counts})
+
+
+def spans(text: str | None, model: Model) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+    """Base spans and added spans of a text, as ``(start, kind, end)``."""
+    if not text:
+        return [], []
+    base = base_spans(text)
+    mine, more = set(base), []
+    for s, k, e, v in sorted(candidates(text, base), key=lambda x: (x[0], -x[2], x[1])):
+        if (s, k, e) not in mine and model.adds(k, v) and not any(o[0] < e and s < o[2] for o in more):
+            more.append((s, k, e))
+    return base, more
+
+
+def say(found: list[tuple[int, int, int]]) -> str:
+    return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in sorted(found))
 
 
-def detect(docs: DataFrame) -> DataFrame:
+def detect(docs: DataFrame, model: Model) -> DataFrame:
     """``doc_id, n_email, n_ip, n_card, n_phone, base, spans`` for each row of
     ``docs``: how many base spans of each kind, and ``kind:start:end`` (code
     points, end exclusive) of the base spans and of all spans, by start, then
     kind, comma-joined.
 
     A null or empty text has none. Null ids and repeated rows are treated like
-    any other row; without any proposal the model is empty and adds nothing.
-    Only ``doc_id`` and ``text`` are read.
+    any other row; a model of no proposals adds nothing. Only ``doc_id`` and
+    ``text`` are read.
     """
-    rows = checkpoint(proposed(docs))
-    pairs = rows.select(F.explode(F.arrays_zip("kinds", "votes")).alias("x")).select("x.*")
-    model = fit({(r["kinds"], r["votes"]): r["n"] for r in pairs.groupBy("kinds", "votes").agg(F.count(F.lit(1)).alias("n")).collect()})
-
-    def say(spans: list[tuple[int, int, int]]) -> str:
-        return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in sorted(spans))
 
     def run(columns: list[list]) -> list:
-        ids, *arrays = columns
-        counts, base, all_ = [], [], []
-        for starts, kinds, ends, votes, based in zip(*arrays):
-            spans = list(zip(starts, kinds, ends))
-            kept = [s for s, b in zip(spans, based) if b]
-            more: list[tuple[int, int, int]] = []
-            for s, v, b in sorted(zip(spans, votes, based), key=lambda x: (x[0][0], -x[0][2], x[0][1])):
-                if not b and model.adds(s[1], v) and not any(o[0] < s[2] and s[0] < o[2] for o in more):
-                    more.append(s)
-            tally = Counter(k for _, k, _ in kept)
-            counts.append([tally[k] for k in range(len(KINDS))])
-            base.append(say(kept))
-            all_.append(say(kept + more))
-        return [ids, *([c[k] for c in counts] for k in range(len(KINDS))), base, all_]
+        both = [spans(t, model) for t in columns[1]]
+        counts = [[sum(k == kind for _, k, _ in base) for base, _ in both] for kind in range(len(KINDS))]
+        return [columns[0], *counts, [say(b) for b, _ in both], [say(b + m) for b, m in both]]
 
     schema = "doc_id long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base string, spans string"
-    return map_rows(rows, run, schema, step=4096)
+    return map_rows(docs.select("doc_id", "text"), run, schema)
 
 
-def redact(text: str, spans: str) -> str:
-    """A text with each span (as ``detect`` writes them) replaced by its kind;
-    where spans overlap, by the first one's, over the whole of them."""
+def redact(text: str, found: list[tuple[int, int, int]]) -> str:
+    """A text with each span replaced by its kind; where spans overlap, by the
+    first one's, over the whole of them."""
     out, at = [], 0
-    for part in spans.split(",") if spans else []:
-        kind, start, end = part.split(":")
-        if int(start) >= at:
-            out += [text[at : int(start)], f"[{kind.upper()}]"]
-        at = max(at, int(end))
+    for start, kind, end in sorted(found):
+        if start >= at:
+            out += [text[at:start], f"[{KINDS[kind].upper()}]"]
+        at = max(at, end)
     return "".join(out) + text[at:]
+
+
+def redacted(docs: DataFrame, model: Model) -> DataFrame:
+    """``docs`` with the spans of every text replaced by their kinds, all other
+    columns as they are and no row moved; null texts stay null."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 512):
+                part = batch.slice(start, 512)
+                texts = [t if t is None else redact(t, sum(spans(t, model), [])) for t in part.column(at).to_pylist()]
+                yield part.set_column(at, part.schema.field(at), pa.array(texts, part.schema.field(at).type))
+
+    return docs.mapInArrow(run, docs.schema)

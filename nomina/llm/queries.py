@@ -39,13 +39,15 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pii.detect(_table(spark, sf_dir, "documents"))
+    docs = _table(spark, sf_dir, "documents")
+    found = pii.detect(docs, pii.train(docs))
     return found.select("doc_id", *(f"n_{k}" for k in pii.KINDS), F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = quality.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
-    return judged.select("doc_id", *quality.COUNTS, "base_failed", "kept", "anomaly")
+    docs = _table(spark, sf_dir, "documents")
+    forest = quality.fit(docs, _table(spark, sf_dir, "labels"))
+    return quality.judge(docs, forest).select("doc_id", *quality.COUNTS, "base_failed", "kept", "anomaly")
 
 
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

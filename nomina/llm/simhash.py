@@ -174,3 +174,12 @@ def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 2) -> DataFra
     smallest = whole.groupBy("root").agg(F.min("least").alias("component_id"))
     named = whole.select("fp", "root").join(smallest, "root").select("fp", "component_id")
     return marked.join(named, "fp", "left").select("doc_id", "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, width: int = 4, radius: int = 2) -> DataFrame:
+    """``docs`` with one row of each group of near-duplicates, that of its
+    smallest id. Rows that repeat an id count as one document, of which a row
+    stays; documents without an id are not compared and stay."""
+    named = docs.filter("doc_id is not null")
+    kept = near_duplicates(named, width, radius).filter("doc_id = component_id").select("doc_id").distinct()
+    return named.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id is null"))
