@@ -123,6 +123,23 @@ SELECT doc_id, size, source_size, target, CAST(epochs * size + least(size, great
 """
 
 
+OP7_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (
+  SELECT rid, doc_id, i AS pos, array_to_string(ws[i : i + 49], ' ') AS win
+  FROM (SELECT rid, doc_id, ws, unnest(range(1, greatest(1, len(ws) - 48))) AS i FROM d WHERE doc_id IS NOT NULL)),
+g AS (SELECT win, min(doc_id) AS least FROM s GROUP BY win),
+f AS (SELECT rid, pos FROM s JOIN g USING (win) WHERE doc_id > least),
+p AS (SELECT rid, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS pos FROM d),
+c AS (
+  SELECT p.*, coalesce(p.pos - max(f.pos) OVER (PARTITION BY p.rid ORDER BY p.pos) < 50, false) AS gone
+  FROM p LEFT JOIN f ON p.rid = f.rid AND p.pos = f.pos),
+k AS (SELECT rid, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY pos) FILTER (NOT gone) AS kept FROM c GROUP BY rid)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (rid)
+"""
+
 OPERATORS = (
     op1_threshold_topk, op2_toxicity, op3_pii, op4_quality_rules, op5_source_mixing,
     op6_packing, op7_substring_dedup, op8_simhash, op9_sharding, op10_language_id,
@@ -134,4 +151,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_threshold_topk": OP1_SQL, "op5_source_mixing": OP5_SQL, "op9_sharding": OP9_SQL}
+    return {"op1_threshold_topk": OP1_SQL, "op5_source_mixing": OP5_SQL, "op7_substring_dedup": OP7_SQL, "op9_sharding": OP9_SQL}

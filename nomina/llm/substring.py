@@ -227,14 +227,34 @@ def repeated_passages(docs: DataFrame, window: int = 50, prefix: int = 10, group
     return both.filter("prefix is null").select("doc_id", "lo", "hi").unionByName(deep)
 
 
-def _finish(text: bytes | None, passages: list | None, window: int) -> tuple[int, bytes]:
+def merged(found: DataFrame, window: int) -> DataFrame:
+    """``doc_id, passages`` (array of first word and end, exclusive): the words
+    that ``found`` covers. Rows are sorted by document and merged as they pass,
+    so that a document's array has an entry for ``window`` words at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            doc, lo, hi = (batch.column(k).to_numpy().astype(np.int64) for k in range(3))
+            nth = np.cumsum(np.r_[0, doc[1:] != doc[:-1]]) << 32
+            reach = np.maximum.accumulate(nth + hi + window)
+            new = np.r_[True, nth[1:] + lo[1:] > reach[:-1]]
+            last = np.r_[np.flatnonzero(new)[1:], len(doc)] - 1
+            yield pa.RecordBatch.from_arrays([pa.array(doc[new]), pa.array(lo[new].astype(np.int32)), pa.array((reach[last] - nth[last]).astype(np.int32))], names=["doc_id", "lo", "end"])
+
+    rows = found.repartition(partitions(found), "doc_id").sortWithinPartitions("doc_id", "lo")
+    return rows.mapInArrow(run, "doc_id long, lo int, end int").groupBy("doc_id").agg(F.collect_list(F.struct("lo", "end")).alias("passages"))
+
+
+def _finish(text: bytes | None, passages: list | None) -> tuple[int, bytes]:
     words = text.split() if text else []
     if not passages:
         return len(words), b" ".join(words)
     edge = np.zeros(len(words) + 1, np.int64)
-    for lo, hi in passages:
+    for lo, end in passages:
         edge[lo] += 1
-        edge[min(hi + window, len(words))] -= 1
+        edge[min(end, len(words))] -= 1
     gone = np.cumsum(edge[:-1]) > 0
     return len(words), b" ".join([w for w, g in zip(words, gone.tolist()) if not g])
 
@@ -252,14 +272,13 @@ def remove_repeats(docs: DataFrame, window: int = 50, prefix: int = 10, group: i
     if window <= prefix:
         raise ValueError("window must be longer than prefix")
     found = repeated_passages(docs, window, prefix, group)
-    by_doc = found.groupBy("doc_id").agg(F.collect_set(F.struct("lo", "hi")).alias("passages"))
-    both = docs.select("doc_id", raw("text").alias("t")).join(by_doc, "doc_id", "left")
+    both = docs.select("doc_id", raw("text").alias("t")).join(merged(found, window), "doc_id", "left")
 
     def run(columns: list[list]) -> list:
         ids, texts, passages = columns
         total, kept = [], []
         for t, p in zip(texts, passages):
-            n, k = _finish(t, [(x["lo"], x["hi"]) for x in p] if p else None, window)
+            n, k = _finish(t, [(x["lo"], x["end"]) for x in p] if p else None)
             total.append(n)
             kept.append(k)
         left = [k.count(b" ") + 1 if k else 0 for k in kept]
