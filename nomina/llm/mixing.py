@@ -12,7 +12,7 @@ way, and single documents are ordered only within the last one, about a
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -23,6 +23,8 @@ from .common import WORD, checkpoint
 _WORDS = re.compile(WORD)
 #: A key range is split into this many.
 FAN = 4096
+#: Sources whose totals may be broadcast.
+SOURCES = 100_000
 
 
 def size(text: str = "text") -> Column:
@@ -67,11 +69,11 @@ def _running(rows: DataFrame, by: list[str], order: list[Column]) -> Column:
     return F.sum("s").over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
 
 
-def _refine(rows: DataFrame, budgets: DataFrame, bin_: str) -> DataFrame:
+def _refine(rows: DataFrame, budgets: DataFrame, bin_: str, near: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """``g, edge, left``: for each source, the key range in which its budget ends
     and what remains for it. Ranges are summed before they are ordered."""
     sums = rows.groupBy("g", bin_).agg(F.sum("s").alias("s"))
-    run = sums.withColumn("upto", _running(sums, ["g"], [F.col(bin_)])).join(budgets, "g")
+    run = sums.withColumn("upto", _running(sums, ["g"], [F.col(bin_)])).join(near(budgets), "g")
     edge = run.filter("upto >= left").groupBy("g").agg(F.min(F.struct(F.col(bin_).alias("edge"), (F.col("left") - F.col("upto") + F.col("s")).alias("left"))).alias("x"))
     return edge.select("g", "x.edge", "x.left")
 
@@ -95,23 +97,25 @@ def mix(rows: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, se
 
     sizes = base.groupBy("source").agg(F.sum("s").alias("source_size"))
     aims = checkpoint(targets(sizes, weights, most).select("*", F.struct(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name")).alias("g")))
+    # A row for each source: few enough are broadcast, more are joined by a shuffle.
+    near = F.broadcast if aims.count() <= SOURCES else (lambda df: df)
     plan = aims.withColumn("words", F.floor("target").cast("long")).withColumn("epochs", F.when(F.col("source_size") > 0, F.expr("words div source_size")).otherwise(0))
     plan = plan.withColumn("left", F.col("words") - F.col("epochs") * F.col("source_size")).drop("source")
 
     open_ = plan.filter("left > 0").select("g", "left")
-    coarse = _refine(base.withColumn("bin", F.expr(f"place div {FAN}")), open_, "bin").withColumnRenamed("edge", "bin_edge")
-    inside = base.withColumn("bin", F.expr(f"place div {FAN}")).join(coarse.drop("left"), "g").filter("bin = bin_edge")
-    fine = checkpoint(_refine(inside, coarse.select("g", "left"), "place"))
+    coarse = _refine(base.withColumn("bin", F.expr(f"place div {FAN}")), open_, "bin", near).withColumnRenamed("edge", "bin_edge")
+    inside = base.withColumn("bin", F.expr(f"place div {FAN}")).join(near(coarse.drop("left")), "g").filter("bin = bin_edge")
+    fine = checkpoint(_refine(inside, coarse.select("g", "left"), "place", near))
 
     # Only documents in the last range are ordered one by one.
-    last = base.join(fine, "g").filter("place = edge")
+    last = base.join(near(fine), "g").filter("place = edge")
     order = [F.col("key").desc(), F.col("doc_id").asc_nulls_last(), F.col("s")]
     last = last.withColumn("got", F.least("s", F.greatest(F.lit(0), F.col("left") - _running(last, ["g"], order) + F.col("s"))))
-    rest = base.join(fine.select("g", "edge"), "g", "left").filter("edge is null or place <> edge")
+    rest = base.join(near(fine.select("g", "edge")), "g", "left").filter("edge is null or place <> edge")
     rest = rest.withColumn("got", F.when(F.col("place") < F.col("edge"), F.col("s")).otherwise(0))
     got = rest.select("g", "doc_id", "s", "got").unionByName(last.select("g", "doc_id", "s", "got"))
     taken = (F.col("epochs") * F.col("s") + F.col("got")).cast("long")
-    return got.join(plan, "g").select("doc_id", F.col("s").alias("size"), "source_size", "target", taken.alias("taken"))
+    return got.join(near(plan), "g").select("doc_id", F.col("s").alias("size"), "source_size", "target", taken.alias("taken"))
 
 
 def quality_weights(docs: DataFrame, labels: DataFrame) -> DataFrame:
