@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Code-point classes of each rule, in order of precedence.
 FIVE = {
@@ -118,7 +119,7 @@ def _script(char: str) -> str:
     return _memo[char]
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def script_set(text: pd.Series) -> pd.Series:
     """The scripts of a text's letters by Unicode name, sorted. No built-in
     function knows character names, hence an Arrow UDF."""

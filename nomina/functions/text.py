@@ -63,13 +63,13 @@ def legal_pattern(suffix: str) -> str:
 def remove_legal_suffix(name: Column) -> Column:
     """A name without the longest suffix that leaves something of it."""
 
-    def attempt(longer: Column, suffix: str) -> Column:
+    def attempt(suffix: str) -> Column:
         pattern = "(?iuU)" + legal_pattern(suffix)
         left = stripped(F.regexp_replace(name, pattern, ""))
-        return F.coalesce(longer, F.when(name.rlike(pattern) & (left != ""), left))
+        return F.when(name.rlike(pattern) & (left != ""), left)
 
     by_length = sorted(LEGAL_SUFFIXES, key=len, reverse=True)
-    return F.coalesce(reduce(attempt, by_length, F.lit(None).cast("string")), name)
+    return F.coalesce(*map(attempt, by_length), name)
 
 
 def _mapped(name: Column, table: dict[str, str]) -> Column:
@@ -225,7 +225,7 @@ def truncated(text: Column, width: int = 60) -> Column:
 def hhmmss(seconds: Column) -> Column:
     s = seconds.cast("long")
     parts = (F.floor(s / 3600), F.floor(s / 60) % 60, s % 60)
-    return F.concat_ws(":", *[F.lpad(p.cast("long").cast("string"), 2, "0") for p in parts])
+    return F.format_string("%02d:%02d:%02d", *[p.cast("long") for p in parts])
 
 
 def probabilistic_or(name: Column, embedding: Column) -> Column:

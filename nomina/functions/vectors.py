@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 Encoder = Callable[[list[str]], np.ndarray]
 
@@ -54,7 +55,7 @@ def from_text(text: Column) -> Column:
     return F.from_json(text, "array<float>")
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(T.ArrayType(T.FloatType()))
 def half_precision(v: pd.Series) -> pd.Series:
     """Components rounded to 16-bit floats, a type Spark lacks."""
     return v.map(lambda x: np.asarray(x, np.float16).astype(np.float32) if x is not None else None)
