@@ -13,9 +13,12 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
+def checkpoint(df: DataFrame, compact: bool = False) -> DataFrame:
     """Cut lineage with files in the folder the cluster names in
-    ``spark.checkpoint.dir``; only where that is unset is a local folder used."""
+    ``spark.checkpoint.dir``; only where that is unset is a local folder used.
+    ``compact``: for few columns made of many large partitions, rows are first
+    dealt into partitions of the advisory size, so that files are few."""
+    df = df.hint("rebalance") if compact else df
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)

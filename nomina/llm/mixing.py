@@ -93,7 +93,7 @@ def mix(rows: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, se
     key = F.pow(uniform("doc_id", seed), 1.0 / weight)
     place = F.least(F.floor((1.0 - key) * FAN * FAN), F.lit(FAN * FAN - 1)).cast("long")
     base = rows.select("doc_id", "source", F.col("size").cast("long").alias("s"), key.alias("key"), place.alias("place"))
-    base = checkpoint(base.select("*", F.struct(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name")).alias("g")))
+    base = checkpoint(base.select("*", F.struct(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name")).alias("g")), compact=True)
 
     sizes = base.groupBy("source").agg(F.sum("s").alias("source_size"))
     aims = checkpoint(targets(sizes, weights, most).select("*", F.struct(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name")).alias("g")))

@@ -167,7 +167,7 @@ def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 2) -> DataFra
     Repeated rows give repeated results; an empty table gives no rows. Only
     ``doc_id`` and ``text`` are read, whatever else the table holds.
     """
-    marked = checkpoint(fingerprints(docs, width))
+    marked = checkpoint(fingerprints(docs, width), compact=True)
     distinct = checkpoint(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = connected_components(links(distinct, radius))
     whole = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))

@@ -209,7 +209,7 @@ def fit(labelled: DataFrame, bound: int = 50_000) -> Model:
         return out
 
     schema = "y int, found array<double>, score array<double>, n array<long>"
-    held = checkpoint(map_rows(rows.filter("_fold >= 7").select("doc_id", "text", "toxic"), run, schema))
+    held = checkpoint(map_rows(rows.filter("_fold >= 7").select("doc_id", "text", "toxic"), run, schema), compact=True)
     clean = held.filter("y = 0").select(F.explode(F.arrays_zip("score", "n")).alias("x")).groupBy("x.score").agg(F.sum("x.n").alias("n")).collect()
     if clean:
         draft.lam = _lambda(np.array([r["score"] for r in clean]), np.array([float(r["n"]) for r in clean]))
