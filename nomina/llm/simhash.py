@@ -131,8 +131,9 @@ def bucket_links(prints: np.ndarray, bucket: int, prefix: int, radius: int) -> t
 
 
 def links(prints: DataFrame, radius: int = 2, per_task: int = 1024) -> DataFrame:
-    """``(u, v)``: pairs of distinct fingerprints (column ``fp``) at most
-    ``2 radius`` bits apart, enough of them to connect all that are.
+    """``(u, v)``: pairs of distinct fingerprints (column ``fp``), each joined by
+    links of at most ``2 radius`` bits, directly or through others of its group,
+    and together enough to connect all that are so joined.
 
     The number of shared top bits follows the number of fingerprints, so that a
     task's group stays near ``per_task``; a denser one is split on further bits
@@ -171,7 +172,8 @@ def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 2) -> DataFra
     distinct = checkpoint(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = connected_components(links(distinct, radius))
     whole = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    smallest = whole.groupBy("root").agg(F.min("least").alias("component_id"))
+    # Written out, so that a root with many fingerprints can be split in the join.
+    smallest = checkpoint(whole.groupBy("root").agg(F.min("least").alias("component_id")))
     named = whole.select("fp", "root").join(smallest, "root").select("fp", "component_id")
     return marked.join(named, "fp", "left").select("doc_id", "fp", "component_id")
 
