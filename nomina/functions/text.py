@@ -240,3 +240,13 @@ def lexical_score(a: Column, b: Column) -> Column:
     x, y = F.array_distinct(words(F.lower(a))), F.array_distinct(words(F.lower(b)))
     common, all_ = F.size(F.array_intersect(x, y)), F.size(F.array_union(x, y))
     return F.when(common > 0, F.floor(100.0 * common / all_).cast("int"))
+
+
+def iso_utc(at: Column) -> Column:
+    """A timestamp in UTC with ``Z``; the session's time zone must be UTC."""
+    return F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def threshold_distance(theta: Column) -> Column:
+    """The largest cosine distance that a similarity threshold admits."""
+    return 1.0 - theta

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -47,3 +47,11 @@ def counts(records: DataFrame, business: DataFrame, names: DataFrame) -> DataFra
     """How many rows three tables have, in one row."""
     one = lambda d, c: d.agg(F.count(F.lit(1)).alias(c))
     return one(records, "records").crossJoin(one(business, "business_embeddings")).crossJoin(one(names, "name_embeddings"))
+
+
+def observed(attempts: DataFrame, name: str = "load") -> tuple[DataFrame, Observation]:
+    """``attempts`` unchanged, and running sums that are ready once an action has
+    passed over them: records, failures, names and their mean."""
+    seen = Observation(name)
+    out = attempts.observe(seen, F.count(F.lit(1)).alias("records"), F.count("error_type").alias("failures"), F.sum("n_names").alias("names"), F.avg("n_names").alias("names_a_record"))
+    return out, seen

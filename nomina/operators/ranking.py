@@ -91,3 +91,12 @@ def average_rank(value: Column | str, by: list[Column | str] = ()) -> Column:
     value = F.col(value) if isinstance(value, str) else value
     ties = F.count(F.lit(1)).over(Window.partitionBy(*by, value))
     return F.rank().over(Window.partitionBy(*by).orderBy(value)) + (ties - 1) / 2.0
+
+
+def contribution(hits: DataFrame) -> DataFrame:
+    """By case, what the embedding did for its hits (``retrieved``: it was among
+    the candidates): retrieved and scored, retrieved only, or neither."""
+    scored = F.col("emb_score").isNotNull()
+    return hits.groupBy("case_id").agg(
+        F.count_if(F.col("retrieved") & scored).alias("retrieved_and_scored"), F.count_if(F.col("retrieved") & ~scored).alias("retrieved_only"), F.count_if(~F.col("retrieved")).alias("neither")
+    )

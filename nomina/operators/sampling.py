@@ -14,6 +14,18 @@ def shuffled(rows: DataFrame, key: str, seed: int = 42) -> DataFrame:
     return rows.orderBy(seeded(seed, key), key)
 
 
+def placed(rows: DataFrame, key: str, seed: int = 42) -> DataFrame:
+    """``rows`` with their ``place`` in seeded order, from 1. Hashes are counted
+    by their first three digits, a table of 4096 rows at most, and rows are
+    ordered within those alone, so no task holds all of them."""
+    drawn = rows.withColumn("_draw", seeded(seed, key)).withColumn("_cell", F.substring("_draw", 1, 3))
+    counts = drawn.groupBy("_cell").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.select("_cell", F.coalesce(before, F.lit(0)).alias("_before"))
+    nth = F.row_number().over(Window.partitionBy("_cell").orderBy("_draw", key))
+    return drawn.join(F.broadcast(offsets), "_cell").withColumn("place", F.col("_before") + nth).drop("_draw", "_cell", "_before")
+
+
 def sample(rows: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
     """``n`` rows without replacement, all if there are fewer; 0 takes all."""
     return rows if n == 0 else shuffled(rows, key, seed).limit(n)

@@ -150,6 +150,10 @@ def response_flatten(spark, d):
     return ranking.flatten(json)
 
 
+def embedding_contribution(spark, d):
+    return ranking.contribution(hits(spark, d).withColumn("retrieved", F.col("ordinal") % 3 != 0))
+
+
 def _top(spark, d):
     a = aliases(spark, d)
     found = search.neighbours(a.filter("id % 10 = 0"), a, k=20, decimals=6)
@@ -310,6 +314,7 @@ SELECT profile, 100 AS same, close, greatest(close - 10, 50) AS likely, greatest
     "query_name_types": Query(query_name_types, _R + f"{_KIND} AS kind, {_SCRIPT} AS script, count(*) AS n FROM results GROUP BY ALL"),
     "mode_pairing": Query(mode_pairing, _BY_SCORE + f", a AS ({_SIDE.format('name')}), b AS ({_SIDE.format('emb')}) SELECT e.case_id, expected_entity_id, a.rank AS name_rank, a.total AS name_total, b.rank AS emb_rank, b.total AS emb_total FROM expected e LEFT JOIN a USING (case_id) LEFT JOIN b USING (case_id) WHERE e.case_id IN (SELECT case_id FROM hits)"),
     "response_flatten": Query(response_flatten, f"WITH {WITH_HITS} SELECT case_id, CAST(row_number() OVER (PARTITION BY case_id ORDER BY ordinal) - 1 AS INTEGER) AS ordinal, entity_id, gnr_score, emb_score FROM hits WHERE mode = 'emb' QUALIFY entity_id <> 3"),
+    "embedding_contribution": Query(embedding_contribution, f"WITH {WITH_HITS} SELECT case_id, count(*) FILTER (ordinal % 3 <> 0 AND emb_score IS NOT NULL) AS retrieved_and_scored, count(*) FILTER (ordinal % 3 <> 0 AND emb_score IS NULL) AS retrieved_only, count(*) FILTER (ordinal % 3 = 0) AS neither FROM hits GROUP BY 1"),
     "sibling_recall": Query(sibling_recall, _TOP + "SELECT case_id, round(100.0::DOUBLE * count(distance) / count(*), 6) AS sibling_recall FROM f GROUP BY case_id"),
     "intra_distance": Query(intra_distance, _TOP + f"SELECT count(*) AS n, {_stats('distance', 'distance')}, round(quantile_cont(distance, 0.95), 6) AS p95 FROM f WHERE distance IS NOT NULL"),
     "compare_models": Query(compare_models, _REPORTS + "SELECT test_set, model_type, split_part(model_path, '/', 3) AS model, emb_accuracy, ndcg_10, round(max(emb_accuracy) OVER (PARTITION BY test_set, model_type) - emb_accuracy, 6) AS behind FROM g"),

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import loading, metrics, records, sampling
-from ..operators.pairs import seeded
 from ..sources import readers
 from .base import WITH_NAMES, Query, names, rounded, table
 
@@ -143,10 +142,7 @@ def seeded_sample(spark, d):
 
 
 def seeded_shuffle_rank(spark, d):
-    from pyspark.sql import Window
-
-    s = seeded(42, "s_suppkey")
-    return table(spark, d, "supplier").select("s_suppkey", F.row_number().over(Window.orderBy(s, "s_suppkey")).alias("place"))
+    return sampling.placed(table(spark, d, "supplier").select("s_suppkey"), "s_suppkey")
 
 
 def stratified_sample(spark, d):
@@ -203,6 +199,38 @@ def score_bucket(spark, d):
     return e.select("event_id", text.bucket(n).alias("name_bucket"), text.bucket(n, "BIZNAME").alias("biz_bucket"), text.validity(n).alias("validity"))
 
 
+def found_first(spark, d):
+    """Wanted parts in a file of order lines: the first line of each."""
+    rows = table(spark, d, "lineitem").select(F.col("l_partkey").alias("RECORD_ID"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ordinal"), F.col("l_quantity").alias("quantity"))
+    wanted = table(spark, d, "part").filter("p_size = 7").select(F.col("p_partkey").alias("RECORD_ID"))
+    return readers.found_first(wanted, rows)
+
+
+def first_lines(spark, d):
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ordinal"))
+    return readers.first_lines(rows, 50)
+
+
+def algorithm_names(spark, d):
+    s = table(spark, d, "supplier")
+    path, base = F.concat(F.lit("/models/"), "s_name", F.lit("/")), F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.lit("org/"), "s_name"))
+    kind = F.when(F.col("s_suppkey") % 3 != 0, F.lit("onnx_fp16"))
+    return s.select("s_suppkey", readers.algorithm_name(path, base, kind).alias("algorithm"), readers.algorithm_name(path).alias("folder"))
+
+
+def timestamps(spark, d):
+    e = table(spark, d, "events")
+    return e.select("event_id", text.iso_utc(F.col("ts")).alias("at"), F.round(text.threshold_distance(F.col("event_id") % 100 / 100.0), 6).alias("distance"))
+
+
+def set_operations(spark, d):
+    """Customers with an order and suppliers, as sets of nations."""
+    a = table(spark, d, "customer").filter("c_acctbal > 9000").select(F.col("c_nationkey").alias("nation"))
+    b = table(spark, d, "supplier").select(F.col("s_nationkey").alias("nation"))
+    tag = lambda df, op: df.select(F.lit(op).alias("op"), "nation")
+    return tag(a.intersect(b), "intersect").unionByName(tag(a.subtract(b), "except")).unionByName(tag(a.union(b).distinct(), "union")).unionByName(tag(b.subtract(a), "reverse"))
+
+
 # SQL.
 _JSON = """json AS (SELECT c_custkey, c_name, c_mktsegment, c_nationkey,
   CASE WHEN c_custkey % 11 = 0 THEN 'corrupt' WHEN c_custkey % 7 = 0 THEN 'short' ELSE 'good' END AS state,
@@ -240,7 +268,7 @@ QUERIES = {
     "export_mapping": Query(export_mapping, "SELECT CAST(l_partkey AS VARCHAR) AS record_id, arg_max(l_orderkey, l_orderkey * 10 + l_linenumber) AS entity_id FROM lineitem WHERE l_returnflag = 'N' GROUP BY 1"),
     "first_filled": Query(first_filled, f"WITH {WITH_NAMES} SELECT id, nullif(name, '') AS query FROM names"),
     "seeded_sample": Query(seeded_sample, f"SELECT doc_id, lang FROM documents ORDER BY {_MD5.format('doc_id')}, doc_id LIMIT 100"),
-    "seeded_shuffle_rank": Query(seeded_shuffle_rank, f"SELECT s_suppkey, CAST(row_number() OVER (ORDER BY {_MD5.format('s_suppkey')}, s_suppkey) AS INTEGER) AS place FROM supplier"),
+    "seeded_shuffle_rank": Query(seeded_shuffle_rank, f"SELECT s_suppkey, row_number() OVER (ORDER BY {_MD5.format('s_suppkey')}, s_suppkey) AS place FROM supplier"),
     "stratified_sample": Query(stratified_sample, f"""WITH {WITH_NAMES}, a AS (SELECT id, record_type, length(name) % 3 = 0 AS has_aliases, CASE WHEN length(name) % 4 = 0 THEN 'other' ELSE 'latin' END AS script, {_MD5.format('id')} AS draw, CASE WHEN record_type = 'PERSON' THEN 48 ELSE 72 END AS target FROM names),
 f AS (SELECT id FROM a WHERE has_aliases QUALIFY row_number() OVER (PARTITION BY record_type ORDER BY draw, id) <= floor(target * 0.3)),
 s AS (SELECT id FROM a WHERE script <> 'latin' AND id NOT IN (FROM f) QUALIFY row_number() OVER (PARTITION BY record_type ORDER BY draw, id) <= floor(target * 0.2)),
@@ -252,6 +280,11 @@ FROM a UNION ALL (SELECT * FROM p WHERE priority = 0 QUALIFY row_number() OVER (
     "error_tally": Query(error_tally, _TRIES + "SELECT coalesce(error_type, 'success') AS outcome, count(*) AS n, round(100.0::DOUBLE * count(*) / (SELECT count(*) FROM e), 6) AS percent FROM e GROUP BY 1"),
     "retry_outcomes": Query(retry_outcomes, _TRIES + ", t AS (SELECT * FROM e WHERE attempt <= 3), l AS (SELECT record_id, CAST(coalesce(min(attempt) FILTER (error_type IS DISTINCT FROM 'retryable'), max(attempt)) AS INTEGER) AS attempts FROM t GROUP BY 1) SELECT record_id, attempts, coalesce(error_type, 'success') AS outcome FROM l JOIN t USING (record_id) WHERE attempt = attempts"),
     "dead_letters": Query(dead_letters, _TRIES + "SELECT count(*) FILTER (error_type = 'retryable') AS again, count(*) FILTER (error_type <> 'retryable') AS dead FROM e"),
+    "found_first": Query(found_first, "SELECT l_partkey AS RECORD_ID, min(l_orderkey * 10 + l_linenumber) AS ordinal, arg_min(l_quantity, l_orderkey * 10 + l_linenumber) AS quantity FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size = 7) GROUP BY 1"),
+    "first_lines": Query(first_lines, "SELECT l_orderkey, l_linenumber, l_orderkey * 10 + l_linenumber AS ordinal FROM lineitem ORDER BY ordinal LIMIT 50"),
+    "algorithm_names": Query(algorithm_names, "SELECT s_suppkey, s_name || CASE WHEN s_suppkey % 2 = 0 AND s_suppkey % 3 <> 0 THEN '-onnx_fp16' ELSE '' END AS algorithm, s_name AS folder FROM supplier"),
+    "timestamps": Query(timestamps, "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS at, round(1 - event_id % 100 / 100.0::DOUBLE, 6) AS distance FROM events"),
+    "set_operations": Query(set_operations, "WITH a AS (SELECT c_nationkey AS nation FROM customer WHERE c_acctbal > 9000), b AS (SELECT s_nationkey AS nation FROM supplier) SELECT 'intersect' AS op, nation FROM (FROM a INTERSECT FROM b) UNION ALL SELECT 'except', nation FROM (FROM a EXCEPT FROM b) UNION ALL SELECT 'union', nation FROM (FROM a UNION FROM b) UNION ALL SELECT 'reverse', nation FROM (FROM b EXCEPT FROM a)"),
     "table_counts": Query(table_counts, "SELECT (SELECT count(*) FROM documents) AS records, (SELECT count(*) FROM embeddings WHERE label % 2 = 0) AS business_embeddings, (SELECT count(*) FROM embeddings WHERE label % 2 = 1) AS name_embeddings"),
     "durations": Query(durations, "WITH s AS (SELECT o_orderkey, CAST(trunc(o_totalprice) AS BIGINT) AS s FROM orders) SELECT o_orderkey, lpad(CAST(s // 3600 AS VARCHAR), CAST(greatest(2, length(CAST(s // 3600 AS VARCHAR))) AS INTEGER), '0') || ':' || lpad(CAST(s // 60 % 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(s % 60 AS VARCHAR), 2, '0') AS hhmmss FROM s"),
     "prob_or": Query(prob_or, "SELECT event_id, round(100.0::DOUBLE * (1 - (1 - (event_id % 101) / 100.0::DOUBLE) * (1 - (event_id * 7 % 101) / 100.0::DOUBLE)), 6) AS combined FROM events"),

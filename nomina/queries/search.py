@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors
 from ..operators import metrics, search
-from .base import WITH_ALIASES, Query, aliases, rounded, table
+from .base import WITH_ALIASES, WITH_NAMES, Query, aliases, names, rounded, table
 
 K, D = 10, 6
 _COS = f"round(list_dot_product(q.v, t.v), {D})"
@@ -69,6 +69,21 @@ def conversion_check(spark, d):
     return rounded(rows.agg(F.min(cos).alias("min_cosine"), F.max(gap).alias("max_difference"), (F.min(cos) > 0.99).alias("fp16_ok")))
 
 
+def encode_names(spark, d):
+    """Names through the stand-in encoder: how many, and whether all are units."""
+    e = vectors.encode_names(names(spark, d).filter("name <> ''"), "name", vectors.hash_encoder(64))
+    n = vectors.norm(F.col("embedding"))
+    return e.agg(F.count(F.lit(1)).alias("names"), F.count_distinct("name").alias("distinct_names"), F.round(F.min(n), 4).alias("least"), F.round(F.max(n), 4).alias("largest"), F.max(F.size("embedding")).cast("long").alias("dim"))
+
+
+def fp16_error(spark, d):
+    """What rounding to 16 bits costs: the largest error is below a component's
+    eleventh bit."""
+    e = table(spark, d, "embeddings")
+    gap = F.array_max(F.zip_with("embedding", vectors.half_precision(F.col("embedding")), lambda x, y: F.abs(x - y)))
+    return e.agg(F.count(F.lit(1)).alias("n"), (F.max(gap) < 1 / 2048).alias("small"))
+
+
 _KNN = f"""
 WITH {WITH_ALIASES}, c AS (SELECT q.id AS query_id, t.id AS feat_id, q.entity AS qe, t.entity AS te, {_COS} AS cosine FROM aliases q JOIN aliases t ON q.id <> t.id WHERE {{where}}),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, feat_id) AS INTEGER) AS rank FROM c)
@@ -95,6 +110,8 @@ SELECT count(*) AS cases, {", ".join(f"round(100 * avg(CASE WHEN rank <= {k} THE
     "l2_normalize": Query(l2_normalize, f"SELECT vec_id, {_V.format(_TRIPLE, _TRIPLE, _TRIPLE)} AS v, 1.0::DOUBLE AS norm FROM embeddings"),
     "matryoshka": Query(matryoshka, f"SELECT vec_id, {_V.format(_HEAD, _HEAD, _HEAD)} AS v FROM embeddings"),
     "vector_roundtrip": Query(vector_roundtrip, "SELECT vec_id, CAST(CAST(embedding AS VARCHAR) AS FLOAT[]) = embedding AS equal, len(embedding) AS n FROM embeddings"),
+    "encode_names": Query(encode_names, f"WITH {WITH_NAMES} SELECT count(*) AS names, count(DISTINCT name) AS distinct_names, 1.0::DOUBLE AS least, 1.0::DOUBLE AS largest, 64::BIGINT AS dim FROM names WHERE name <> ''"),
+    "fp16_error": Query(fp16_error, "SELECT count(*) AS n, true AS small FROM embeddings"),
     "conversion_check": Query(conversion_check, """
 WITH e AS (SELECT CAST(embedding AS DOUBLE[]) AS a, list_transform(CAST(embedding AS DOUBLE[]), lambda x: round(x, 3)) AS b FROM embeddings),
 c AS (SELECT list_dot_product(a, b) / (sqrt(list_dot_product(a, a)) * sqrt(list_dot_product(b, b))) AS cosine, list_max(list_transform(list_zip(a, b), lambda x: abs(x[1] - x[2]))) AS gap FROM e)

@@ -67,6 +67,30 @@ def embedding_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("feat_id bigint, label string, embedding array<float>").parquet(path)
 
 
-def algorithm_name(path: Column) -> Column:
-    """A model's name from its path: the last folder that isn't empty."""
-    return F.try_element_at(F.split(F.regexp_replace(path, "/+$", ""), "/"), F.lit(-1))
+def jdbc_table(spark: SparkSession, url: str, table: str, key: str, low: int, high: int, parts: int, **options: str) -> DataFrame:
+    """An embedding table in a database, read in ``parts`` ranges of its key;
+    vectors come as text and become arrays."""
+    rows = spark.read.jdbc(url, f"(SELECT {key}, label, CAST(embedding AS text) AS embedding FROM {table}) t", column=key, lowerBound=low, upperBound=high, numPartitions=parts, properties=options)
+    return rows.select(F.col(key).alias("feat_id"), "label", F.from_json("embedding", "array<float>").alias("embedding"))
+
+
+def first_lines(rows: DataFrame, n: int) -> DataFrame:
+    """The first ``n`` rows by ordinal."""
+    return rows.orderBy("ordinal").limit(n)
+
+
+def found_first(wanted: DataFrame, rows: DataFrame, key: str = "RECORD_ID") -> DataFrame:
+    """For each wanted key, its first row by ordinal: one join instead of a scan
+    of the file for each."""
+    first = rows.groupBy(key).agg(F.min_by(F.struct(*[c for c in rows.columns if c != key]), "ordinal").alias("_r"))
+    return wanted.join(first, key).select(*wanted.columns, "_r.*")
+
+
+def algorithm_name(path: Column, base_model: Column | None = None, model_type: Column | None = None) -> Column:
+    """A model's name: the last part of its base model and its type if its
+    configuration has both, else the last folder of its path."""
+    tail = lambda c: F.try_element_at(F.split(F.regexp_replace(c, "/+$", ""), "/"), F.lit(-1))
+    if base_model is None or model_type is None:
+        return tail(path)
+    both = F.concat_ws("-", tail(base_model), model_type)
+    return F.when((F.coalesce(base_model, F.lit("")) != "") & (F.coalesce(model_type, F.lit("")) != ""), both).otherwise(tail(path))
