@@ -3,13 +3,16 @@ same_entity, pair_type``."""
 
 from __future__ import annotations
 
+import math
+
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .metrics import describe, guarded_corr
 from .ranking import average_rank
 
-BUCKETS = 256
+BUCKETS = 64
 
 
 def both_present(pairs: DataFrame) -> DataFrame:
@@ -21,9 +24,10 @@ def ranked(rows: DataFrame, value: str, out: str) -> DataFrame:
     quantiles cut the values into ranges; counts of the ranges, a small table,
     give each its offset, and ranks are exact within and across ranges, without
     one task that sorts everything."""
-    cuts = sorted(set(rows.approxQuantile(value, [i / BUCKETS for i in range(1, BUCKETS)], 1 / (4 * BUCKETS)))) or [0.0]
-    cell = F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]), lambda c: c < F.col(value).cast("double")))
-    placed = rows.withColumn("_cell", cell)
+    rows = rows.withColumn("_value", F.col(value).cast("double"))
+    cuts = sorted(set(rows.approxQuantile("_value", [i / BUCKETS for i in range(1, BUCKETS)], 1 / (2 * BUCKETS)))) or [0.0]
+    cells = Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol="_value", outputCol="_cell", handleInvalid="keep")
+    placed = cells.transform(rows).drop("_value")
     counts = placed.groupBy("_cell").agg(F.count(F.lit(1)).alias("_n"))
     before = F.sum("_n").over(Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1))
     offsets = counts.select("_cell", F.coalesce(before, F.lit(0)).alias("_before"))
