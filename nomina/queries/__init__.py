@@ -1,5 +1,5 @@
 """Registered queries over the driver's tables, with DuckDB SQL beside each."""
 
-from . import base, evaluation, ingest, names, pairs, search
+from . import base, evaluation, ingest, names, pairs, search, streams
 
-ALL = base.merged(search.QUERIES, names.QUERIES, ingest.QUERIES, evaluation.QUERIES, pairs.QUERIES)
+ALL = base.merged(search.QUERIES, names.QUERIES, ingest.QUERIES, evaluation.QUERIES, pairs.QUERIES, streams.QUERIES)

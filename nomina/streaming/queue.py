@@ -4,6 +4,7 @@ bound state and are an extension."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -16,10 +17,22 @@ from ..operators.loading import error_type
 EVENT = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string"
 
 
-def source(spark: SparkSession, path: str, schema: str = EVENT, files: int = 10) -> DataFrame:
-    """Parquet files as a stream, at most ``files`` at a time: the bound on work
-    in flight."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
+def source(spark: SparkSession, path: str, schema: str = EVENT, files: int = 10, only: str = "*.parquet") -> DataFrame:
+    """A folder's Parquet files whose names match ``only`` as a stream, at most
+    ``files`` at a time: the bound on work in flight."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).option("pathGlobFilter", only).parquet(path)
+
+
+def drained(stream: DataFrame, mode: str = "append", timeout: int = 300) -> DataFrame:
+    """What a stream gives once all that is there has been read, as a table in
+    memory: for small results, as running totals are."""
+    name = f"drained_{uuid.uuid4().hex}"
+    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    query.awaitTermination(timeout)
+    if query.isActive:
+        query.stop()
+        raise TimeoutError(f"the stream took more than {timeout} s")
+    return stream.sparkSession.table(name)
 
 
 def deduplicated(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
