@@ -39,50 +39,53 @@ class Lists:
         order = np.argsort(ids)
         self.ids = ids[order]
         x = x[order]
-        small = x.shape[1] * float(np.abs(x).max(initial=0)) ** 2 < _EXACT
-        self.x = x.astype(np.float32 if small else np.int64)
-        self.rows = np.argsort(x, axis=0, kind="stable").T.copy()  # dim x n, ascending
-        self.sorted = np.take_along_axis(x.T, self.rows, axis=1)
+        self.largest = float(np.abs(x).max(initial=0))
+        self.x = x.astype(np.float32 if x.shape[1] * self.largest**2 < _EXACT else np.int64)
+        up = np.argsort(x, axis=0, kind="stable").T
+        #: By dimension, rows from the small end and from the large end, and the
+        #: components there.
+        self.rows = np.stack([up, up[:, ::-1]])
+        self.parts = np.take_along_axis(np.stack([x.T, x.T]), self.rows, axis=2)
 
     def search(self, own: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Rows and scores of the ``k`` best for a query, its own id aside; best
         first, ties to smaller ids."""
-        n = len(self.ids)
-        up, down = np.flatnonzero(q > 0), np.flatnonzero(q < 0)
-        lists = np.concatenate([self.rows[up, ::-1], self.rows[down]])
-        reach = q[up] @ self.sorted[up, ::-1] + q[down] @ self.sorted[down]  # the bound at each depth
+        n, dims = len(self.ids), np.flatnonzero(q)
+        sides = (q[dims] > 0).astype(np.int64)
+        lists, weights = self.rows[sides, dims], q[dims]
         seen = np.zeros(n, bool)
         at = np.searchsorted(self.ids, own)
         if at < n and self.ids[at] == own:
             seen[at] = True
-        fast = self.x.dtype == np.float32 and len(q) * float(np.abs(q).max()) ** 2 < _EXACT
-        query = q.astype(np.float32) if fast else q
+        fast = self.x.dtype == np.float32 and len(q) * self.largest * float(np.abs(q).max()) < _EXACT
+        x, query = (self.x, q.astype(np.float32)) if fast else (self.x.astype(np.int64, copy=False), q)
         rows, scores = np.empty(0, np.int64), np.empty(0, np.int64)
-        depth, step = 0, max(4, k // 4)
-        while depth < n:
+        depth, step = 0, 16
+        while depth < n and not seen.all():
             new = np.zeros(n, bool)
-            if len(lists):
+            if len(dims):
                 new[lists[:, depth : depth + step]] = True
             else:
                 new[:] = True  # a query of zeros scores all alike
             new &= ~seen
             seen |= new
             came = np.flatnonzero(new)
+            made = (x[came] @ query).astype(np.int64)
+            if len(rows) == k:  # only these can enter; equal ones may have smaller ids
+                able = made >= scores[-1]
+                came, made = came[able], made[able]
+            elif len(made) > 4 * k:
+                able = made >= np.partition(made, len(made) - k)[len(made) - k]
+                came, made = came[able], made[able]
             if len(came):
-                x = self.x[came] if fast or self.x.dtype == np.int64 else self.x[came].astype(np.int64)
-                made = (x @ query).astype(np.int64)
                 rows, scores = np.r_[rows, came], np.r_[scores, made]
-                if len(rows) > k:
-                    best = np.lexsort((rows, -scores))[:k]
-                    rows, scores = rows[best], scores[best]
+                best = np.lexsort((rows, -scores))[:k]
+                rows, scores = rows[best], scores[best]
             depth += step
             step *= 2
-            if depth >= n or not len(lists) or seen.all():
-                break
-            if len(rows) == k and scores[-1] > reach[depth]:
-                break
-        best = np.lexsort((rows, -scores))[:k]
-        return rows[best], scores[best]
+            if depth < n and len(rows) == k and scores[-1] > int(weights @ self.parts[sides, dims, depth]):
+                break  # the most that any unseen row can score
+        return rows, scores
 
 
 def top_k(vectors: DataFrame, every: int = 20, k: int = 20, scale: int = 64, block: int = 4096, queries: int = 4096) -> DataFrame:
