@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+# An engine's and a database's codes for a value beyond its column.
+TOO_LONG = "SENZ1001|22001"
+
 
 def error_type(message: Column) -> Column:
     """too_long for values beyond a column's width, retryable for time-outs and
@@ -12,8 +15,8 @@ def error_type(message: Column) -> Column:
     low = F.lower(message)
     return (
         F.when(message.isNull(), None)
-        .when(low.rlike("too long|senz1001|22001"), "too_long")
-        .when(low.rlike("timeout|timed out|retryable|senz0010|connection"), "retryable")
+        .when(low.contains("too long") | message.rlike(TOO_LONG), "too_long")
+        .when(low.rlike("timeout|timed out|retryable|connection"), "retryable")
         .otherwise("other")
     )
 

@@ -158,7 +158,7 @@ def priority_split(spark, d):
 def _attempts(spark, d):
     """Events as tries to load a user's record: errors by number of the event."""
     e = table(spark, d, "events")
-    message = F.when(F.col("event_id") % 10 == 3, "SENZ0010: operation timed out").when(F.col("event_id") % 37 == 5, "value too long for type").when(F.col("event_id") % 41 == 7, "disk failure")
+    message = F.when(F.col("event_id") % 10 == 3, "operation timed out").when(F.col("event_id") % 37 == 5, "value too long for type").when(F.col("event_id") % 41 == 7, "disk failure")
     from pyspark.sql import Window
 
     nth = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
