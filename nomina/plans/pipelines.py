@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -31,6 +31,34 @@ def variants(cases: DataFrame, most: int = 3) -> DataFrame:
     return keep_first(rows, [F.lower("variant_query"), "expected_record_id"], ["test_case_id", "nth"]).drop("nth", "test_case_id")
 
 
+# Query, original name, record, type of record, type and reason of variant.
+MANUAL = (
+    ("Ryazan Refinery", "RNPK JSC", "NK-6JHQE4LmZLd9PATFPLNcMW", "ORGANIZATION", "fuzzy_company_name", "Query missing multiple significant words"),
+    ("Aberdeen Asset Management Ltd", "ABERDEEN ASSET MANAGERS LIMITED", "NK-52eqKSj5yz2z6yoxpJGnq6", "ORGANIZATION", "word_form_variation", "'Managers' vs 'Management', 'Limited' vs 'Ltd'"),
+    ("Custody Bank Japan", "Custody Bank of Japan, Ltd.", "NK-39MNPnyuTJTsWuf4Prniyc", "ORGANIZATION", "legal_suffix_removed", "Removed 'of' and 'Ltd' from company name"),
+    ("Vladimir Bychkov", "Бычков Владимир Петрович", "NK-3NULJaQxASzh2kVjbFYdcx", "PERSON", "patronymic_dropped", "Latin transliteration without patronymic"),
+    ("Bychkov Vladimir", "Бычков Владимир Петрович", "NK-3NULJaQxASzh2kVjbFYdcx", "PERSON", "name_order_variation", "Last name first, no patronymic"),
+    ("Vladamir Bychkov", "Бычков Владимир Петрович", "NK-3NULJaQxASzh2kVjbFYdcx", "PERSON", "spelling_variation", "Typo: 'Vladamir' vs 'Vladimir' (a instead of i)"),
+)
+MANUAL_SOURCE = "OPEN_SANCTIONS"
+
+
+def manual_variants(spark: SparkSession, loaded: DataFrame | None = None) -> DataFrame:
+    """Hand-written variant cases; those of records in ``loaded`` (``record_id``)
+    if it is given."""
+    rows = spark.createDataFrame(list(MANUAL), "variant_query string, original_name string, expected_record_id string, record_type string, variant_type string, description string")
+    rows = rows.withColumns({"data_source": F.lit(MANUAL_SOURCE), "source": F.lit("manual")})
+    return rows if loaded is None else rows.join(loaded.select(F.col("record_id").alias("expected_record_id")).distinct(), "expected_record_id", "left_semi")
+
+
+def all_variants(cases: DataFrame, most: int = 3) -> DataFrame:
+    """Automated and manual variant cases, the automated one where both have a
+    record's query."""
+    manual = manual_variants(cases.sparkSession, cases)
+    both = variants(cases, most).withColumn("_ord", F.lit(0)).unionByName(manual.withColumn("_ord", F.lit(1)), allowMissingColumns=True)
+    return keep_first(both, [F.lower("variant_query"), "expected_record_id"], ["_ord", "variant_type"]).drop("_ord")
+
+
 def validate(cases: DataFrame, hits: DataFrame, by: str = "score") -> DataFrame:
     """One result for each case from its hits in both modes; a case without hits
     in a mode has a null rank there."""

@@ -133,6 +133,13 @@ def test_records(spark):
     assert enriched[0]["name_embeddings"] is None and len(enriched[0]["bizname_embeddings"]) == 2
 
 
+def test_manual_variants(spark):
+    cases = spark.createDataFrame([("t1", "Custody Bank of Japan, Ltd.", "NK-39MNPnyuTJTsWuf4Prniyc", "S", "ORGANIZATION")], "test_case_id string, query_name string, record_id string, data_source string, record_type string")
+    assert pipelines.manual_variants(spark).count() == 6
+    found = {(r["variant_query"], r["source"]) for r in pipelines.all_variants(cases).collect()}
+    assert ("Custody Bank Japan", "manual") in found and ("Custody Bank of Japan,", "automated") in found
+
+
 def test_align(spark):
     rows = [(i, i // 2, i % 2, f"name {i}", "LATIN" if i % 2 else "CJK", [1.0, 0.1 * i]) for i in range(6)]
     a = spark.createDataFrame(rows, "id bigint, entity bigint, ord int, name string, script string, v array<double>")
