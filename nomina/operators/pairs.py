@@ -15,7 +15,13 @@ PAIR = ("name_a", "name_b", "entity_a", "entity_b", "same_entity", "pair_type")
 
 def within_entity(aliases: DataFrame, most: int = 6, cross_first: bool = True) -> DataFrame:
     """Pairs i < j of an entity's aliases (``entity, ord, name, script``), those
-    across scripts before others, at most ``most`` for each entity."""
+    across scripts before others, at most ``most`` for each entity.
+
+    If a pair holds the r-th alias of a script, each earlier one of that script
+    makes an earlier pair of the same kind with the other alias, so r is at most
+    ``most + 1``: the others are cut before the join, which an entity of any size
+    then enters with a few rows for each script."""
+    aliases = first_n(aliases, ["entity", "script"], ["ord"], most + 1)
     a = aliases.select("entity", F.col("ord").alias("i"), F.col("name").alias("name_a"), F.col("script").alias("sa"))
     b = aliases.select("entity", F.col("ord").alias("j"), F.col("name").alias("name_b"), F.col("script").alias("sb"))
     pairs = a.join(b, "entity").filter("i < j").withColumn("cross", scripts.differs(F.col("sa"), F.col("sb")))

