@@ -206,7 +206,8 @@ def _deep(suffixes: DataFrame) -> DataFrame:
         return [np.array(prefix)[row], node.view(np.int64), np.array(doc)[row], (np.array(start)[row] + nth).astype(np.int32)]
 
     leaves = map_rows(suffixes.select("prefix", "tags", "doc_id", "start", "ahead"), run, "prefix long, node long, doc_id long, start int", step=4096)
-    nodes = leaves.groupBy("prefix", "node").agg(F.min("doc_id").alias("least"))
+    # Written out, so that a node with many leaves can be split in the join.
+    nodes = checkpoint(leaves.groupBy("prefix", "node").agg(F.min("doc_id").alias("least")))
     late = leaves.join(nodes, ["prefix", "node"]).filter("doc_id > least")
     return late.select("doc_id", F.col("start").alias("lo"), F.col("start").alias("hi"))
 
