@@ -69,6 +69,13 @@ def conversion_check(spark, d):
     return rounded(rows.agg(F.min(cos).alias("min_cosine"), F.max(gap).alias("max_difference"), (F.min(cos) > 0.99).alias("fp16_ok")))
 
 
+def knn_approximate(spark, d):
+    """Search by cells against exact search: recall of nine tenths or more."""
+    q, a = _queries(spark, d), aliases(spark, d)
+    r = search.recall(search.approximate(q, a, K, cells=8, probes=6), search.neighbours(q, a, k=K))
+    return r.select("exact", (F.col("recall") >= 0.9).alias("enough"))
+
+
 def encode_names(spark, d):
     """Names through the stand-in encoder: how many, and whether all are units."""
     e = vectors.encode_names(names(spark, d).filter("name <> ''"), "name", vectors.hash_encoder(64))
@@ -110,6 +117,7 @@ SELECT count(*) AS cases, {", ".join(f"round(100 * avg(CASE WHEN rank <= {k} THE
     "l2_normalize": Query(l2_normalize, f"SELECT vec_id, {_V.format(_TRIPLE, _TRIPLE, _TRIPLE)} AS v, 1.0::DOUBLE AS norm FROM embeddings"),
     "matryoshka": Query(matryoshka, f"SELECT vec_id, {_V.format(_HEAD, _HEAD, _HEAD)} AS v FROM embeddings"),
     "vector_roundtrip": Query(vector_roundtrip, "SELECT vec_id, CAST(CAST(embedding AS VARCHAR) AS FLOAT[]) = embedding AS equal, len(embedding) AS n FROM embeddings"),
+    "knn_approximate": Query(knn_approximate, f"SELECT {K} * count(*) AS exact, true AS enough FROM embeddings WHERE vec_id % 5 = 0"),
     "encode_names": Query(encode_names, f"WITH {WITH_NAMES} SELECT count(*) AS names, count(DISTINCT name) AS distinct_names, 1.0::DOUBLE AS least, 1.0::DOUBLE AS largest, 64::BIGINT AS dim FROM names WHERE name <> ''"),
     "fp16_error": Query(fp16_error, "SELECT count(*) AS n, true AS small FROM embeddings"),
     "conversion_check": Query(conversion_check, """

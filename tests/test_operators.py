@@ -83,6 +83,16 @@ def test_neighbours(spark, limit, monkeypatch):
         assert sorted(got.get(q, [])) == [(n + 1, i) for n, (_, i) in enumerate(best)]
 
 
+@pytest.mark.parametrize("block", [16_384, 20])
+def test_approximate_search(spark, block):
+    rows = [(i, i % 3, [math.cos(i), math.sin(i)]) for i in range(300)] + [(999, 0, None)]
+    t = spark.createDataFrame(rows, "id bigint, entity bigint, v array<double>")
+    q = t.filter("id < 40")
+    exact = search.neighbours(q, t, k=5)
+    assert search.recall(search.approximate(q, t, 5, cells=6, probes=6, block=block), exact).first()["recall"] == 1.0
+    assert search.recall(search.approximate(q, t, 5, cells=6, probes=2, block=block), exact).first()["recall"] > 0.9
+
+
 def test_triplets_equal_the_naive_join(spark):
     rows = [(f"a{i % 6}", f"b{i}", i % 4, i % 5, i % 2 == 0, "x", (i * 37) % 101, ((i * 53) % 100) / 100) for i in range(120)]
     p = spark.createDataFrame(rows, "name_a string, name_b string, entity_a int, entity_b int, same_entity boolean, pair_type string, gnr_score int, cosine_sim double")
