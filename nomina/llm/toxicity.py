@@ -27,6 +27,8 @@ _TOKEN = re.compile(r"\w+")
 #: Prefix lengths a word falls back on, longest first.
 PREFIXES = (7, 6, 5, 4)
 DRIFT = 0.1
+#: Least scores that words may be asked for.
+CUTS = (0.0, 1.5, 3.0, 4.0)
 
 
 def tokens(text: str | None) -> list[str]:
@@ -187,46 +189,62 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
     return tuple(beta.tolist())
 
 
+def _above(nodes: dict[str, float], cut: float) -> dict[str, float]:
+    """Scores with positive ones below ``cut`` set to zero. The words stay, so
+    that none falls back on a prefix instead."""
+    return {k: 0.0 if 0 < v < cut else v for k, v in nodes.items()}
+
+
+def _calibrated(nodes: dict[str, float], rows: list, clean: list) -> tuple[Model, float]:
+    """A model with its levels and curve from the calibrating texts, and its mean
+    log loss over them."""
+    model = Model(nodes)
+    if clean:
+        model.lam = _lambda(np.array([r["score"] for r in clean]), np.array([float(r["n"]) for r in clean]))
+    # K from the segments of clean texts that pass the level of a text of one word.
+    beyond = [(sum(model.lam * s > 1 for s in r["found"]), r["m"]) for r in rows if r["y"] == 0]
+    model.k = max(1e-3, sum(n for n, _ in beyond) / max(1.0, sum(m for _, m in beyond) * math.exp(-1)))
+    x, y = [], []
+    for r in rows:
+        over = [model.lam * s - math.log(max(1e-9, model.k * max(1, r["m"]))) for s in r["found"]]
+        over = [s for s in over if s > 0]
+        x.append((max(over, default=0.0), sum(over)))
+        y.append(float(r["y"]))
+    if len(set(y)) == 2:
+        model.curve = _logistic(np.log1p(np.array(x)), np.array(y))
+    p = np.clip([model.probability(*v) for v in x], 1e-6, 1 - 1e-6) if x else np.zeros(0)
+    return model, float(-np.mean(np.where(np.array(y) > 0, np.log(p), np.log(1 - p)))) if x else math.inf
+
+
 def fit(labelled: DataFrame, bound: int = 50_000) -> Model:
     """A model from ``doc_id, text, toxic`` rows, at most ``bound`` of them.
     Seven tenths of the rows, by a hash of the id, teach the words; the rest
-    calibrates segments and probabilities. Rows of one class alone teach
-    nothing: then every probability is near zero."""
+    calibrates segments and probabilities, and chooses from which score on a word
+    counts at all: weak ones follow a language or a source rather than a tone.
+    Rows of one class alone teach nothing: then every probability is near zero."""
     rows = labelled.withColumn("_fold", F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(10)))
     nodes = weigh(counted(rows.filter("_fold < 7")))
     if not nodes:
         return Model()
-    draft = Model(nodes)
 
     def run(columns: list[list]) -> list:
-        memo = _Scores(draft.nodes)
-        out: list[list] = [[], [], [], []]
+        memos = [_Scores(_above(nodes, c)) for c in CUTS]
+        out: list[list] = [[], [], [], [], [], []]
         for t, y in zip(columns[1], columns[2]):
-            scores = scored(t, memo)
-            rounded, n = np.unique(np.round(scores, 1), return_counts=True)
-            for c, v in zip(out, (int(y > 0), [s for _, _, s in passages(scores)], rounded.tolist(), n.tolist())):
-                c.append(v)
+            for i, memo in enumerate(memos):
+                scores = scored(t, memo)
+                rounded, n = np.unique(np.round(scores, 1), return_counts=True)
+                for c, v in zip(out, (i, int(y > 0), len(scores), [s for _, _, s in passages(scores)], rounded.tolist(), n.tolist())):
+                    c.append(v)
         return out
 
-    schema = "y int, found array<double>, score array<double>, n array<long>"
+    schema = "cut int, y int, m long, found array<double>, score array<double>, n array<long>"
     held = checkpoint(map_rows(rows.filter("_fold >= 7").select("doc_id", "text", "toxic"), run, schema), compact=True)
-    clean = held.filter("y = 0").select(F.explode(F.arrays_zip("score", "n")).alias("x")).groupBy("x.score").agg(F.sum("x.n").alias("n")).collect()
-    if clean:
-        draft.lam = _lambda(np.array([r["score"] for r in clean]), np.array([float(r["n"]) for r in clean]))
-    lengths = F.aggregate("n", F.lit(0).cast("long"), lambda s, x: s + x).alias("m")
-    few = held.select("y", F.transform("found", lambda s: s * draft.lam).alias("found"), lengths).limit(bound).collect()
-    # K from the segments of clean texts that pass the level of a text of one word.
-    beyond = [(sum(s > 1 for s in r["found"]), r["m"]) for r in few if r["y"] == 0]
-    draft.k = max(1e-3, sum(n for n, _ in beyond) / max(1.0, sum(m for _, m in beyond) * math.exp(-1)))
-    x, y = [], []
-    for r in few:
-        over = [s - math.log(max(1e-9, draft.k * max(1, r["m"]))) for s in r["found"]]
-        over = [s for s in over if s > 0]
-        x.append([math.log1p(max(over, default=0.0)), math.log1p(sum(over))])
-        y.append(float(r["y"]))
-    if len(set(y)) == 2:
-        draft.curve = _logistic(np.array(x), np.array(y))
-    return draft
+    clean = held.filter("y = 0").select("cut", F.explode(F.arrays_zip("score", "n")).alias("x")).groupBy("cut", "x.score").agg(F.sum("x.n").alias("n")).collect()
+    few = held.select("cut", "y", "m", "found").limit(len(CUTS) * bound).collect()
+    of = lambda found, i: [r for r in found if r["cut"] == i]
+    models = [_calibrated(_above(nodes, c), of(few, i), of(clean, i)) for i, c in enumerate(CUTS)]
+    return min(models, key=lambda m: m[1])[0]
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, bound: int = 50_000) -> DataFrame:
