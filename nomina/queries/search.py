@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import vectors
-from ..operators import metrics, search
+from ..operators import lexical, metrics, search
 from .base import WITH_ALIASES, WITH_NAMES, Query, aliases, names, rounded, table
 
 K, D = 10, 6
@@ -69,6 +69,19 @@ def conversion_check(spark, d):
     return rounded(rows.agg(F.min(cos).alias("min_cosine"), F.max(gap).alias("max_difference"), (F.min(cos) > 0.99).alias("fp16_ok")))
 
 
+def similar_names(spark, d):
+    """Fixed names and every tenth document's against all names."""
+    n = names(spark, d).select("id", "name")
+    found = lexical.similar_names(n.filter("id like 'n%' or id like '%0'"), n, 0.4).filter("query_id <> id")
+    return rounded(found)
+
+
+def entity_hits(spark, d):
+    """Labels as entities that embeddings with short names reach both ways."""
+    a = aliases(spark, d).withColumn("name", F.concat(F.lit("w"), (F.col("id") % 97).cast("string"), F.lit(" w"), (F.col("id") % 89).cast("string")))
+    return lexical.entity_hits(a.filter("id % 25 = 0"), a, 0.3, 0.35).select("case_id", "entity_id", "gnr_score", "emb_score")
+
+
 def knn_approximate(spark, d):
     """Search by cells against exact search: recall of nine tenths or more."""
     q, a = _queries(spark, d), aliases(spark, d)
@@ -118,6 +131,14 @@ SELECT count(*) AS cases, {", ".join(f"round(100 * avg(CASE WHEN rank <= {k} THE
     "matryoshka": Query(matryoshka, f"SELECT vec_id, {_V.format(_HEAD, _HEAD, _HEAD)} AS v FROM embeddings"),
     "vector_roundtrip": Query(vector_roundtrip, "SELECT vec_id, CAST(CAST(embedding AS VARCHAR) AS FLOAT[]) = embedding AS equal, len(embedding) AS n FROM embeddings"),
     "knn_approximate": Query(knn_approximate, f"SELECT {K} * count(*) AS exact, true AS enough FROM embeddings WHERE vec_id % 5 = 0"),
+    "similar_names": Query(similar_names, rf"""WITH {WITH_NAMES}, w AS (SELECT id, list_distinct(list_filter(string_split_regex(lower(name), '\s+'), lambda x: x <> '')) AS w FROM names),
+c AS (SELECT q.id AS query_id, t.id, len(list_intersect(q.w, t.w)) / len(list_distinct(list_concat(q.w, t.w)))::DOUBLE AS jaccard FROM w q JOIN w t ON q.id <> t.id AND len(q.w) > 0 AND len(t.w) > 0 WHERE q.id LIKE 'n%' OR q.id LIKE '%0')
+SELECT query_id, id, round(jaccard, 6) AS jaccard FROM c WHERE jaccard >= 0.4"""),
+    "entity_hits": Query(entity_hits, f"""WITH {WITH_ALIASES}, c AS (SELECT q.id AS case_id, t.entity AS entity_id, q.id <> t.id AS other, list_dot_product(q.v, t.v) AS cosine, t.id AS tid,
+  [q.id % 97, q.id % 89] AS a, [t.id % 97, t.id % 89] AS b FROM aliases q JOIN aliases t ON q.id % 25 = 0),
+j AS (SELECT *, len(list_intersect(list_distinct(a), list_distinct(b))) / len(list_distinct(list_concat(a, b)))::DOUBLE AS jaccard FROM c),
+f AS (SELECT case_id, entity_id, CASE WHEN jaccard >= 0.3 THEN CAST(floor(100 * jaccard) AS INTEGER) END AS g, CASE WHEN other AND cosine >= 0.35 THEN CAST(floor(100 * cosine + 1e-6) AS INTEGER) END AS e FROM j WHERE jaccard >= 0.3 OR (other AND cosine >= 0.35))
+SELECT case_id, entity_id, max(g) AS gnr_score, max(e) AS emb_score FROM f GROUP BY 1, 2"""),
     "encode_names": Query(encode_names, f"WITH {WITH_NAMES} SELECT count(*) AS names, count(DISTINCT name) AS distinct_names, 1.0::DOUBLE AS least, 1.0::DOUBLE AS largest, 64::BIGINT AS dim FROM names WHERE name <> ''"),
     "fp16_error": Query(fp16_error, "SELECT count(*) AS n, true AS small FROM embeddings"),
     "conversion_check": Query(conversion_check, """
