@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scripts, text
@@ -45,28 +45,30 @@ def with_aliases(records: DataFrame, least: int = 2) -> DataFrame:
 
 def names(records: DataFrame) -> DataFrame:
     """A row for each usable name: ``record_id, data_source, record_type, idx,
-    name, kind, query_name_type``. ``idx`` counts usable names; the first entry of
-    NAMES, usable or not, and those of type PRIMARY are primary."""
-    kind = record_type("PERSON")
-    rows = records.select("RECORD_ID", "DATA_SOURCE", kind.alias("record_type"), F.posexplode("NAMES").alias("pos", "entry"))
-    rows = rows.withColumn("name", name_of(F.col("entry"), F.col("record_type"), "NAME_ORG")).filter("name is not null and trim(name) <> ''")
-    primary = (F.coalesce(F.upper("entry.NAME_TYPE"), F.lit("")) == "PRIMARY") | (F.col("pos") == 0)
-    typed = rows.withColumn("kind", F.when(primary, "primary").otherwise("alias"))
-    idx = F.row_number().over(Window.partitionBy("DATA_SOURCE", "RECORD_ID").orderBy("pos")) - 1
-    return typed.select(
-        F.col("RECORD_ID").alias("record_id"), F.col("DATA_SOURCE").alias("data_source"), "record_type", idx.alias("idx"), "name", "kind",
-        F.concat_ws("_", "kind", scripts.majority(F.col("name"))).alias("query_name_type"),
+    name, kind, query_name_type, all_names``. ``idx`` counts usable names; the
+    first entry of NAMES, usable or not, and those of type PRIMARY are primary.
+    Everything comes from the record's own array: no row is moved."""
+    rows = records.withColumn("_kind", record_type("PERSON"))
+
+    def entry(e: Column, i: Column) -> Column:
+        primary = (F.coalesce(F.upper(e["NAME_TYPE"]), F.lit("")) == "PRIMARY") | (i == 0)
+        return F.struct(name_of(e, F.col("_kind"), "NAME_ORG").alias("name"), F.when(primary, "primary").otherwise("alias").alias("kind"))
+
+    usable = F.filter(F.transform("NAMES", entry), lambda x: x["name"].isNotNull() & (F.trim(x["name"]) != ""))
+    rows = rows.withColumn("_n", usable)
+    out = rows.select("RECORD_ID", "DATA_SOURCE", "_kind", F.transform("_n", lambda x: x["name"]).alias("all_names"), F.posexplode("_n").alias("idx", "x"))
+    return out.select(
+        F.col("RECORD_ID").alias("record_id"), F.col("DATA_SOURCE").alias("data_source"), F.col("_kind").alias("record_type"), "idx", "x.name", "x.kind",
+        F.concat_ws("_", "x.kind", scripts.majority(F.col("x.name"))).alias("query_name_type"), "all_names",
     )
 
 
 def test_cases(named: DataFrame, sample_date: str) -> DataFrame:
     """Validation cases from ``names``: ids by place, all names of the record,
     no expected entity yet."""
-    every = named.groupBy("data_source", "record_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "name"))), lambda x: x["name"]).alias("all_aliases"))
-    rows = named.join(every, ["data_source", "record_id"])
-    return rows.select(
+    return named.select(
         F.concat(F.col("record_id"), F.lit("_name_"), F.col("idx").cast("string")).alias("test_case_id"), "record_id", "data_source", "record_type",
-        F.col("name").alias("query_name"), "query_name_type", "all_aliases", F.lit(None).cast("bigint").alias("expected_entity_id"),
+        F.col("name").alias("query_name"), "query_name_type", F.col("all_names").alias("all_aliases"), F.lit(None).cast("bigint").alias("expected_entity_id"),
         F.struct(F.col("idx").cast("bigint").alias("original_index"), F.lit(sample_date).alias("sample_date")).alias("metadata"),
     )
 
