@@ -132,7 +132,7 @@ def copies(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     one cut after its last taken word where the mix takes a part. Rows that
     share an id (null is one) share the most that is taken of any of them."""
     taken = mixed.groupBy("doc_id").agg(F.max("taken").alias("_taken")).filter("_taken > 0").withColumnRenamed("doc_id", "_id")
-    both = docs.join(taken, docs["doc_id"].eqNullSafe(taken["_id"])).select(*docs.columns, "_taken")
+    both = docs.join(taken.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(taken["_id"])).select(*docs.columns, "_taken")
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, map_rows, raw
+from .common import checkpoint, map_rows, partitions, raw
 from .components import connected_components
 
 BITS = 64
@@ -149,12 +149,22 @@ def links(prints: DataFrame, radius: int = 2, per_task: int = 1024) -> DataFrame
     spread = prints.select("fp", F.explode(F.array(*[F.lit(m) for m in signed])).alias("m"))
     spread = spread.select(F.shiftrightunsigned(F.col("fp").bitwiseXOR(F.col("m")), BITS - prefix).cast("long").alias("bucket"), "fp")
 
-    def meet(group: pa.Table) -> pa.Table:
-        bucket = group.column("bucket")[0].as_py()
-        u, v = bucket_links(group.column("fp").to_numpy().view(np.uint64), bucket, prefix, radius)
-        return pa.table({"u": u.view(np.int64), "v": v.view(np.int64)})
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+        if not parts:
+            return
+        bucket, fp = (np.concatenate(c) for c in zip(*parts))
+        order = np.argsort(bucket, kind="stable")
+        bucket, fp = bucket[order], fp[order].view(np.uint64)
+        first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+        for at, end in zip(first, np.r_[first[1:], len(bucket)]):
+            u, v = bucket_links(fp[at:end], int(bucket[at]), prefix, radius)
+            if len(u):
+                yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["u", "v"])
 
-    return spread.groupBy("bucket").applyInArrow(meet, "u long, v long")
+    # A task holds its buckets as two numbers a row and takes them one by one.
+    tasks = max(partitions(prints), (1 << prefix) // 8)
+    return spread.repartition(tasks, "bucket").mapInArrow(meet, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 2) -> DataFrame:
@@ -183,5 +193,11 @@ def keep_one(docs: DataFrame, width: int = 4, radius: int = 2) -> DataFrame:
     smallest id. Rows that repeat an id count as one document, of which a row
     stays; documents without an id are not compared and stay."""
     named = docs.filter("doc_id is not null")
-    kept = near_duplicates(named, width, radius).filter("doc_id = component_id").select("doc_id").distinct()
-    return named.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id is null"))
+    found = near_duplicates(named, width, radius).filter("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n"))
+    kept = checkpoint(found)
+    # Hashing the narrow side spares sorting the texts, and so does looking
+    # whether an id repeats at all before rows are compared by it.
+    once = named.join(kept.select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi")
+    if not kept.filter("_n > 1").isEmpty():
+        once = once.dropDuplicates(["doc_id"])
+    return once.unionByName(docs.filter("doc_id is null"))
