@@ -10,7 +10,7 @@ once for each reachable value of those bits (37 times for 8 bits), and its
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -192,8 +192,14 @@ def keep_one(docs: DataFrame, width: int = 4, radius: int = 2) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates, that of its
     smallest id. Rows that repeat an id count as one document, of which a row
     stays; documents without an id are not compared and stay."""
+    return least_of_each(docs, lambda named: near_duplicates(named, width, radius))
+
+
+def least_of_each(docs: DataFrame, components: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``docs`` with the row whose ``doc_id`` is its ``component_id``, as
+    ``components`` has them for documents with an id."""
     named = docs.filter("doc_id is not null")
-    found = near_duplicates(named, width, radius).filter("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n"))
+    found = components(named).filter("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n"))
     kept = checkpoint(found)
     # Hashing the narrow side spares sorting the texts, and so does looking
     # whether an id repeats at all before rows are compared by it.

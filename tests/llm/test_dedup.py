@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from nomina.llm import simhash, substring
+from nomina.llm import resemblance, simhash, substring
 from nomina.llm.components import connected_components
 
 
@@ -111,6 +111,49 @@ def test_near_duplicates_edges(spark, make_docs, edges):
     assert kept.count(4) == 1 and kept.count(None) == 1 and 2 not in kept
 
 
+def plain_groups(rows, least=0.8):
+    sets = {}
+    for i, t in rows:
+        w = (t or "").encode().lower().split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a in sets:
+        for b in sets:
+            if a < b and len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {i: find(i) for i in sets}
+
+
+def test_stage_drops_copies_of_four_fifths(spark, make_docs, prose, edges):
+    import corpus_pipeline
+
+    rows = []
+    for i in range(60):
+        base = prose(i, 300).split()
+        for k in range(1 + i % 4):
+            other = list(base)
+            for e in range(i % 8):  # each edit changes five shingles of 296
+                other[20 + 35 * e + k] = f"edit{k}"
+            rows.append((10 * i + k, " ".join(other)))
+    got = {r["doc_id"]: r["component_id"] for r in resemblance.near_duplicates(make_docs(rows)).collect()}
+    expected = plain_groups(rows)
+    assert got == expected
+    loose = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(make_docs(rows)).collect()}
+    assert len(set(loose.values())) > len(set(expected.values()))
+    kept = corpus_pipeline.near_dedup(spark, make_docs(rows), "").select("doc_id").collect()
+    assert sorted(r["doc_id"] for r in kept) == sorted(set(expected.values()))
+    kept = [r["doc_id"] for r in resemblance.keep_one(make_docs(edges)).collect()]
+    assert kept.count(4) == 1 and kept.count(None) == 1 and kept.count(1) == 1 and 2 not in kept
+    assert resemblance.near_duplicates(make_docs([])).count() == 0
+
+
 def plain_removal(rows, window=50):
     texts = [(i, (t or "").encode().split()) for i, t in rows]
     first = {}
