@@ -36,15 +36,9 @@ def tokens(text: str | None) -> list[str]:
 
 
 def scored(text: str | None, memo: dict[str, float]) -> np.ndarray:
-    """A score for each word; a positive one counts where the word first occurs."""
+    """A score for each word, at each of its places."""
     words = tokens(text)
-    scores = np.fromiter(map(memo.__getitem__, words), float, len(words))
-    seen: set[str] = set()
-    for i in np.flatnonzero(scores > 0).tolist():
-        if words[i] in seen:
-            scores[i] = -DRIFT
-        seen.add(words[i])
-    return scores
+    return np.fromiter(map(memo.__getitem__, words), float, len(words))
 
 
 class _Scores(dict):

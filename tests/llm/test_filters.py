@@ -64,6 +64,16 @@ def test_toxicity_without_labels(spark, make_docs, edges):
     assert toxicity.score(make_docs([]), model).count() == 0
 
 
+def test_later_passages_of_the_same_words_are_found():
+    memo = toxicity._Scores({"vilo$": 3.0, "grush$": 3.0})
+    model = toxicity.Model(lam=1.0, k=1.0)
+    quiet = " ".join(["word"] * 200)
+    text = f"{quiet} vilo grush vilo grush {quiet} vilo grush vilo grush {quiet}"
+    assert [(a, b) for a, b, _ in model.evidence(text, memo)[0]] == [(200, 204), (404, 408)]
+    text = f"vilo {quiet} grush {quiet} vilo grush vilo grush"
+    assert (402, 406) in [(a, b) for a, b, _ in model.evidence(text, memo)[0]]
+
+
 # Personal data.
 def plain_base(t):
     found = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
@@ -154,3 +164,16 @@ def test_language(spark, make_docs, edges):
     assert all(0 <= x["score"] <= 1 for x in got.values())
     assert all(x["lang_pred"] == "und" for x in langid.identify(docs, {}).collect())
     assert langid.identify(make_docs([]), known).count() == 0
+
+
+def test_language_beyond_a_shared_header(spark, make_docs):
+    r = random.Random(4)
+    syllables = {"xx": ["ka", "to", "mi", "re"], "yy": ["blom", "sterk", "vund", "graf"]}
+    header = "licensed under the same terms as every other text of this collection " * 6
+    text = lambda lang: header + " ".join("".join(r.choices(syllables[lang], k=3)) for _ in range(400))
+    rows = [(i, text(lang), lang) for i in range(80) for lang in ["xx", "yy"][i % 2 :][:1]]
+    docs = make_docs(rows)
+    known = langid.learn(docs.filter("doc_id < 60"))
+    assert b"tomi" in known["xx"] and b"sterk" in known["yy"]
+    got = {x["doc_id"]: x["lang_pred"] for x in langid.identify(docs, known).collect()}
+    assert all(got[i] == lang for i, _, lang in rows)
