@@ -28,14 +28,17 @@ def letters(text: str | None) -> str:
 
 def learn(docs: DataFrame, per_language: int = 2000, piece: int = 200, size: int = 400_000, seed: int = 42) -> dict[str, bytes]:
     """A dictionary of at most ``size`` bytes for each non-null ``lang``, from
-    the first ``piece`` characters of about ``per_language`` documents each,
-    chosen by a hash of their id. What reaches the driver is bounded by these
-    and the number of languages."""
+    about ``per_language`` documents each, chosen by a hash of their id: of each
+    one ``piece`` characters, at a place in the whole text that another hash of
+    the id draws. What reaches the driver is bounded by these and the number of
+    languages."""
     totals = docs.filter("lang is not null and text is not null").groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     chance = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
     few = docs.join(F.broadcast(totals), "lang").filter((chance * F.col("n") < per_language) & F.col("text").isNotNull())
+    places = F.greatest(F.length("text") - piece + 1, F.lit(1))
+    at = (F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), places) + 1).cast("int")
     found: dict[str, list] = {}
-    for r in few.select("lang", chance.alias("c"), "doc_id", F.substring("text", 1, piece).alias("t")).collect():
+    for r in few.select("lang", chance.alias("c"), "doc_id", F.substring(F.col("text"), at, F.lit(piece)).alias("t")).collect():
         found.setdefault(r["lang"], []).append((r["c"], str(r["doc_id"]), r["t"]))
     made = {}
     for lang, rows in sorted(found.items()):
