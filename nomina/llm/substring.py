@@ -10,8 +10,8 @@ windows instead of once a word. Groups stay memory-sized: a prefix with more
 than ``group`` suffixes is lengthened to the full window, where a subtree is one
 deep node and only its least document matters, a plain grouped minimum.
 
-Words and windows are compared by 64-bit hashes; within a group, by 40 more bits
-besides the 64 of the prefix and the offset.
+Words and windows are compared by 64-bit hashes; within a group, by the window's
+64 bits besides the 64 of the prefix.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from .common import checkpoint, map_rows, partitions, raw
 _STEP = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2**64
 _BACK = pow(_STEP, -1, 1 << 64)
 _U = np.uint64
-TAG = 5  # bytes of a window's hash that travel
+TAG = 8  # bytes of a window's hash that travel: all of it
 
 
 class _Hashes(dict):
@@ -95,6 +95,10 @@ def _suffixes(texts: list[bytes | None], window: int, prefix: int) -> tuple[np.n
     return short[anchor[head]], owner[head], starts[head] - first[owner[head]], count, anchor[head] - starts[head], full
 
 
+def _packed(full: np.ndarray) -> bytes:
+    return full.astype("<u8").tobytes()
+
+
 def suffix_groups(docs: DataFrame, window: int, prefix: int) -> DataFrame:
     """``prefix, doc_id, start, ahead, tags``: a row for each run of windows
     filed under one occurrence of a prefix."""
@@ -102,7 +106,7 @@ def suffix_groups(docs: DataFrame, window: int, prefix: int) -> DataFrame:
     def run(columns: list[list]) -> list:
         ids, texts = columns
         short, owner, start, count, ahead, full = _suffixes(texts, window, prefix)
-        tags = np.ascontiguousarray(full.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 8 - TAG :]).tobytes()
+        tags = _packed(full)
         offsets = np.r_[0, np.cumsum(count * TAG)].astype(np.int32)
         packed = pa.Array.from_buffers(pa.binary(), len(count), [None, pa.py_buffer(offsets), pa.py_buffer(tags)])
         return [short.view(np.int64), np.array(ids, np.int64)[owner], start.astype(np.int32), ahead.astype(np.int32), packed]
@@ -126,19 +130,17 @@ def prefix_counts(docs: DataFrame, window: int, prefix: int) -> DataFrame:
 
 def _leaves(tags: list[bytes], ahead: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each window of some suffixes: its row, its place in the row and its
-    node below the prefix (offset and tag)."""
+    node below the prefix (tag; equal windows have equal offsets)."""
     count = np.fromiter(map(len, tags), np.int64, len(tags)) // TAG
     row = np.repeat(np.arange(len(tags)), count)
     nth = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-    wide = np.zeros((len(row), 8), np.uint8)
-    wide[:, :TAG] = np.frombuffer(b"".join(tags), np.uint8).reshape(-1, TAG)
-    return row, nth, wide.view("<u8").ravel() | (ahead[row] - nth).astype(_U) << _U(8 * TAG)
+    return row, nth, np.frombuffer(b"".join(tags), "<u8").astype(_U)
 
 
 def _subtrees(prefix: np.ndarray, doc: np.ndarray, start: np.ndarray, ahead: np.ndarray, tags: list[bytes]) -> tuple[np.ndarray, ...]:
     """Passages to remove among the suffixes of whole groups: the leaves below
     a node of full depth that has a leaf in an earlier document, neighbouring
-    starts merged. A leaf's node is (prefix, offset, tag)."""
+    starts merged. A leaf's node is (prefix, tag)."""
     row, nth, tag = _leaves(tags, ahead)
     group = np.cumsum(np.r_[0, prefix[1:] != prefix[:-1]])[row]
     order = np.lexsort((doc[row], tag, group))

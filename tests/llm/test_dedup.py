@@ -185,6 +185,12 @@ def test_remove_repeats(spark, make_docs, prose, edges, group):
     assert sorted([(x["doc_id"], x["n_words"], x["n_removed"], x["kept_sha256"]) for x in got], key=str) == plain_removal(rows)
 
 
+def test_every_bit_of_a_window_tells_it_apart():
+    hashes = np.array([1 << 63, *(1 << 63 ^ 1 << b for b in range(63))], np.uint64)
+    tags = [substring._packed(hashes[k : k + 1]) for k in range(64)]
+    assert len(np.unique(substring._leaves(tags, np.zeros(64, np.int64))[2])) == 64
+
+
 def test_remove_repeats_of_nothing(spark, make_docs):
     assert substring.remove_repeats(make_docs([])).count() == 0
     with pytest.raises(ValueError):
