@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -15,14 +17,20 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 def checkpoint(df: DataFrame, compact: bool = False) -> DataFrame:
     """Cut lineage with files in the folder the cluster names in
-    ``spark.checkpoint.dir``; only where that is unset is a local folder used.
+    ``spark.checkpoint.dir``. Only a local master may go without: its driver and
+    tasks share one machine's folders. Elsewhere an unset folder is an error.
     ``compact``: for few columns made of many large partitions, rows are first
     dealt into partitions of the advisory size, so that files are few."""
     df = df.hint("rebalance") if compact else df
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoint-"))
+        if shared is None:
+            if not spark.sparkContext.master.split("[")[0] == "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            shared = tempfile.mkdtemp(prefix="checkpoint-")
+            atexit.register(shutil.rmtree, shared, ignore_errors=True)
+        spark.sparkContext.setCheckpointDir(shared)
     return df.checkpoint()
 
 
@@ -53,7 +61,7 @@ def map_rows(
             if not batch.num_rows:
                 continue
             weights = batch.column(1) if batch.num_columns > 1 else None
-            for at, n in _cuts(batch.num_rows, weights, step, size):
+            for at, n in cuts(batch.num_rows, weights, step, size):
                 part = batch.slice(at, n)
                 made = fn([c.to_pylist() for c in part.columns])
                 arrays = [x if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(made, arrow, strict=True)]
@@ -62,7 +70,9 @@ def map_rows(
     return df.mapInArrow(run, schema)
 
 
-def _cuts(rows: int, texts: pa.Array | None, step: int, size: int) -> Iterator[tuple[int, int]]:
+def cuts(rows: int, texts: pa.Array | None, step: int = 512, size: int = 4_000_000) -> Iterator[tuple[int, int]]:
+    """Start and length of runs of at most ``step`` rows; a run ends once its
+    texts pass ``size`` bytes."""
     if texts is None or not (pa.types.is_binary(texts.type) or pa.types.is_string(texts.type)):
         yield from ((at, min(step, rows - at)) for at in range(0, rows, step))
         return

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows
+from .common import cuts, map_rows
 
 KINDS = ("email", "ip", "card", "phone")
 LABELERS = ("valid", "structure", "gazetteer", "context", "alone")
@@ -281,8 +281,8 @@ def redacted(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                part = batch.slice(start, 512)
+            for start, n in cuts(batch.num_rows, batch.column(at)):
+                part = batch.slice(start, n)
                 texts = [t if t is None else redact(t, sum(spans(t, model), [])) for t in part.column(at).to_pylist()]
                 yield part.set_column(at, part.schema.field(at), pa.array(texts, part.schema.field(at).type))
 
