@@ -141,6 +141,82 @@ def test_quality_keeps_clean_documents(spark, make_docs, prose, edges):
     assert kept.columns == docs.columns and kept.count() == sum(r["kept"] for r in got.values())
 
 
+def plain_paths(forest, x):
+    """Walks every tree a row at a time."""
+    z = quality.robust(x, forest.centre, forest.unit)
+    out = []
+    for row in z:
+        lengths = []
+        for k in forest.roots:
+            while np.isfinite(forest.split[k]):
+                k = forest.left[k] + int(row[forest.feature[k]] >= forest.split[k])
+            lengths.append(forest.length[k])
+        out.append(np.mean(lengths))
+    return np.array(out)
+
+
+def test_path_lengths():
+    r = np.random.default_rng(1)
+    x = r.normal(size=(400, 3))
+    forest = quality.grow(x, trees=20, rows=64)
+    assert np.allclose(forest.paths(x[:50]), plain_paths(forest, x[:50]))
+    # Leaf lengths are depths, with what the sample's rows left there would add.
+    sample = quality.grow(np.zeros((8, 2)), trees=5, rows=8)
+    assert sample.usual <= quality.HEIGHT + quality.expected(8)
+    for k in forest.roots:
+        todo, leaves = [(k, 0)], []
+        while todo:
+            node, depth = todo.pop()
+            if np.isfinite(forest.split[node]):
+                todo += [(forest.left[node], depth + 1), (forest.left[node] + 1, depth + 1)]
+            else:
+                leaves.append((depth, forest.length[node]))
+        assert all(length >= depth for depth, length in leaves) and abs(sum(0.5**d for d, _ in leaves) - 1) < 1e-9
+
+
+def test_no_single_cut_gives_the_verdict():
+    """Bad rows are a little out in three statistics at once, good ones in one."""
+    r = np.random.default_rng(2)
+    shift = lambda n, k: np.stack([r.permutation([1] * k + [0] * (9 - k)) for _ in range(n)]) * 2.2 * r.choice([-1, 1], (n, 9))
+    good = r.uniform(-1, 1, (6000, 9)) + shift(6000, 1) * (r.random((6000, 1)) < 0.1)
+    bad = r.uniform(-1, 1, (600, 9)) + shift(600, 5)
+    forest = quality.grow(good[:3000])
+    x, truth = np.r_[good[3000:4500], bad[:300]], np.r_[np.ones(1500, bool), np.zeros(300, bool)]
+    quality.calibrate(forest, x, truth, 0.02)
+    reject = lambda rows: forest.scores(rows) >= forest.threshold
+    assert reject(bad[300:]).mean() > 0.95 and reject(good[4500:]).mean() < 0.02
+    test = np.r_[good[4500:], bad[300:]]
+    verdict = reject(test)
+    agree = 0.0
+    for c in range(9):
+        for v in (test[:, c], -test[:, c], np.abs(test[:, c])):
+            order = np.argsort(v)
+            hits = np.r_[0, np.cumsum(np.where(verdict[order], -1, 1))] + verdict.sum()
+            agree = max(agree, hits.max() / len(test))
+    assert agree < 0.97
+
+
+def test_ties_at_the_threshold():
+    forest = quality.grow(np.arange(300.0).reshape(100, 3))
+    x = np.r_[np.tile([[50.0, 51, 52]], (30, 1)), np.tile([[900.0, -900, 900]], (30, 1))]
+    quality.calibrate(forest, x, np.arange(60) < 30, 0.02)
+    scores = forest.scores(x)
+    assert (scores[:30] < forest.threshold).all() and (scores[30:] >= forest.threshold).all()
+    quality.calibrate(forest, np.r_[x[:30], x[:30]], np.arange(60) < 30, 0.02)
+    assert forest.threshold == np.inf
+
+
+def test_held_out_labels(spark):
+    """Fitted on labels of one half, judged on the other."""
+    folder = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    forest = quality.fit(docs, labels.filter("doc_id % 2 = 0"))
+    marks = labels.filter("doc_id % 2 = 1").groupBy("doc_id").agg({"quality": "min"}).toDF("doc_id", "q")
+    rows = quality.judge(docs, forest).join(marks, "doc_id").filter("not base_failed").collect()
+    bad, good = ([r["kept"] for r in rows if r["q"] == y] for y in (0, 1))
+    assert 1 - np.mean(bad) >= 0.95 and 1 - np.mean(good) <= 0.02
+
+
 def test_quality_without_labels(spark, make_docs, edges):
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert quality.fit(make_docs(edges), none) is None
