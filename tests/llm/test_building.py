@@ -12,27 +12,77 @@ from nomina.llm import mixing, packing, queries, sharding, topk
 
 
 def plain_top(rows, every, k):
-    v = {i: np.floor(64 * np.array(x, float)).astype(int) for i, x in rows if i is not None and x and all(c is not None and np.isfinite(c) for c in x)}
+    usable = [(i, np.floor(64 * np.array(x, float)).astype(int)) for i, x in rows if i is not None and x and all(c is not None and np.isfinite(c) for c in x)]
     out = []
-    for q in sorted(v):
+    for a, (q, v) in enumerate(usable):
         if q % every == 0:
-            best = sorted((-int(v[q] @ x), i) for i, x in v.items() if i != q and len(x) == len(v[q]))[:k]
+            best = sorted((-int(v @ x), i) for b, (i, x) in enumerate(usable) if a != b and len(x) == len(v))[:k]
             out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
-    return out
+    return sorted(out)
 
 
-@pytest.mark.parametrize("block, queries_", [(4096, 4096), (37, 5)])
-def test_top_k(spark, block, queries_):
+@pytest.mark.parametrize("block, queries_, cells, axes", [(4096, 4096, None, 16), (37, 5, 7, 3), (50, 40, 1, 0)])
+def test_top_k(spark, block, queries_, cells, axes):
     r = np.random.default_rng(4)
     rows = [(i, r.normal(size=16).round(2).tolist()) for i in range(300)]
     rows += [(300 + i, rows[7][1]) for i in range(30)] + [(400, [0.0] * 16), (420, [1e6] + [-3e5] * 15)]
+    # Repeated ids with other and with the same components, of queries and of others.
+    rows += [(20, rows[21][1]), (20, rows[20][1]), (20, rows[20][1]), (31, rows[32][1]), (31, rows[31][1])] + [(33, rows[33][1])] * 9
     rows += [(None, rows[0][1]), (1000, None), (1020, [float("nan")] * 16), (1040, [None] * 16), (1060, []), (1080, [1.0, 2.0]), (1081, [0.5, 0.5])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit("clash"))
-    got = topk.top_k(df, every=20, k=5, block=block, queries=queries_)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({c: F.lit("clash") for c in ("score", "v", "n", "place", "cell", "rank", "query_id")})
+    got = topk.top_k(df, every=20, k=5, block=block, queries=queries_, cells=cells, axes=axes)
     assert sorted(map(tuple, got.collect())) == plain_top(rows, 20, 5)
     assert topk.top_k(df.limit(0)).count() == 0
 
 
+def test_large_components_are_refused(spark):
+    rows = spark.createDataFrame([(0, [1e18, 1.0]), (1, [1e18, 1.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="64 bits"):
+        topk.top_k(rows).collect()
+    big = [(20 * i, [2e6 * (1 + i / 7), 1.0, -3.0 * i]) for i in range(6)]  # products beyond 2 ** 53
+    got = topk.top_k(spark.createDataFrame(big, "vec_id long, embedding array<double>"), k=3)
+    assert sorted(map(tuple, got.collect())) == plain_top(big, 20, 3)
+
+
+def clustered(n, clusters, dim, spread, seed=5):
+    r = np.random.default_rng(seed)
+    centres = r.normal(size=(clusters, dim))
+    return np.floor(64 * (centres[r.integers(clusters, size=n)] + spread * r.normal(size=(n, dim)))).astype(np.int64)
+
+
+def test_the_bound_stops_searches():
+    """Where few axes carry most of the weight, within one cell."""
+    r = np.random.default_rng(6)
+    x = np.floor(640 * r.normal(size=(4000, 32)) * 0.4 ** np.arange(32)).astype(np.int64)
+    space = topk.fit(x.astype(float), 1, 16)
+    lists = topk.Lists(np.arange(len(x)), x, np.ones(len(x), int), space.centres[0], space.axes)
+    asked = np.arange(0, 4000, 50)
+    found = lists.search(asked, x[asked], np.full(len(asked), topk._NONE), 20)
+    for i, (rows, scores, _) in zip(asked, found):
+        made = x @ x[i]
+        best = [j for j in np.lexsort((np.arange(len(x)), -made)) if j != i][:20]
+        assert rows.tolist() == best and scores.tolist() == made[best].tolist()
+    assert lists.scored < 0.45 * len(asked) * len(x)
+
+
+def test_floors_rule_out_whole_cells():
+    x = clustered(4000, 12, 32, 0.1)
+    space = topk.fit(x.astype(float), 12, 16)
+    cell = space.cells(x.astype(float))
+    scored = asked = 0
+    for i in range(0, 4000, 50):
+        made = x @ x[i]
+        floor = np.sort(np.delete(made, i))[-20]
+        for c in np.unique(cell):
+            mine = np.flatnonzero(cell == c)
+            lists = topk.Lists(mine, x[mine], np.ones(len(mine), int), space.centres[c], space.axes)
+            ((rows, _, _),) = lists.search(np.array([i]), x[i : i + 1], np.array([floor]), 20)
+            assert set(mine[rows]) >= {j for j in mine if made[j] > floor and j != i}
+            scored += lists.scored
+        asked += len(x)
+    assert scored < 0.15 * asked
+
+
 def plain_targets(sizes, weights=(5, 2, 1), most=3):
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
     w = {s: weights[i % len(weights)] for i, s in enumerate(order)}
