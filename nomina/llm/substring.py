@@ -1,17 +1,27 @@
 """Substring deduplication over prefix-partitioned suffix trees.
 
-A suffix here starts at a word and counts for ``window`` words, since deeper
-nodes change nothing: a node at that depth with leaves in two documents is a
-repeated passage. Every window of a text is filed under a short prefix, the
-``prefix`` consecutive words in it whose hash is least (leftmost on ties). Equal
-windows choose equal prefixes at equal offsets, so one group per prefix holds
-whole subtrees, and a suffix is stored with its group once for some twenty
-windows instead of once a word. Groups stay memory-sized: a prefix with more
-than ``group`` suffixes is lengthened to the full window, where a subtree is one
-deep node and only its least document matters, a plain grouped minimum.
-
-Words and windows are compared by 64-bit hashes; within a group, by the window's
-64 bits besides the 64 of the prefix.
+A suffix starts at a word and counts for ``window`` words, since deeper nodes
+change nothing: a node at that depth with leaves in two documents is a repeated
+passage.
+
+Partition. Every window holds an anchor, the ``LENGTHS[0]`` consecutive words in
+it whose hash is least (leftmost on ties). Equal windows have equal anchors at
+equal places, so the anchor's words are the prefix that files a window: a group
+has all leaves of its subtrees. Neighbouring windows with one anchor make a run,
+which is stored once for some fifteen suffixes. A prefix that one run alone has
+roots no inner node and is dropped before any text moves; runs that are equal
+are one, with the least of their documents. A prefix with more than ``group``
+runs left is lengthened by steps, to the right of the anchor where the window has
+that many words there, else to its left, until its groups fit into memory; at the
+whole window, a subtree is one node and a grouped minimum.
+
+Subtrees. A group's suffixes are sorted by their words, exactly, by naming ever
+longer pieces; common-prefix lengths of neighbours are the depths of the inner
+nodes, and the deep ones are the maximal runs of neighbours that share
+``window`` words.
+
+Runs are equal if the anchor's and the run's 64-bit hashes both are; different
+runs are compared by words.
 """
 
 from __future__ import annotations
@@ -20,37 +30,36 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpoint, map_rows, partitions, raw
 
-_STEP = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2**64
-_BACK = pow(_STEP, -1, 1 << 64)
 _U = np.uint64
-TAG = 8  # bytes of a window's hash that travel: all of it
+#: Lengths of prefixes, in words; the first is the anchor's.
+LENGTHS = (10, 16, 23, 30)
+#: Bytes hashed and words filed at once.
+BYTES, WORDS = 1 << 20, 1 << 20
+_SPACES = np.isin(np.arange(256), (9, 10, 11, 12, 13, 32))
 
 
-class _Hashes(dict):
-    """Word to 64-bit hash; forgets all when full."""
+class _Base:
+    """Powers of an odd number and of its inverse, modulo 2**64."""
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 200_000:
-            self.clear()
-        self[word] = made = xxhash.xxh64_intdigest(word, 7)
-        return made
+    def __init__(self, base: int):
+        self.base, self.back = base, pow(base, -1, 1 << 64)
+        self.up = self.down = np.ones(1, _U)
 
+    def powers(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if n > len(self.up):
+            for side, base in (("up", self.base), ("down", self.back)):
+                made = np.full(max(n, 1 << 16), base, _U)
+                made[0] = 1
+                setattr(self, side, np.multiply.accumulate(made))
+        return self.up[:n], self.down[:n]
 
-_hashes = _Hashes()
 
-
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, _U)
-    if n:
-        out[0] = 1
-    return np.multiply.accumulate(out)
+_BYTE, _WORD = _Base(0x9E3779B97F4A7C15), _Base(0xC2B2AE3D27D4EB4F)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -59,131 +68,235 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(32))
 
 
-def _rolling(sums: np.ndarray, back: np.ndarray, length: int) -> np.ndarray:
-    n = len(sums) - length
-    return _mix((sums[length:] - sums[:n]) * back[:n])
-
-
-def _suffixes(texts: list[bytes | None], window: int, prefix: int) -> tuple[np.ndarray, ...]:
-    """The windows of some texts in runs that share one prefix occurrence:
-    prefix hash, text's index, first start, windows in the run, words from the
-    first start to the prefix; then the hash of every window, in order."""
-    words: list[bytes] = []
-    lengths = []
-    for t in texts:
-        own = t.split() if t else []
-        own = own if len(own) >= window else []
-        lengths.append(len(own))
-        words += own
-    n = len(words)
-    if not n:
-        none = np.empty(0, np.int64)
-        return none.astype(_U), none, none, none, none, none.astype(_U)
-    hashes = np.fromiter(map(_hashes.__getitem__, words), _U, n)
-    sums = np.zeros(n + 1, _U)
-    np.cumsum(hashes * _powers(_STEP, n), out=sums[1:])
-    back = _powers(_BACK, n)
-    short, full = _rolling(sums, back, prefix), _rolling(sums, back, window)
-    span = window - prefix + 1
-    anchor = np.arange(len(full)) + np.lib.stride_tricks.sliding_window_view(short, span).argmin(axis=1)
-    owner = np.repeat(np.arange(len(texts)), lengths)
-    first = np.r_[0, np.cumsum(lengths)[:-1]]
-    starts = np.flatnonzero(owner[: len(full)] == owner[window - 1 :])
-    anchor, full, owner = anchor[starts], full[starts], owner[starts]
-    head = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (owner[1:] != owner[:-1])])
+def _sums(values: np.ndarray, base: _Base) -> np.ndarray:
+    out = np.zeros(len(values) + 1, _U)
+    np.cumsum(values * base.powers(len(values))[0], out=out[1:])
+    return out
+
+
+def _between(sums: np.ndarray, base: _Base, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the stretches from ``start`` to ``end`` of what was summed."""
+    return _mix((sums[end] - sums[start]) * base.powers(len(sums))[1][start])
+
+
+def _words(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of every word of some texts, and the text it is in."""
+    lengths = np.array([len(t or b"") for t in texts], np.int64)
+    data = np.frombuffer(b"".join(t for t in texts if t), np.uint8)
+    edges = np.r_[0, np.cumsum(lengths)]
+    if not len(data):
+        return np.empty(0, _U), np.empty(0, np.int64)
+    inside = ~_SPACES[data]
+    cut = np.zeros(len(data) + 1, bool)
+    cut[edges] = True
+    before = np.r_[True, ~inside[:-1]] | cut[:-1]
+    after = np.r_[~inside[1:], True] | cut[1:]
+    start, end = np.flatnonzero(inside & before), np.flatnonzero(inside & after) + 1
+    hashes = np.empty(len(start), _U)
+    first = 0
+    while first < len(start):
+        last = max(first + 1, int(np.searchsorted(end, start[first] + BYTES, "right")))
+        at = int(start[first])
+        sums = _sums(data[at : end[last - 1]].astype(_U) + _U(1), _BYTE)
+        hashes[first:last] = _between(sums, _BYTE, start[first:last] - at, end[first:last] - at)
+        first = last
+    return hashes, np.searchsorted(edges, start, "right") - 1
+
+
+def _least(short: np.ndarray, span: int) -> np.ndarray:
+    """Where the least of each ``span`` neighbours is, leftmost on ties of their
+    43 high bits."""
+    out = []
+    for at in range(0, len(short) - span + 1, WORDS):
+        part = short[at : at + WORDS + span - 1]
+        key, width = (part >> _U(21) << _U(21)) | np.arange(len(part), dtype=_U), 1
+        while 2 * width <= span:
+            key, width = np.minimum(key[:-width], key[width:]), 2 * width
+        if width < span:
+            key = np.minimum(key[: width - span], key[span - width :])
+        out.append((key & _U((1 << 21) - 1)).astype(np.int64) + at)
+    return np.concatenate(out)
+
+
+def runs(texts: list[bytes | None], window: int) -> tuple[np.ndarray, ...]:
+    """The windows of some texts in runs: anchor's hash, run's hash, the text's
+    index, first start, windows, and words from the first start to the anchor."""
+    prefix = LENGTHS[0]
+    hashes, owner = _words(texts)
+    none = np.empty(0, np.int64)
+    if len(hashes) < window:
+        return none.astype(_U), none.astype(_U), none, none, none, none
+    sums = _sums(hashes, _WORD)
+    at = np.arange(len(hashes) - prefix + 1)
+    short = _between(sums, _WORD, at, at + prefix)
+    anchor = _least(short, window - prefix + 1)
+    starts = np.flatnonzero(owner[: len(anchor)] == owner[window - 1 :])
+    if not len(starts):
+        return none.astype(_U), none.astype(_U), none, none, none, none
+    anchor, owned = anchor[starts], owner[starts]
+    head = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (owned[1:] != owned[:-1])])
     count = np.diff(np.r_[head, len(starts)])
-    return short[anchor[head]], owner[head], starts[head] - first[owner[head]], count, anchor[head] - starts[head], full
+    first = starts[head]
+    whole = _between(sums, _WORD, first, first + count + window - 1)
+    begins = np.searchsorted(owner, np.arange(len(texts)))
+    return short[anchor[head]], whole, owned[head], first - begins[owned[head]], count, anchor[head] - first
 
 
-def _packed(full: np.ndarray) -> bytes:
-    return full.astype("<u8").tobytes()
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``doc_id, t, row`` of rows with an id. An id and a hash of the text name a
+    row; rows that are alike in both are alike in all that happens to them."""
+    return docs.filter("doc_id is not null").select("doc_id", raw("text").alias("t"), F.xxhash64("text").alias("row"))
 
 
-def suffix_groups(docs: DataFrame, window: int, prefix: int) -> DataFrame:
-    """``prefix, doc_id, start, ahead, tags``: a row for each run of windows
-    filed under one occurrence of a prefix."""
+def occurrences(docs: DataFrame, window: int) -> DataFrame:
+    """``prefix, run, doc_id, row, at``: a row for each run of windows; ``at``
+    holds its first start, windows, and words before the anchor, in 32, 16 and 16
+    bits."""
 
-    def run(columns: list[list]) -> list:
-        ids, texts = columns
-        short, owner, start, count, ahead, full = _suffixes(texts, window, prefix)
-        tags = _packed(full)
-        offsets = np.r_[0, np.cumsum(count * TAG)].astype(np.int32)
-        packed = pa.Array.from_buffers(pa.binary(), len(count), [None, pa.py_buffer(offsets), pa.py_buffer(tags)])
-        return [short.view(np.int64), np.array(ids, np.int64)[owner], start.astype(np.int32), ahead.astype(np.int32), packed]
+    def made(columns: list[list]) -> list:
+        ids, texts, rows = columns
+        prefix, run, owner, start, count, ahead = runs(texts, window)
+        at = start << 32 | count << 16 | ahead
+        return [prefix.view(np.int64), run.view(np.int64), np.array(ids, np.int64)[owner], np.array(rows, np.int64)[owner], at]
 
-    rows = docs.filter("doc_id is not null").select("doc_id", raw("text").alias("t"))
-    return map_rows(rows, run, "prefix long, doc_id long, start int, ahead int, tags binary", size=1_000_000)
+    return map_rows(_keyed(docs), made, "prefix long, run long, doc_id long, row long, at long", size=1_000_000)
 
 
-def prefix_counts(docs: DataFrame, window: int, prefix: int) -> DataFrame:
-    """``prefix, n``: how many suffix runs each prefix has; counted in the tasks
-    that read the texts before anything is shuffled."""
+def shared_prefixes(docs: DataFrame, window: int) -> DataFrame:
+    """``prefix``: those that more than one run has, counted in the tasks that
+    read the texts before anything is shuffled."""
 
-    def run(columns: list[list]) -> list:
-        values, counts = np.unique(_suffixes(columns[1], window, prefix)[0], return_counts=True)
+    def made(columns: list[list]) -> list:
+        values, counts = np.unique(runs(columns[1], window)[0], return_counts=True)
         return [values.view(np.int64), counts]
 
-    rows = docs.filter("doc_id is not null").select("doc_id", raw("text").alias("t"))
-    partial = map_rows(rows, run, "prefix long, n long", size=1_000_000)
-    return partial.groupBy("prefix").agg(F.sum("n").alias("n"))
-
-
-def _leaves(tags: list[bytes], ahead: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each window of some suffixes: its row, its place in the row and its
-    node below the prefix (tag; equal windows have equal offsets)."""
-    count = np.fromiter(map(len, tags), np.int64, len(tags)) // TAG
-    row = np.repeat(np.arange(len(tags)), count)
-    nth = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-    return row, nth, np.frombuffer(b"".join(tags), "<u8").astype(_U)
-
-
-def _subtrees(prefix: np.ndarray, doc: np.ndarray, start: np.ndarray, ahead: np.ndarray, tags: list[bytes]) -> tuple[np.ndarray, ...]:
-    """Passages to remove among the suffixes of whole groups: the leaves below
-    a node of full depth that has a leaf in an earlier document, neighbouring
-    starts merged. A leaf's node is (prefix, tag)."""
-    row, nth, tag = _leaves(tags, ahead)
-    group = np.cumsum(np.r_[0, prefix[1:] != prefix[:-1]])[row]
-    order = np.lexsort((doc[row], tag, group))
-    g, t, d = group[order], tag[order], doc[row][order]
-    head = np.flatnonzero(np.r_[True, (g[1:] != g[:-1]) | (t[1:] != t[:-1])])
-    least = np.repeat(d[head], np.diff(np.r_[head, len(d)]))
-    late = np.zeros(len(row), bool)
-    late[order] = d > least
-    at = np.flatnonzero(late)
+    partial = map_rows(_keyed(docs).select("doc_id", "t"), made, "prefix long, n long", size=1_000_000)
+    return partial.groupBy("prefix").agg(F.sum("n").alias("n")).filter("n > 1").select("prefix")
+
+
+def _at(column: str) -> tuple:
+    at = F.col(column)
+    return F.shiftright(at, 32).cast("int"), F.shiftright(at, 16).bitwiseAND(F.lit(0xFFFF)).cast("int"), at.bitwiseAND(F.lit(0xFFFF)).cast("int")
+
+
+#: A stretch of a run's windows, from ``lo`` to ``hi`` (exclusive), under a
+#: prefix; ``t`` is the whole run's text.
+PIECE = "key long, prefix long, run long, lo int, hi int, ahead int, least long, most long, t binary"
+_NAMES = [c.split()[0] for c in PIECE.split(", ")]
+
+
+def _texts(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
+    """Pieces of the runs ``wanted`` (``prefix, run, doc_id, row, at, most``),
+    with their texts out of ``docs``."""
+    start, count, ahead = _at("at")
+    lists = wanted.groupBy("doc_id", "row").agg(F.collect_list(F.struct(start.alias("start"), count.alias("count"), ahead.alias("ahead"), "prefix", "run", "most")).alias("runs"))
+    lists = checkpoint(lists)
+    # Hashing the narrow side spares sorting the texts.
+    both = _keyed(docs).join(lists.hint("shuffle_hash"), ["doc_id", "row"]).select("doc_id", "t", "row", "runs")
+    seen: set[tuple[int, int]] = set()  # in a task: rows that are alike give their runs once
+
+    def cut(columns: list[list]) -> list:
+        out: list[list] = [[] for _ in _NAMES]
+        for doc, text, row, wants in zip(*columns):
+            if (doc, row) in seen:
+                continue
+            seen.add((doc, row))
+            words = text.split()
+            for w in wants:
+                mine = b" ".join(words[w["start"] : w["start"] + w["count"] + window - 1])
+                for c, v in zip(out, (w["prefix"], w["prefix"], w["run"], 0, w["count"], w["ahead"], doc, w["most"], mine)):
+                    c.append(v)
+        return out
+
+    return map_rows(both, cut, PIECE)
+
+
+def _lengthened(pieces: DataFrame, window: int, length: int) -> DataFrame:
+    """Pieces filed under prefixes of ``length`` words, each in two parts at
+    most: windows with that many words from the anchor on, and others, whose
+    prefix ends with the anchor and begins before it."""
+    anchor = LENGTHS[0]
+
+    def split(columns: list[list]) -> list:
+        out: list[list] = [[] for _ in _NAMES]
+        for _, t, prefix, run, lo, hi, ahead, least, most in zip(*columns):
+            words = t.split()
+            edge = min(max(lo, ahead + length - window), hi)
+            for a, b, first in ((lo, edge, ahead + anchor - length), (edge, hi, ahead)):
+                if a < b:
+                    sums = _sums(_words([b" ".join(words[first : first + length])])[0], _WORD)
+                    key = int(_between(sums, _WORD, np.array([0]), np.array([length])).view(np.int64)[0])
+                    for c, v in zip(out, (key ^ (length << 1) ^ (a < edge), prefix, run, a, b, ahead, least, most, t)):
+                        c.append(v)
+        return out
+
+    return map_rows(pieces.select("key", "t", *(c for c in _NAMES[1:-1])), split, PIECE)
+
+
+def sort_suffixes(ids: np.ndarray, starts: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the suffixes of a row of word numbers that begin at
+    ``starts``, by their first ``depth`` words, and how many words each shares
+    with the one before it (0 for the first). Pieces of 1, 2, 4 ... words are
+    named by the names of their halves, so equal names are equal words."""
+    names, width = [ids], 1
+    while 2 * width <= depth:
+        last = names[-1]
+        pairs = last[:-width] * (int(last.max()) + 1) + last[width:]
+        names.append(np.unique(pairs, return_inverse=True)[1])
+        width *= 2
+    order = np.lexsort((names[-1][starts + depth - width], names[-1][starts]))
+    a, b = starts[order][:-1], starts[order][1:]
+    shared = np.zeros(len(a), np.int64)
+    for k in range(len(names) - 1, -1, -1):
+        room = shared + (1 << k) <= depth
+        i, j = np.where(room, a + shared, 0), np.where(room, b + shared, 0)
+        shared += (room & (names[k][i] == names[k][j])) << k
+    return order, np.r_[0, shared]
+
+
+def _subtrees(lo: np.ndarray, hi: np.ndarray, least: np.ndarray, most: np.ndarray, texts: list[bytes], window: int) -> tuple[np.ndarray, ...]:
+    """Stretches of the pieces of whole groups that lie below a deep node with a
+    leaf in an earlier document: piece, first and last window, that document."""
+    numbers: dict[bytes, int] = {}
+    words = [[numbers.setdefault(w, len(numbers)) for w in t.split()] for t in texts]
+    begin = np.r_[0, np.cumsum([len(w) for w in words])[:-1]]
+    ids = np.fromiter((i for w in words for i in w), np.int64)
+    count = hi - lo
+    piece = np.repeat(np.arange(len(texts)), count)
+    nth = np.arange(len(piece)) - np.repeat(np.cumsum(count) - count, count) + lo[piece]
+    order, shared = sort_suffixes(ids, begin[piece] + nth, window)
+    head = np.flatnonzero(shared < window)  # leaves between two heads share a node
+    first = np.empty(len(piece), np.int64)
+    first[order] = np.repeat(np.minimum.reduceat(least[piece[order]], head), np.diff(np.r_[head, len(order)]))
+    at = np.flatnonzero(first < most[piece])
     if not len(at):
-        none = np.empty(0, np.int64)
-        return none, none, none
-    new = np.r_[True, (np.diff(at) != 1) | (row[at][1:] != row[at][:-1])]
-    first, last = at[new], at[np.r_[new[1:], True]]
-    return doc[row[first]], start[row[first]] + nth[first], start[row[last]] + nth[last]
+        return at, at, at, at
+    new = np.r_[True, (np.diff(at) != 1) | (np.diff(piece[at]) != 0) | (np.diff(first[at]) != 0)]
+    start, end = at[new], at[np.r_[new[1:], True]]
+    return piece[start], nth[start], nth[end], first[start]
 
 
-def _solve(groups: DataFrame, most: int) -> DataFrame:
-    """``doc_id, lo, hi`` of the memory-sized groups' passages; suffixes of
-    ``hot`` prefixes pass through with all their columns."""
-    schema = "doc_id long, lo int, hi int, prefix long, start int, ahead int, tags binary"
-    arrow = pa.schema([("doc_id", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("prefix", pa.int64()), ("start", pa.int32()), ("ahead", pa.int32()), ("tags", pa.binary())])
+def _solve(pieces: DataFrame, window: int, most: int) -> DataFrame:
+    """``prefix, run, lo, hi, least`` of whole groups, dealt by key and taken in
+    sequence; a task holds one group and up to ``most`` rows of others."""
+    schema = "prefix long, run long, lo int, hi int, least long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def solved(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
             t = pa.Table.from_batches(parts)
-            doc, lo, hi = _subtrees(*(t.column(c).to_numpy() for c in ("prefix", "doc_id", "start", "ahead")), t.column("tags").to_pylist())
-            return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(lo, pa.int32()), pa.array(hi, pa.int32()), *(pa.nulls(len(doc), f.type) for f in list(arrow)[3:])], schema=arrow)
+            piece, lo, hi, least = _subtrees(*(t.column(c).to_numpy().astype(np.int64) for c in ("lo", "hi", "least", "most")), t.column("t").to_pylist(), window)
+            named = [pa.array(t.column(c).to_numpy()[piece]) for c in ("prefix", "run")]
+            return pa.RecordBatch.from_arrays([*named, pa.array(lo, pa.int32()), pa.array(hi, pa.int32()), pa.array(least, pa.int64())], names=["prefix", "run", "lo", "hi", "least"])
 
         held: list[pa.RecordBatch] = []
         rows = 0
         for batch in batches:
-            hot = batch.column("hot")
-            if hot.true_count:
-                b = batch.filter(hot)
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.nulls(len(b), pa.int32()), pa.nulls(len(b), pa.int32()), *(b.column(c) for c in ("prefix", "start", "ahead", "tags"))], schema=arrow)
-                batch = batch.filter(pc.invert(hot))
-            for at in range(0, batch.num_rows, most // 4):
-                part = batch.slice(at, most // 4)
-                keys = part.column("prefix").to_numpy()
-                # A group is complete once another prefix comes.
+            for at in range(0, batch.num_rows, max(1, most // 4)):
+                part = batch.slice(at, max(1, most // 4))
+                keys = part.column("key").to_numpy()
+                # A group is complete once another key comes.
                 if held and rows + len(keys) > most:
-                    same = keys == held[-1].column("prefix")[-1].as_py()
+                    same = keys == held[-1].column("key")[-1].as_py()
                     cut = len(keys) if same.all() else int(same.argmin())
                     if cut < len(keys):
                         yield solved([*held, part.slice(0, cut)])
@@ -193,97 +306,103 @@ def _solve(groups: DataFrame, most: int) -> DataFrame:
         if held:
             yield solved(held)
 
-    key = F.when(F.col("hot"), F.xxhash64("prefix", "doc_id", "start")).otherwise(F.col("prefix"))
-    dealt = groups.withColumn("key", key).repartition(partitions(groups), "key")
-    return dealt.sortWithinPartitions("hot", "prefix").drop("key").mapInArrow(run, schema)
+    dealt = pieces.repartition(partitions(pieces), "key")
+    return dealt.sortWithinPartitions("key").mapInArrow(run, schema)
 
 
-def _deep(suffixes: DataFrame) -> DataFrame:
-    """``doc_id, lo, hi`` for suffixes of hot prefixes: below the full window a
-    subtree is one node, so its least document is a grouped minimum."""
+def _deepest(pieces: DataFrame, window: int) -> DataFrame:
+    """``prefix, run, lo, hi, least`` where the longest prefix is not enough:
+    below a whole window there is one node, named by 64 bits of its own and the
+    64 of its group's key, so its least document is a grouped minimum."""
 
     def run(columns: list[list]) -> list:
-        prefix, tags, doc, start, ahead = columns
-        row, nth, node = _leaves(tags, np.array(ahead))
-        return [np.array(prefix)[row], node.view(np.int64), np.array(doc)[row], (np.array(start)[row] + nth).astype(np.int32)]
-
-    leaves = map_rows(suffixes.select("prefix", "tags", "doc_id", "start", "ahead"), run, "prefix long, node long, doc_id long, start int", step=4096)
+        out: list[list] = [[] for _ in range(6)]
+        for key, t, prefix, name, lo, hi, least, most in zip(*columns):
+            hashes, _ = _words([t])
+            at = np.arange(lo, hi)
+            nodes = _between(_sums(hashes, _WORD), _WORD, at, at + window).view(np.int64)
+            for c, v in zip(out, (np.full(len(at), key), nodes, np.full(len(at), prefix), np.full(len(at), name), at, np.stack([np.full(len(at), least), np.full(len(at), most)], 1))):
+                c.append(v)
+        whole = [np.concatenate(c) if c else np.empty(0, np.int64) for c in out]
+        ends = whole.pop() if columns[0] else np.empty((0, 2), np.int64)
+        return [*whole, ends[:, 0], ends[:, 1]]
+
+    leaves = map_rows(pieces.select("key", "t", "prefix", "run", "lo", "hi", "least", "most"), run, "key long, node long, prefix long, run long, lo int, own long, most long")
     # Written out, so that a node with many leaves can be split in the join.
-    nodes = checkpoint(leaves.groupBy("prefix", "node").agg(F.min("doc_id").alias("least")))
-    late = leaves.join(nodes, ["prefix", "node"]).filter("doc_id > least")
-    return late.select("doc_id", F.col("start").alias("lo"), F.col("start").alias("hi"))
-
-
-def repeated_passages(docs: DataFrame, window: int = 50, prefix: int = 10, group: int = 20_000) -> DataFrame:
-    """``doc_id, lo, hi``: in a document, the windows starting at word ``lo`` to
-    word ``hi`` also start in a document with a smaller id."""
-    hot = checkpoint(prefix_counts(docs, window, prefix).filter(F.col("n") > group).select("prefix", F.lit(True).alias("is_hot")))
-    n = hot.count()
-    groups = suffix_groups(docs, window, prefix)
-    if not n:
-        return _solve(groups.withColumn("hot", F.lit(False)), 2 * group).select("doc_id", "lo", "hi")
-    # Hot prefixes are few; more than fit a broadcast are joined by a shuffle.
-    small = F.broadcast(hot) if n <= 100_000 else hot
-    marked = groups.join(small, "prefix", "left").withColumn("hot", F.coalesce("is_hot", F.lit(False))).drop("is_hot")
-    both = checkpoint(_solve(marked, 2 * group))
-    deep = _deep(both.filter("prefix is not null"))
-    return both.filter("prefix is null").select("doc_id", "lo", "hi").unionByName(deep)
-
-
-def merged(found: DataFrame, window: int) -> DataFrame:
-    """``doc_id, passages`` (array of first word and end, exclusive): the words
-    that ``found`` covers. Rows are sorted by document and merged as they pass,
-    so that a document's array has an entry for ``window`` words at most."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            doc, lo, hi = (batch.column(k).to_numpy().astype(np.int64) for k in range(3))
-            nth = np.cumsum(np.r_[0, doc[1:] != doc[:-1]]) << 32
-            reach = np.maximum.accumulate(nth + hi + window)
-            new = np.r_[True, nth[1:] + lo[1:] > reach[:-1]]
-            last = np.r_[np.flatnonzero(new)[1:], len(doc)] - 1
-            yield pa.RecordBatch.from_arrays([pa.array(doc[new]), pa.array(lo[new].astype(np.int32)), pa.array((reach[last] - nth[last]).astype(np.int32))], names=["doc_id", "lo", "end"])
-
-    rows = found.repartition(partitions(found), "doc_id").sortWithinPartitions("doc_id", "lo")
-    return rows.mapInArrow(run, "doc_id long, lo int, end int").groupBy("doc_id").agg(F.collect_list(F.struct("lo", "end")).alias("passages"))
-
-
-def _finish(text: bytes | None, passages: list | None) -> tuple[int, bytes]:
+    nodes = checkpoint(leaves.groupBy("key", "node").agg(F.min("own").alias("least")))
+    late = leaves.join(nodes, ["key", "node"]).filter("least < most")
+    return late.select("prefix", "run", "lo", F.col("lo").alias("hi"), "least")
+
+
+def repeated_passages(docs: DataFrame, window: int = 50, group: int = 8192) -> DataFrame:
+    """``doc_id, row, passages``: of rows (see ``_keyed``) that have any, the
+    windows, as an array of first and last start, whose words also start in a
+    document with a smaller id."""
+    shared = checkpoint(shared_prefixes(docs, window))
+    live = checkpoint(occurrences(docs, window).join(shared, "prefix"))
+    who = F.struct("doc_id", "row", "at")
+    distinct = live.groupBy("prefix", "run").agg(F.min(who).alias("who"), F.max("doc_id").alias("most"))
+    distinct = checkpoint(distinct.select("prefix", "run", "who.doc_id", "who.row", "who.at", "most"))
+    # Where runs of one prefix differ, words decide; elsewhere all are equal.
+    several = distinct.groupBy("prefix").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least"), F.max("most").alias("last")).filter("n > 1 and least < last")
+    several = checkpoint(several.select("prefix", "n"))
+    alone = distinct.filter("doc_id < most").join(several, "prefix", "left_anti")
+    found = alone.select("prefix", "run", F.lit(0).alias("lo"), (_at("at")[1] - 1).alias("hi"), F.col("doc_id").alias("least"))
+
+    pieces = checkpoint(_texts(docs, distinct.join(several.select("prefix"), "prefix"), window))
+    for length in [*(n for n in LENGTHS[1:] if 2 * n - LENGTHS[0] <= window), None]:
+        hot = checkpoint(pieces.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > group).select("key"))
+        if hot.isEmpty():
+            break
+        found = found.unionByName(_solve(pieces.join(hot, "key", "left_anti"), window, 2 * group))
+        pieces = pieces.join(hot, "key").select(*_NAMES)
+        if length is None:
+            found = found.unionByName(_deepest(pieces, window))
+            pieces = None
+            break
+        pieces = checkpoint(_lengthened(pieces, window, length))
+    if pieces is not None:
+        found = found.unionByName(_solve(pieces, window, 2 * group))
+
+    start = _at("at")[0]
+    # Written out, so that a run with many rows can be split in the join.
+    late = live.join(checkpoint(found), ["prefix", "run"]).filter("least < doc_id")
+    passage = F.struct((start + F.col("lo")).alias("lo"), (start + F.col("hi")).alias("hi"))
+    return late.groupBy("doc_id", "row").agg(F.collect_set(passage).alias("passages"))
+
+
+def _finish(text: bytes | None, passages: list | None, window: int) -> tuple[int, bytes]:
     words = text.split() if text else []
     if not passages:
         return len(words), b" ".join(words)
     edge = np.zeros(len(words) + 1, np.int64)
-    for lo, end in passages:
-        edge[lo] += 1
-        edge[min(end, len(words))] -= 1
+    np.add.at(edge, [p["lo"] for p in passages], 1)
+    np.add.at(edge, [p["hi"] + window for p in passages], -1)
     gone = np.cumsum(edge[:-1]) > 0
     return len(words), b" ".join([w for w, g in zip(words, gone.tolist()) if not g])
 
 
-def remove_repeats(docs: DataFrame, window: int = 50, prefix: int = 10, group: int = 20_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 50, group: int = 8192) -> DataFrame:
     """``doc_id, n_words, n_removed, kept`` for each row of ``docs``: its words
     joined by single spaces, without those covered by a ``window`` whose words
     also start in a document with a smaller id.
 
     All windows are judged on the input. A null text has no word, an empty or
     short one loses none. A null id is neither smaller nor larger than others:
-    such rows lose nothing. Rows that repeat an id count as one document, which
-    never loses words to itself. Only ``doc_id`` and ``text`` are read.
+    such rows lose nothing. Rows that repeat an id, with the same text or
+    another, are judged each by its own words and lose none to each other. Only
+    ``doc_id`` and ``text`` are read, and an empty table gives no rows.
     """
-    if window <= prefix:
-        raise ValueError("window must be longer than prefix")
-    found = repeated_passages(docs, window, prefix, group)
-    both = docs.select("doc_id", raw("text").alias("t")).join(merged(found, window), "doc_id", "left")
+    if not LENGTHS[0] < window < 1 << 16:
+        raise ValueError(f"window must have more than {LENGTHS[0]} words, and fewer than {1 << 16}")
+    found = checkpoint(repeated_passages(docs, window, group))
+    keyed = docs.select("doc_id", raw("text").alias("t"), F.xxhash64("text").alias("row"))
+    both = keyed.join(found.hint("shuffle_hash"), ["doc_id", "row"], "left")
 
     def run(columns: list[list]) -> list:
         ids, texts, passages = columns
-        total, kept = [], []
-        for t, p in zip(texts, passages):
-            n, k = _finish(t, [(x["lo"], x["end"]) for x in p] if p else None)
-            total.append(n)
-            kept.append(k)
+        made = [_finish(t, p, window) for t, p in zip(texts, passages)]
+        total, kept = [n for n, _ in made], [k for _, k in made]
         left = [k.count(b" ") + 1 if k else 0 for k in kept]
         return [ids, total, [a - b for a, b in zip(total, left)], kept]
 
@@ -293,5 +412,3 @@ def remove_repeats(docs: DataFrame, window: int = 50, prefix: int = 10, group: i
 def digest(kept: DataFrame) -> DataFrame:
     """``remove_repeats`` with the kept text as its SHA-256."""
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
-
-

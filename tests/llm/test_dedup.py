@@ -174,24 +174,61 @@ def plain_removal(rows, window=50):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("group", [5, 20_000])
-def test_remove_repeats(spark, make_docs, prose, edges, group):
+@pytest.mark.parametrize("group, window", [(2, 50), (5, 50), (8192, 50), (3, 12), (8192, 61)])
+def test_remove_repeats(spark, make_docs, prose, edges, group, window):
     shared = [prose(900 + k, n) for k, n in enumerate((49, 50, 51, 80, 200))]
+    line = prose(990, 14)  # common to many texts, in different surroundings
+    phrase = prose(991, 34)
     r = random.Random(2)
     rows = [(i, " ".join([prose(i, r.randrange(90)), r.choice(shared), prose(i + 500, r.randrange(60)), r.choice(shared)])) for i in range(60)]
     rows += [(100 + i, rows[i][1]) for i in range(10)] + [(200, "same word " * 200), (201, "same word " * 60)]
-    rows += [(1000 + i if i is not None else None, t) for i, t in edges if t is None or len(t) < 1000]
-    got = substring.digest(substring.remove_repeats(make_docs(rows), group=group)).collect()
+    rows += [(210 + i, f"{prose(700 + i, 60)} {line} {prose(800 + i, 60)}") for i in range(25)]
+    rows += [(240 + i, f"{prose(600 + i, 40)} {phrase} {prose(650 + i % 3, 70)}") for i in range(25)]
+    # Repeated ids: other texts, a text shorter than its twin, and equal rows.
+    rows += [(300, prose(1, 60)), (305, prose(2, 300) + " " + prose(1, 60)), (305, "q " * 400), (305, prose(2, 80))]
+    rows += [(299, prose(2, 70)), (310, prose(3, 90)), (310, prose(3, 90)), (310, prose(3, 90) + " more"), (311, prose(3, 90)), (311, prose(3, 90))]
+    rows += [(1000 + i if i is not None else None, t) for i, t in edges if t is None or len(t) < 1000] + [(None, prose(3, 90))]
+    got = substring.digest(substring.remove_repeats(make_docs(rows), window=window, group=group)).collect()
+    assert sorted([(x["doc_id"], x["n_words"], x["n_removed"], x["kept_sha256"]) for x in got], key=str) == plain_removal(rows, window)
+
+
+def test_words_and_anchors_do_not_depend_on_the_batch(prose, monkeypatch):
+    texts = [prose(k, 40 + 37 * k).encode() for k in range(30)] + [b"", None, b"  \t", b"x" * 5000, "é 日本 ".encode() * 60]
+    whole = substring.runs(texts, 50)
+    monkeypatch.setattr(substring, "BYTES", 97)
+    monkeypatch.setattr(substring, "WORDS", 64)
+    again = substring.runs(texts, 50)
+    assert all((a == b).all() for a, b in zip(whole, again))
+    alone = [substring.runs([t], 50) for t in texts]
+    assert np.concatenate([a[1] for a in alone]).tolist() == whole[1].tolist()
+    assert [n for a in alone for n in a[3].tolist()] == whole[3].tolist()
+    assert len(substring._words(texts)[0]) == sum(len((t or b"").split()) for t in texts)
+
+
+def test_suffixes_are_sorted_and_their_common_prefixes_known():
+    r = random.Random(7)
+    ids = np.array([r.randrange(3) for _ in range(400)] + [0] * 100)
+    starts = np.array(r.sample(range(450), 300))
+    order, shared = substring.sort_suffixes(ids, starts, 50)
+    sorted_ = [tuple(ids[starts[k] : starts[k] + 50]) for k in order]
+    plain = [0] + [next((n for n, (x, y) in enumerate(zip(a, b)) if x != y), 50) for a, b in zip(sorted_, sorted_[1:])]
+    assert shared.tolist() == plain
+    # A node's leaves are neighbours: as many groups as there are different texts.
+    assert (shared < 50).sum() == len(set(sorted_))
+
+
+def test_groups_are_split_until_they_fit(spark, make_docs, prose, monkeypatch):
+    """A line of 32 words in 40 texts: every length of prefix is tried."""
+    tried, lengthened = [], substring._lengthened
+    monkeypatch.setattr(substring, "_lengthened", lambda p, w, n: tried.append(n) or lengthened(p, w, n))
+    line = prose(5, 32)
+    rows = [(i, f"{prose(100 + i, 70)} {line} {prose(200 + i // 2, 80)}") for i in range(40)]
+    got = substring.digest(substring.remove_repeats(make_docs(rows), group=4)).collect()
+    assert tried == [16, 23, 30]
     assert sorted([(x["doc_id"], x["n_words"], x["n_removed"], x["kept_sha256"]) for x in got], key=str) == plain_removal(rows)
 
 
-def test_every_bit_of_a_window_tells_it_apart():
-    hashes = np.array([1 << 63, *(1 << 63 ^ 1 << b for b in range(63))], np.uint64)
-    tags = [substring._packed(hashes[k : k + 1]) for k in range(64)]
-    assert len(np.unique(substring._leaves(tags, np.zeros(64, np.int64))[2])) == 64
-
-
 def test_remove_repeats_of_nothing(spark, make_docs):
     assert substring.remove_repeats(make_docs([])).count() == 0
     with pytest.raises(ValueError):
-        substring.remove_repeats(make_docs([]), window=5, prefix=5)
+        substring.remove_repeats(make_docs([]), window=10)
