@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .common import checkpoint
 
+#: Edges up to which a round's minima, at most two an edge, are broadcast.
+FEW = 100_000
+
 
 def _state(edges: DataFrame) -> tuple:
     row = edges.agg(
@@ -17,15 +20,17 @@ def _state(edges: DataFrame) -> tuple:
     return row["n"], row["x"], row["y"]
 
 
-def connected_components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def connected_components(edges: DataFrame, rounds: int = 40, few: int = FEW) -> DataFrame:
     """``(u, v)`` long pairs, in either direction, to ``(node, root)``: for each
     node on an edge to another node, the smallest node it can reach.
 
     Every round links each node's larger neighbours to the smallest one, then
     its smaller ones; both steps keep connectivity, need only grouped minima and
-    equi-joins, and leave stars around the minima after O(log^2 n) rounds. Null
-    ends and self-loops are ignored; no edges give no rows. Raises if ``rounds``
-    is not enough, rather than return wrong roots.
+    equi-joins, and leave stars around the minima after O(log^2 n) rounds. The
+    minima are broadcast as long as there are ``few`` edges; beyond that they are
+    written out, so that the join can split a star with many leaves. Null ends
+    and self-loops are ignored; no edges give no rows. Raises if ``rounds`` is
+    not enough, rather than return wrong roots.
     """
     e = edges.filter("u is not null and v is not null and u <> v")
     e = checkpoint(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
@@ -33,13 +38,14 @@ def connected_components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     for _ in range(rounds):
         if not before[0]:
             break
-        both = e.union(e.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m"))
-        least = least.select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        small = large.groupBy("u").agg(F.min("v").alias("m"))
-        rest = large.join(small, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = checkpoint(rest.union(small.select("u", F.col("m").alias("v"))).distinct())
+        held = F.broadcast if before[0] <= few else checkpoint
+        least = e.union(e.select("v", "u")).groupBy("u").agg(F.min("v").alias("m"))
+        least = held(least.select(F.col("u").alias("v"), F.least("u", "m").alias("m")))
+        large = e.join(least, "v").select("u", F.col("m").alias("v")).distinct()
+        large = large if before[0] <= few else checkpoint(large)
+        small = held(large.groupBy("u").agg(F.min("v").alias("m")))
+        rest = large.join(small, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        e = checkpoint(rest.distinct())
         now = _state(e)
         if now == before:
             break
