@@ -34,6 +34,14 @@ def checkpoint(df: DataFrame, compact: bool = False) -> DataFrame:
     return df.checkpoint()
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """A column name that ``columns`` lack, whatever their case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def raw(text: str) -> Column:
     """A text column as UTF-8 bytes. ``bytes.split()`` then cuts at exactly the
     six ASCII spaces, and ``bytes.lower()`` touches A-Z alone."""

@@ -48,14 +48,15 @@ def fingerprint(text: bytes | None, width: int = 4, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
-    """``doc_id, fp``: the fingerprint's 64 bits as a signed long, one row for
-    each row of ``docs`` (null ids and texts included)."""
+    """``doc_id, row, fp``: a hash of the text, which tells rows of an id apart,
+    and the fingerprint's 64 bits as a signed long, one row for each row of
+    ``docs`` (null ids and texts included)."""
 
     def run(columns: list[list]) -> list[list]:
-        ids, texts = columns
-        return [ids, np.array([fingerprint(t, width) for t in texts], np.uint64).view(np.int64)]
+        ids, texts, rows = columns
+        return [ids, rows, np.array([fingerprint(t, width) for t in texts], np.uint64).view(np.int64)]
 
-    return map_rows(docs.select("doc_id", raw("text").alias("t")), run, "doc_id long, fp long")
+    return map_rows(docs.select("doc_id", raw("text").alias("t"), F.xxhash64("text").alias("row")), run, "doc_id long, row long, fp long")
 
 
 def _masks(bits: int, flips: int) -> np.ndarray:
@@ -168,8 +169,8 @@ def links(prints: DataFrame, radius: int = 2, per_task: int = 1024) -> DataFrame
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 2) -> DataFrame:
-    """``doc_id, fp, component_id`` for each row of ``docs``: its fingerprint
-    and the smallest id among documents reachable over links of at most
+    """``doc_id, row, fp, component_id`` for each row of ``docs``: a hash of its
+    text, its fingerprint and the smallest id among documents reachable over links of at most
     ``2 radius`` differing bits.
 
     Equal fingerprints are one node, so copies cost one row in every later step.
@@ -185,25 +186,30 @@ def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 2) -> DataFra
     # Written out, so that a root with many fingerprints can be split in the join.
     smallest = checkpoint(whole.groupBy("root").agg(F.min("least").alias("component_id")))
     named = whole.select("fp", "root").join(smallest, "root").select("fp", "component_id")
-    return marked.join(named, "fp", "left").select("doc_id", "fp", "component_id")
+    return marked.join(named, "fp", "left").select("doc_id", "row", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, width: int = 4, radius: int = 2) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates, that of its
-    smallest id. Rows that repeat an id count as one document, of which a row
-    stays; documents without an id are not compared and stay."""
+    smallest id. Of rows that repeat this id in the group, the one whose text has
+    the smallest hash stays, and one of those that share the text; documents
+    without an id are not compared and stay. Groups with the same smallest id,
+    which only rows that repeat it can make, count as one."""
     return least_of_each(docs, lambda named: near_duplicates(named, width, radius))
 
 
 def least_of_each(docs: DataFrame, components: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """``docs`` with the row whose ``doc_id`` is its ``component_id``, as
-    ``components`` has them for documents with an id."""
+    ``components`` has them (with ``row``) for documents with an id."""
     named = docs.filter("doc_id is not null")
-    found = components(named).filter("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n"))
-    kept = checkpoint(found)
+    heads = components(named).filter("doc_id = component_id")
+    least = F.struct("row", "n")
+    alike = heads.groupBy("doc_id", "row", "component_id").agg(F.count(F.lit(1)).alias("n"))
+    kept = checkpoint(alike.groupBy("component_id").agg(F.min(least).alias("x")).select(F.col("component_id").alias("doc_id"), "x.row", "x.n")).alias("kept")
     # Hashing the narrow side spares sorting the texts, and so does looking
-    # whether an id repeats at all before rows are compared by it.
-    once = named.join(kept.select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi")
-    if not kept.filter("_n > 1").isEmpty():
-        once = once.dropDuplicates(["doc_id"])
+    # whether a row repeats at all before rows are compared.
+    same = (F.col("docs.doc_id") == F.col("kept.doc_id")) & (F.xxhash64("docs.text") == F.col("kept.row"))
+    once = named.alias("docs").join(kept.hint("shuffle_hash"), same, "left_semi")
+    if not kept.filter("n > 1").isEmpty():
+        once = once.dropDuplicates(["doc_id", "text"])
     return once.unionByName(docs.filter("doc_id is null"))

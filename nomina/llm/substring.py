@@ -34,73 +34,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpoint, map_rows, partitions, raw
+from .words import WORD_BASE, between, sums_of, word_hashes
 
 _U = np.uint64
 #: Lengths of prefixes, in words; the first is the anchor's.
 LENGTHS = (10, 16, 23, 30)
-#: Bytes hashed and words filed at once.
-BYTES, WORDS = 1 << 20, 1 << 20
-_SPACES = np.isin(np.arange(256), (9, 10, 11, 12, 13, 32))
-
-
-class _Base:
-    """Powers of an odd number and of its inverse, modulo 2**64."""
-
-    def __init__(self, base: int):
-        self.base, self.back = base, pow(base, -1, 1 << 64)
-        self.up = self.down = np.ones(1, _U)
-
-    def powers(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if n > len(self.up):
-            for side, base in (("up", self.base), ("down", self.back)):
-                made = np.full(max(n, 1 << 16), base, _U)
-                made[0] = 1
-                setattr(self, side, np.multiply.accumulate(made))
-        return self.up[:n], self.down[:n]
-
-
-_BYTE, _WORD = _Base(0x9E3779B97F4A7C15), _Base(0xC2B2AE3D27D4EB4F)
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> _U(32))) * _U(0xD6E8FEB86659FD93)
-    x = (x ^ (x >> _U(32))) * _U(0xD6E8FEB86659FD93)
-    return x ^ (x >> _U(32))
-
-
-def _sums(values: np.ndarray, base: _Base) -> np.ndarray:
-    out = np.zeros(len(values) + 1, _U)
-    np.cumsum(values * base.powers(len(values))[0], out=out[1:])
-    return out
-
-
-def _between(sums: np.ndarray, base: _Base, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hashes of the stretches from ``start`` to ``end`` of what was summed."""
-    return _mix((sums[end] - sums[start]) * base.powers(len(sums))[1][start])
-
-
-def _words(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
-    """The hash of every word of some texts, and the text it is in."""
-    lengths = np.array([len(t or b"") for t in texts], np.int64)
-    data = np.frombuffer(b"".join(t for t in texts if t), np.uint8)
-    edges = np.r_[0, np.cumsum(lengths)]
-    if not len(data):
-        return np.empty(0, _U), np.empty(0, np.int64)
-    inside = ~_SPACES[data]
-    cut = np.zeros(len(data) + 1, bool)
-    cut[edges] = True
-    before = np.r_[True, ~inside[:-1]] | cut[:-1]
-    after = np.r_[~inside[1:], True] | cut[1:]
-    start, end = np.flatnonzero(inside & before), np.flatnonzero(inside & after) + 1
-    hashes = np.empty(len(start), _U)
-    first = 0
-    while first < len(start):
-        last = max(first + 1, int(np.searchsorted(end, start[first] + BYTES, "right")))
-        at = int(start[first])
-        sums = _sums(data[at : end[last - 1]].astype(_U) + _U(1), _BYTE)
-        hashes[first:last] = _between(sums, _BYTE, start[first:last] - at, end[first:last] - at)
-        first = last
-    return hashes, np.searchsorted(edges, start, "right") - 1
+#: Words filed at once.
+WORDS = 1 << 20
 
 
 def _least(short: np.ndarray, span: int) -> np.ndarray:
@@ -122,13 +62,13 @@ def runs(texts: list[bytes | None], window: int) -> tuple[np.ndarray, ...]:
     """The windows of some texts in runs: anchor's hash, run's hash, the text's
     index, first start, windows, and words from the first start to the anchor."""
     prefix = LENGTHS[0]
-    hashes, owner = _words(texts)
+    hashes, owner = word_hashes(texts)
     none = np.empty(0, np.int64)
     if len(hashes) < window:
         return none.astype(_U), none.astype(_U), none, none, none, none
-    sums = _sums(hashes, _WORD)
+    sums = sums_of(hashes, WORD_BASE)
     at = np.arange(len(hashes) - prefix + 1)
-    short = _between(sums, _WORD, at, at + prefix)
+    short = between(sums, WORD_BASE, at, at + prefix)
     anchor = _least(short, window - prefix + 1)
     starts = np.flatnonzero(owner[: len(anchor)] == owner[window - 1 :])
     if not len(starts):
@@ -137,7 +77,7 @@ def runs(texts: list[bytes | None], window: int) -> tuple[np.ndarray, ...]:
     head = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (owned[1:] != owned[:-1])])
     count = np.diff(np.r_[head, len(starts)])
     first = starts[head]
-    whole = _between(sums, _WORD, first, first + count + window - 1)
+    whole = between(sums, WORD_BASE, first, first + count + window - 1)
     begins = np.searchsorted(owner, np.arange(len(texts)))
     return short[anchor[head]], whole, owned[head], first - begins[owned[head]], count, anchor[head] - first
 
@@ -224,8 +164,8 @@ def _lengthened(pieces: DataFrame, window: int, length: int) -> DataFrame:
             edge = min(max(lo, ahead + length - window), hi)
             for a, b, first in ((lo, edge, ahead + anchor - length), (edge, hi, ahead)):
                 if a < b:
-                    sums = _sums(_words([b" ".join(words[first : first + length])])[0], _WORD)
-                    key = int(_between(sums, _WORD, np.array([0]), np.array([length])).view(np.int64)[0])
+                    sums = sums_of(word_hashes([b" ".join(words[first : first + length])])[0], WORD_BASE)
+                    key = int(between(sums, WORD_BASE, np.array([0]), np.array([length])).view(np.int64)[0])
                     for c, v in zip(out, (key ^ (length << 1) ^ (a < edge), prefix, run, a, b, ahead, least, most, t)):
                         c.append(v)
         return out
@@ -318,9 +258,9 @@ def _deepest(pieces: DataFrame, window: int) -> DataFrame:
     def run(columns: list[list]) -> list:
         out: list[list] = [[] for _ in range(6)]
         for key, t, prefix, name, lo, hi, least, most in zip(*columns):
-            hashes, _ = _words([t])
+            hashes, _ = word_hashes([t])
             at = np.arange(lo, hi)
-            nodes = _between(_sums(hashes, _WORD), _WORD, at, at + window).view(np.int64)
+            nodes = between(sums_of(hashes, WORD_BASE), WORD_BASE, at, at + window).view(np.int64)
             for c, v in zip(out, (np.full(len(at), key), nodes, np.full(len(at), prefix), np.full(len(at), name), at, np.stack([np.full(len(at), least), np.full(len(at), most)], 1))):
                 c.append(v)
         whole = [np.concatenate(c) if c else np.empty(0, np.int64) for c in out]

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from nomina.llm import resemblance, simhash, substring
+from nomina.llm import resemblance, simhash, substring, words
 from nomina.llm.components import connected_components
 
 
@@ -102,6 +102,25 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_components_of_large_stars(spark, few):
+    n = 100_000
+    star = spark.range(1, n).selectExpr("id u", "0L v")
+    other = spark.range(n + 1, n + 500).selectExpr(f"{2 * n}L u", "id v")  # its centre is the largest
+    edges = star.union(other).union(spark.createDataFrame([(n - 1, n + 7)], "u long, v long"))
+    got = connected_components(edges, few=few)
+    assert got.count() == n + 500 and got.filter("root <> 0").count() == 0
+
+
+def test_repeated_ids_leave_the_same_row(spark, make_docs, prose):
+    """Rows of an id with different texts: always the same one stays."""
+    rows = [(5, prose(1, 200)), (5, prose(2, 200)), (5, prose(2, 200)), (3, prose(2, 200)), (9, prose(1, 200)), (7, prose(4, 200)), (7, prose(5, 200)), (None, prose(2, 200)), (None, None)]
+    kept = [sorted(((r["doc_id"], r["text"]) for r in f(make_docs(rows).repartition(n)).collect()), key=str) for n in (1, 3) for f in (simhash.keep_one, resemblance.keep_one)]
+    assert all(k == kept[0] for k in kept)
+    assert [i for i, _ in kept[0]].count(5) == 1 and [i for i, _ in kept[0]].count(7) == 1 and [i for i, _ in kept[0]].count(None) == 2
+    assert (3, rows[3][1]) in kept[0] and (9, rows[4][1]) not in kept[0]
+
+
 def test_near_duplicates_edges(spark, make_docs, edges):
     rows = simhash.near_duplicates(make_docs(edges)).collect()
     assert len(rows) == len(edges)
@@ -195,14 +214,14 @@ def test_remove_repeats(spark, make_docs, prose, edges, group, window):
 def test_words_and_anchors_do_not_depend_on_the_batch(prose, monkeypatch):
     texts = [prose(k, 40 + 37 * k).encode() for k in range(30)] + [b"", None, b"  \t", b"x" * 5000, "é 日本 ".encode() * 60]
     whole = substring.runs(texts, 50)
-    monkeypatch.setattr(substring, "BYTES", 97)
+    monkeypatch.setattr(words, "BYTES", 97)
     monkeypatch.setattr(substring, "WORDS", 64)
     again = substring.runs(texts, 50)
     assert all((a == b).all() for a, b in zip(whole, again))
     alone = [substring.runs([t], 50) for t in texts]
     assert np.concatenate([a[1] for a in alone]).tolist() == whole[1].tolist()
     assert [n for a in alone for n in a[3].tolist()] == whole[3].tolist()
-    assert len(substring._words(texts)[0]) == sum(len((t or b"").split()) for t in texts)
+    assert len(words.word_hashes(texts)[0]) == sum(len((t or b"").split()) for t in texts)
 
 
 def test_suffixes_are_sorted_and_their_common_prefixes_known():
