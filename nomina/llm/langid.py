@@ -8,6 +8,7 @@ compressed, so that the dictionary counts through the whole of a long text.
 from __future__ import annotations
 
 import re
+from functools import cache
 
 import numpy as np
 import zstandard
@@ -21,32 +22,43 @@ PIECE = 4096
 _OTHER = re.compile(r"[\W\d_]+")
 
 
+@cache
+def _numerals() -> re.Pattern:
+    """What counts as part of a word, but is neither a letter nor a digit."""
+    odd = (chr(c) for c in range(0x110000))
+    return re.compile("[" + "".join(c for c in odd if c.isalnum() and not c.isalpha() and not c.isdecimal()) + "]+")
+
+
 def letters(text: str | None) -> str:
-    """A text's words in lower case, without digits, marks and symbols."""
-    return _OTHER.sub(" ", text.lower()).strip() if text else ""
+    """A text's words in lower case: letters only, whatever the script."""
+    if not text:
+        return ""
+    words = _OTHER.sub(" ", text.lower())
+    return (words if words.isascii() else _numerals().sub(" ", words)).strip()
 
 
 def learn(docs: DataFrame, per_language: int = 2000, piece: int = 200, size: int = 400_000, seed: int = 42) -> dict[str, bytes]:
-    """A dictionary of at most ``size`` bytes for each non-null ``lang``, from
-    about ``per_language`` documents each, chosen by a hash of their id: of each
-    one ``piece`` characters, at a place in the whole text that another hash of
-    the id draws. What reaches the driver is bounded by these and the number of
-    languages."""
+    """A dictionary for each non-null ``lang``, from a sample of about
+    ``per_language`` different texts each, chosen by a hash of the whole text: of
+    each one ``piece`` characters, at a place in the whole text that another hash
+    draws. Pieces enter whole, in the order of the hash, as long as they make
+    ``size`` bytes at most. What reaches the driver is bounded by these and the
+    number of languages."""
     totals = docs.filter("lang is not null and text is not null").groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    chance = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
+    chance = F.pmod(F.xxhash64(F.lit(seed), "text"), F.lit(1 << 30)) / float(1 << 30)
     few = docs.join(F.broadcast(totals), "lang").filter((chance * F.col("n") < per_language) & F.col("text").isNotNull())
     places = F.greatest(F.length("text") - piece + 1, F.lit(1))
-    at = (F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), places) + 1).cast("int")
+    at = (F.pmod(F.xxhash64(F.lit(seed + 1), "text"), places) + 1).cast("int")
     found: dict[str, list] = {}
-    for r in few.select("lang", chance.alias("c"), "doc_id", F.substring(F.col("text"), at, F.lit(piece)).alias("t")).collect():
-        found.setdefault(r["lang"], []).append((r["c"], str(r["doc_id"]), r["t"]))
+    for r in few.select("lang", chance.alias("c"), F.substring(F.col("text"), at, F.lit(piece)).alias("t")).distinct().collect():
+        found.setdefault(r["lang"], []).append((r["c"], r["t"]))
     made = {}
     for lang, rows in sorted(found.items()):
-        parts = dict.fromkeys(letters(t) for _, _, t in sorted(rows))
-        content = " ".join(p for p in parts if p).encode()
-        if content:
-            made[lang] = content[:size]
-    return made
+        parts = [p.encode("utf-8", "replace") for p in dict.fromkeys(letters(t) for _, t in sorted(rows)) if p]
+        fit = np.cumsum([len(p) + 1 for p in parts]) <= size + 1
+        if parts:
+            made[lang] = b" ".join(p for p, ok in zip(parts, fit) if ok)
+    return {lang: content for lang, content in made.items() if content}
 
 
 class Classifier:
