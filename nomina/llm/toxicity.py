@@ -136,24 +136,25 @@ def counted(docs: DataFrame) -> DataFrame:
     return part.groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
 
 
-def weigh(counts: DataFrame, prior: float = 0.01, z: float = 3.0, most: int = 100_000) -> dict[str, float]:
+def weigh(counts: DataFrame, prior: float = 0.01, z: float = 3.0) -> dict[str, float]:
     """Scores of words (marked ``$``) and prefixes whose log-odds differ from
-    zero by ``z`` deviations; the ``most`` significant ones. A score is what is
-    left of the log-odds after one deviation."""
+    zero by ``z`` deviations. A score is what is left of the log-odds after one
+    deviation. The words are those of a bounded sample of rows, and so are the
+    scores that reach the driver."""
     counts = checkpoint(counts)
     total = counts.agg(F.sum("clean").alias("a"), F.sum("toxic").alias("b")).first()
     if not total["a"] or not total["b"]:
         return {}
     parts = F.array(F.concat("word", F.lit("$")), *[F.when(F.length("word") >= k, F.substring("word", 1, k)) for k in PREFIXES])
     nodes = counts.select(F.explode(parts).alias("node"), "clean", "toxic").filter("node is not null")
-    nodes = nodes.groupBy("node").agg(F.sum("clean").cast("double").alias("a"), F.sum("toxic").cast("double").alias("b")).filter("a + b >= 4")
+    nodes = nodes.groupBy("node").agg(F.sum("clean").cast("double").alias("a"), F.sum("toxic").cast("double").alias("b"))
     a, b = float(total["a"]), float(total["b"])
     alpha = 0.5 + prior * (F.col("a") + F.col("b"))
     pa, pb = alpha * (a / (a + b)), alpha * (b / (a + b))
     x, y = F.col("a") + pa, F.col("b") + pb
     odds = F.log(y / (b * (1 + prior) - y)) - F.log(x / (a * (1 + prior) - x))
     scored = nodes.select("node", odds.alias("d"), F.sqrt(1 / y + 1 / x).alias("se"))
-    kept = scored.filter(F.abs("d") >= z * F.col("se")).orderBy(F.desc(F.abs(F.col("d") / F.col("se"))), "node").limit(most)
+    kept = scored.filter(F.abs("d") >= z * F.col("se"))
     return {r["node"]: math.copysign(abs(r["d"]) - r["se"], r["d"]) for r in kept.collect()}
 
 
@@ -223,19 +224,21 @@ def fit(labelled: DataFrame, bound: int = 50_000) -> Model:
 
     def run(columns: list[list]) -> list:
         memos = [_Scores(_above(nodes, c)) for c in CUTS]
-        out: list[list] = [[], [], [], [], [], []]
-        for t, y in zip(columns[1], columns[2]):
+        out: list[list] = [[], [], [], [], [], [], []]
+        for key, t, y in zip(*columns):
             for i, memo in enumerate(memos):
                 scores = scored(t, memo)
                 rounded, n = np.unique(np.round(scores, 1), return_counts=True)
-                for c, v in zip(out, (i, int(y > 0), len(scores), [s for _, _, s in passages(scores)], rounded.tolist(), n.tolist())):
+                for c, v in zip(out, (key, i, int(y > 0), len(scores), [s for _, _, s in passages(scores)], rounded.tolist(), n.tolist())):
                     c.append(v)
         return out
 
-    schema = "cut int, y int, m long, found array<double>, score array<double>, n array<long>"
-    held = checkpoint(map_rows(rows.filter("_fold >= 7").select("doc_id", "text", "toxic"), run, schema), compact=True)
+    schema = "row long, cut int, y int, m long, found array<double>, score array<double>, n array<long>"
+    row = F.xxhash64("doc_id", "text", "toxic")
+    held = checkpoint(map_rows(rows.filter("_fold >= 7").select(row.alias("row"), "text", "toxic"), run, schema), compact=True)
     clean = held.filter("y = 0").select("cut", F.explode(F.arrays_zip("score", "n")).alias("x")).groupBy("cut", "x.score").agg(F.sum("x.n").alias("n")).collect()
-    few = held.select("cut", "y", "m", "found").limit(len(CUTS) * bound).collect()
+    # Ids that repeat may make more rows than ids were drawn: the same ones stay on every run.
+    few = held.select("row", "cut", "y", "m", "found").orderBy("row", "cut").limit(len(CUTS) * bound).collect()
     of = lambda found, i: [r for r in found if r["cut"] == i]
     models = [_calibrated(_above(nodes, c), of(few, i), of(clean, i)) for i, c in enumerate(CUTS)]
     return min(models, key=lambda m: m[1])[0]
