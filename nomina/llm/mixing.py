@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, checkpoint
+from .common import WORD, checkpoint, cuts, unused
 
 _WORDS = re.compile(WORD)
 #: A key range is split into this many.
@@ -58,10 +58,11 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int =
     return s.select("source", "source_size", target.alias("target"))
 
 
-def uniform(key: str, seed: int) -> Column:
-    """A number in (0, 1) from 52 bits of the hash of a seed and a key; the same
-    in every engine that has MD5."""
-    digits = F.substring(F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(key).cast("string"), F.lit(""))).cast("binary")), 1, 13)
+def uniform(key: str, text: str, seed: int) -> Column:
+    """A number in (0, 1) from 52 bits of the hash of a seed, a key and the MD5
+    of a text; the same in every engine that has MD5."""
+    named = F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col(key).cast("string"), F.lit("")), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
+    digits = F.substring(F.md5(named.cast("binary")), 1, 13)
     return (F.conv(digits, 16, 10).cast("double") + 0.5) / float(1 << 52)
 
 
@@ -78,21 +79,23 @@ def _refine(rows: DataFrame, budgets: DataFrame, bin_: str, near: Callable[[Data
     return edge.select("g", "x.edge", "x.left")
 
 
-def mix(rows: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, seed: int = 42) -> DataFrame:
-    """``doc_id, size, source_size, target, taken`` for each of ``rows`` with
-    columns ``doc_id, source, size, weight`` (a quality weight; null or not
-    positive counts as 1e-6).
+def mix(rows: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3) -> DataFrame:
+    """``doc_id, row, size, source_size, target, taken`` for each of ``rows``
+    with columns ``doc_id, row, source, size, weight, u``: a hash that tells rows
+    of an id apart, a quality weight (null or not positive counts as 1e-6) and a
+    uniform draw in (0, 1).
 
     ``taken``: words the mix takes of a document, ``size`` for every whole epoch
     and once more if the sample takes it; the document at which the budget ends
     is cut to what is left, so that a source's words add up to its target,
-    rounded down. Empty documents take nothing. Equal keys (repeated ids) go by
-    size. A null source is a source; an empty table gives no rows.
+    rounded down. Empty documents take nothing. Equal keys (rows that repeat an
+    id and a text) go by size. A null source is a source; an empty table gives no
+    rows.
     """
     weight = F.when(F.col("weight") > 0, F.col("weight")).otherwise(1e-6)
-    key = F.pow(uniform("doc_id", seed), 1.0 / weight)
+    key = F.pow(F.col("u"), 1.0 / weight)
     place = F.least(F.floor((1.0 - key) * FAN * FAN), F.lit(FAN * FAN - 1)).cast("long")
-    base = rows.select("doc_id", "source", F.col("size").cast("long").alias("s"), key.alias("key"), place.alias("place"))
+    base = rows.select("doc_id", "row", "source", F.col("size").cast("long").alias("s"), key.alias("key"), place.alias("place"))
     base = checkpoint(base.select("*", F.struct(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name")).alias("g")), compact=True)
 
     sizes = base.groupBy("source").agg(F.sum("s").alias("source_size"))
@@ -113,32 +116,43 @@ def mix(rows: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, se
     last = last.withColumn("got", F.least("s", F.greatest(F.lit(0), F.col("left") - _running(last, ["g"], order) + F.col("s"))))
     rest = base.join(near(fine.select("g", "edge")), "g", "left").filter("edge is null or place <> edge")
     rest = rest.withColumn("got", F.when(F.col("place") < F.col("edge"), F.col("s")).otherwise(0))
-    got = rest.select("g", "doc_id", "s", "got").unionByName(last.select("g", "doc_id", "s", "got"))
+    got = rest.select("g", "doc_id", "row", "s", "got").unionByName(last.select("g", "doc_id", "row", "s", "got"))
     taken = (F.col("epochs") * F.col("s") + F.col("got")).cast("long")
-    return got.join(near(plan), "g").select("doc_id", F.col("s").alias("size"), "source_size", "target", taken.alias("taken"))
+    return got.join(near(plan), "g").select("doc_id", "row", F.col("s").alias("size"), "source_size", "target", taken.alias("taken"))
 
 
-def quality_weights(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``doc_id, source, size, weight`` of documents: weight 1 if labelled good,
-    0.1 if labelled bad by any label, 0.5 otherwise."""
+def _row(of: str = "") -> Column:
+    """A hash that tells rows of an id apart: of source and text, nulls too."""
+    source, text = F.col(f"{of}source"), F.col(f"{of}text")
+    return F.xxhash64(source.isNull(), source, text.isNull(), text)
+
+
+def quality_weights(docs: DataFrame, labels: DataFrame, seed: int = 42) -> DataFrame:
+    """``doc_id, row, source, size, weight, u`` of documents: weight 1 if labelled
+    good, 0.1 if labelled bad by any label, 0.5 otherwise."""
     marks = labels.filter("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("_q"))
-    sized = docs.select("doc_id", "source", size().alias("size"))
+    sized = docs.select("doc_id", _row().alias("row"), "source", size().alias("size"), uniform("doc_id", "text", seed).alias("u"))
     weight = F.when(F.col("_q") >= 1, 1.0).when(F.col("_q") < 1, 0.1).otherwise(0.5)
-    return sized.join(marks, "doc_id", "left").select("doc_id", "source", "size", weight.alias("weight"))
+    return sized.join(marks, "doc_id", "left").select("doc_id", "row", "source", "size", weight.alias("weight"), "u")
 
 
 def copies(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     """``docs`` as often as the mix takes them: a row for each whole epoch, and
-    one cut after its last taken word where the mix takes a part. Rows that
-    share an id (null is one) share the most that is taken of any of them."""
-    taken = mixed.groupBy("doc_id").agg(F.max("taken").alias("_taken")).filter("_taken > 0").withColumnRenamed("doc_id", "_id")
-    both = docs.join(taken.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(taken["_id"])).select(*docs.columns, "_taken")
+    one cut after its last taken word where the mix takes a part. Rows alike in
+    id, source and text, of which the mix may take different parts, share what
+    it takes evenly, rounded down; null ids are an id like others. Texts without
+    a word give no row."""
+    words = unused("taken", docs.columns)
+    taken = mixed.groupBy("doc_id", "row").agg(F.sum("taken").alias("t"), F.count(F.lit(1)).alias("n"))
+    taken = checkpoint(taken.select("doc_id", "row", F.expr("t div n").alias(words)).filter(F.col(words) > 0)).alias("mixed")
+    same = F.col("docs.doc_id").eqNullSafe(F.col("mixed.doc_id")) & (_row("docs.") == F.col("mixed.row"))
+    both = docs.alias("docs").join(taken.hint("shuffle_hash"), same).select("docs.*", words)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
+            for start, length in cuts(batch.num_rows, batch.column(at), 256):
+                part = batch.slice(start, length)
                 rows, texts = [], []
                 for i, (text, n) in enumerate(zip(part.column(at).to_pylist(), part.column(part.num_columns - 1).to_pylist())):
                     ends = [m.end() for m in _WORDS.finditer(text or "")]

@@ -52,7 +52,7 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
-    return mixing.mix(mixing.quality_weights(docs, labels))
+    return mixing.mix(mixing.quality_weights(docs, labels)).drop("row")
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,8 +106,9 @@ SELECT doc_id, source, slot, 'shard-' || lpad(CAST({sharding.fill(SHARDS, SLOTS)
 OP5_SQL = r"""
 WITH marks AS (SELECT doc_id, min(quality) AS q FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
 d AS (SELECT d.doc_id, d.source, CAST(len(regexp_extract_all(coalesce(d.text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-  CASE WHEN q >= 1 THEN 1.0 WHEN q < 1 THEN 0.1 ELSE 0.5 END::DOUBLE AS weight FROM documents d LEFT JOIN marks USING (doc_id)),
-k AS (SELECT *, pow((('0x' || substr(md5('42|' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0, 1.0 / weight) AS key FROM d),
+  CASE WHEN q >= 1 THEN 1.0 WHEN q < 1 THEN 0.1 ELSE 0.5 END::DOUBLE AS weight,
+  md5('42|' || coalesce(CAST(d.doc_id AS VARCHAR), '') || '|' || md5(coalesce(d.text, ''))) AS draw FROM documents d LEFT JOIN marks USING (doc_id)),
+k AS (SELECT *, pow((('0x' || substr(draw, 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0, 1.0 / weight) AS key FROM d),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS turn FROM k GROUP BY source),
 w AS (SELECT *, [5.0, 2.0, 1.0][1 + turn % 3]::DOUBLE AS w, 3 * source_size::DOUBLE AS cap FROM s),
 v AS (SELECT *, cap / w AS level, coalesce(sum(cap) OVER b, 0) AS held, sum(w) OVER () - coalesce(sum(w) OVER b, 0) AS open, sum(source_size) OVER () AS total

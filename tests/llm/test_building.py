@@ -120,13 +120,38 @@ def test_mixing(spark, make_docs, prose, edges):
     assert {s: taken[s] for s in sizes} == {s: int(targets[s] + 1e-9) for s in sizes}
     again = mixing.mix(mixing.quality_weights(docs.repartition(5), labels)).collect()
     assert Counter(map(tuple, again)) == Counter(map(tuple, mixed))
-    copied = mixing.copies(docs.filter("doc_id >= 100"), mixing.mix(mixing.quality_weights(docs.filter("doc_id >= 100"), labels)))
+    # Copies: every row as often as the mix takes it, cut after the last word.
+    docs = docs.withColumns({c: F.lit("clash") for c in ("taken", "taken_", "row", "weight", "u")})
+    copied = mixing.copies(docs, mixing.mix(mixing.quality_weights(docs, labels)))
     assert copied.columns == docs.columns
+    words = Counter()
+    for c in copied.collect():
+        words[(c["doc_id"], c["source"])] += len(c["text"].encode().split())
+        assert c["taken"] == "clash" and any((c["doc_id"], c["source"]) == (i, s) and t and t.startswith(c["text"]) for i, t, _, s in rows)
+    expected = Counter()
+    for m in mixed:
+        expected[(m["doc_id"], by_id[m["doc_id"]])] += m["taken"]
+    assert all(abs(words[k] - n) <= 1 for k, n in expected.items())
     assert mixing.mix(mixing.quality_weights(make_docs([]), labels)).count() == 0
 
 
+def test_copies_of_rows_without_an_id(spark, make_docs):
+    rows = [(None, "a b c d e f g h i j", "en", "a"), (None, "k l m n o p q r s t", "en", "b"), (None, "u v w x", "en", "b"), (None, "u v w x", "en", "b"), (None, None, "en", "a"), (1, "k l m n", "en", None)]
+    docs = make_docs(rows)
+    mixed = mixing.mix(mixing.quality_weights(docs, spark.createDataFrame([], "doc_id long, quality int")))
+    taken = Counter()
+    for m in mixed.collect():
+        taken[m["source_size"]] += m["taken"]
+    copied = Counter()
+    for c in mixing.copies(docs, mixed).collect():
+        copied[c["source"]] += len(c["text"].split())
+    sizes = {"a": 10, "b": 18, None: 4}
+    assert all(0 <= taken[sizes[s]] - copied[s] <= 1 for s in sizes)
+
+
 def test_good_documents_are_drawn_first(spark):
-    rows = spark.createDataFrame([(i, "a" if i % 2 else "b", 10, 1.0 if i % 4 < 2 else 0.1) for i in range(4000)], "doc_id long, source string, size long, weight double")
+    draw = np.random.default_rng(3).random(4000).tolist()
+    rows = spark.createDataFrame([(i, 0, "a" if i % 2 else "b", 10, 1.0 if i % 4 < 2 else 0.1, draw[i]) for i in range(4000)], "doc_id long, row long, source string, size long, weight double, u double")
     got = mixing.mix(rows).join(rows.select("doc_id", "source", "weight"), "doc_id")
     share = {r["weight"]: r["t"] for r in got.filter("source = 'b'").groupBy("weight").agg(F.avg(F.col("taken") / F.col("size")).alias("t")).collect()}
     assert share[1.0] > 1.5 * share[0.1]

@@ -253,3 +253,64 @@ def test_language_beyond_a_shared_header(spark, make_docs):
     assert b"tomi" in known["xx"] and b"sterk" in known["yy"]
     got = {x["doc_id"]: x["lang_pred"] for x in langid.identify(docs, known).collect()}
     assert all(got[i] == lang for i, _, lang in rows)
+
+
+def test_numerals_are_no_letters():
+    known = {"xx": b"some words of a language", "yy": b"other words of another"}
+    for text in ("½ ²", "①", "Ⅷ", "12 ٣", "_", "\u0301", "㊀"):
+        assert langid.Classifier(known).predict(text) == ("und", 0.0), text
+    assert langid.letters("Abc½d é²ß Ⅷx").split() == ["abc", "d", "é", "ß", "x"]
+
+
+def test_compressed_sizes_decide():
+    """Sizes by a compressor of our own for each piece; ties go to the first name."""
+    import zstandard
+
+    known = {"a": b"the cat sat on the mat and the dog", "b": b"le chat est sur le tapis et le chien", "c": b"the cat sat on the mat and the dog"}
+    texts = ["the cat and the dog", "le chien et le chat", "x" * 9000, "the mat " * 2000]
+    made = langid.Classifier(known)
+    for t in texts:
+        sizes = []
+        for lang in sorted(known):
+            d = zstandard.ZstdCompressionDict(known[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            c = zstandard.ZstdCompressor(level=6, dict_data=d, write_content_size=False, write_checksum=False)
+            data = langid.letters(t).encode()
+            sizes.append(sum(len(c.compress(data[at : at + langid.PIECE])) for at in range(0, len(data), langid.PIECE)))
+        assert made.sizes(langid.letters(t)).tolist() == sizes
+        lang, score = made.predict(t)
+        assert lang == sorted(known)[sizes.index(min(sizes))] and abs(score - 1 / sum(4.0 ** (min(sizes) - s) for s in sizes)) < 1e-12
+
+
+def test_dictionaries_take_whole_pieces(spark, make_docs):
+    docs = make_docs([(i, f"word{chr(97 + i % 26)}{chr(97 + i // 26)} " * 30, "xx") for i in range(200)])
+    made = langid.learn(docs, size=1000)["xx"]
+    assert 780 < len(made) <= 1000
+    assert made == langid.learn(docs.repartition(3), size=1000)["xx"]
+
+
+def test_log_odds_levels_and_scores(spark, make_docs):
+    """Against the formulas, word by word."""
+    r = random.Random(9)
+    rows = [(i, " ".join(r.choice("abcdefgh") for _ in range(6)) + (" vi vi" if i % 3 == 0 else " ok"), int(i % 3 == 0)) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    got = toxicity.weigh(toxicity.counted(docs))
+    clean = [set(t.split()) for _, t, y in rows if not y]
+    toxic = [set(t.split()) for _, t, y in rows if y]
+    n = {w: (sum(w in d for d in clean), sum(w in d for d in toxic)) for w in "abcdefgh" + "x"} | {"vi": (0, 100), "ok": (200, 0)}
+    a, b = sum(x for x, _ in n.values()), sum(y for _, y in n.values())
+    expected = {}
+    for w, (x, y) in n.items():
+        alpha = 0.5 + 0.01 * (x + y)
+        x, y = x + alpha * a / (a + b), y + alpha * b / (a + b)
+        d = np.log(y / (b * 1.01 - y)) - np.log(x / (a * 1.01 - x))
+        se = np.sqrt(1 / x + 1 / y)
+        if abs(d) >= 3 * se and w != "x":
+            expected[w + "$"] = np.sign(d) * (abs(d) - se)
+    assert got.keys() == expected.keys() and all(abs(got[w] - expected[w]) < 1e-9 for w in got) and {"vi$", "ok$"} <= got.keys()
+    values, p = np.array([-0.5, 0.0, 2.0]), np.array([6.0, 3.0, 1.0])
+    lam = toxicity._lambda(values, p)
+    assert abs((p / 10 * np.exp(lam * values)).sum() - 1) < 1e-6 and lam > 0
+    # K: segments of clean rows beyond e in a thousand words, where exp(-1) a word is due.
+    held = [{"y": 0, "m": 500, "found": [3.0, 0.2]}, {"y": 0, "m": 500, "found": []}, {"y": 1, "m": 10, "found": [9.0]}]
+    model, _ = toxicity._calibrated({}, held, [])
+    assert abs(model.k - 1 / (1000 * np.exp(-1))) < 1e-9
