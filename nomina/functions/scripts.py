@@ -26,28 +26,69 @@ FIRST_SEEN = {
     "GREEK": r"\x{370}-\x{3FF}", "LATIN": r"\x{41}-\x{5A}\x{61}-\x{7A}\x{C0}-\x{24F}",
 }
 FIRST_SEEN_SKIPS = r".,;:!?()\[\]{}\"'\-"
-LETTERS = {
-    "Latin": r"\x{41}-\x{5A}\x{61}-\x{7A}\x{FF21}-\x{FF3A}\x{FF41}-\x{FF5A}", "CJK": r"\x{4E00}-\x{9FFF}\x{3000}-\x{303F}\x{FF61}-\x{FF64}",
-    "Cyrillic": r"\x{400}-\x{52F}\x{2DE0}-\x{2DFF}\x{A640}-\x{A69F}\x{1C80}-\x{1C8F}\x{1E030}-\x{1E08F}",
-    "Greek": r"\x{370}-\x{3E1}\x{3F0}-\x{3FF}\x{1F00}-\x{1FFF}", "Han": r"\x{3400}-\x{4DBF}\x{F900}-\x{FAFF}",
-    "Hiragana": r"\x{3040}-\x{309F}", "Katakana": r"\x{30A0}-\x{30FF}\x{31F0}-\x{31FF}\x{FF65}-\x{FF9F}",
-    "Hangul": r"\x{AC00}-\x{D7AF}\x{1100}-\x{11FF}\x{A960}-\x{A97F}\x{D7B0}-\x{D7FF}\x{3130}-\x{318F}\x{FFA0}-\x{FFDF}",
-    "Arabic": r"\x{600}-\x{6FF}\x{750}-\x{77F}\x{8A0}-\x{8FF}\x{870}-\x{89F}\x{10EC0}-\x{10EFF}\x{FB50}-\x{FDFF}\x{FE70}-\x{FEFF}",
-    "Hebrew": r"\x{590}-\x{5FF}", "Devanagari": r"\x{900}-\x{97F}\x{A8E0}-\x{A8FF}\x{11B00}-\x{11B5F}", "Thai": r"\x{E00}-\x{E7F}",
-    "Turkish": r"\x{C7}\x{E7}\x{11E}-\x{11F}\x{130}-\x{131}\x{D6}\x{F6}\x{15E}-\x{15F}\x{DC}\x{FC}",
-}
-#: Membership tables by language, and those of letters no relative has.
-ALPHABETS = {
-    "russian": r"\x{401}\x{410}-\x{44F}\x{451}", "only_russian": r"\x{401}\x{42A}-\x{42B}\x{42D}\x{44A}-\x{44B}\x{44D}\x{451}",
-    "ukrainian": r"\x{404}\x{406}-\x{407}\x{410}-\x{429}\x{42C}\x{42E}-\x{449}\x{44C}\x{44E}-\x{44F}\x{454}\x{456}-\x{457}\x{490}-\x{491}",
-    "only_ukrainian": r"\x{404}\x{407}\x{454}\x{457}\x{490}-\x{491}",
-    "belarusian": r"\x{401}\x{406}\x{40E}\x{410}-\x{428}\x{42B}-\x{437}\x{439}-\x{448}\x{44B}-\x{44F}\x{451}\x{456}\x{45E}",
-    "only_belarusian": r"\x{40E}\x{45E}", "indic": r"\x{900}-\x{DFF}\x{A830}-\x{A83F}", "ascii": r"\x{0}-\x{7F}",
+# Membership tables by script and language, and those of letters no relative has.
+TABLES = {
+    "Latin": ((0x41, 0x5A), (0x61, 0x7A), (0xFF21, 0xFF3A), (0xFF41, 0xFF5A)),
+    "CJK": ((0x4E00, 0x9FFF), (0x3000, 0x303F), (0xFF61, 0xFF64)),
+    "Cyrillic": ((0x400, 0x4FF), (0x500, 0x52F), (0x2DE0, 0x2DFF), (0xA640, 0xA69F), (0x1C80, 0x1C8F), (0x1E030, 0x1E08F)),
+    "Greek": ((0x370, 0x3E1), (0x3F0, 0x3FF), (0x1F00, 0x1FFF)),
+    "Han": ((0x4E00, 0x9FFF), (0x3400, 0x4DBF), (0xF900, 0xFAFF)),
+    "Hiragana": ((0x3040, 0x309F),),
+    "Katakana": ((0x30A0, 0x30FF), (0x31F0, 0x31FF), (0xFF65, 0xFF9F)),
+    "Hangul": ((0xAC00, 0xD7AF), (0x1100, 0x11FF), (0xA960, 0xA97F), (0xD7B0, 0xD7FF), (0x3130, 0x318F), (0xFFA0, 0xFFDF)),
+    "Arabic": ((0x600, 0x6FF), (0x750, 0x77F), (0x8A0, 0x8FF), (0x870, 0x89F), (0x10EC0, 0x10EFF), (0xFB50, 0xFDFF), (0xFE70, 0xFEFF)),
+    "Hebrew": ((0x590, 0x5FF),),
+    "Devanagari": ((0x900, 0x97F), (0xA8E0, 0xA8FF), (0x11B00, 0x11B5F)),
+    "Thai": ((0xE00, 0xE7F),),
+    "Turkish": (
+        (0x41, 0x50), (0x61, 0x70), (0x52, 0x56), (0x72, 0x76), (0x59, 0x5A), (0x79, 0x7A), (0xC7, 0xC7), (0xE7, 0xE7),
+        (0x11E, 0x11F), (0x130, 0x131), (0xD6, 0xD6), (0xF6, 0xF6), (0x15E, 0x15F), (0xDC, 0xDC), (0xFC, 0xFC),
+    ),
+    "ascii": ((0x0, 0x7F),),
+    "indic": ((0x900, 0xDFF), (0xA830, 0xA83F)),
+    "punctuation": ((0x0, 0x40), (0x5B, 0x60), (0x7B, 0x7F), (0x80, 0xBF), (0x2000, 0x206F), (0xFF01, 0xFF20), (0xFF3B, 0xFF40), (0xFF5B, 0xFF65), (0xFFE0, 0xFFEE)),
+    "russian": ((0x401, 0x401), (0x410, 0x44F), (0x451, 0x451)),
+    "only_russian": ((0x401, 0x401), (0x42A, 0x42B), (0x42D, 0x42D), (0x44A, 0x44B), (0x44D, 0x44D), (0x451, 0x451)),
+    "ukrainian": (
+        (0x404, 0x404), (0x406, 0x407), (0x410, 0x429), (0x42C, 0x42C), (0x42E, 0x449), (0x44C, 0x44C), (0x44E, 0x44F),
+        (0x454, 0x454), (0x456, 0x457), (0x490, 0x491),
+    ),
+    "only_ukrainian": ((0x404, 0x404), (0x407, 0x407), (0x454, 0x454), (0x457, 0x457), (0x490, 0x491)),
+    "belarusian": (
+        (0x401, 0x401), (0x406, 0x406), (0x40E, 0x40E), (0x410, 0x428), (0x42B, 0x437), (0x439, 0x448), (0x44B, 0x44F),
+        (0x451, 0x451), (0x456, 0x456), (0x45E, 0x45E),
+    ),
+    "only_belarusian": ((0x40E, 0x40E), (0x45E, 0x45E)),
 }
 
 
-def _n(text: Column, chars: str) -> Column:
-    return F.regexp_count(text, F.lit(f"[{chars}]"))
+def chars(ranges: tuple[tuple[int, int], ...]) -> str:
+    """Ranges as the inside of a regular expression's class."""
+    return "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in ranges)
+
+
+def _without(ranges: tuple, others: tuple) -> tuple:
+    """What is left of some ranges after others."""
+    for c, d in others:
+        ranges = tuple((x, y) for a, b in ranges for x, y in ((a, min(b, c - 1)), (max(a, d + 1), b)) if x <= y) if ranges else ()
+    return ranges
+
+
+def _first_of(names: tuple[str, ...]) -> dict[str, str]:
+    """Classes of the tables in order; a code point of two belongs to the first."""
+    before: tuple = ()
+    out = {}
+    for name in names:
+        out[name] = chars(_without(TABLES[name], before))
+        before += TABLES[name]
+    return out
+
+
+LETTERS = _first_of(("Latin", "CJK", "Cyrillic", "Greek", "Han", "Hiragana", "Katakana", "Hangul", "Arabic", "Hebrew", "Devanagari", "Thai", "Turkish"))
+
+
+def _n(text: Column, members: str) -> Column:
+    return F.regexp_count(text, F.lit(f"[{members}]"))
 
 
 def _leader(counts: dict[str, Column], default: str) -> Column:
@@ -100,7 +141,7 @@ def dominant_letters(text: Column) -> Column:
 
 def within(text: Column, alphabet: str) -> Column:
     """Whether every character is in a table; true for the empty string."""
-    return text.rlike(f"^[{ALPHABETS.get(alphabet) or LETTERS[alphabet]}]*$")
+    return text.rlike(rf"\A[{chars(TABLES[alphabet])}]*\z")
 
 
 # Parts of Unicode names, in order.
