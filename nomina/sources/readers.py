@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import itertools
+from collections.abc import Iterable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.records import RECORD
@@ -11,14 +14,31 @@ CODECS = (".bz2", ".gz", ".json", ".jsonl")
 
 
 def lines(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
-    """``value`` and, from 1 in each file, ``ordinal``: the lines of text files,
-    decompressed by suffix. ``strict`` refuses other suffixes. Ordinals need the
-    whole file in one split, which a compressed or ``wholetext`` read has; they
-    are taken from the split's own order without a shuffle."""
+    """``file, ordinal, value``: the lines of text files, numbered from 1 in each,
+    decompressed by suffix; ``strict`` refuses other suffixes. Files are read in
+    splits: Spark's row numbers run through a split, and the counts of a file's
+    splits, a small table, tell where each begins."""
     if strict and not path.rstrip("*/").endswith(CODECS) and "." in path.rsplit("/", 1)[-1]:
         raise ValueError(f"unknown kind of file: {path}")
-    rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split(F.regexp_replace("value", r"\n$", ""), "\n")).alias("pos", "value"))
-    return rows.select("file", (F.col("pos") + 1).cast("long").alias("ordinal"), "value")
+    rows = spark.read.text(path, lineSep="\n").select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_id"), "value"
+    )
+    splits = rows.groupBy("file", "_start").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
+    before = F.sum("_n").over(Window.partitionBy("file").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = splits.select("file", "_start", "_first", F.coalesce(before, F.lit(0)).alias("_before"))
+    numbered = rows.join(F.broadcast(offsets), ["file", "_start"])
+    return numbered.select("file", (F.col("_before") + F.col("_id") - F.col("_first") + 1).cast("long").alias("ordinal"), "value")
+
+
+def standard_input(spark: SparkSession, stream: Iterable[str], rows: int = 100_000) -> DataFrame:
+    """``ordinal, value``: lines that a pipe brings to the driver, such as
+    ``sys.stdin``, sent on in pieces of ``rows``, so that the driver holds one."""
+    schema = "ordinal long, value string"
+    parts, numbers = [], itertools.count(1)
+    lines_ = (x.rstrip("\n") for x in stream)
+    while piece := list(itertools.islice(lines_, rows)):
+        parts.append(spark.sparkContext.parallelize([(next(numbers), x) for x in piece], 1))
+    return spark.createDataFrame(spark.sparkContext.union(parts), schema) if parts else spark.createDataFrame([], schema)
 
 
 def scanned(spark: SparkSession, path: str) -> DataFrame:

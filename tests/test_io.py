@@ -30,6 +30,34 @@ def test_json_lines(spark, tmp_path):
     assert [r["ordinal"] for r in numbered] == [1, 2, 3, 4, 5]
 
 
+def test_lines_are_numbered_across_splits(spark, tmp_path):
+    """Files of many splits, without a last line break, with empty lines."""
+    texts = {"a.jsonl": "\n".join(f"line {i} " + "x" * (i % 50) if i % 7 else "" for i in range(3000)), "b.json": "one\r\ntwo\n", "c.jsonl": ""}
+    for name, t in texts.items():
+        (tmp_path / name).write_bytes(t.encode())
+    with gzip.open(tmp_path / "d.jsonl.gz", "wt") as f:
+        f.write("\n".join(map(str, range(500))))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+    try:
+        got = {}
+        for r in readers.lines(spark, str(tmp_path)).collect():
+            got.setdefault(r["file"].rsplit("/", 1)[-1], []).append((r["ordinal"], r["value"]))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    for name in ("a.jsonl", "b.json"):
+        plain = texts[name].split("\n")
+        plain = plain[:-1] if plain[-1] == "" else plain
+        assert sorted(got[name]) == list(enumerate(plain, 1))
+    assert sorted(got["d.jsonl.gz"]) == [(i + 1, str(i)) for i in range(500)] and "c.jsonl" not in got
+
+
+def test_standard_input(spark):
+    got = readers.standard_input(spark, iter(["a\n", "\n", "b"]), rows=2)
+    assert [tuple(r) for r in got.orderBy("ordinal").collect()] == [(1, "a"), (2, ""), (3, "b")]
+    assert readers.standard_input(spark, iter([])).count() == 0
+
+
 def test_csv_and_reports(spark, tmp_path):
     (tmp_path / "a.csv").write_text('id,canonical,name,language\nQ1,"A ""x""","A, B",en\n')
     assert tuple(readers.alias_csv(spark, str(tmp_path / "a.csv")).first()) == ("Q1", 'A "x"', "A, B", "en")
