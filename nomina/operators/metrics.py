@@ -7,8 +7,10 @@ m_ms``. Percentages are of all cases; ratios over nothing are null, never errors
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -56,9 +58,67 @@ def ndcg(results: DataFrame, by: Iterable[str] = (), ks: tuple[int, ...] = (5, 1
     return results.groupBy(*by).agg(*[ndcg_at(f"{m}_rank", k).alias(f"{m}_ndcg_{k}") for m in ("name", "emb") for k in ks])
 
 
+#: Distinct values that a range is to hold, and the most ranges.
+RANGE, RANGES = 50_000, 4096
+
+
+def quantile_cuts(rows: DataFrame, value: str, n: int) -> list[float]:
+    """``n`` ranges' bounds, by approximate quantiles."""
+    return sorted(set(rows.approxQuantile(value, [i / n for i in range(1, n)], 1 / (2 * n)))) if n > 1 else []
+
+
+def _same(left: DataFrame, right: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
+    """Join on columns of the same names, where null equals null; a one-row right
+    side without any."""
+    if not by:
+        return left.crossJoin(F.broadcast(right))
+    right = right.withColumnsRenamed({c: f"_{c}_" for c in by})
+    return left.join(right, [F.col(c).eqNullSafe(F.col(f"_{c}_")) for c in by], how).drop(*[f"_{c}_" for c in by])
+
+
+def positions(rows: DataFrame, value: str, by: list[str] | tuple[str, ...] = ()) -> DataFrame:
+    """``by..., value, n, before``: for each distinct value of a group its rows
+    and the group's rows with smaller ones. Values are counted first, so ties
+    are one row however many they are; then they are ordered within ranges, whose
+    number follows that of the values and whose totals, a small table, give the
+    offsets. Null values take no part."""
+    by = list(by)
+    x = F.col(value).cast("double")
+    counts = rows.filter(x.isNotNull()).groupBy(*by, x.alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    cuts = quantile_cuts(counts, "value", min(RANGES, 1 + counts.count() // RANGE))
+    splits = [-math.inf, *cuts, math.inf]
+    cells = Bucketizer(splits=splits if len(splits) > 2 else [-math.inf, 0.0, math.inf], inputCol="value", outputCol="_cell", handleInvalid="keep").transform(counts)
+    totals = cells.groupBy(*by, "_cell").agg(F.sum("n").alias("_n"))
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    offset = F.coalesce(F.sum("_n").over(earlier(Window.partitionBy(*by).orderBy("_cell"))), F.lit(0))
+    both = _same(cells, totals.select(*by, "_cell", offset.alias("_offset")), [*by, "_cell"])
+    inside = F.coalesce(F.sum("n").over(earlier(Window.partitionBy(*by, "_cell").orderBy("value"))), F.lit(0))
+    return both.select(*by, "value", "n", (F.col("_offset") + inside).alias("before"))
+
+
 def percentiles(rows: DataFrame, value: str, points: tuple[float, ...], by: Iterable[str] = ()) -> DataFrame:
-    """Percentiles by linear interpolation."""
-    return rows.groupBy(*by).agg(*[F.percentile(value, F.lit(p)).alias(f"p{round(100 * p):02d}") for p in points])
+    """Percentiles by linear interpolation, from counts by value; null where a
+    group has no value."""
+    by = list(by)
+    run = positions(rows, value, by)
+    total = run.groupBy(*by).agg(F.sum("n").alias("_all"))
+    both = _same(run, total, by)
+    at = lambda p: F.lit(p) * (F.col("_all") - 1)
+    holds = lambda k: F.max(F.when((F.col("before") <= k) & (k < F.col("before") + F.col("n")), F.col("value")))
+    ends = [x for i, p in enumerate(points) for x in (holds(F.floor(at(p))).alias(f"_low{i}"), holds(F.ceil(at(p))).alias(f"_high{i}"), F.max(at(p) - F.floor(at(p))).alias(f"_part{i}"))]
+    found = both.groupBy(*by).agg(*ends)
+    between = lambda i: F.col(f"_low{i}") + (F.col(f"_high{i}") - F.col(f"_low{i}")) * F.col(f"_part{i}")
+    out = found.select(*by, *[between(i).alias(f"p{round(100 * p):02d}") for i, p in enumerate(points)])
+    return _same(rows.select(*by).distinct(), out, by, "left") if by else out
+
+
+def with_medians(report: DataFrame, rows: DataFrame, medians: dict[str, str], by: Iterable[str] = ()) -> DataFrame:
+    """A report with the medians of columns of ``rows`` under the given names;
+    ``by``: what both are grouped by. Null keys are a group."""
+    by = list(by)
+    for value, name in medians.items():
+        report = _same(report, percentiles(rows, value, (0.5,), by).withColumnRenamed("p50", name), by, "left")
+    return report
 
 
 def floor_percentiles(rows: DataFrame, value: str, points: tuple[float, ...], by: Iterable[str] = ()) -> DataFrame:
@@ -74,9 +134,9 @@ def floor_percentiles(rows: DataFrame, value: str, points: tuple[float, ...], by
 
 
 def describe(value: Column | str, name: str) -> list[Column]:
-    """Mean, median, extremes and population deviation."""
+    """Mean, extremes and population deviation; ``with_medians`` adds medians."""
     v = _c(value)
-    return [F.avg(v).alias(f"{name}_mean"), F.median(v).alias(f"{name}_median"), F.min(v).alias(f"{name}_min"), F.max(v).alias(f"{name}_max"), F.stddev_pop(v).alias(f"{name}_std")]
+    return [F.avg(v).alias(f"{name}_mean"), F.min(v).alias(f"{name}_min"), F.max(v).alias(f"{name}_max"), F.stddev_pop(v).alias(f"{name}_std")]
 
 
 def relative_ranking(placed: DataFrame, by: Iterable[str] = ()) -> DataFrame:
@@ -85,12 +145,14 @@ def relative_ranking(placed: DataFrame, by: Iterable[str] = ()) -> DataFrame:
     found, mean ranks and mean number of hits."""
     s, p, n = F.col("scenario"), F.col("positive_rank"), F.col("negative_rank")
     names = ("both_found_correct_order", "both_found_wrong_order", "only_positive_found", "only_negative_found", "neither_found")
-    return placed.groupBy(*by).agg(
+    by = list(by)
+    report = placed.groupBy(*by).agg(
         *[percent(s == x).alias(x) for x in names],
         percent(s.isin("both_found_correct_order", "only_positive_found")).alias("positive_leads"),
-        F.avg(n - p).alias("mean_separation"), F.median(n - p).alias("median_separation"),
+        F.avg(n - p).alias("mean_separation"),
         F.avg(p).alias("mean_positive_rank"), F.avg(n).alias("mean_negative_rank"), F.avg("total").alias("mean_total"),
     )
+    return with_medians(report, placed.withColumn("_apart", n - p), {"_apart": "median_separation"}, by)
 
 
 def rescue(results: DataFrame, by: Iterable[str] = ()) -> DataFrame:
@@ -124,27 +186,35 @@ def guarded_corr(x: Column | str, y: Column | str) -> Column:
 def volume(results: DataFrame, mode: str = "emb") -> DataFrame:
     """How many hits come back, and whether more of them go with worse ranks."""
     total = F.col(f"{mode}_total")
-    return results.agg(F.avg(total).alias("mean_total"), F.median(total).alias("median_total"), F.min(total).alias("min_total"), F.max(total).alias("max_total"), guarded_corr(total, f"{mode}_rank").alias("total_rank_corr"))
+    one = results.agg(F.avg(total).alias("mean_total"), F.min(total).alias("min_total"), F.max(total).alias("max_total"), guarded_corr(total, f"{mode}_rank").alias("total_rank_corr"))
+    return with_medians(one, results, {f"{mode}_total": "median_total"})
 
 
 def score_distributions(scores: DataFrame) -> DataFrame:
     """``positive_score, negative_score`` described, and how far means part."""
     both = describe("positive_score", "positive") + describe("negative_score", "negative")
-    return scores.agg(*both, (F.avg("positive_score") - F.avg("negative_score")).alias("separation"))
+    one = scores.agg(*both, (F.avg("positive_score") - F.avg("negative_score")).alias("separation"))
+    return with_medians(one, scores, {"positive_score": "positive_median", "negative_score": "negative_median"})
 
 
-def _thresholds(spark: SparkSession, values: Iterable[int]) -> DataFrame:
-    return F.broadcast(spark.createDataFrame([(v,) for v in values], "threshold int"))
+def _at_or_above(scores: DataFrame, flags: dict[str, Column], values: Iterable[int]) -> DataFrame:
+    """``threshold`` and, for each of ``flags``, how many rows with a ``score`` at
+    or above it have the flag. Scores are counted before thresholds meet them."""
+    counts = scores.groupBy(F.floor("score").alias("_s")).agg(*[F.count_if(f).alias(c) for c, f in flags.items()])
+    cuts = F.broadcast(scores.sparkSession.createDataFrame([(v,) for v in values], "threshold int"))
+    sums = [F.coalesce(F.sum(F.when(F.col("_s") >= F.col("threshold"), F.col(c))), F.lit(0)).alias(c) for c in flags]
+    return cuts.join(counts, F.lit(True), "left").groupBy("threshold").agg(*sums)
 
 
 def sweep_eval(scores: DataFrame, values: Iterable[int] = (50, 60, 65, 70, 75, 80)) -> DataFrame:
     """For each cut-off of the bucket "close": recall of positives, their share
     among all at or above it, and the other cut-offs that go with it."""
     t = F.col("threshold")
-    p, n = F.count_if(F.col("positive_score") >= t), F.count_if(F.col("negative_score") >= t)
-    swept = scores.crossJoin(_thresholds(scores.sparkSession, values)).groupBy("threshold").agg(
-        F.try_divide(100.0 * p, F.count("positive_score")).alias("recall"), F.coalesce(F.try_divide(100.0 * p, p + n), F.lit(0.0)).alias("positive_share"),
-    )
+    both = scores.select(F.lit(True).alias("yes"), F.col("positive_score").alias("score")).unionByName(scores.select(F.lit(False).alias("yes"), F.col("negative_score").alias("score")))
+    sums = _at_or_above(both, {"p": F.col("yes"), "n": ~F.col("yes")}, values)
+    whole = F.broadcast(scores.agg(F.count("positive_score").alias("_all")))
+    p, n = F.col("p"), F.col("n")
+    swept = sums.crossJoin(whole).select("threshold", F.try_divide(100.0 * p, F.col("_all")).alias("recall"), F.coalesce(F.try_divide(100.0 * p, p + n), F.lit(0.0)).alias("positive_share"))
     return swept.select(
         "*", F.least(F.lit(100), t + 15).alias("same"), F.greatest(F.lit(20), t - 10).alias("likely"),
         F.greatest(F.lit(15), t - 20).alias("plausible"), F.greatest(F.lit(10), t - 30).alias("unlikely"),
@@ -163,12 +233,8 @@ def recommend_eval(sweep: DataFrame) -> DataFrame:
 def sweep_prod(hits: DataFrame, values: Iterable[int] = range(50, 85, 5)) -> DataFrame:
     """Hits (``case_id, is_expected, score``) at each cut-off: true and false
     positives, recall of cases, precision, F1 and hits for each case."""
-    t = F.col("threshold")
-    above = F.col("score") >= t
     cases = hits.select("case_id").distinct().agg(F.count(F.lit(1)).alias("cases"))
-    sums = hits.crossJoin(_thresholds(hits.sparkSession, values)).groupBy("threshold").agg(
-        F.count_if(above & F.col("is_expected")).alias("tp"), F.count_if(above & ~F.col("is_expected")).alias("fp")
-    )
+    sums = _at_or_above(hits, {"tp": F.col("is_expected"), "fp": ~F.col("is_expected")}, values)
     rows = sums.crossJoin(F.broadcast(cases))
     recall = F.coalesce(F.try_divide(100.0 * F.col("tp"), F.col("cases")), F.lit(0.0))
     precision = F.coalesce(F.try_divide(100.0 * F.col("tp"), F.col("tp") + F.col("fp")), F.lit(0.0))
@@ -214,12 +280,20 @@ def breakdown(results: DataFrame) -> DataFrame:
     return grouped.select(names.alias("dimension"), value.alias("value"), "cases", *[c for c in grouped.columns if c.split("_")[0] in ("name", "emb")])
 
 
-def by_variant(results: DataFrame) -> DataFrame:
-    return results.groupBy("variant_type").agg(
+def by_variant(results: DataFrame, placed: DataFrame | None = None, mode: str = "emb", ks: tuple[int, ...] = KS) -> DataFrame:
+    """Cases, found counts, accuracy, recall, mean reciprocal rank and times for
+    each variant type; ``placed`` (as for ``relative_ranking``, with
+    ``variant_type``) adds that block."""
+    rank = f"{mode}_rank"
+    report = results.groupBy("variant_type").agg(
         F.count(F.lit(1)).alias("cases"), F.count("name_rank").alias("name_found"), F.count("emb_rank").alias("emb_found"),
         recall_at("name_rank", 1).alias("name_accuracy"), recall_at("emb_rank", 1).alias("emb_accuracy"),
-        mrr_found("emb_rank").alias("emb_mrr"), F.avg("emb_ms").alias("emb_ms"),
+        *[recall_at(rank, k).alias(f"recall_{k}") for k in ks], mrr_found(rank).alias(f"{mode}_mrr"), F.avg(f"{mode}_ms").alias(f"{mode}_ms"),
     )
+    times = percentiles(results, f"{mode}_ms", (0.5, 0.95), ["variant_type"]).withColumnsRenamed({"p50": f"{mode}_ms_p50", "p95": f"{mode}_ms_p95"})
+    for more in (times, *([relative_ranking(placed, ["variant_type"])] if placed is not None else ())):
+        report = _same(report, more, ["variant_type"], "left")
+    return report
 
 
 def sibling_recall(cases: DataFrame, top: DataFrame) -> DataFrame:
@@ -230,6 +304,12 @@ def sibling_recall(cases: DataFrame, top: DataFrame) -> DataFrame:
     return found.groupBy("case_id").agg(F.try_divide(100.0 * F.count("hit"), F.count(F.lit(1))).alias("sibling_recall"))
 
 
+def sibling_report(recalls: DataFrame) -> DataFrame:
+    """Over ``sibling_recall``: cases, mean, and how many are perfect."""
+    perfect = F.col("sibling_recall") == 100
+    return recalls.agg(F.count(F.lit(1)).alias("cases"), F.avg("sibling_recall").alias("mean_recall"), F.count_if(perfect).alias("perfect"), percent(perfect).alias("perfect_rate"))
+
+
 def intra_distances(cases: DataFrame, top: DataFrame) -> DataFrame:
     """The distance of each alias found among a case's top hits, at its first
     place (``rank``)."""

@@ -117,28 +117,68 @@ def seeded(seed: int, *keys: str) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]).cast("binary"))
 
 
-def hard_positive_triplets(pairs: DataFrame, pool: DataFrame, n: int = 3, seed: int = 42, cells: int = 64) -> DataFrame:
+def numbered(pool: DataFrame, entity: str, name: str, by: list[str] | tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """Distinct names of a pool, numbered from 0 in each group of ``by`` so that
+    an entity's are neighbours: ``by..., entity, name, place``; and the entities:
+    ``by..., entity, first, own, total`` (its first number, how many it has, how
+    many there are). Hashes deal entities and an entity's names into cells, whose
+    totals give the offsets: no task orders all of them, nor all of an entity's."""
+    by = list(by)
+    cell = lambda c: F.substring(F.md5(F.col(c).cast("string").cast("binary")), 1, 3)
+    earlier = lambda n, w: F.coalesce(F.sum(n).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    names = pool.filter(F.col(entity).isNotNull() & F.col(name).isNotNull()).select(*by, F.col(entity).alias("entity"), F.col(name).alias("name")).distinct()
+    names = names.withColumn("_e", F.md5(F.col("entity").cast("string").cast("binary"))).withColumn("_n", F.md5(F.col("name").cast("binary"))).withColumn("_c", F.substring("_n", 1, 3))
+    parts = names.groupBy(*by, "entity", "_e", "_c").agg(F.count(F.lit(1)).alias("n"))
+    inside = parts.withColumn("_inside", earlier("n", Window.partitionBy(*by, "entity").orderBy("_c")))
+    own = parts.groupBy(*by, "entity", "_e").agg(F.sum("n").alias("own")).withColumn("_k", F.substring("_e", 1, 3))
+    cells = own.groupBy(*by, "_k").agg(F.sum("own").alias("n"))
+    cells = cells.withColumn("_before", earlier("n", Window.partitionBy(*by).orderBy("_k"))).withColumn("total", F.sum("n").over(Window.partitionBy(*by)))
+    near = own.join(F.broadcast(cells.drop("n")), [*by, "_k"])
+    entities = near.withColumn("first", F.col("_before") + earlier("own", Window.partitionBy(*by, "_k").orderBy("_e", "entity"))).select(*by, "entity", "first", "own", "total")
+    nth = F.row_number().over(Window.partitionBy(*by, "entity", "_c").orderBy("_n", "name")) - 1
+    rows = names.withColumn("_nth", nth).join(inside.select(*by, "entity", "_c", "_inside"), [*by, "entity", "_c"]).join(entities.select(*by, "entity", "first"), [*by, "entity"])
+    return rows.select(*by, "entity", "name", (F.col("first") + F.col("_inside") + F.col("_nth")).alias("place")), entities
+
+
+def draw_others(rows: DataFrame, keys: list[str], pool: DataFrame, entity: str, name: str, n: int, seed: int, by: list[str] | tuple[str, ...] = ()) -> DataFrame:
+    """``rows`` (with ``entity``), each ``n`` times with a ``negative`` of another
+    entity in its group, all different, fewer only where the pool has fewer. The
+    numbers of others are one range around the own ones, so a start and a stride
+    in it, from a hash of ``keys``, draw without a miss; names join by number."""
+    by = list(by)
+    places, entities = numbered(pool, entity, name, by)
+    whole = entities.groupBy(*by).agg(F.max("total").alias("_total"))
+    known = rows.join(entities.select(*by, F.col("entity").alias("_entity"), "first", "own"), [*[rows[c].eqNullSafe(entities[c]) for c in by], F.col("entity") == F.col("_entity")], "left")
+    for c in by:
+        known = known.drop(entities[c])
+    both = known.join(F.broadcast(whole), by) if by else known.crossJoin(F.broadcast(whole))
+    others = F.col("_total") - F.coalesce("own", F.lit(0))
+    h = F.conv(F.substring(seeded(seed, *keys), 1, 12), 16, 10).cast("long")
+    both = both.withColumn("_others", others).filter("_others > 0")
+    j = F.explode(F.sequence(F.lit(0), F.least(F.lit(n), F.col("_others").cast("int")) - 1))
+    stride = F.greatest(F.lit(1), F.expr(f"_others div {n}"))
+    drawn = both.withColumn("j", j).withColumn("_at", F.pmod(h + F.col("j") * stride, F.col("_others")))
+    drawn = drawn.withColumn("place", F.when(F.col("own").isNotNull() & (F.col("_at") >= F.col("first")), F.col("_at") + F.col("own")).otherwise(F.col("_at")))
+    found = drawn.join(places.select(*by, "place", F.col("name").alias("negative")), [*by, "place"])
+    return found.select(*rows.columns, "j", "negative")
+
+
+def hard_positive_triplets(pairs: DataFrame, pool: DataFrame, n: int = 3, seed: int = 42) -> DataFrame:
     """Hard positives, each with ``n`` negatives from ``pool`` (``entity, name``)
-    of other entities, and each also the other way round. The pool is dealt into
-    cells by hash and a pair draws from one cell, in hashed order, so that no
-    pair meets the whole pool."""
-    cell = lambda c: F.pmod(F.conv(F.substring(c, 1, 8), 16, 10).cast("long"), F.lit(cells))
-    hard = pairs.filter(is_hard_positive()).withColumn("cell", cell(seeded(seed, "name_a", "name_b")))
-    other = pool.select("entity", F.col("name").alias("negative")).withColumn("cell", cell(seeded(seed, "negative")))
-    drawn = hard.join(other, "cell").filter("entity <> entity_a").withColumn("draw", seeded(seed, "name_a", "name_b", "negative"))
-    few = first_n(drawn, ["name_a", "name_b"], ["draw", "negative"], n)
-    one = few.select(F.col("name_a").alias("anchor"), F.col("name_b").alias("positive"), "negative", F.col("entity_a").alias("anchor_group"))
-    return one.unionByName(few.select(F.col("name_b").alias("anchor"), F.col("name_a").alias("positive"), "negative", F.col("entity_a").alias("anchor_group")))
-
-
-def alias_triplets(named: DataFrame, most: int = 5, seed: int = 42, cells: int = 64) -> DataFrame:
+    of other entities, and each also the other way round."""
+    hard = pairs.filter(is_hard_positive()).withColumn("entity", F.col("entity_a")).select("name_a", "name_b", "entity")
+    few = draw_others(hard, ["name_a", "name_b"], pool, "entity", "name", n, seed)
+    one = few.select(F.col("name_a").alias("anchor"), F.col("name_b").alias("positive"), "negative", F.col("entity").alias("anchor_group"))
+    return one.unionByName(few.select(F.col("name_b").alias("anchor"), F.col("name_a").alias("positive"), "negative", F.col("entity").alias("anchor_group")))
+
+
+def alias_triplets(named: DataFrame, most: int = 5, seed: int = 42) -> DataFrame:
     """Triplets from records' own names (``record_id, record_type, idx, name``):
     pairs i < j of a record, each with the first name of another record of its
-    type, drawn by hash from one cell of them."""
-    cell = lambda c: F.pmod(F.conv(F.substring(c, 1, 8), 16, 10).cast("long"), F.lit(cells))
+    type, drawn by hash."""
     a = named.select("record_id", "record_type", F.col("idx").alias("i"), F.col("name").alias("anchor"))
     b = named.select("record_id", F.col("idx").alias("j"), F.col("name").alias("positive"))
-    pairs = first_n(a.join(b, "record_id").filter("i < j and anchor <> positive"), ["record_id"], ["i", "j"], most).withColumn("cell", cell(seeded(seed, "record_id", "i", "j")))
-    pool = named.filter("idx = 0").select(F.col("record_id").alias("other"), "record_type", F.col("name").alias("negative")).withColumn("cell", cell(seeded(seed, "other")))
-    drawn = pairs.join(pool, ["cell", "record_type"]).filter("other <> record_id").withColumn("draw", seeded(seed, "record_id", "i", "j", "other"))
-    return keep_first(drawn, ["record_id", "i", "j"], ["draw", "other"]).select("anchor", "positive", "negative", "record_type", "record_id")
+    pairs = first_n(a.join(b, "record_id").filter("i < j and anchor <> positive"), ["record_id"], ["i", "j"], most)
+    pairs = pairs.select(F.col("record_id").alias("entity"), "record_type", "i", F.col("j").alias("other"), "anchor", "positive")
+    drawn = draw_others(pairs, ["entity", "i", "other"], named.filter("idx = 0"), "record_id", "name", 1, seed, ["record_type"])
+    return drawn.select("anchor", "positive", "negative", "record_type", F.col("entity").alias("record_id"))

@@ -100,3 +100,15 @@ def contribution(hits: DataFrame) -> DataFrame:
     return hits.groupBy("case_id").agg(
         F.count_if(F.col("retrieved") & scored).alias("retrieved_and_scored"), F.count_if(F.col("retrieved") & ~scored).alias("retrieved_only"), F.count_if(~F.col("retrieved")).alias("neither")
     )
+
+
+def name_overlap(found: DataFrame, other: DataFrame, top: int = 10) -> DataFrame:
+    """``query_id, common, percent, names``: of two searches' results
+    (``query_id, rank, name``), the names that both have among their first
+    ``top``, how many, and as a percentage of ``top``. Null names count for
+    nothing; a query that only one search knows shares none."""
+    lists = lambda f, c: f.filter(F.col("rank") <= top).groupBy("query_id").agg(F.collect_set("name").alias(c))
+    both = lists(found, "x").join(lists(other, "y"), "query_id", "full")
+    none = F.array().cast("array<string>")
+    shared = F.array_sort(F.array_intersect(F.coalesce("x", none), F.coalesce("y", none)))
+    return both.select("query_id", F.size(shared).cast("long").alias("common"), (100.0 * F.size(shared) / top).alias("percent"), F.array_join(shared, ",").alias("names"))

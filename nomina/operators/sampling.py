@@ -3,7 +3,7 @@ a draw is the same on every run, engine and partitioning."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .pairs import seeded
@@ -31,17 +31,15 @@ def sample(rows: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
     return rows if n == 0 else shuffled(rows, key, seed).limit(n)
 
 
-def _nth(by: list[str], *order: Column) -> Column:
-    return F.row_number().over(Window.partitionBy(*by).orderBy(*order))
-
-
 def stratified(analyzed: DataFrame, size: int, key: str, person_ratio: float = 0.5, seed: int = 42) -> DataFrame:
     """A sample of persons and organisations by ratio; where one type has too
     few, the other makes up for it. Within a type, three tenths may go to records
     with aliases, two tenths to other than Latin names, the rest to anyone.
 
-    Quotas need only counts, and the draws are top-n by hash within a type and
-    stratum: Spark cuts those before the shuffle.
+    Whoever is drawn is among the first of its type, of those with aliases or of
+    those with other names, in seeded order: three top-n cuts, each made in the
+    tasks that read the records, leave a few times ``size`` rows, from which the
+    quotas are then filled.
     """
     rows = analyzed.filter(F.col("record_type").isin("PERSON", "ORGANIZATION")).withColumn("_draw", seeded(seed, key))
     have = {r["record_type"]: r["n"] for r in rows.groupBy("record_type").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -54,18 +52,29 @@ def stratified(analyzed: DataFrame, size: int, key: str, person_ratio: float = 0
     elif orgs < o:
         o = orgs
         p = min(size - o, persons)
-    target = F.when(F.col("record_type") == "PERSON", p).otherwise(o)
-    a = F.when(F.col("record_type") == "PERSON", int(p * 0.3)).otherwise(int(o * 0.3))
-    s = F.when(F.col("record_type") == "PERSON", int(p * 0.2)).otherwise(int(o * 0.2))
-    by, draw = ["record_type"], (F.col("_draw"), F.col(key))
-    first = rows.filter("has_aliases").withColumn("_n", _nth(by, *draw)).filter(F.col("_n") <= a).drop("_n")
-    rest = rows.join(first.select(key), key, "left_anti")
-    second = rest.filter("script <> 'latin'").withColumn("_n", _nth(by, *draw)).filter(F.col("_n") <= s).drop("_n")
-    taken = first.unionByName(second)
-    got = taken.groupBy("record_type").agg(F.count(F.lit(1)).alias("_got"))
-    left = rows.join(taken.select(key), key, "left_anti").withColumn("_n", _nth(by, *draw)).filter(F.col("_n") <= target)
-    fill = left.join(F.broadcast(got), "record_type", "left").filter(F.col("_n") <= target - F.coalesce("_got", F.lit(0))).drop("_n", "_got")
-    return taken.unionByName(fill).drop("_draw")
+    made = [_drawn(rows.filter(F.col("record_type") == kind), target, key) for kind, target in (("PERSON", p), ("ORGANIZATION", o))]
+    return made[0].unionByName(made[1])
+
+
+def _drawn(rows: DataFrame, target: int, key: str) -> DataFrame:
+    """``target`` rows of one type, by stratum."""
+    order = (F.col("_draw"), F.col(key))
+    with_aliases, others = int(target * 0.3), int(target * 0.2)
+    odd = F.coalesce(F.col("script") != "latin", F.lit(False))
+    cuts = ((F.coalesce("has_aliases", F.lit(False)), with_aliases), (odd, with_aliases + others), (F.lit(True), target))
+    few = None
+    for of, n in cuts:
+        part = rows.filter(of).orderBy(*order).limit(n)
+        few = part if few is None else few.unionByName(part)
+    # From here on a few times ``target`` rows: rank them by stratum.
+    few = few.dropDuplicates([key])
+    nth = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+    first = few.withColumn("_a", F.coalesce("has_aliases", F.lit(False))).withColumn("_first", F.col("_a") & (nth("_a") <= with_aliases))
+    second = first.withColumn("_o", odd & ~F.col("_first")).withColumn("_second", F.col("_o") & (nth("_o") <= others))
+    taken = second.withColumn("_taken", F.col("_first") | F.col("_second"))
+    all_taken = F.count_if("_taken").over(Window.partitionBy(F.lit(1)))
+    chosen = taken.withColumn("_got", all_taken).withColumn("_n", nth("_taken")).filter(F.col("_taken") | (F.col("_n") <= target - F.col("_got")))
+    return chosen.select(*[c for c in rows.columns if c != "_draw"])
 
 
 def priority_split(rows: DataFrame, n: int, priority: str, key: str, share: float = 0.8, seed: int = 42) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import comparison, metrics, ranking, search, stats
 from ..plans import pipelines
-from .base import WITH_ALIASES, WITH_HITS, WITH_RESULTS, Query, aliases, expected, hits, results, rounded, table
+from .base import HITS, WITH_ALIASES, WITH_HITS, WITH_RESULTS, Query, aliases, expected, hits, results, rounded, table
 
 KS, NS = metrics.KS, (5, 10, 20, 100)
 
@@ -82,7 +82,8 @@ def pctl_floor(spark, d):
 
 
 def latency_stats(spark, d):
-    return rounded(table(spark, d, "events").groupBy("event_type").agg(*metrics.describe("value", "ms")))
+    events = table(spark, d, "events")
+    return rounded(metrics.with_medians(events.groupBy("event_type").agg(*metrics.describe("value", "ms")), events, {"value": "ms_median"}, ["event_type"]))
 
 
 def _scores(spark, d):
@@ -119,7 +120,10 @@ def breakdown_grouping_sets(spark, d):
 
 
 def by_variant(spark, d):
-    return rounded(metrics.by_variant(results(spark, d)))
+    types = table(spark, d, "events").select(F.expr(HITS["case_id"]).alias("case_id"), F.col("event_type").alias("variant_type"), "event_id")
+    first = types.groupBy("case_id").agg(F.min_by("variant_type", "event_id").alias("variant_type"))
+    placed = _placed(spark, d).filter("mode = 'emb'").join(first, "case_id")
+    return rounded(metrics.by_variant(results(spark, d), placed))
 
 
 def rank_histogram(spark, d):
@@ -172,7 +176,12 @@ def sibling_recall(spark, d):
 
 def intra_distance(spark, d):
     found = metrics.intra_distances(_siblings(spark, d), _top(spark, d))
-    return rounded(found.agg(F.count(F.lit(1)).alias("n"), *metrics.describe("distance", "distance"), F.percentile("distance", F.lit(0.95)).alias("p95")))
+    report = metrics.with_medians(found.agg(F.count(F.lit(1)).alias("n"), *metrics.describe("distance", "distance")), found, {"distance": "distance_median"})
+    return rounded(report.crossJoin(F.broadcast(metrics.percentiles(found, "distance", (0.95,)))))
+
+
+def sibling_report(spark, d):
+    return rounded(metrics.sibling_report(metrics.sibling_recall(_siblings(spark, d), _top(spark, d))))
 
 
 def _reports(spark, d):
@@ -309,13 +318,19 @@ QUERIES = {
   UNION ALL SELECT 'aggressive', coalesce((SELECT min(threshold) FROM w WHERE recall >= 90), (SELECT min(threshold) FROM w)))
 SELECT profile, 100 AS same, close, greatest(close - 10, 50) AS likely, greatest(close - 20, 40) AS plausible, greatest(close - 30, 30) AS unlikely FROM c"""),
     "breakdown_grouping_sets": Query(breakdown_grouping_sets, f"WITH {WITH_RESULTS} " + " UNION ALL ".join(f"SELECT '{n}' AS dimension, {e} AS value, {_GROUP} FROM results GROUP BY {e}" for n, e in (("record_type", "record_type"), ("script", _SCRIPT), ("name_type", _KIND)))),
-    "by_variant": Query(by_variant, _R + f"variant_type, count(*) AS cases, count(name_rank) AS name_found, count(emb_rank) AS emb_found, {_pct('name_rank <= 1')} AS name_accuracy, {_pct('emb_rank <= 1')} AS emb_accuracy, {_mrr('emb_rank')} AS emb_mrr, round(avg(emb_ms), 6) AS emb_ms FROM results GROUP BY variant_type"),
+    "by_variant": Query(by_variant, _BY_ORDINAL + f", {WITH_RESULTS}" + _PLACED + f""", v AS (SELECT {HITS["case_id"]} AS case_id, arg_min(event_type, event_id) AS variant_type FROM events GROUP BY 1),
+q AS (SELECT s.*, v.variant_type FROM s JOIN v USING (case_id) WHERE mode = 'emb'), w AS (SELECT variant_type, """ + ", ".join(f"{_pct(f'''scenario = '{x}' ''')} AS {x}" for x in _SCENARIOS) + f""", {_pct("scenario IN ('both_found_correct_order', 'only_positive_found')")} AS positive_leads,
+  round(avg(negative_rank - positive_rank), 6) AS mean_separation, round(CAST(median(negative_rank - positive_rank) AS DOUBLE), 6) AS median_separation, round(avg(positive_rank), 6) AS mean_positive_rank, round(avg(negative_rank), 6) AS mean_negative_rank, round(avg(total), 6) AS mean_total FROM q GROUP BY variant_type),
+u AS (SELECT variant_type, count(*) AS cases, count(name_rank) AS name_found, count(emb_rank) AS emb_found, {_pct('name_rank <= 1')} AS name_accuracy, {_pct('emb_rank <= 1')} AS emb_accuracy, {", ".join(f"{_pct(f'emb_rank <= {k}')} AS recall_{k}" for k in (1, 5, 10, 100))}, {_mrr('emb_rank')} AS emb_mrr, round(avg(emb_ms), 6) AS emb_ms,
+  round(quantile_cont(emb_ms, 0.5), 6) AS emb_ms_p50, round(quantile_cont(emb_ms, 0.95), 6) AS emb_ms_p95 FROM results GROUP BY variant_type)
+SELECT * FROM u LEFT JOIN w USING (variant_type)"""),
     "rank_histogram": Query(rank_histogram, f"WITH {WITH_RESULTS} " + " UNION ALL ".join(f"SELECT '{m}' AS mode, {_BUCKET.format(f'{m}_rank')} AS bucket, count(*) AS n FROM results GROUP BY ALL" for m in ("name", "emb"))),
     "query_name_types": Query(query_name_types, _R + f"{_KIND} AS kind, {_SCRIPT} AS script, count(*) AS n FROM results GROUP BY ALL"),
     "mode_pairing": Query(mode_pairing, _BY_SCORE + f", a AS ({_SIDE.format('name')}), b AS ({_SIDE.format('emb')}) SELECT e.case_id, expected_entity_id, a.rank AS name_rank, a.total AS name_total, b.rank AS emb_rank, b.total AS emb_total FROM expected e LEFT JOIN a USING (case_id) LEFT JOIN b USING (case_id) WHERE e.case_id IN (SELECT case_id FROM hits)"),
     "response_flatten": Query(response_flatten, f"WITH {WITH_HITS} SELECT case_id, CAST(row_number() OVER (PARTITION BY case_id ORDER BY ordinal) - 1 AS INTEGER) AS ordinal, entity_id, gnr_score, emb_score FROM hits WHERE mode = 'emb' QUALIFY entity_id <> 3"),
     "embedding_contribution": Query(embedding_contribution, f"WITH {WITH_HITS} SELECT case_id, count(*) FILTER (ordinal % 3 <> 0 AND emb_score IS NOT NULL) AS retrieved_and_scored, count(*) FILTER (ordinal % 3 <> 0 AND emb_score IS NULL) AS retrieved_only, count(*) FILTER (ordinal % 3 = 0) AS neither FROM hits GROUP BY 1"),
     "sibling_recall": Query(sibling_recall, _TOP + "SELECT case_id, round(100.0::DOUBLE * count(distance) / count(*), 6) AS sibling_recall FROM f GROUP BY case_id"),
+    "sibling_report": Query(sibling_report, _TOP + f", r AS (SELECT case_id, 100.0::DOUBLE * count(distance) / count(*) AS recall FROM f GROUP BY case_id) SELECT count(*) AS cases, round(avg(recall), 6) AS mean_recall, count(*) FILTER (recall = 100) AS perfect, {_pct('recall = 100')} AS perfect_rate FROM r"),
     "intra_distance": Query(intra_distance, _TOP + f"SELECT count(*) AS n, {_stats('distance', 'distance')}, round(quantile_cont(distance, 0.95), 6) AS p95 FROM f WHERE distance IS NOT NULL"),
     "compare_models": Query(compare_models, _REPORTS + "SELECT test_set, model_type, split_part(model_path, '/', 3) AS model, emb_accuracy, ndcg_10, round(max(emb_accuracy) OVER (PARTITION BY test_set, model_type) - emb_accuracy, 6) AS behind FROM g"),
     "best_models": Query(best_models, _REPORTS + "SELECT test_set, model_type, model_path, emb_accuracy FROM g QUALIFY row_number() OVER (PARTITION BY test_set, model_type ORDER BY emb_accuracy DESC, model_path) = 1"),

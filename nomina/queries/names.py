@@ -166,22 +166,49 @@ def script_sets(spark, d):
     return names(spark, d).select("id", F.array_join(scripts.script_set(F.col("name")), "+").alias("scripts"))
 
 
+#: Words that tell the tables apart, besides the names.
+_WORDS = ("İstanbul", "ĞÜŞ", "日本", "㐀豈", "、。", "…!?", "—", "ＡＢｃ", "ёлка", "їжак", "ўсё", "हिन्दी", "தமிழ்", "한글", "ｶﾅ", "かな", "ไทย", "שלום", "اردو", "ᾳ", "a1", "")
+
+
 def script_alphabets(spark, d):
-    kinds = ("russian", "ukrainian", "belarusian", "only_russian", "Hebrew", "ascii")
-    return names(spark, d).select("id", *[scripts.within(F.col("name"), k).alias(f"in_{k.lower()}") for k in kinds])
+    words = spark.createDataFrame([(f"w{i}", w) for i, w in enumerate(_WORDS)], "id string, name string")
+    rows = names(spark, d).select("id", "name").unionByName(words)
+    return rows.select("id", *[scripts.within(F.col("name"), k).alias(f"in_{k.lower()}") for k in scripts.TABLES])
+
+
+# The tables' members, as the oracle has them.
+_MEMBERS = {
+    "Latin": r"A-Za-zＡ-Ｚａ-ｚ", "CJK": r"\x{4E00}-\x{9FFF}\x{3000}-\x{303F}\x{FF61}-\x{FF64}",
+    "Cyrillic": r"\x{400}-\x{52F}\x{2DE0}-\x{2DFF}\x{A640}-\x{A69F}\x{1C80}-\x{1C8F}\x{1E030}-\x{1E08F}",
+    "Greek": r"\x{370}-\x{3E1}\x{3F0}-\x{3FF}\x{1F00}-\x{1FFF}", "Han": r"\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{F900}-\x{FAFF}",
+    "Hiragana": r"\x{3040}-\x{309F}", "Katakana": r"\x{30A0}-\x{30FF}\x{31F0}-\x{31FF}\x{FF65}-\x{FF9F}",
+    "Hangul": r"\x{AC00}-\x{D7FF}\x{1100}-\x{11FF}\x{A960}-\x{A97F}\x{3130}-\x{318F}\x{FFA0}-\x{FFDF}",
+    "Arabic": r"\x{600}-\x{6FF}\x{750}-\x{77F}\x{870}-\x{8FF}\x{10EC0}-\x{10EFF}\x{FB50}-\x{FDFF}\x{FE70}-\x{FEFF}",
+    "Hebrew": r"\x{590}-\x{5FF}", "Devanagari": r"\x{900}-\x{97F}\x{A8E0}-\x{A8FF}\x{11B00}-\x{11B5F}", "Thai": r"\x{E00}-\x{E7F}",
+    "Turkish": r"A-PR-VYZa-pr-vyzÇçĞğİıÖöŞşÜü", "ascii": r"\x00-\x7F", "indic": r"\x{900}-\x{DFF}\x{A830}-\x{A83F}",
+    "punctuation": r"\x00-@\[-`{-¿\x{2000}-\x{206F}！-＠［-｀｛-\x{FF65}\x{FFE0}-\x{FFEE}",
+    "russian": r"ЁёА-я", "only_russian": r"ЁёЪъЫыЭэ", "ukrainian": r"ЄєІіЇїҐґА-ЩЬЮ-щьюя", "only_ukrainian": r"ЄєЇїҐґ",
+    "belarusian": r"ЁёІіЎўА-ШЫ-зй-шы-я", "only_belarusian": r"Ўў",
+}
 
 
 def cross_script(spark, d):
-    """Fixed names in pairs: the set rule and the first-seen rule."""
-    few = names(spark, d).filter("id like 'n%'").withColumn("s", scripts.script_set(F.col("name"))).withColumn("f", scripts.first_seen(F.col("name")))
-    a, b = few.select(F.col("id").alias("a"), F.col("s").alias("sa"), F.col("f").alias("fa")), few.select(F.col("id").alias("b"), F.col("s").alias("sb"), F.col("f").alias("fb"))
-    return a.join(b, F.col("a") < F.col("b")).select("a", "b", scripts.cross_script(F.col("sa"), F.col("sb")).alias("no_common_script"), scripts.differs(F.col("fa"), F.col("fb")).alias("differs"))
+    """Names in pairs by the set rule and the first-seen rule: names with the
+    same scripts are counted first, and only kinds of names meet."""
+    kinds = names(spark, d).withColumn("s", scripts.script_set(F.col("name"))).withColumn("f", scripts.first_seen(F.col("name")))
+    kinds = kinds.groupBy(F.array_join("s", "+").alias("kind"), "s", "f").agg(F.count(F.lit(1)).alias("n"))
+    side = lambda x: kinds.select(*[F.col(c).alias(f"{c}_{x}") for c in ("kind", "s", "f", "n")])
+    both = side("a").join(F.broadcast(side("b")), (F.col("kind_a") < F.col("kind_b")) | ((F.col("kind_a") == F.col("kind_b")) & (F.col("f_a") <= F.col("f_b"))))
+    same = (F.col("kind_a") == F.col("kind_b")) & (F.col("f_a") == F.col("f_b"))
+    pairs = F.when(same, F.expr("n_a * (n_a - 1) div 2")).otherwise(F.col("n_a") * F.col("n_b"))
+    return both.select("kind_a", "f_a", "kind_b", "f_b", pairs.alias("pairs"), scripts.cross_script(F.col("s_a"), F.col("s_b")).alias("no_common_script"), scripts.differs(F.col("f_a"), F.col("f_b")).alias("differs"))
 
 
 def entity_scripts(spark, d):
-    """Fixed names in groups of four as entities' aliases."""
-    few = names(spark, d).filter("id like 'n%'").withColumn("entity", F.floor(F.substring("id", 2, 9).cast("int") / 4).cast("long")).withColumn("s", scripts.script_set(F.col("name")))
-    sets = few.groupBy("entity").agg(F.collect_list("s").alias("sets"))
+    """Names in groups of four as entities' aliases."""
+    number = F.floor(F.substring("id", 2, 20).cast("bigint") / 4).cast("string")
+    rows = names(spark, d).withColumn("entity", F.concat(F.substring("id", 1, 1), number)).withColumn("s", scripts.script_set(F.col("name")))
+    sets = rows.groupBy("entity").agg(F.collect_list("s").alias("sets"))
     return sets.select("entity", scripts.has_cross_script(F.col("sets")).alias("has_cross"), scripts.cross_script_pairs(F.col("sets")).cast("long").alias("pairs"))
 
 
@@ -204,14 +231,15 @@ def _bucket_sql(feature: str) -> str:
     return "CASE " + " ".join(f"WHEN score >= {low} THEN '{b}'" for b, low in zip(text.BUCKET_NAMES, text.BUCKETS[feature], strict=True)) + " END"
 
 
-def eval_no_legal_entity(spark, d):
-    """ASCII names only: word boundaries in the oracle's dialect are ASCII."""
-    return _rule(text.without_legal_entity)(spark, d).filter(scripts.within(F.col("name"), "ascii"))
+#: Boundaries are ASCII in the oracle's dialect: letters beyond it go between
+#: underscores, which count as word characters, and lose them afterwards.
+_MARKED = r"regexp_replace(name, '([^\x00-\x7F\P{L}]|[^\x00-\x7F\P{M}]|[^\x00-\x7F\P{N}])', '_\1_', 'g')"
+_UNMARK = r"regexp_replace({}, '_([^\x00-\x7F\P{{L}}]|[^\x00-\x7F\P{{M}}]|[^\x00-\x7F\P{{N}}])_', '\1', 'g')"
 
 
 QUERIES = {
     **{k: Query(_rule(fn), f"WITH {WITH_NAMES} SELECT id, name, {sql} AS result FROM names") for k, (fn, sql) in RULES.items()},
-    "eval_no_legal_entity": Query(eval_no_legal_entity, f"WITH {WITH_NAMES} SELECT id, name, {_legal_entity_sql()} AS result FROM names WHERE regexp_matches(name, '^[{scripts.ALPHABETS['ascii']}]*$')"),
+    "eval_no_legal_entity": Query(_rule(text.without_legal_entity), f"WITH {WITH_NAMES}, m AS (SELECT id, name AS whole, {_MARKED} AS name FROM names) SELECT id, whole AS name, {_UNMARK.format(_legal_entity_sql())} AS result FROM m"),
     "variants_business": Query(_exploded(text.business_variants), _kinds(_BUSINESS)),
     "variants_person": Query(_exploded(text.person_variants), _kinds(_PERSON)),
     "eval_abbrev": Query(_exploded(text.abbreviated_person), _kinds(_ABBREVIATED)),
@@ -224,9 +252,11 @@ QUERIES = {
     "script_detect_v3": Query(script_sets, f"WITH {WITH_NAMES} SELECT id, array_to_string({_SET_SQL}, '+') AS scripts FROM names"),
     "script_detect_v4": _script(scripts.first_seen, _FIRST_SEEN_SQL),
     "script_detect_v5": _script(scripts.dominant_letters, _first_sql(scripts.LETTERS, "Other", _LETTERS)),
-    "script_detect_v6": Query(script_alphabets, f"WITH {WITH_NAMES} SELECT id, " + ", ".join(f"regexp_matches(name, '^[{scripts.ALPHABETS.get(k) or scripts.LETTERS[k]}]*$') AS in_{k.lower()}" for k in ("russian", "ukrainian", "belarusian", "only_russian", "Hebrew", "ascii")) + " FROM names"),
-    "cross_script": Query(cross_script, f"WITH {WITH_NAMES}, s AS (SELECT id, {_SET_SQL} AS s, {_FIRST_SEEN_SQL} AS f FROM names WHERE id LIKE 'n%') SELECT x.id AS a, y.id AS b, len(list_intersect(x.s, y.s)) = 0 AS no_common_script, x.f <> y.f AND x.f <> 'UNKNOWN' AND y.f <> 'UNKNOWN' AS differs FROM s x JOIN s y ON x.id < y.id"),
-    "entity_scripts": Query(entity_scripts, f"""WITH {WITH_NAMES}, s AS (SELECT CAST(floor(CAST(substr(id, 2) AS INTEGER) / 4) AS BIGINT) AS entity, {_SET_SQL} AS s FROM names WHERE id LIKE 'n%')
+    "script_detect_v6": Query(script_alphabets, f"WITH {WITH_NAMES} SELECT id, " + ", ".join(f"regexp_matches(name, '\\A[{v}]*\\z') AS in_{k.lower()}" for k, v in _MEMBERS.items()) + " FROM (SELECT id, name FROM names UNION ALL SELECT * FROM (VALUES " + ", ".join(f"('w{i}', '{w}')" for i, w in enumerate(_WORDS)) + ") w(id, name))"),
+    "cross_script": Query(cross_script, f"""WITH {WITH_NAMES}, s AS (SELECT {_SET_SQL} AS s, {_FIRST_SEEN_SQL} AS f FROM names), k AS (SELECT array_to_string(s, '+') AS kind, s, f, count(*) AS n FROM s GROUP BY ALL)
+SELECT x.kind AS kind_a, x.f AS f_a, y.kind AS kind_b, y.f AS f_b, CAST(CASE WHEN x.kind = y.kind AND x.f = y.f THEN x.n * (x.n - 1) // 2 ELSE x.n * y.n END AS BIGINT) AS pairs, len(list_intersect(x.s, y.s)) = 0 AS no_common_script,
+  x.f <> y.f AND x.f <> 'UNKNOWN' AND y.f <> 'UNKNOWN' AS differs FROM k x JOIN k y ON x.kind < y.kind OR (x.kind = y.kind AND x.f <= y.f)"""),
+    "entity_scripts": Query(entity_scripts, f"""WITH {WITH_NAMES}, s AS (SELECT substr(id, 1, 1) || (CAST(substr(id, 2) AS BIGINT) // 4) AS entity, {_SET_SQL} AS s FROM names)
 SELECT entity, bool_or(list_contains(s, 'Latin')) AND bool_or(len(list_filter(s, lambda x: x NOT IN ('Latin', 'Other'))) > 0) AS has_cross, count(*) FILTER (len(s) = 1 AND s[1] = 'Latin') * count(*) FILTER (NOT list_contains(s, 'Latin')) AS pairs FROM s GROUP BY entity"""),
     "lexical_score": Query(lexical_score, f"""WITH {WITH_NAMES}, {_SCORED}, c AS (SELECT id, len(list_intersect({_A}, {_B})) AS n, len(list_distinct(list_concat({_A}, {_B}))) AS m FROM s),
 k AS (SELECT id, CASE WHEN n > 0 THEN CAST(floor(100.0 * n / m) AS INTEGER) END AS score FROM c)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import pairs as ops
-from ..operators import search, stats
+from ..operators import ranking, search, stats
 from .base import WITH_ALIASES, WITH_HITS, WITH_PAIRS, Query, aliases, hits, pairs, rounded, table
 
 _SCRIPTS = ("LATIN", "CYRILLIC", "CJK")
@@ -13,7 +13,7 @@ _SCRIPTS = ("LATIN", "CYRILLIC", "CJK")
 
 def _members(spark, d):
     """A brand's parts as an entity's aliases, in scripts by number."""
-    p = table(spark, d, "part").filter("p_size <= 20")
+    p = table(spark, d, "part")
     script = F.element_at(F.array(*map(F.lit, _SCRIPTS)), (F.col("p_partkey") % 3 + 1).cast("int"))
     return p.select(F.col("p_brand").alias("entity"), F.col("p_partkey").alias("ord"), F.concat("p_name", F.lit(" "), F.col("p_partkey").cast("string")).alias("name"), script.alias("script"))
 
@@ -60,7 +60,7 @@ def corr_spearman(spark, d):
 
 
 def corr_kendall(spark, d):
-    return rounded(stats.kendall(pairs(spark, d).withColumn("cosine_sim", F.round("cosine_sim", 2))))
+    return rounded(stats.kendall(pairs(spark, d)))
 
 
 def roc_auc(spark, d):
@@ -87,6 +87,12 @@ def problem_cases(spark, d):
     return stats.problem_cases(pairs(spark, d)).select("name_a", "name_b", "gnr_score", "cosine_sim", "problem")
 
 
+def problem_report(spark, d):
+    found = stats.problem_report(pairs(spark, d), ["name_a", "name_b"])
+    first = F.array_join(F.transform("examples", lambda e: F.concat_ws(":", e["name_a"], e["name_b"], e["gnr_score"].cast("string"))), ",")
+    return rounded(found.withColumn("examples", first))
+
+
 def mine_triplets(spark, d):
     return ops.triplets(pairs(spark, d), high=60, low=50, cosine=0.0)
 
@@ -105,12 +111,12 @@ def hard_positives(spark, d):
 
 def hard_positive_triplets(spark, d):
     pool = aliases(spark, d).select("entity", "name")
-    return ops.hard_positive_triplets(pairs(spark, d), pool, cells=4)
+    return ops.hard_positive_triplets(pairs(spark, d), pool)
 
 
 def alias_triplets(spark, d):
     m = table(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("record_id"), F.when(F.col("conv_id") % 2 == 0, "PERSON").otherwise("ORGANIZATION").alias("record_type"), F.col("turn").alias("idx"), F.concat(F.col("conv_id").cast("string"), F.lit(":"), F.col("turn").cast("string")).alias("name"))
-    return ops.alias_triplets(m, cells=4)
+    return ops.alias_triplets(m)
 
 
 def script_pairs(spark, d):
@@ -142,13 +148,13 @@ def best_alias_match(spark, d):
 
 
 def topk_overlap(spark, d):
-    """How many of two searches' ten best labels agree: cosine and euclid."""
-    a = aliases(spark, d).filter("id % 20 = 0")
-    found = search.neighbours(a, aliases(spark, d), k=10, decimals=6)
-    other = search.neighbours(a, aliases(spark, d).filter("id % 3 <> 0"), k=10, decimals=6)
-    lists = lambda f, c: f.groupBy("query_id").agg(F.collect_set("feat_id").alias(c))
-    both = lists(found, "x").join(lists(other, "y"), "query_id")
-    return both.select("query_id", F.size(F.array_intersect("x", "y")).cast("long").alias("common"), F.size(F.array_union("x", "y")).cast("long").alias("either"))
+    """Which names two searches both have among their ten best: one over the
+    vectors' first half, one over whole vectors."""
+    whole = aliases(spark, d)
+    half = whole.withColumn("v", F.slice("v", 1, 32))
+    named = lambda f: f.select("query_id", "rank", F.concat(F.lit("n"), F.col("feat_id").cast("string")).alias("name"))
+    found, other = (named(search.neighbours(a.filter("id % 20 = 0"), a, k=10, decimals=6)) for a in (half, whole))
+    return rounded(ranking.name_overlap(found, other, 10))
 
 
 # SQL.
@@ -160,6 +166,10 @@ def _corr(x: str, y: str) -> str:
     return f"round(coalesce(covar_pop({x}, {y}) / nullif(stddev_pop({x}) * stddev_pop({y}), 0), 0), 6)"
 
 
+def _raw_corr(x: str, y: str) -> str:
+    return f"coalesce(covar_pop({x}, {y}) / nullif(stddev_pop({x}) * stddev_pop({y}), 0), 0)"
+
+
 def _rank(v: str, by: str = "") -> str:
     return f"rank() OVER ({by} ORDER BY {v}) + (count(*) OVER (PARTITION BY {by.replace('PARTITION BY ', '') + ', ' if by else ''}{v}) - 1) / 2.0::DOUBLE"
 
@@ -169,7 +179,7 @@ def _auc(rows: str) -> str:
 
 
 _STATS = "count(*) AS n, round(avg(cosine_sim), 6) AS cos_mean, round(median(cosine_sim), 6) AS cos_median, min(cosine_sim) AS cos_min, max(cosine_sim) AS cos_max, round(stddev_pop(cosine_sim), 6) AS cos_std"
-_MEMBERS = "m AS (SELECT p_brand AS entity, p_partkey AS ord, p_name || ' ' || p_partkey AS name, ['LATIN', 'CYRILLIC', 'CJK'][1 + p_partkey % 3] AS script FROM part WHERE p_size <= 20)"
+_MEMBERS = "m AS (SELECT p_brand AS entity, p_partkey AS ord, p_name || ' ' || p_partkey AS name, ['LATIN', 'CYRILLIC', 'CJK'][1 + p_partkey % 3] AS script FROM part)"
 
 
 def _triplets(null_too: bool) -> str:
@@ -182,8 +192,34 @@ t AS (SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY i, j) AS k FROM
 
 
 _TRIPLET = "anchor, positive, negative, anchor_group, positive_cosine, negative_cosine"
-_CELL = "CAST('0x' || substr({0}, 1, 8) AS BIGINT) % 4"
-_KNN10 = "row_number() OVER (PARTITION BY q.id ORDER BY round(list_dot_product(q.v, t.v), 6) DESC, t.id) AS rank FROM aliases q JOIN aliases t ON q.id <> t.id WHERE q.id % 20 = 0"
+_HALF = "list_dot_product(q.v[1:32], t.v[1:32])"
+_KNN10 = "row_number() OVER (PARTITION BY q.id ORDER BY round({0}, 6) DESC, t.id) AS rank FROM aliases q JOIN aliases t ON q.id <> t.id WHERE q.id % 20 = 0"
+
+
+def _tail(area: str, of: str) -> str:
+    """Two-sided p-value of a score ``t`` in ``of``: Simpson's rule over the
+    density up to it."""
+    return f"""1 - 2 * (SELECT sum((CASE WHEN k = 0 OR k = 20000 THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END) * {area}) * any_value(t) / 60000 FROM {of}, (SELECT unnest(range(0, 20001)) AS k))"""
+
+
+def _student(name: str) -> str:
+    """A correlation ``r`` of ``n`` rows in ``c`` with its p-value."""
+    density = "exp(lgamma((v + 1) / 2) - lgamma(v / 2)) / sqrt(v * pi()) * pow(1 + pow(t * k / 20000, 2) / v, -(v + 1) / 2)"
+    return f", s AS (SELECT r, n, CAST(n - 2 AS DOUBLE) AS v, abs(r) * sqrt((n - 2) / (1 - r * r)) AS t FROM c) SELECT round(r, 6) AS {name}, n, round({_tail(density, 's')}, 6) AS p_value FROM s"
+
+
+def _others(pairs: str, keys: str, pool: str, n: int, by: str = "") -> str:
+    """``z``: rows of ``pairs`` (``entity``), each with ``n`` negatives from
+    ``pool`` (``entity, name``), drawn as the operator draws them."""
+    within, on = (f"PARTITION BY {by}", f"AND p.{by} = e.{by}") if by else ("", "")
+    cols = f"{by}, " if by else ""
+    return f"""o AS (SELECT DISTINCT {cols}entity, name FROM ({pool})), num AS (SELECT *, row_number() OVER ({within} ORDER BY md5(CAST(entity AS VARCHAR)), entity, md5(name), name) - 1 AS place, count(*) OVER ({within}) AS total FROM o),
+e AS (SELECT {cols}entity, min(place) AS first, count(*) AS own FROM num GROUP BY ALL), t AS (SELECT DISTINCT {cols}total FROM num),
+d AS (SELECT p.*, e.first, coalesce(e.own, 0) AS own, t.total - coalesce(e.own, 0) AS others FROM ({pairs}) p JOIN t ON {f"p.{by} = t.{by}" if by else "true"} LEFT JOIN e ON p.entity = e.entity {on}),
+x AS (SELECT *, unnest(range(0, least({n}, others))) AS j FROM d), y AS (SELECT *, (CAST('0x' || substr(md5('42|' || {keys}), 1, 12) AS BIGINT) + j * greatest(1, others // {n})) % others AS spot FROM x),
+z AS (SELECT y.*, num.name AS negative FROM y JOIN num ON {f"y.{by} = num.{by} AND" if by else ""} num.place = CASE WHEN first IS NOT NULL AND spot >= first THEN spot + own ELSE spot END) """
+
+
 _Q = f"""WITH {WITH_HITS}, h AS (SELECT * FROM hits WHERE mode = 'emb' AND gnr_score IS NOT NULL), r AS (SELECT case_id, {_rank('gnr_score', 'PARTITION BY case_id')} AS rg, {_rank('cosine', 'PARTITION BY case_id')} AS rc FROM h),
 q AS (SELECT case_id, round(covar_pop(rg, rc) / nullif(stddev_pop(rg) * stddev_pop(rc), 0), 9) AS spearman FROM r GROUP BY case_id HAVING count(*) >= 2 AND stddev_pop(rg) * stddev_pop(rc) <> 0) """
 
@@ -198,10 +234,13 @@ SELECT name_a, name_b, same_entity, pair_type FROM u QUALIFY row_number() OVER (
 c AS (SELECT q.name AS name_a, t.name AS name_b, q.entity AS entity_a, t.entity AS entity_b, round(list_dot_product(q.v, t.v), 6) AS initial_cosine, q.id AS a, t.id AS b FROM aliases q JOIN aliases t ON q.entity <> t.entity WHERE q.id IN (FROM f))
 SELECT name_a, name_b, entity_a, entity_b, false AS same_entity, 'cross_entity_embedding_match' AS pair_type, initial_cosine FROM c WHERE initial_cosine >= 0.2 QUALIFY row_number() OVER (PARTITION BY a ORDER BY initial_cosine DESC, b) <= 5"""),
     "score_pairs": Query(score_pairs, _P + "SELECT name_a, name_b, entity_a, entity_b, same_entity, CAST(NULL AS INTEGER) AS gnr_score, cosine_sim FROM pairs"),
-    "corr_pearson": Query(corr_pearson, _BOTH + f"SELECT {_corr('g', 'c')} AS pearson, count(*) AS n FROM p"),
-    "corr_spearman": Query(corr_spearman, _BOTH + f", r AS (SELECT {_rank('g')} AS rg, {_rank('c')} AS rc FROM p) SELECT {_corr('rg', 'rc')} AS spearman, count(*) AS n FROM r"),
-    "corr_kendall": Query(corr_kendall, _BOTH + """, k AS (SELECT row_number() OVER () AS i, g, round(c, 2) AS c FROM p), s AS (SELECT sum(sign(a.g - b.g) * sign(a.c - b.c)) AS s, count(*) FILTER (a.g <> b.g) AS x, count(*) FILTER (a.c <> b.c) AS y FROM k a JOIN k b ON a.i < b.i)
-SELECT round(s / sqrt(CAST(x AS DOUBLE) * CAST(y AS DOUBLE)), 6) AS kendall FROM s"""),
+    "corr_pearson": Query(corr_pearson, _BOTH + f", c AS (SELECT {_raw_corr('g', 'c')} AS r, count(*) AS n FROM p)" + _student("pearson")),
+    "corr_spearman": Query(corr_spearman, _BOTH + f", k AS (SELECT {_rank('g')} AS rg, {_rank('c')} AS rc FROM p), c AS (SELECT {_raw_corr('rg', 'rc')} AS r, count(*) AS n FROM k)" + _student("spearman")),
+    "corr_kendall": Query(corr_kendall, _BOTH + """, k AS (SELECT row_number() OVER () AS i, g, c FROM p), q AS (SELECT sum(sign(a.g - b.g) * sign(a.c - b.c)) AS s FROM k a JOIN k b ON a.i < b.i), m AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM k),
+x AS (SELECT sum(t * (t - 1) / 2) AS t, sum(t * (t - 1) * (t - 2)) AS a, sum(t * (t - 1) * (2 * t + 5)) AS b FROM (SELECT CAST(count(*) AS DOUBLE) AS t FROM k GROUP BY g)),
+y AS (SELECT sum(t * (t - 1) / 2) AS t, sum(t * (t - 1) * (t - 2)) AS a, sum(t * (t - 1) * (2 * t + 5)) AS b FROM (SELECT CAST(count(*) AS DOUBLE) AS t FROM k GROUP BY c)),
+z AS (SELECT s / sqrt((n * (n - 1) / 2 - x.t) * (n * (n - 1) / 2 - y.t)) AS kendall, abs(s / sqrt((n * (n - 1) * (2 * n + 5) - x.b - y.b) / 18 + 2 * x.t * y.t / (n * (n - 1)) + x.a * y.a / (9 * n * (n - 1) * (n - 2)))) AS t FROM q, m, x, y) """
+      + f"SELECT round(kendall, 6) AS kendall, round({_tail('exp(-pow(t * k / 20000, 2) / 2) / sqrt(2 * pi())', 'z')}, 6) AS p_value FROM z"),
     "roc_auc": Query(roc_auc, f"WITH {WITH_PAIRS}, " + _auc("SELECT cosine_sim AS s, same_entity AS y FROM pairs")),
     "roc_auc_labels": Query(roc_auc_labels, "WITH " + _auc("SELECT CAST(n_chars AS DOUBLE) AS s, quality = 1 AS y FROM documents JOIN labels USING (doc_id) WHERE n_chars IS NOT NULL AND quality IS NOT NULL")),
     "bucket_stats": Query(bucket_stats, _BOTH + f"SELECT CASE WHEN g >= 80 THEN 'same' WHEN g >= 50 THEN 'close' WHEN g >= 30 THEN 'likely' WHEN g >= 20 THEN 'plausible' WHEN g >= 10 THEN 'unlikely' END AS bucket, {_STATS} FROM p GROUP BY 1"),
@@ -211,14 +250,15 @@ SELECT round(s / sqrt(CAST(x AS DOUBLE) * CAST(y AS DOUBLE)), 6) AS kendall FROM
     "mine_triplets_null": Query(mine_triplets_null, _triplets(True) + f"SELECT {_TRIPLET} FROM t"),
     "triplet_margin": Query(triplet_margin, _triplets(False) + ", g AS (SELECT *, positive_cosine - negative_cosine AS m FROM t) SELECT count(*) AS triplets, count(DISTINCT anchor) AS anchors, count(DISTINCT positive) AS positives, count(DISTINCT negative) AS negatives, round(min(m), 6) AS min_margin, round(max(m), 6) AS max_margin, round(avg(m), 6) AS mean_margin, count(*) FILTER (m < 0) AS negative_margins, round(100.0::DOUBLE * count(*) FILTER (m < 0) / count(*), 6) AS negative_percent FROM g"),
     "hard_positives": Query(hard_positives, _P + "SELECT name_a, name_b, gnr_score, cosine_sim FROM pairs WHERE same_entity AND cosine_sim < 0.6 AND coalesce(gnr_score >= 85, true)"),
-    "hard_positive_triplets": Query(hard_positive_triplets, f"""WITH {WITH_PAIRS}, {WITH_ALIASES}, h AS (SELECT *, {_CELL.format("md5('42|' || name_a || '|' || name_b)")} AS cell FROM pairs WHERE same_entity AND cosine_sim < 0.6 AND coalesce(gnr_score >= 85, true)),
-o AS (SELECT entity, name AS negative, {_CELL.format("md5('42|' || name)")} AS cell FROM aliases),
-d AS (SELECT name_a, name_b, negative, entity_a FROM h JOIN o USING (cell) WHERE entity <> entity_a QUALIFY row_number() OVER (PARTITION BY name_a, name_b ORDER BY md5('42|' || name_a || '|' || name_b || '|' || negative), negative) <= 3)
-SELECT name_a AS anchor, name_b AS positive, negative, entity_a AS anchor_group FROM d UNION ALL SELECT name_b, name_a, negative, entity_a FROM d"""),
-    "alias_triplets": Query(alias_triplets, f"""WITH n AS (SELECT CAST(conv_id AS VARCHAR) AS record_id, CASE WHEN conv_id % 2 = 0 THEN 'PERSON' ELSE 'ORGANIZATION' END AS record_type, turn AS idx, conv_id || ':' || turn AS name FROM conversations),
-p AS (SELECT a.record_id, a.record_type, a.idx AS i, b.idx AS j, a.name AS anchor, b.name AS positive FROM n a JOIN n b ON a.record_id = b.record_id AND a.idx < b.idx QUALIFY row_number() OVER (PARTITION BY a.record_id ORDER BY a.idx, b.idx) <= 5),
-x AS (SELECT *, {_CELL.format("md5('42|' || record_id || '|' || i || '|' || j)")} AS cell FROM p), o AS (SELECT record_id AS other, record_type, name AS negative, {_CELL.format("md5('42|' || record_id)")} AS cell FROM n WHERE idx = 0)
-SELECT anchor, positive, negative, record_type, record_id FROM x JOIN o USING (cell, record_type) WHERE other <> record_id QUALIFY row_number() OVER (PARTITION BY record_id, i, j ORDER BY md5('42|' || record_id || '|' || i || '|' || j || '|' || other), other) = 1"""),
+    "problem_report": Query(problem_report, _P + """, b AS (SELECT *, CASE WHEN cosine_sim >= 0.70 AND gnr_score < 50 THEN 'high_cosine_low_name' WHEN cosine_sim < 0.50 AND gnr_score >= 85 THEN 'low_cosine_high_name' END AS problem FROM pairs WHERE gnr_score IS NOT NULL AND cosine_sim IS NOT NULL),
+f AS (SELECT *, row_number() OVER (PARTITION BY problem ORDER BY name_a, name_b) AS k FROM b WHERE problem IS NOT NULL)
+SELECT v.problem, count(f.name_a) AS n, round(100.0::DOUBLE * count(f.name_a) / (SELECT count(*) FROM b), 6) AS percent, coalesce(string_agg(name_a || ':' || name_b || ':' || gnr_score, ',' ORDER BY name_a, name_b) FILTER (k <= 10), '') AS examples
+FROM (VALUES ('high_cosine_low_name'), ('low_cosine_high_name')) v(problem) LEFT JOIN f USING (problem) GROUP BY v.problem"""),
+    "hard_positive_triplets": Query(hard_positive_triplets, f"WITH {WITH_PAIRS}, {WITH_ALIASES}, " + _others("SELECT name_a, name_b, entity_a AS entity FROM pairs WHERE same_entity AND cosine_sim < 0.6 AND coalesce(gnr_score >= 85, true)", "name_a || '|' || name_b", "SELECT entity, name FROM aliases", 3)
+      + "SELECT name_a AS anchor, name_b AS positive, negative, entity AS anchor_group FROM z UNION ALL SELECT name_b, name_a, negative, entity FROM z"),
+    "alias_triplets": Query(alias_triplets, """WITH n AS (SELECT CAST(conv_id AS VARCHAR) AS record_id, CASE WHEN conv_id % 2 = 0 THEN 'PERSON' ELSE 'ORGANIZATION' END AS record_type, turn AS idx, conv_id || ':' || turn AS name FROM conversations),
+q AS (SELECT a.record_id AS entity, a.record_type, a.idx AS i, b.idx AS other, a.name AS anchor, b.name AS positive FROM n a JOIN n b ON a.record_id = b.record_id AND a.idx < b.idx AND a.name <> b.name QUALIFY row_number() OVER (PARTITION BY a.record_id ORDER BY a.idx, b.idx) <= 5), """
+      + _others("SELECT * FROM q", "entity || '|' || i || '|' || other", "SELECT record_type, record_id AS entity, name FROM n WHERE idx = 0", 1, "record_type") + "SELECT anchor, positive, negative, record_type, entity AS record_id FROM z"),
     "script_pairs": Query(script_pairs, _P + ", s AS (SELECT ['LATIN', 'CYRILLIC', 'CJK'][1 + entity_a % 3] AS a, ['LATIN', 'CYRILLIC', 'CJK'][1 + entity_b % 3] AS b FROM pairs) SELECT least(a, b) AS script_x, greatest(a, b) AS script_y, count(*) AS n FROM s GROUP BY ALL"),
     "distinct_counts": Query(distinct_counts, _P + "SELECT count(DISTINCT name_a) AS anchors, count(DISTINCT entity_b) AS entities FROM pairs"),
     "per_query_spearman": Query(per_query_spearman, _Q + "SELECT case_id, round(spearman, 6) AS spearman FROM q"),
@@ -226,6 +266,7 @@ SELECT anchor, positive, negative, record_type, record_id FROM x JOIN o USING (c
     "ranking_agreement": Query(ranking_agreement, f"""WITH {WITH_HITS}, h AS (SELECT * FROM hits WHERE mode = 'emb' AND gnr_score IS NOT NULL), p AS (SELECT sign(a.gnr_score - b.gnr_score) AS x, sign(a.cosine - b.cosine) AS y FROM h a JOIN h b ON a.case_id = b.case_id AND a.ordinal < b.ordinal),
 s AS (SELECT count(*) AS pairs, count(*) FILTER (x = 0 AND y = 0) AS ties, count(*) FILTER (x = y AND x <> 0) AS agreements FROM p) SELECT pairs, ties, agreements, round(CAST(agreements AS DOUBLE) / (pairs - ties), 6) AS rate FROM s"""),
     "best_alias_match": Query(best_alias_match, f"WITH {WITH_HITS} SELECT case_id, entity_id % 4 AS entity_id, cosine, 'emb-' || ordinal AS name FROM hits WHERE mode = 'emb' AND ordinal < 6 QUALIFY row_number() OVER (PARTITION BY case_id, entity_id % 4 ORDER BY cosine DESC, ordinal) = 1"),
-    "topk_overlap": Query(topk_overlap, f"""WITH {WITH_ALIASES}, x AS (SELECT q.id AS query_id, t.id AS feat_id, {_KNN10} QUALIFY rank <= 10), y AS (SELECT q.id AS query_id, t.id AS feat_id, {_KNN10} AND t.id % 3 <> 0 QUALIFY rank <= 10),
-a AS (SELECT query_id, list(feat_id) AS x FROM x GROUP BY 1), b AS (SELECT query_id, list(feat_id) AS y FROM y GROUP BY 1) SELECT query_id, len(list_intersect(x, y)) AS common, len(list_distinct(list_concat(x, y))) AS either FROM a JOIN b USING (query_id)"""),
+    "topk_overlap": Query(topk_overlap, f"""WITH {WITH_ALIASES}, x AS (SELECT q.id AS query_id, t.name AS name, {_KNN10.format(_HALF)} QUALIFY rank <= 10), y AS (SELECT q.id AS query_id, t.name AS name, {_KNN10.format("list_dot_product(q.v, t.v)")} QUALIFY rank <= 10),
+a AS (SELECT query_id, list(name) AS x FROM x GROUP BY 1), b AS (SELECT query_id, list(name) AS y FROM y GROUP BY 1)
+SELECT query_id, len(list_intersect(x, y)) AS common, round(100.0::DOUBLE * len(list_intersect(x, y)) / 10, 6) AS percent, array_to_string(list_sort(list_intersect(x, y)), ',') AS names FROM a JOIN b USING (query_id)"""),
 }

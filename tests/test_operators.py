@@ -1,7 +1,9 @@
 """Operators on hand-made rows, and properties that must hold."""
 
+import hashlib
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -49,6 +51,124 @@ def test_correlations(spark):
     assert stats.pearson(constant).first()["pearson"] == 0.0
 
 
+def plain_kendall(rows):
+    n, s, x, y = len(rows), 0, 0, 0
+    for i in range(n):
+        for j in range(i):
+            a, b = np.sign(rows[i][0] - rows[j][0]), np.sign(rows[i][1] - rows[j][1])
+            s, x, y = s + a * b, x + (a != 0), y + (b != 0)
+    return s / math.sqrt(x * y)
+
+
+@pytest.mark.parametrize("cell", [50_000, 40, 7])
+def test_kendall_counts_every_pair_once(spark, cell):
+    """Heavy ties in both scores, and ranges of every size."""
+    r = np.random.default_rng(8)
+    rows = [(int(r.integers(0, 25)) if i % 3 else 7, float(r.integers(0, 40)) / 40 if i % 4 else 0.25) for i in range(300)]
+    df = spark.createDataFrame(rows, "gnr_score int, cosine_sim double")
+    found = stats.kendall(df, cell=cell)
+    assert round(found.first()["kendall"], 9) == round(plain_kendall(rows), 9)
+    assert "Cartesian" not in found._jdf.queryExecution().executedPlan().toString()
+    assert 0 <= found.first()["p_value"] <= 1
+
+
+def test_p_values():
+    """Against the t distribution's density, summed finely."""
+    for value, n in ((0.3, 12), (-0.71, 9), (0.02, 500), (0.95, 5)):
+        v = n - 2
+        t = abs(value) * math.sqrt(v / (1 - value**2))
+        x = np.linspace(0, t, 400_001)
+        density = np.exp(math.lgamma((v + 1) / 2) - math.lgamma(v / 2)) / math.sqrt(v * math.pi) * (1 + x**2 / v) ** (-(v + 1) / 2)
+        assert abs(stats._beta_tail(1 - value**2, v / 2, 0.5) - (1 - 2 * np.trapezoid(density, x))) < 1e-8
+    assert stats._beta_tail(0.0, 4, 0.5) == 0.0 and stats._beta_tail(1.0, 4, 0.5) == 1.0
+
+
+def test_positions_over_many_ranges(spark, monkeypatch):
+    monkeypatch.setattr(metrics, "RANGE", 10)
+    r = np.random.default_rng(9)
+    rows = [(["a", "b", None][int(r.integers(3))], float(r.integers(0, 90)) if i % 5 else 3.0) for i in range(600)] + [("a", None), ("c", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    for x in metrics.positions(df, "v", ["g"]).collect():
+        own = [v for g, v in rows if g == x["g"] and v is not None]
+        assert (x["n"], x["before"]) == (own.count(x["value"]), sum(v < x["value"] for v in own))
+    found = {x["g"]: (x["p25"], x["p95"]) for x in metrics.percentiles(df, "v", (0.25, 0.95), ["g"]).collect()}
+    for g in ("a", "b", None):
+        own = [v for k, v in rows if k == g and v is not None]
+        assert found[g] == pytest.approx(tuple(np.percentile(own, [25, 95])))
+    assert found["c"] == (None, None)
+    ranks = {(x["g"], x["v"]): x["r"] for x in stats.ranked(df.filter("v is not null"), "v", "r").collect()}
+    whole = sorted(v for _, v in rows if v is not None)
+    assert all(x == whole.index(v) + (whole.count(v) + 1) / 2 for (_, v), x in ranks.items())
+
+
+def test_sweeps_count_scores_first(spark):
+    rows = [(i, i % 3 == 0, i % 101) for i in range(500)]
+    hits_ = spark.createDataFrame(rows, "case_id int, is_expected boolean, score int")
+    for x in metrics.sweep_prod(hits_).collect():
+        assert (x["tp"], x["fp"]) == (sum(e and s >= x["threshold"] for _, e, s in rows), sum(not e and s >= x["threshold"] for _, e, s in rows))
+
+
+@pytest.mark.parametrize("n", [1, 3, 7])
+def test_every_pair_gets_its_negatives(spark, n):
+    """One entity holds most of the pool; names repeat; a pool may be too small."""
+    pool = [(1, f"a{i % 60}") for i in range(90)] + [(e, f"e{e}-{k}") for e in range(2, 6) for k in range(2)] + [(None, "x"), (6, None)]
+    rows = [(e, f"key{e}-{k}") for e in (1, 2, 5, 77) for k in range(4)]
+    pool_, rows_ = spark.createDataFrame(pool, "entity int, name string"), spark.createDataFrame(rows, "entity int, key string")
+    found = pairs.draw_others(rows_, ["entity", "key"], pool_, "entity", "name", n, 42).collect()
+    names = {(e, m) for e, m in pool if e is not None and m is not None}
+    for e, key in rows:
+        own = [x["negative"] for x in found if x["key"] == key]
+        others = {m for k, m in names if k != e}
+        assert len(own) == len(set(own)) == min(n, len(others)) and set(own) <= others
+    assert pairs.draw_others(rows_, ["key"], pool_.filter("entity = 1"), "entity", "name", 2, 42).filter("entity = 1").count() == 0
+
+
+def test_numbers_are_dense_and_entities_neighbours(spark):
+    pool = [(e % 7 if e % 2 else 3, f"n{e}", "xy"[e % 2]) for e in range(400)]
+    rows, entities = pairs.numbered(spark.createDataFrame(pool, "e int, m string, t string"), "e", "m", ["t"])
+    rows = rows.collect()
+    for t in "xy":
+        assert sorted(x["place"] for x in rows if x["t"] == t) == list(range(200))
+    for x in entities.collect():
+        own = sorted(y["place"] for y in rows if y["t"] == x["t"] and y["entity"] == x["entity"])
+        assert own == list(range(x["first"], x["first"] + x["own"])) and x["total"] == 200
+
+
+def plain_stratified(rows, size, ratio):
+    draw = lambda r: (hashlib.md5(f"42|{r[0]}".encode()).hexdigest(), r[0])
+    kinds = {k: sorted((r for r in rows if r[1] == k), key=draw) for k in ("PERSON", "ORGANIZATION")}
+    p = int(size * ratio)
+    o = size - p
+    if len(kinds["PERSON"]) < p:
+        p, o = len(kinds["PERSON"]), min(size - len(kinds["PERSON"]), len(kinds["ORGANIZATION"]))
+    elif len(kinds["ORGANIZATION"]) < o:
+        o = len(kinds["ORGANIZATION"])
+        p = min(size - o, len(kinds["PERSON"]))
+    out = set()
+    for k, target in (("PERSON", p), ("ORGANIZATION", o)):
+        first = [r for r in kinds[k] if r[2]][: int(target * 0.3)]
+        second = [r for r in kinds[k] if r not in first and r[3] != "latin"][: int(target * 0.2)]
+        rest = [r for r in kinds[k] if r not in first + second]
+        out |= {r[0] for r in first + second + rest[: target - len(first) - len(second)]}
+    return out
+
+
+@pytest.mark.parametrize("size, ratio", [(40, 0.5), (120, 0.9), (400, 0.3), (7, 0.5)])
+def test_stratified_draws_by_quota(spark, size, ratio):
+    rows = [(i, "PERSON" if i % 4 == 0 else "ORGANIZATION", i % 5 == 0, "latin" if i % 3 else "other") for i in range(200)]
+    df = spark.createDataFrame(rows, "id int, record_type string, has_aliases boolean, script string")
+    found = sampling.stratified(df, size, "id", ratio)
+    assert found.columns == df.columns and {r["id"] for r in found.collect()} == plain_stratified(rows, size, ratio)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" in plan and "SortMergeJoin" not in plan
+
+
+def test_name_overlap(spark):
+    a = spark.createDataFrame([(1, 1, "x"), (1, 2, "y"), (1, 11, "z"), (2, 1, "x"), (1, 3, None)], "query_id int, rank int, name string")
+    b = spark.createDataFrame([(1, 1, "y"), (1, 2, "z"), (1, 3, "x"), (3, 1, "x"), (1, 4, None)], "query_id int, rank int, name string")
+    assert sorted(map(tuple, ranking.name_overlap(a, b).collect())) == [(1, 2, 20.0, "x,y"), (2, 0, 0.0, ""), (3, 0, 0.0, "")]
+
+
 def test_recommendation_ties(spark):
     sweep = spark.createDataFrame([(50, 80.0, 70.0, 75.0), (60, 70.0, 80.0, 75.0)], "threshold int, recall double, precision double, f1 double")
     found = {r["profile"]: r["close"] for r in metrics.recommend_prod(sweep).collect()}
