@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..session import scratch
 from ..streaming import queue
-from .base import Query, rounded
+from .base import Query, rounded, table
 
 
 def _events(spark, d):
@@ -26,15 +27,26 @@ def stream_dedup(spark, d):
 
 
 def stream_retry(spark, d):
-    """A user's events as tries of one record: what came of them."""
-    message = F.when(F.col("event_id") % 3 == 0, "operation timed out").when(F.col("event_id") % 7 == 5, "too long")
-    tries = _events(spark, d).select((F.col("event_id") % 500).cast("string").alias("record_id"), message.alias("message"))
-    out = queue.drained(queue.attempts(tries, most=1))
+    """A user's events as tries of one record, in three batches, so that a count
+    of tries outlives its batch: what came of them."""
+    path = scratch(spark)
+    user = F.col("event_id") % 500
+    message = F.when(user % 3 == 0, "operation timed out").when(user % 7 == 5, "too long")
+    tries = table(spark, d, "events").select(user.cast("string").alias("record_id"), message.alias("message"), F.floor(F.col("event_id") / 1000).cast("long").alias("turn"))
+    for part in range(3):
+        tries.filter(f"turn % 3 = {part}").drop("turn").coalesce(1).write.mode("append").parquet(path)
+    stream = queue.source(spark, path, "record_id string, message string", files=1)
+    out = queue.drained(queue.attempts(stream, most=3))
     return out.groupBy("action", "error_type").agg(F.count(F.lit(1)).alias("n"))
 
 
 QUERIES = {
     "stream_tally": Query(stream_tally, "SELECT date_trunc('day', ts) AS day, CASE WHEN event_type = 'error' THEN 'failed' ELSE 'ok' END AS outcome, count(*) AS n, round(avg(value), 6) AS mean_value FROM events GROUP BY ALL"),
     "stream_dedup": Query(stream_dedup, "SELECT user_id, count(*) AS n, count(*) AS events FROM events GROUP BY 1"),
-    "stream_retry": Query(stream_retry, "SELECT CASE WHEN event_id % 3 = 0 OR event_id % 7 = 5 THEN 'dead' ELSE 'done' END AS action, CASE WHEN event_id % 3 = 0 THEN 'retryable' WHEN event_id % 7 = 5 THEN 'too_long' END AS error_type, count(*) AS n FROM events GROUP BY ALL"),
+    "stream_retry": Query(stream_retry, """WITH u AS (SELECT event_id % 500 AS u, (event_id // 1000) % 3 AS turn FROM events),
+k AS (SELECT u, CASE WHEN u % 3 = 0 THEN 'retryable' WHEN u % 7 = 5 THEN 'too_long' END AS kind, count(*) FILTER (turn = 0) AS a, count(*) FILTER (turn = 1) AS b, count(*) FILTER (turn = 2) AS c FROM u GROUP BY ALL),
+s AS (SELECT *, CASE WHEN a >= 3 THEN 0 ELSE a END AS t1 FROM k), s2 AS (SELECT *, CASE WHEN b = 0 THEN t1 WHEN t1 + b >= 3 THEN 0 ELSE t1 + b END AS t2 FROM s),
+r AS (SELECT *, least(a, 2) + greatest(0, least(t1 + b, 2) - t1) + greatest(0, least(t2 + c, 2) - t2) AS again FROM s2),
+x AS (SELECT 'retry' AS action, kind AS error_type, CAST(sum(again) AS BIGINT) AS n FROM r WHERE kind = 'retryable' GROUP BY ALL
+UNION ALL SELECT CASE WHEN kind IS NULL THEN 'done' ELSE 'dead' END, kind, CAST(sum(a + b + c - CASE WHEN kind = 'retryable' THEN again ELSE 0 END) AS BIGINT) FROM r GROUP BY ALL) SELECT * FROM x WHERE n > 0"""),
 }

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import os
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -17,3 +20,19 @@ def local(cpus: str | int = "*", memory: str = "8g", partitions: int = 8) -> Spa
         .config("spark.ui.enabled", "false")
         .getOrCreate()
     )
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new path for files that driver and executors both see, below
+    ``spark.checkpoint.dir``; deleted as the driver ends. A local master may go
+    without that setting; elsewhere it is an error to leave it out."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        shared = tempfile.gettempdir()
+    path = f"{shared}/nomina-{uuid.uuid4().hex}"
+    made = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = made.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.deleteOnExit(made)
+    return path

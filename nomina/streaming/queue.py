@@ -4,12 +4,16 @@ bound state and are an extension."""
 
 from __future__ import annotations
 
+import time
 import uuid
+from collections import Counter
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.loading import error_type
@@ -76,3 +80,49 @@ def drain(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoin
     batch may come again after a failure: handlers overwrite by batch id."""
     writer = stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+
+
+@dataclass
+class Totals:
+    """What a queue has given so far, by outcome, and the query that drains it."""
+
+    outcomes: Counter = field(default_factory=Counter)
+    batches: int = 0
+    seconds: float = 0.0
+    query: StreamingQuery | None = None
+
+    def rate(self) -> float:
+        """Messages a second while batches ran."""
+        return sum(self.outcomes.values()) / self.seconds if self.seconds else 0.0
+
+
+def redo(
+    stream: DataFrame, process: Callable[[DataFrame], DataFrame], checkpoint: str, every: str | None = None, report: float = 150.0, stuck: float = 600.0, say: Callable[[str], None] = print
+) -> Totals:
+    """Drain a queue through ``process``, which gives ``record_id, error_type``.
+
+    The bound on work in flight is the source's files a batch; with ``every`` an
+    empty queue is asked again at that pace. Retryable and bad messages are
+    counted and dropped, while a failure of ``process`` itself ends the query.
+    Totals are told every ``report`` seconds, with rate; a batch that took longer
+    than ``stuck`` seconds is told at once. A batch that comes again after a
+    failure counts again."""
+    totals = Totals()
+    told = time.monotonic()
+
+    def handle(batch: DataFrame, number: int) -> None:
+        nonlocal told
+        began = time.monotonic()
+        outcome = F.coalesce("error_type", F.lit("success"))
+        for r in process(batch).groupBy(outcome.alias("outcome")).agg(F.count(F.lit(1)).alias("n")).collect():
+            totals.outcomes[r["outcome"]] += r["n"]
+        took = time.monotonic() - began
+        totals.batches, totals.seconds = totals.batches + 1, totals.seconds + took
+        if took > stuck:
+            say(f"batch {number} took {took:.0f} s: is the queue stuck?")
+        if time.monotonic() - told > report:
+            told = time.monotonic()
+            say(f"{sum(totals.outcomes.values())} messages, {totals.rate():.1f} a second: {dict(totals.outcomes)}")
+
+    totals.query = drain(stream, handle, checkpoint, every)
+    return totals

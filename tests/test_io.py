@@ -96,3 +96,51 @@ def test_streams(spark, tmp_path):
     q = queue.running_tally(queue.source(spark, events)).writeStream.format("memory").queryName("tally").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert spark.table("tally").agg(F.sum("n")).first()[0] == spark.read.parquet(events).count()
+
+
+def test_ascii_json(spark, tmp_path):
+    texts = ["plain", "Имя 日本", "\U0001f600 é\u0301", '"\\ \n', "", None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, t string")
+    writers.json_lines(rows, str(tmp_path / "out"), ascii_only=True)
+    lines = [r["value"] for r in spark.read.text(str(tmp_path / "out")).collect()]
+    assert all(x.isascii() for x in lines)
+    assert sorted((json.loads(x)["id"], json.loads(x).get("t")) for x in lines) == list(enumerate(texts))
+
+
+def test_upsert(spark, tmp_path):
+    path = str(tmp_path / "table")
+    schema = "id string, v int, error_type string"
+    load = lambda rows: dict(map(tuple, writers.upsert(spark.createDataFrame(rows, schema), path, "id", buckets=4).collect()))
+    held = lambda: {r["id"]: r["v"] for r in spark.read.parquet(path).collect()}
+    assert load([("a", 1, None), ("b", 2, None), ("c", 3, "other"), (None, 4, None)]) == {"a": "inserted", "b": "inserted", "c": "other", None: "no_key"}
+    again = [("a", 9, None), ("c", 5, None), ("c", 6, None), ("d", 7, "too_long")]
+    assert load(again) == {"a": "updated", "c": "inserted", "d": "too_long"}
+    assert held() == {"a": 9, "b": 2, "c": 6}
+    assert load(again)["c"] == "updated" and held() == {"a": 9, "b": 2, "c": 6}
+    assert load([]) == {} and held() == {"a": 9, "b": 2, "c": 6}
+
+
+def test_redo(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "timed out"), ("b", None), ("c", "bad"), ("d", None)], "record_id string, message string")
+    rows.repartition(2).write.parquet(str(tmp_path / "in"))
+    stream = lambda: spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    outcome = lambda df: df.select("record_id", F.when(F.col("message") == "bad", "other").when(F.col("message").isNotNull(), "retryable").alias("error_type"))
+    said = []
+    totals = queue.redo(stream(), outcome, str(tmp_path / "cp"), report=0.0, stuck=0.0, say=said.append)
+    totals.query.awaitTermination(60)
+    assert totals.outcomes == {"success": 2, "retryable": 1, "other": 1} and totals.batches == 2 and totals.rate() > 0
+    assert sum("stuck" in x for x in said) == 2 and sum("messages" in x for x in said) == 2
+    # Polled at a pace, an empty queue waits for more; a failure of the work ends it.
+    polled = queue.redo(stream(), outcome, str(tmp_path / "cp2"), every="1 second")
+    polled.query.processAllAvailable()
+    assert polled.query.isActive and sum(polled.outcomes.values()) == 4
+    rows.write.mode("append").parquet(str(tmp_path / "in"))
+    polled.query.processAllAvailable()
+    assert sum(polled.outcomes.values()) == 8
+    polled.query.stop()
+    failing = queue.redo(stream(), lambda df: df.select("nothing"), str(tmp_path / "cp3"))
+    try:
+        failing.query.awaitTermination(60)
+    except Exception:
+        pass
+    assert failing.query.exception() is not None and not failing.outcomes
