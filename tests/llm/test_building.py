@@ -1,5 +1,6 @@
 """Search, mixing, packing, sharding and the pipeline."""
 
+import hashlib
 import random
 import zlib
 from collections import Counter
@@ -163,7 +164,7 @@ def encoder():
 
 
 def test_packing(spark, make_docs, prose, edges, encoder):
-    rows = [(100 + i, prose(i, 1 + (i * 37) % 900)) for i in range(120)] + [(500, "ends <|endoftext|> here"), (501, prose(1, 9000))] + edges[:4]
+    rows = [(100 + i, prose(i, 1 + (i * 37) % 900)) for i in range(120)] + [(500, "ends <|endoftext|> here"), (501, prose(1, 9000))] + [e for n, e in enumerate(edges) if n != 6]
     slow = packing.Encoder(encoder["path"], None, None)
     texts = dict(rows)
     pieces = packing.pack(make_docs(rows), hold=16, **encoder).collect()
@@ -184,12 +185,17 @@ def test_packing(spark, make_docs, prose, edges, encoder):
         total = sum(p["length"] for p in own)
         assert [p["offset"] for p in own] == [0, *np.cumsum([p["length"] for p in own])[:-1]]
         assert total <= 2048 and total & (total - 1) == 0
+    again = packing.pack(make_docs([(4, "one")] * 3), **encoder).collect()  # rows that repeat an id and a text
+    assert len(again) == 3 and sorted(p["offset"] for p in again if p["sequence_id"] == again[0]["sequence_id"])[0] == 0
     assert packing.pack(make_docs([]), **encoder).count() == 0
 
 
 def test_both_encoders_agree(encoder, spark):
     fast, slow = packing.Encoder(**encoder), packing.Encoder(encoder["path"], None, None)
-    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    texts = [r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    r = random.Random(12)
+    kinds = ["aZ", " \n\t\r\x0b\xa0\u2003", "0123456789", ".,;:'\"!?-_()[]{}<>|/\\", "éßñçøÅ", "日本語한글", "\U0001f600\u200d\u0301\ufe0f", "'s't'll"]
+    texts += ["".join(r.choice(r.choice(kinds)) for _ in range(r.randrange(60))) for _ in range(4000)]
     texts += ["", " ", "\n\n a\t b", "it's 12345 日本語 \U0001f600", "x" * 5000, "é‍!?", "<|endoftext|>", "a  b   c    "]
     for t in texts:
         assert fast.ids(t).tolist() == slow.ids(t).tolist()
@@ -204,6 +210,24 @@ def test_costs_are_balanced():
     assert max(costs) < 1.5 * min(costs)
 
 
+def test_filling_by_turns():
+    """Slot by slot: a shard's turn takes the first free slot of its preference."""
+    shards, slots = ["x", "yy", "z-3", "w"], 101
+    prefer = []
+    for name in shards:
+        offset = int(hashlib.md5(f"offset|{name}".encode()).hexdigest()[:15], 16) % slots
+        skip = int(hashlib.md5(f"skip|{name}".encode()).hexdigest()[:15], 16) % (slots - 1) + 1
+        prefer.append([(offset + j * skip) % slots for j in range(slots)])
+    assert all(sorted(p) == list(range(slots)) for p in prefer)
+    owner = {}
+    while len(owner) < slots:
+        for k, p in enumerate(prefer):
+            free = next((s for s in p if s not in owner), None)
+            if free is not None:
+                owner[free] = k
+    assert sharding.fill(shards, slots) == [owner[s] for s in range(slots)]
+
+
 def test_sharding(spark, make_docs, edges):
     shards = [f"shard-{i}" for i in range(10)]
     owner = sharding.fill(shards, 1009)
@@ -220,11 +244,33 @@ def test_sharding(spark, make_docs, edges):
     spread = Counter(r["shard"] for r in rows)
     assert max(spread.values()) < 1.4 * min(spread.values())
     assert "Python" not in placed._jdf.queryExecution().executedPlan().toString()
+    assert sharding.place(docs.limit(0), "doc_id", shards, 1009).count() == 0
     for bad in ((["a", "a"], 7), (["a"], 8), ([], 7)):
         with pytest.raises(ValueError):
             sharding.fill(*bad)
 
 
+def test_pipeline_of_odd_rows(spark, make_docs, prose, edges, tmp_path):
+    """Nulls, repeats, clashing names and an empty table, stage by stage."""
+    import corpus_pipeline as pipeline
+
+    rows = [(100 + i, prose(i, 120), "en", ["a", None][i % 2]) for i in range(30)] + [(None, prose(2, 120), "en", None), (None, prose(50, 120), "en", "a"), (None, None), (105, prose(60, 120)), (105, prose(5, 120))] + [(i, t) for i, t in edges]
+    spark.createDataFrame([(100 + i, int(i % 5 > 0), 0) for i in range(30)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for n, docs in enumerate((make_docs(rows), make_docs([]))):
+        columns = docs.columns
+        for k, (name, stage) in enumerate(pipeline.STAGES):
+            out = stage(spark, docs, str(tmp_path))
+            assert name == "pack" or out.columns == columns
+            out.write.parquet(str(tmp_path / f"{n}-{k}"))
+            docs = spark.read.parquet(str(tmp_path / f"{n}-{k}"))
+            if n:
+                assert docs.count() == 0
+            elif k < 3:
+                assert docs.filter("doc_id is null").count() == 2
+        if not n:
+            assert docs.filter("doc_id is null").count() >= 1
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline as pipeline
 

@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -314,3 +315,24 @@ def test_log_odds_levels_and_scores(spark, make_docs):
     held = [{"y": 0, "m": 500, "found": [3.0, 0.2]}, {"y": 0, "m": 500, "found": []}, {"y": 1, "m": 10, "found": [9.0]}]
     model, _ = toxicity._calibrated({}, held, [])
     assert abs(model.k - 1 / (1000 * np.exp(-1))) < 1e-9
+
+
+def test_checkpoints_need_a_shared_folder(spark, monkeypatch):
+    """Beyond one machine, an unset folder is an error, not a local folder."""
+    from nomina.llm import common
+
+    class Context:
+        master = "spark://host:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Conf:
+        get = staticmethod(lambda key, default: default)
+
+    class Session:
+        sparkContext, conf = Context, Conf
+
+    class Frame:
+        sparkSession = Session
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.checkpoint(Frame)
