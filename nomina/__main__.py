@@ -7,17 +7,20 @@ cluster, submit this file with the cluster's own session settings.
 from __future__ import annotations
 
 import argparse
+import sys
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import scripts, vectors
-from .operators import pairs, records, sampling, stats
+from .operators import comparison, loading, pairs, records, sampling, stats
 from .plans import pipelines
 from .sources import readers, writers
 
 ENTITY = "entity_id string, canonical string, aliases array<struct<name:string,language:string>>"
 PAIR = "name_a string, name_b string, entity_a string, entity_b string, same_entity boolean, pair_type string, gnr_score int, gnr_bucket string, cosine_sim double"
+JUDGED = "case_id string, record_type string, variant_type string, query_name_type string, expected_entity_id bigint"
+REPORT = "test_set string, model_type string, model_path string, emb_accuracy double, emb_ndcg map<string,double>"
 CASE = "test_case_id string, record_id string, data_source string, record_type string, query_name string, query_name_type string, all_aliases array<string>, expected_entity_id bigint"
 
 
@@ -110,6 +113,30 @@ def hard(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     return pairs.hard_positive_triplets(p, pool, a.most, a.seed)
 
 
+def evaluate(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
+    """Cases and search responses to the full report, a metric a line."""
+    rows = readers.decoded(readers.scanned(spark, a.input), schema=JUDGED).drop("raw", "value")
+    found = readers.decoded(readers.scanned(spark, a.responses), schema="case_id string, mode string, response string").drop("raw", "value")
+    return pipelines.evaluate(rows, found, a.by)
+
+
+def compare(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
+    """Models' reports beside each other, or the best of each test set alone."""
+    rows = readers.reports(spark, a.input, REPORT)
+    return comparison.best_models(rows) if a.best_only else comparison.compared(rows)
+
+
+def retry(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
+    """A log of attempts to each record's last outcome."""
+    rows = readers.decoded(readers.scanned(spark, a.input), schema="record_id string, attempt int, message string")
+    return loading.final_outcomes(rows.select("record_id", "attempt", loading.error_type(F.col("message")).alias("error_type")), a.max_attempts)
+
+
+def numbers(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
+    """Lines with their ordinals, of files or of a pipe (``-``)."""
+    return readers.standard_input(spark, sys.stdin) if a.input == "-" else readers.lines(spark, a.input)
+
+
 COMMANDS = {
     sample: {"--size": 10_000, "--person-ratio": 0.5, "--seed": 42},
     cases: {"--size": 100, "--filter": "both", "--seed": 42, "--date": ""},
@@ -121,6 +148,10 @@ COMMANDS = {
     analyze: {},
     triplets: {"--positive": 85, "--negative": 50, "--cosine": 0.5, "--most": 5, "--include-null": False},
     hard: {"--most": 3, "--seed": 42},
+    evaluate: {"--responses": "", "--by": "score"},
+    compare: {"--best-only": False},
+    retry: {"--max-attempts": 3},
+    numbers: {},
 }
 
 

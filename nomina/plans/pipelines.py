@@ -73,6 +73,49 @@ def report(results: DataFrame) -> DataFrame:
     return metrics.retrieval(results).crossJoin(metrics.ndcg(results)).crossJoin(metrics.rescue(results).drop("both_correct"))
 
 
+def _section(frame: DataFrame, name: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """A small report as rows ``section, part, metric, value``; ``part`` names
+    the row by its keys."""
+    values = [c for c in frame.columns if c not in keys]
+    part = F.concat_ws(":", *[F.col(k).cast("string") for k in keys]) if keys else F.lit("")
+    rows = frame.select(part.alias("part"), *[F.col(c).cast("double").alias(c) for c in values])
+    long = rows.unpivot(["part"], values, "metric", "value").filter("value is not null")
+    return long.select(F.lit(name).alias("section"), "part", "metric", "value")
+
+
+def full_report(results: DataFrame, placed: DataFrame) -> DataFrame:
+    """Everything that is said of a validation, as ``section, part, metric,
+    value``: one result a case (see ``metrics``) and, for every case and mode, the
+    places of its expected and other entities (``ranking.placed`` with
+    ``scenario``). Every section is a small aggregate; metrics over nothing have
+    no row."""
+    both = results.selectExpr("name_rank as name", "emb_rank as emb").unpivot([], ["name", "emb"], "mode", "rank")
+    bars = both.groupBy("mode", ranking.rank_bucket(F.col("rank")).alias("bucket")).agg(F.count(F.lit(1)).alias("cases"))
+    parts = [
+        _section(metrics.retrieval(results), "retrieval"),
+        _section(metrics.ndcg(results), "ndcg"),
+        _section(metrics.rescue(results), "rescue"),
+        _section(metrics.impact(results, top=False), "impact_found"),
+        _section(metrics.impact(results, top=True), "impact_rank1"),
+        *(_section(metrics.volume(results, m), "volume", ()).withColumn("part", F.lit(m)) for m in ("name", "emb")),
+        _section(metrics.relative_ranking(placed, ["mode"]), "relative_ranking", ("mode",)),
+        _section(metrics.breakdown(results), "breakdown", ("dimension", "value")),
+        _section(bars, "rank_distribution", ("mode", "bucket")),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def evaluate(cases: DataFrame, responses: DataFrame, by: str = "score") -> DataFrame:
+    """``full_report`` of search responses (``case_id, mode, response``) to
+    cases."""
+    hits = ranking.flatten(responses)
+    placed = ranking.placed(ranking.ranked(hits, by), cases.select("case_id", "expected_entity_id"))
+    return full_report(validate(cases, hits, by), placed.withColumn("scenario", ranking.scenario(F.col("positive_rank"), F.col("negative_rank"))))
+
+
 def align(aliases: DataFrame, embeddings: DataFrame, mapping: DataFrame, theta: float = 0.43) -> DataFrame:
     """Entities' aliases (``id, entity, ord, name, script, v``) to scored pairs:
     within and across entities, deduplicated, with both scores."""

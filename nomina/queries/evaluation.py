@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..operators import comparison, metrics, ranking, search, stats
@@ -126,6 +128,10 @@ def by_variant(spark, d):
     return rounded(metrics.by_variant(results(spark, d), placed))
 
 
+def full_report(spark, d):
+    return rounded(pipelines.full_report(results(spark, d), _placed(spark, d)))
+
+
 def rank_histogram(spark, d):
     both = results(spark, d).selectExpr("name_rank as name", "emb_rank as emb").unpivot([], ["name", "emb"], "mode", "rank")
     return both.groupBy("mode", ranking.rank_bucket(F.col("rank")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
@@ -339,3 +345,26 @@ SELECT * FROM u LEFT JOIN w USING (variant_type)"""),
 l AS ({" UNION ALL ".join(f"SELECT half, '{m}' AS metric, {m} AS v FROM g" for m in _DELTA)}), p AS (SELECT metric, max(v) FILTER (half = 1) AS c, max(v) FILTER (half = 0) AS b FROM l GROUP BY metric)
 SELECT metric, round(c, 6) AS current, round(b, 6) AS baseline, round(c - b, 6) AS delta, round(coalesce(100 * (c - b) / nullif(b, 0), 0), 6) AS percent FROM p"""),
 }
+
+
+def _long(name: str, sql: str, part: str = "''", drop: str = "") -> str:
+    """A report's query as rows of one section."""
+    rest = f"* EXCLUDE ({drop})" if drop else "*"
+    return f"SELECT '{name}' AS section, part, metric, value FROM (UNPIVOT (SELECT {part} AS part, CAST(COLUMNS({rest}) AS DOUBLE) FROM ({sql})) ON COLUMNS(* EXCLUDE (part)) INTO NAME metric VALUE value)"
+
+
+_VOLUME = " UNION ALL ".join(
+    _long("volume", _R + f"round(avg({m}_total), 6) AS mean_total, round(CAST(median({m}_total) AS DOUBLE), 6) AS median_total, min({m}_total) AS min_total, max({m}_total) AS max_total, {_corr(f'{m}_total', f'{m}_rank')} AS total_rank_corr FROM results", f"'{m}'")
+    for m in ("name", "emb")
+)
+_SECTIONS = (("retrieval", "retrieval_report"), ("ndcg", "ndcg_at_k"), ("rescue", "rescue"), ("impact_found", "impact_found"), ("impact_rank1", "impact_rank1"))
+QUERIES["full_report"] = Query(
+    full_report,
+    " UNION ALL ".join([
+        *(_long(section, QUERIES[query].sql) for section, query in _SECTIONS), _VOLUME,
+        _long("relative_ranking", QUERIES["relative_ranking"].sql, "mode", "mode"),
+        _long("breakdown", QUERIES["breakdown_grouping_sets"].sql, "dimension || ':' || value", "dimension, value"),
+        _long("rank_distribution", re.sub(r"\bAS n\b", "AS cases", QUERIES["rank_histogram"].sql), "mode || ':' || bucket", "mode, bucket"),
+    ]),
+)
+

@@ -2,6 +2,8 @@
 
 import json
 
+import pytest
+
 from nomina.__main__ import main
 
 
@@ -45,3 +47,32 @@ def test_entities_to_triplets(spark, tmp_path):
     main(["triplets", str(tmp_path / "pairs"), str(tmp_path / "t"), "--positive", "50", "--negative", "60", "--include-null"], spark)
     assert all(t["anchor"] != t["positive"] for t in read(spark, tmp_path / "t"))
     main(["hard", str(tmp_path / "pairs"), str(tmp_path / "h")], spark)
+
+
+def test_responses_to_report(spark, tmp_path):
+    entity = lambda i, g, e: {"ENTITY": {"RESOLVED_ENTITY": {"ENTITY_ID": i}}, "MATCH_INFO": {"FEATURE_SCORES": {"NAME": [{"SCORE": g}], "NAME_EMBEDDING": [{"SCORE": e}]}}}
+    cases = [{"case_id": f"c{i}", "record_type": "PERSON", "variant_type": "v", "query_name_type": "primary_Latin", "expected_entity_id": i} for i in range(4)]
+    answers = [{"case_id": f"c{i}", "mode": m, "response": json.dumps({"RESOLVED_ENTITIES": [entity(i, 50, 90 - 10 * i), entity(9, 60, 75)] if i < 3 else []})} for i in range(4) for m in ("name", "emb")]
+    (tmp_path / "c.jsonl").write_text("\n".join(map(json.dumps, cases)))
+    (tmp_path / "r.jsonl").write_text("\n".join(map(json.dumps, answers)))
+    main(["evaluate", str(tmp_path / "c.jsonl"), str(tmp_path / "out"), "--responses", str(tmp_path / "r.jsonl")], spark)
+    got = {(x["section"], x["part"], x["metric"]): x["value"] for x in read(spark, tmp_path / "out")}
+    assert got["retrieval", "", "cases"] == 4 and got["retrieval", "", "emb_recall_1"] == 50 and got["retrieval", "", "emb_not_found"] == 25
+    assert got["relative_ranking", "emb", "both_found_wrong_order"] == pytest.approx(100 / 3)
+    assert got["rank_distribution", "emb:not_found", "cases"] == 1 and got["breakdown", "record_type:PERSON", "cases"] == 4
+
+
+def test_reports_attempts_and_lines(spark, tmp_path):
+    (tmp_path / "reports").mkdir()
+    for n, acc in (("a", 90.0), ("b", 70.0)):
+        (tmp_path / "reports" / f"{n}.json").write_text(json.dumps({"test_set": "t", "model_type": "personal", "model_path": f"/m/{n}", "emb_accuracy": acc, "emb_ndcg": {"10": 0.5}}, indent=1))
+    main(["compare", str(tmp_path / "reports"), str(tmp_path / "cmp")], spark)
+    assert {(x["model_path"], x["behind"]) for x in read(spark, tmp_path / "cmp")} == {("/m/a", 0.0), ("/m/b", 20.0)}
+    main(["compare", str(tmp_path / "reports"), str(tmp_path / "best"), "--best-only"], spark)
+    assert [x["model_path"] for x in read(spark, tmp_path / "best")] == ["/m/a"]
+    log = [("x", 1, "timed out"), ("x", 2, None), ("y", 1, "too long"), ("z", 1, "timeout"), ("z", 2, "timeout")]
+    (tmp_path / "log.jsonl").write_text("\n".join(json.dumps({"record_id": r, "attempt": n, "message": m}) for r, n, m in log))
+    main(["retry", str(tmp_path / "log.jsonl"), str(tmp_path / "last")], spark)
+    assert {(x["record_id"], x["attempts"], x["outcome"]) for x in read(spark, tmp_path / "last")} == {("x", 2, "success"), ("y", 1, "too_long"), ("z", 2, "retryable")}
+    main(["numbers", str(tmp_path / "log.jsonl"), str(tmp_path / "n")], spark)
+    assert sorted(x["ordinal"] for x in read(spark, tmp_path / "n")) == [1, 2, 3, 4, 5]
