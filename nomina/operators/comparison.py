@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import vectors
 from .ranking import keep_first
 
 
@@ -30,3 +31,18 @@ def compared(reports: DataFrame) -> DataFrame:
     best = reports.groupBy("test_set", "model_type").agg(F.max("emb_accuracy").alias("best"))
     rows = reports.join(best, ["test_set", "model_type"])
     return rows.select("test_set", "model_type", "model_path", "emb_accuracy", F.try_element_at("emb_ndcg", F.lit("10")).alias("ndcg_10"), (F.col("best") - F.col("emb_accuracy")).alias("behind"))
+
+
+# The least cosine that a converted model's vectors may have.
+FLOORS = {"fp32": 0.999, "fp16": 0.99, "int8": 0.95}
+
+
+def conversion_check(exact: DataFrame, converted: DataFrame, kind: str) -> DataFrame:
+    """``rows, min_cosine, max_difference, ok``: two tables of vectors (``id, v``)
+    of the same names, before and after a model was converted. ``ok``: no cosine
+    is at or below the floor of its kind. Vectors that one side lacks, and null
+    or zero ones, count as cosine 0."""
+    both = exact.select("id", vectors.doubles(F.col("v")).alias("a")).join(converted.select("id", vectors.doubles(F.col("v")).alias("b")), "id", "full")
+    cosine = F.coalesce(F.try_divide(vectors.dot(F.col("a"), F.col("b")), vectors.norm(F.col("a")) * vectors.norm(F.col("b"))), F.lit(0.0))
+    gap = F.array_max(F.zip_with("a", "b", lambda x, y: F.abs(x - y)))
+    return both.agg(F.count(F.lit(1)).alias("rows"), F.min(cosine).alias("min_cosine"), F.max(gap).alias("max_difference"), (F.min(cosine) > FLOORS[kind]).alias("ok"))

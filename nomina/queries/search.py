@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import vectors
-from ..operators import lexical, metrics, search
+from ..operators import comparison, lexical, metrics, search
 from .base import WITH_ALIASES, WITH_NAMES, Query, aliases, names, rounded, table
 
 K, D = 10, 6
@@ -59,14 +59,16 @@ def vector_roundtrip(spark, d):
 
 
 def conversion_check(spark, d):
-    """Embeddings against a copy with components rounded to three places: the
-    least cosine, the largest difference, and whether the floor for 16 bits holds."""
-    e = table(spark, d, "embeddings").select("vec_id", vectors.doubles(F.col("embedding")).alias("a"))
-    copy = e.select("vec_id", F.transform("a", lambda x: F.round(x, 3)).alias("b"))
-    rows = e.join(copy, "vec_id")
-    cos = vectors.dot(F.col("a"), F.col("b")) / (vectors.norm(F.col("a")) * vectors.norm(F.col("b")))
-    gap = F.array_max(F.zip_with("a", "b", lambda x, y: F.abs(x - y)))
-    return rounded(rows.agg(F.min(cos).alias("min_cosine"), F.max(gap).alias("max_difference"), (F.min(cos) > 0.99).alias("fp16_ok")))
+    """Embeddings against copies with coarser components, by kind of model: to
+    four places, by 16-bit floats and in steps of a thirtieth."""
+    e = aliases(spark, d).select("id", "v")
+    step = lambda n: F.transform("v", lambda x: F.round(x * n) / n)
+    copies = {"fp32": step(10_000), "fp16": vectors.half_precision(F.col("v")), "int8": step(30)}
+    out = None
+    for kind, v in copies.items():
+        one = comparison.conversion_check(e, e.withColumn("v", v), kind).withColumn("kind", F.lit(kind))
+        out = one if out is None else out.unionByName(one)
+    return rounded(out)
 
 
 def similar_names(spark, d):
@@ -83,9 +85,10 @@ def entity_hits(spark, d):
 
 
 def knn_approximate(spark, d):
-    """Search by cells against exact search: recall of nine tenths or more."""
+    """Search by cells at its defaults against exact search: recall of nine tenths
+    or more."""
     q, a = _queries(spark, d), aliases(spark, d)
-    r = search.recall(search.approximate(q, a, K, cells=8, probes=6), search.neighbours(q, a, k=K))
+    r = search.recall(search.approximate(q, a, K), search.neighbours(q, a, k=K))
     return r.select("exact", (F.col("recall") >= 0.9).alias("enough"))
 
 
@@ -97,13 +100,15 @@ def encode_names(spark, d):
 
 
 def fp16_error(spark, d):
-    """What rounding to 16 bits costs: the largest error is below a component's
-    eleventh bit."""
-    e = table(spark, d, "embeddings")
-    gap = F.array_max(F.zip_with("embedding", vectors.half_precision(F.col("embedding")), lambda x, y: F.abs(x - y)))
-    return e.agg(F.count(F.lit(1)).alias("n"), (F.max(gap) < 1 / 2048).alias("small"))
+    """Vectors rounded to 16 bits: their sums, and the largest error of each."""
+    e = table(spark, d, "embeddings").select("vec_id", "embedding", vectors.half_precision(F.col("embedding")).alias("h"))
+    gap = F.array_max(F.zip_with("embedding", "h", lambda x, y: F.abs(x.cast("double") - y.cast("double"))))
+    return rounded(e.select("vec_id", F.aggregate(vectors.doubles(F.col("h")), F.lit(0.0), lambda a, x: a + x).alias("total"), gap.alias("error")), 9)
 
 
+# The nearest number of eleven significant bits, halves to even; below 2 ** -14
+# in steps of 2 ** -24.
+_HALF = "list_transform(CAST(embedding AS DOUBLE[]), lambda x: CASE WHEN x = 0 THEN 0 ELSE round_even(x / pow(2, greatest(floor(log2(abs(x))), -14) - 10), 0) * pow(2, greatest(floor(log2(abs(x))), -14) - 10) END)"
 _KNN = f"""
 WITH {WITH_ALIASES}, c AS (SELECT q.id AS query_id, t.id AS feat_id, q.entity AS qe, t.entity AS te, {_COS} AS cosine FROM aliases q JOIN aliases t ON q.id <> t.id WHERE {{where}}),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, feat_id) AS INTEGER) AS rank FROM c)
@@ -140,9 +145,10 @@ j AS (SELECT *, len(list_intersect(list_distinct(a), list_distinct(b))) / len(li
 f AS (SELECT case_id, entity_id, CASE WHEN jaccard >= 0.3 THEN CAST(floor(100 * jaccard) AS INTEGER) END AS g, CASE WHEN other AND cosine >= 0.35 THEN CAST(floor(100 * cosine + 1e-6) AS INTEGER) END AS e FROM j WHERE jaccard >= 0.3 OR (other AND cosine >= 0.35))
 SELECT case_id, entity_id, max(g) AS gnr_score, max(e) AS emb_score FROM f GROUP BY 1, 2"""),
     "encode_names": Query(encode_names, f"WITH {WITH_NAMES} SELECT count(*) AS names, count(DISTINCT name) AS distinct_names, 1.0::DOUBLE AS least, 1.0::DOUBLE AS largest, 64::BIGINT AS dim FROM names WHERE name <> ''"),
-    "fp16_error": Query(fp16_error, "SELECT count(*) AS n, true AS small FROM embeddings"),
-    "conversion_check": Query(conversion_check, """
-WITH e AS (SELECT CAST(embedding AS DOUBLE[]) AS a, list_transform(CAST(embedding AS DOUBLE[]), lambda x: round(x, 3)) AS b FROM embeddings),
-c AS (SELECT list_dot_product(a, b) / (sqrt(list_dot_product(a, a)) * sqrt(list_dot_product(b, b))) AS cosine, list_max(list_transform(list_zip(a, b), lambda x: abs(x[1] - x[2]))) AS gap FROM e)
-SELECT round(min(cosine), 6) AS min_cosine, round(max(gap), 6) AS max_difference, min(cosine) > 0.99 AS fp16_ok FROM c"""),
+    "fp16_error": Query(fp16_error, f"WITH h AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, {_HALF} AS h FROM embeddings) SELECT vec_id, round(list_sum(h), 9) AS total, round(list_max(list_transform(list_zip(v, h), lambda x: abs(x[1] - x[2]))), 9) AS error FROM h"),
+    "conversion_check": Query(conversion_check, f"""
+WITH e AS (SELECT CAST(embedding AS DOUBLE[]) AS a, {_HALF} AS h FROM embeddings),
+k AS (SELECT 'fp32' AS kind, 0.999 AS least, a, list_transform(a, lambda x: round(x * 10000) / 10000) AS b FROM e UNION ALL SELECT 'fp16', 0.99, a, h FROM e UNION ALL SELECT 'int8', 0.95, a, list_transform(a, lambda x: round(x * 30) / 30) FROM e),
+c AS (SELECT kind, least, list_dot_product(a, b) / (sqrt(list_dot_product(a, a)) * sqrt(list_dot_product(b, b))) AS cosine, list_max(list_transform(list_zip(a, b), lambda x: abs(x[1] - x[2]))) AS gap FROM k)
+SELECT kind, count(*) AS rows, round(min(cosine), 6) AS min_cosine, round(max(gap), 6) AS max_difference, min(cosine) > any_value(least) AS ok FROM c GROUP BY kind"""),
 }

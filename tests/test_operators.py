@@ -163,6 +163,13 @@ def test_stratified_draws_by_quota(spark, size, ratio):
     assert "TakeOrderedAndProject" in plan and "SortMergeJoin" not in plan
 
 
+def test_recall_at_the_defaults(spark):
+    """Unit vectors of the small table, which have no clusters to speak of."""
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("label").cast("long").alias("entity"), F.col("embedding").cast("array<double>").alias("v"))
+    asked = rows.filter("id % 20 = 0")
+    assert search.recall(search.approximate(asked, rows, 10), search.neighbours(asked, rows, 10)).first()["recall"] >= 0.9
+
+
 def test_name_overlap(spark):
     a = spark.createDataFrame([(1, 1, "x"), (1, 2, "y"), (1, 11, "z"), (2, 1, "x"), (1, 3, None)], "query_id int, rank int, name string")
     b = spark.createDataFrame([(1, 1, "y"), (1, 2, "z"), (1, 3, "x"), (3, 1, "x"), (1, 4, None)], "query_id int, rank int, name string")
