@@ -22,8 +22,10 @@ def similar_names(queries: DataFrame, names: DataFrame, theta: float = 0.5) -> D
     rarest words, so only those are joined on: a frequent word joins just the
     names that have nothing rarer. Frequencies are a table, not a broadcast.
     """
-    a = queries.select(F.col("id").alias("query_id"), _words(F.col("name")).alias("qw")).filter("size(qw) > 0")
-    b = names.select("id", _words(F.col("name")).alias("w")).filter("size(w) > 0")
+    keyed = lambda d, i, k, w: d.select(F.col("id").alias(i), F.array_sort(_words(F.col("name"))).alias(w)).filter(F.size(w) > 0).select(i, F.array_join(w, " ").alias(k), w)
+    asked, stored = keyed(queries, "query_id", "qk", "qw"), keyed(names, "id", "k", "w")
+    # Names with the same words are one until the pairs are known.
+    a, b = asked.select("qk", "qw").distinct(), stored.select("k", "w").distinct()
     frequency = b.select(F.explode("w").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
 
     def rarest(rows: DataFrame, key: str, words: str) -> DataFrame:
@@ -32,10 +34,11 @@ def similar_names(queries: DataFrame, names: DataFrame, theta: float = 0.5) -> D
         few = F.slice("s", F.lit(1), (F.col("n") - F.ceil(F.lit(theta) * F.col("n") - 1e-9) + 1).cast("int"))
         return sorted_.select(key, F.explode(few).alias("x")).select(key, "x.word")
 
-    pairs = rarest(a, "query_id", "qw").join(rarest(b, "id", "w"), "word").select("query_id", "id").distinct()
-    both = pairs.join(a, "query_id").join(b, "id")
+    pairs = rarest(a, "qk", "qw").join(rarest(b, "k", "w"), "word").select("qk", "k").distinct()
+    both = pairs.join(a, "qk").join(b, "k")
     common, either = F.size(F.array_intersect("qw", "w")), F.size(F.array_union("qw", "w"))
-    return both.select("query_id", "id", (common / either).alias("jaccard")).filter(F.col("jaccard") >= theta)
+    alike = both.select("qk", "k", (common / either).alias("jaccard")).filter(F.col("jaccard") >= theta)
+    return alike.join(asked.select("query_id", "qk"), "qk").join(stored.select("id", "k"), "k").select("query_id", "id", "jaccard")
 
 
 def entity_hits(queries: DataFrame, aliases: DataFrame, theta: float = 0.5, cosine: float = 0.43, k: int = 100) -> DataFrame:

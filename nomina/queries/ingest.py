@@ -6,14 +6,12 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import loading, metrics, records, sampling
+from ..plans import pipelines
 from ..sources import readers
 from .base import WITH_NAMES, Query, names, rounded, table
 
-_MANUAL = [
-    ("RNPK JSC", "Ryazan Refinery", "s1", "fuzzy_company_name"), ("ABERDEEN ASSET MANAGERS LIMITED", "Aberdeen Asset Management Ltd", "s2", "word_form_variation"),
-    ("Custody Bank of Japan, Ltd.", "Custody Bank Japan", "s3", "legal_suffix_removed"), ("Бычков Владимир Петрович", "Vladimir Bychkov", "s4", "patronymic_dropped"),
-    ("Бычков Владимир Петрович", "Bychkov Vladimir", "none", "name_order_variation"), ("Бычков Владимир Петрович", "Vladamir Bychkov", "none", "spelling_variation"),
-]
+#: Records by the suppliers that stand for them.
+_LOADED = {1: "NK-6JHQE4LmZLd9PATFPLNcMW", 2: "NK-3NULJaQxASzh2kVjbFYdcx"}
 
 
 def _lines(spark, d):
@@ -89,9 +87,10 @@ def loader_records(spark, d):
 
 
 def semi_manual(spark, d):
-    m = spark.createDataFrame(_MANUAL, "original_name string, variant_query string, expected_record_id string, variant_type string")
-    loaded = table(spark, d, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("expected_record_id"))
-    return m.join(loaded, "expected_record_id", "left_semi").select("original_name", "variant_query", "expected_record_id", "variant_type")
+    """Hand-written cases of the records that are there."""
+    ids = F.create_map(*[F.lit(x) for pair in _LOADED.items() for x in pair])
+    loaded = table(spark, d, "supplier").select(F.try_element_at(ids, F.col("s_suppkey").cast("int")).alias("record_id"))
+    return pipelines.manual_variants(spark, loaded)
 
 
 def _cases(spark, d):
@@ -259,7 +258,12 @@ QUERIES = {
     "analyze_records": Query(analyze_records, _GOOD + "SELECT record_id AS RECORD_ID, coalesce(kind, 'UNKNOWN') AS record_type, CAST(n AS BIGINT) AS alias_count, CASE WHEN len(regexp_extract_all(c_name, '[A-z]')) >= len(regexp_extract_all(c_name, '[^A-z ]')) THEN 'latin' ELSE 'other' END AS script, CASE WHEN regexp_matches(c_name, '[^A-Za-z0-9_ -]') THEN 'complex' ELSE 'simple' END AS complexity, n > 1 AS has_aliases FROM rec"),
     "entity_group_collect": Query(entity_group_collect, "WITH f AS (SELECT p_brand, p_name, min(p_partkey) AS ord FROM part GROUP BY ALL), l AS (SELECT p_brand, arg_max(p_type || '/' || p_size, p_partkey) AS canonical FROM part GROUP BY 1) SELECT p_brand AS entity_id, canonical, count(*) AS n, array_to_string((list(p_name ORDER BY ord))[1:3], '|') AS first FROM f JOIN l USING (p_brand) GROUP BY ALL HAVING count(*) >= 2"),
     "loader_records": Query(loader_records, "SELECT 'WIKIDATA' AS DATA_SOURCE, CAST(conv_id AS VARCHAR) AS RECORD_ID, 'ORGANIZATION' AS RECORD_TYPE, count(*) AS n, arg_min(text, turn) AS first FROM conversations GROUP BY conv_id"),
-    "semi_manual": Query(semi_manual, "WITH m(original_name, variant_query, expected_record_id, variant_type) AS (VALUES " + ", ".join("('" + "', '".join(r) + "')" for r in _MANUAL) + ") SELECT * FROM m WHERE expected_record_id IN (SELECT 's' || s_suppkey FROM supplier)"),
+    "semi_manual": Query(semi_manual, """WITH m(variant_query, original_name, expected_record_id, record_type, variant_type, description) AS (VALUES
+('Ryazan Refinery', 'RNPK JSC', 'NK-6JHQE4LmZLd9PATFPLNcMW', 'ORGANIZATION', 'fuzzy_company_name', 'Query missing multiple significant words'),
+('Vladimir Bychkov', 'Бычков Владимир Петрович', 'NK-3NULJaQxASzh2kVjbFYdcx', 'PERSON', 'patronymic_dropped', 'Latin transliteration without patronymic'),
+('Bychkov Vladimir', 'Бычков Владимир Петрович', 'NK-3NULJaQxASzh2kVjbFYdcx', 'PERSON', 'name_order_variation', 'Last name first, no patronymic'),
+('Vladamir Bychkov', 'Бычков Владимир Петрович', 'NK-3NULJaQxASzh2kVjbFYdcx', 'PERSON', 'spelling_variation', 'Typo: ''Vladamir'' vs ''Vladimir'' (a instead of i)'))
+SELECT *, 'OPEN_SANCTIONS' AS data_source, 'manual' AS source FROM m WHERE (SELECT count(*) FROM supplier WHERE s_suppkey IN (1, 2)) > 0"""),
     "id_lookup_inner": Query(id_lookup_inner, _CASES + "SELECT data_source, record_id, query_name, entity_id AS expected_entity_id FROM cs JOIN en USING (data_source, record_id)"),
     "id_lookup_left": Query(id_lookup_left, _CASES + "SELECT data_source, record_id, entity_id FROM cs LEFT JOIN en USING (data_source, record_id)"),
     "anti_unmatched": Query(anti_unmatched, _CASES + "SELECT data_source, count(*) AS unmatched FROM cs WHERE NOT EXISTS (SELECT 1 FROM en WHERE en.data_source = cs.data_source AND en.record_id = cs.record_id) GROUP BY 1"),
