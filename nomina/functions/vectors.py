@@ -76,11 +76,17 @@ def pool(tokens: np.ndarray, mask: np.ndarray, first: bool = False) -> np.ndarra
     return first_pool(tokens) if first else mean_pool(tokens, mask)
 
 
-def dense(x: np.ndarray, weight: np.ndarray, bias: np.ndarray, tanh: bool = True) -> np.ndarray:
-    y = x @ weight.T + bias
+def dense(x: np.ndarray, weight: np.ndarray, bias: np.ndarray | None = None, tanh: bool = True) -> np.ndarray:
+    y = x @ weight.T + (0 if bias is None else bias)
     return np.tanh(y) if tanh else y
 
 
+def pools_first(config: dict | None) -> bool:
+    """Whether a model's pooling configuration asks for the first token's vector;
+    without a configuration it does, and any other asks for the mean."""
+    return config is None or bool(config.get("pooling_mode_cls_token", False))
+
+
 def hash_encoder(dim: int = 64, n: int = 3) -> Encoder:
     """A deterministic stand-in for a model: signed counts of hashed character
     n-grams. Any ``list of names -> array`` can take its place."""
@@ -97,9 +103,12 @@ def hash_encoder(dim: int = 64, n: int = 3) -> Encoder:
     return encode
 
 
-def onnx_encoder(path: str, tokenizer: str, first: bool = False, max_length: int = 32) -> Encoder:
+def onnx_encoder(path: str, tokenizer: str, pooling: dict | None = None, layer: dict | None = None, max_length: int = 32) -> Encoder:
     """An encoder over an ONNX sentence model, opened once in each worker with
-    one thread, as Spark's slots are the parallelism."""
+    one thread, as Spark's slots are the parallelism. ``pooling``: the model's
+    pooling configuration. ``layer``: a dense layer after it, as ``weight``,
+    ``bias`` (or None) and the name of its ``activation``, of which a hyperbolic
+    tangent is applied and any other is none."""
     held: list = []
 
     def encode(names: list[str]) -> np.ndarray:
@@ -119,7 +128,8 @@ def onnx_encoder(path: str, tokenizer: str, first: bool = False, max_length: int
         names_ = {i.name for i in session.get_inputs()}
         if "token_type_ids" in names_:
             feed["token_type_ids"] = np.zeros_like(feed["input_ids"])
-        return pool(session.run(None, {k: v for k, v in feed.items() if k in names_})[0], feed["attention_mask"], first)
+        out = pool(session.run(None, {k: v for k, v in feed.items() if k in names_})[0], feed["attention_mask"], pools_first(pooling))
+        return out if layer is None else dense(out, layer["weight"], layer.get("bias"), "Tanh" in str(layer.get("activation")))
 
     return encode
 

@@ -90,3 +90,52 @@ def test_encoder(spark):
     assert np.allclose(vectors.mean_pool(x, np.array([[1, 1, 0]])), x[:, :2].mean(axis=1))
     assert np.allclose(vectors.pool(x, np.ones((1, 3)), first=True), x[:, 0])
     assert vectors.dense(np.ones((1, 4)), np.ones((2, 4)), np.zeros(2)).shape == (1, 2)
+
+
+def test_model_encoder(monkeypatch):
+    """Pooling and the dense layer follow the model's configuration; the session
+    is opened once. The runtime and the tokenizer are stand-ins."""
+    import sys
+    import types
+
+    opened = []
+
+    class Session:
+        def __init__(self, path, options):
+            opened.append((path, options.intra_op_num_threads))
+
+        def get_inputs(self):
+            return [types.SimpleNamespace(name=n) for n in ("input_ids", "attention_mask", "token_type_ids")]
+
+        def run(self, _, feed):
+            assert set(feed) == {"input_ids", "attention_mask", "token_type_ids"} and not feed["token_type_ids"].any()
+            return [np.stack([feed["input_ids"], 2.0 * feed["input_ids"]], axis=2)]
+
+    class Tokenizer:
+        @classmethod
+        def from_file(cls, path):
+            return cls()
+
+        def enable_truncation(self, n):
+            self.most = n
+
+        def enable_padding(self, length):
+            assert length == self.most
+
+        def encode_batch(self, names):
+            made = [[ord(c) % 32 for c in n][: self.most] for n in names]
+            return [types.SimpleNamespace(ids=m + [0] * (self.most - len(m)), attention_mask=[1] * len(m) + [0] * (self.most - len(m))) for m in made]
+
+    monkeypatch.setitem(sys.modules, "onnxruntime", types.SimpleNamespace(SessionOptions=types.SimpleNamespace, InferenceSession=Session))
+    monkeypatch.setitem(sys.modules, "tokenizers", types.SimpleNamespace(Tokenizer=Tokenizer))
+    first = vectors.onnx_encoder("m", "t", max_length=4)
+    assert first(["abc", "d"]).tolist() == [[1, 2], [4, 8]] and first(["b"]).tolist() == [[2, 4]] and opened == [("m", 1)]
+    mean = vectors.onnx_encoder("m", "t", {"pooling_mode_mean_tokens": True}, max_length=4)
+    assert mean(["abc", "d"]).tolist() == [[2, 4], [4, 8]]
+    both = vectors.onnx_encoder("m", "t", {"pooling_mode_cls_token": True, "pooling_mode_mean_tokens": True}, max_length=4)
+    assert both(["abc"]).tolist() == [[1, 2]]
+    weight, bias = np.array([[0.5, 0.0], [0.0, -0.25]]), np.array([0.1, 0.2])
+    made = vectors.onnx_encoder("m", "t", layer={"weight": weight, "bias": bias, "activation": "torch.nn.modules.activation.Tanh"}, max_length=4)
+    assert np.allclose(made(["abc"]), np.tanh([[0.6, -0.3]]))
+    plain = vectors.onnx_encoder("m", "t", layer={"weight": weight, "activation": None}, max_length=4)
+    assert np.allclose(plain(["abc"]), [[0.5, -0.5]])
