@@ -98,7 +98,9 @@ def _scored(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
 def analyze(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     """Correlation of both scores, and how well cosines part the classes."""
     p = _scored(spark, a)
-    return stats.pearson(p).crossJoin(stats.spearman(p).drop("n")).crossJoin(stats.roc_auc(p, "cosine_sim", "same_entity"))
+    named = lambda one, c: one.withColumnRenamed("p_value", f"{c}_p_value")
+    ranks = named(stats.spearman(p).drop("n"), "spearman").crossJoin(named(stats.kendall(p), "kendall"))
+    return named(stats.pearson(p), "pearson").crossJoin(ranks).crossJoin(stats.roc_auc(p, "cosine_sim", "same_entity"))
 
 
 def triplets(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
