@@ -8,7 +8,6 @@ compressed, so that the dictionary counts through the whole of a long text.
 from __future__ import annotations
 
 import re
-from functools import cache
 
 import numpy as np
 import zstandard
@@ -22,19 +21,13 @@ PIECE = 4096
 _OTHER = re.compile(r"[\W\d_]+")
 
 
-@cache
-def _numerals() -> re.Pattern:
-    """What counts as part of a word, but is neither a letter nor a digit."""
-    odd = (chr(c) for c in range(0x110000))
-    return re.compile("[" + "".join(c for c in odd if c.isalnum() and not c.isalpha() and not c.isdecimal()) + "]+")
-
-
 def letters(text: str | None) -> str:
     """A text's words in lower case: letters only, whatever the script."""
     if not text:
         return ""
     words = _OTHER.sub(" ", text.lower())
-    return (words if words.isascii() else _numerals().sub(" ", words)).strip()
+    odd = {c for c in set(words) if not c.isalpha()} - {" "}  # numerals that count as parts of words
+    return (words.translate(dict.fromkeys(map(ord, odd), " ")) if odd else words).strip()
 
 
 def learn(docs: DataFrame, per_language: int = 2000, piece: int = 200, size: int = 400_000, seed: int = 42) -> dict[str, bytes]:
