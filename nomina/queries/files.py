@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from ..functions import vectors
+from ..functions.vectors import dense, pool
 from ..operators import loading
 from ..session import scratch
 from ..sources import readers, writers
@@ -108,9 +108,9 @@ def pooled_vectors(spark, d):
         for part in parts:
             tokens = np.stack(part["v"]).astype(float).reshape(-1, 8, 8)
             mask = (np.arange(8)[None, :] <= (part["id"].to_numpy() % 8)[:, None]).astype(int)
-            mean, first = (vectors.pool(tokens, mask, first=f) for f in (False, True))
-            made = vectors.dense(mean, weight, np.full(8, 0.1))
-            plain = vectors.dense(mean, weight, np.full(8, 0.1), tanh=False)
+            mean, first = (pool(tokens, mask, first=f) for f in (False, True))
+            made = dense(mean, weight, np.full(8, 0.1))
+            plain = dense(mean, weight, np.full(8, 0.1), tanh=False)
             yield pd.DataFrame({"id": part["id"], "mean_1": mean[:, 0], "first_8": first[:, 7], "dense_3": made[:, 2], "linear_3": plain[:, 2]})
 
     return rounded(aliases(spark, d).select("id", "v").mapInPandas(run, "id long, mean_1 double, first_8 double, dense_3 double, linear_3 double"))
