@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, packing, pii, quality, sharding, simhash, substring, topk, toxicity
+from . import collocations, langid, mixing, packing, pii, quality, sharding, simhash, spelling, substring, tokencount, topk, toxicity
 
 from .common import remainder
 
@@ -84,6 +84,20 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out, "lang_pred", "score", "rejected")
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return tokencount.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf_dir, "documents"))
+
+
 OP1_SQL = """
 WITH v AS (
   SELECT row_number() OVER () AS rid, vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: CAST(floor(64 * x) AS BIGINT)) AS v FROM embeddings
@@ -140,9 +154,55 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) A
 FROM d LEFT JOIN k USING (rid)
 """
 
+#: Every phrase of up to four words is laid out, counted and cut here.
+OP12_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+c AS (SELECT rid, lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM c),
+s AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM w),
+g AS (SELECT lang, k, array_to_string(ws[i : i + k - 1], ' ') AS phrase FROM s, (VALUES (1), (2), (3), (4)) v(k) WHERE i + k - 1 <= len(ws)),
+f AS (SELECT lang, k, phrase, count(*) AS n FROM g GROUP BY ALL HAVING count(*) >= 30),
+t AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM w GROUP BY lang),
+x AS (SELECT lang, k, phrase, n AS a, string_split(phrase, ' ') AS ws FROM f WHERE k > 1),
+y AS (SELECT *, unnest(range(1, k)) AS cut FROM x),
+z AS (
+  SELECT y.lang, y.k, y.phrase, y.a, y.cut, p.n AS l, q.n AS r, CAST(2000000::HUGEINT * y.a // (p.n + q.n) AS BIGINT) AS score
+  FROM y JOIN f p ON p.lang = y.lang AND p.phrase = array_to_string(ws[1 : cut], ' ') JOIN f q ON q.lang = y.lang AND q.phrase = array_to_string(ws[cut + 1 :], ' ')),
+b AS (SELECT * FROM z QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+e AS (SELECT lang, a, ws, k, unnest(range(2, k)) AS size FROM x),
+i AS (SELECT lang, a, ws, size, unnest(range(1, k - size + 2)) AS first FROM e),
+m AS (SELECT lang, array_to_string(ws[first : first + size - 1], ' ') AS phrase, max(a) AS longer FROM i GROUP BY ALL),
+o AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, encode(b.phrase)) AS rank FROM b LEFT JOIN m USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 80 * a)
+SELECT lang, rank, phrase, a, l, r, t.n, score FROM o JOIN t USING (lang) WHERE rank <= 2000
+"""
+
+#: Words are one edit apart where one, or both at one place, lack a letter.
+OP13_SQL = r"""
+WITH RECURSIVE o AS (
+  SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{00C0}-\x{00FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+c AS (SELECT doc_id, run, count(*) AS n, encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run) AS b FROM o WHERE length(run) >= 7 GROUP BY doc_id, run),
+bits AS (SELECT list(v ORDER BY i) AS crc FROM (
+  SELECT i, list_reduce([i, 1, 2, 3, 4, 5, 6, 7, 8], lambda x, _: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END) AS v FROM (SELECT unnest(range(0, 256)) AS i))),
+h AS (SELECT run, n, xor(4294967295, list_reduce(list_transform(range(0, octet_length(b) + 1), lambda i: CASE WHEN i = 0 THEN 4294967295 ELSE CAST('0x' || hex(b)[2 * i - 1 : 2 * i] AS BIGINT) END),
+  lambda x, y: xor(x // 256, bits.crc[1 + CAST(xor(x % 256, y) AS INTEGER)]))) AS h FROM c, bits),
+v AS (SELECT CASE WHEN h % 31 = 0 THEN run[1 : h % length(run)] || run[h % length(run) + 2 :] ELSE run END AS word, n FROM h),
+w AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM v WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+g AS (SELECT word, n, i, word[1 : i - 1] || word[i + 1 :] AS less FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM w)),
+p AS (
+  SELECT a.word AS u, b.word AS v, b.n FROM g a JOIN g b ON a.i = b.i AND a.less = b.less AND a.word <> b.word
+  UNION SELECT g.word, w.word, w.n FROM g JOIN w ON g.less = w.word
+  UNION SELECT w.word, g.word, g.n FROM g JOIN w ON g.less = w.word),
+k AS (SELECT u AS word, count(*) AS n_near, arg_min(v, (-n, encode(v))) AS best, max(n) AS best_n FROM p GROUP BY u),
+f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 10 * w.n THEN best END AS form, CASE WHEN best_n >= 10 * w.n THEN best_n END AS form_n FROM w LEFT JOIN k USING (word)),
+r AS (SELECT word, word AS root, 0 AS steps FROM f UNION ALL SELECT r.word, f.form, steps + 1 FROM r JOIN f ON r.root = f.word WHERE f.form IS NOT NULL),
+e AS (SELECT word, arg_max(root, steps) AS root FROM r GROUP BY word)
+SELECT word, form, root, n, n_near, form_n FROM f JOIN e USING (word)
+"""
+
 OPERATORS = (
     op1_threshold_topk, op2_toxicity, op3_pii, op4_quality_rules, op5_source_mixing,
     op6_packing, op7_substring_dedup, op8_simhash, op9_sharding, op10_language_id,
+    op11_token_counts, op12_collocations, op13_spelling_variants,
 )
 
 
@@ -151,4 +211,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_threshold_topk": OP1_SQL, "op5_source_mixing": OP5_SQL, "op7_substring_dedup": OP7_SQL, "op9_sharding": OP9_SQL}
+    return {"op1_threshold_topk": OP1_SQL, "op5_source_mixing": OP5_SQL, "op7_substring_dedup": OP7_SQL, "op9_sharding": OP9_SQL, "op12_collocations": OP12_SQL, "op13_spelling_variants": OP13_SQL}
