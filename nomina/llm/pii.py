@@ -14,6 +14,7 @@ base rules miss and that overlap none of theirs.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -129,17 +130,31 @@ def _vote(text: str, kind: str, start: int, end: int) -> str:
     return valid + structure + gazetteer + context + alone + shape
 
 
+def _covered(spans: list[tuple[int, int, int]]) -> tuple[list[int], list[int]]:
+    """Begins and ends of the stretches that spans, sorted by start, cover."""
+    begins: list[int] = []
+    ends: list[int] = []
+    for start, _, end in spans:
+        if ends and start <= ends[-1]:
+            ends[-1] = max(ends[-1], end)
+        else:
+            begins.append(start)
+            ends.append(end)
+    return begins, ends
+
+
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, str]]:
     """``(start, kind, end, votes)`` of proposals, the base spans among them."""
     found = [(s, k, e, _vote(text, KINDS[k], s, e)) for s, k, e in base]
-    taken = sorted((s, e) for s, _, e in base)
+    begins, ends = _covered(base)
     numbers = _DIGIT.search(text) is not None
     for k, kind in enumerate(KINDS):
         if not _GATE[kind](text) or kind != "email" and not numbers:
             continue
         for m in _WIDE[kind].finditer(text):
             s, e = m.span()
-            if not any(a < e and s < b for a, b in taken):
+            at = bisect_left(begins, e)  # stretches are apart: the last that begins before the end is the one to meet
+            if not at or ends[at - 1] <= s:
                 found.append((s, k, e, _vote(text, kind, s, e)))
     return found
 
@@ -234,7 +249,8 @@ def spans(text: str | None, model: Model) -> tuple[list[tuple[int, int, int]], l
     base = base_spans(text)
     mine, more = set(base), []
     for s, k, e, v in sorted(candidates(text, base), key=lambda x: (x[0], -x[2], x[1])):
-        if (s, k, e) not in mine and model.adds(k, v) and not any(o[0] < e and s < o[2] for o in more):
+        # Those before it are apart and sorted, so the last reaches furthest.
+        if (s, k, e) not in mine and model.adds(k, v) and (not more or more[-1][2] <= s):
             more.append((s, k, e))
     return base, more
 

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -97,6 +98,42 @@ def test_long_runs_take_linear_time():
         pii.candidates(text, pii.base_spans(text))
 
 
+class AddsAllValid(pii.Model):
+    def adds(self, kind, votes):
+        return votes[0] == "+"
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["+1 202 555 0147", "202-555-0147", "(202) 555-0147", "a@b.de", "a [at] b.de", "1.2.3.4", "4111 1111 1111 1111", " ", ",", "x"]), max_size=12))
+def test_added_spans_meet_no_other(parts):
+    text = "".join(parts)
+    base, more = pii.spans(text, AddsAllValid({}, {}))
+    meets = lambda a, b: a[0] < b[2] and b[0] < a[2]
+    assert base == plain_base(text) and not any(meets(a, b) for i, a in enumerate(more) for b in base + more[:i])
+    wide = sorted((m.start(), -m.end(), k) for k, kind in enumerate(pii.KINDS) for m in pii._WIDE[kind].finditer(text))
+    plain = []
+    for start, end, k in wide:
+        span = (start, k, -end)
+        if pii._GATE[pii.KINDS[k]](text) and pii._vote(text, pii.KINDS[k], start, -end)[0] == "+" and not any(meets(span, o) for o in base + plain):
+            plain.append(span)
+    assert more == plain
+
+
+def test_many_spans_take_linear_time():
+    """Thousands of spans in one text: twice the text, some twice the time."""
+    model = AddsAllValid({}, {})
+    for unit in ("+1 202 555 0147, ", "(202) 555-0147 x ", "202-555-0147 a.b@c.de 1.2.3.4 "):
+        took = []
+        for size in (250_000, 500_000, 1_000_000, 2_000_000):
+            text = unit * (size // len(unit))
+            began = time.process_time()
+            base, more = pii.spans(text, model)
+            pii.redact(text, base + more)
+            took.append(time.process_time() - began)
+            assert len(base) + len(more) >= size // len(unit) - 1
+        assert took[-1] < 8 * took[-3], took  # square time would be 16 times
+
+
 def test_detect_adds_what_base_rules_lose(spark, make_docs, prose, edges):
     rows = [(i + 100, f"{prose(i, 20)} +1 ({200 + i}) 555-{1000 + i} {prose(i + 1, 9)} user{i}@mail.example.com end") for i in range(60)]
     lost = "see +1 (586) 555-8430 97.212.169.172 there"
