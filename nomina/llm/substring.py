@@ -13,20 +13,24 @@ roots no inner node and is dropped before any text moves; runs that are equal
 are one, with the least of their documents. A prefix with more than ``group``
 runs left is lengthened by steps, to the right of the anchor where the window has
 that many words there, else to its left, until its groups fit into memory; at the
-whole window, a subtree is one node and a grouped minimum.
+whole window, a subtree is one node, named by the window's words, and a grouped
+minimum.
 
 Subtrees. A group's suffixes are sorted by their words, exactly, by naming ever
 longer pieces; common-prefix lengths of neighbours are the depths of the inner
 nodes, and the deep ones are the maximal runs of neighbours that share
 ``window`` words.
 
-Runs are equal if the anchor's and the run's 64-bit hashes both are; different
-runs are compared by words.
+Hashes only file. Runs whose hashes are equal (the anchor's and the run's, 64 bits
+each) stand for one, whose words go through the trees. Before anything is removed,
+every other one of them is held against it by BLAKE2 digests of their words; if
+these differ, the operator raises, and another ``seed`` files them apart.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -58,11 +62,11 @@ def _least(short: np.ndarray, span: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-def runs(texts: list[bytes | None], window: int) -> tuple[np.ndarray, ...]:
+def runs(texts: list[bytes | None], window: int, seed: int = 0) -> tuple[np.ndarray, ...]:
     """The windows of some texts in runs: anchor's hash, run's hash, the text's
     index, first start, windows, and words from the first start to the anchor."""
     prefix = LENGTHS[0]
-    hashes, owner = word_hashes(texts)
+    hashes, owner = word_hashes(texts, seed)
     none = np.empty(0, np.int64)
     if len(hashes) < window:
         return none.astype(_U), none.astype(_U), none, none, none, none
@@ -88,26 +92,26 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.filter("doc_id is not null").select("doc_id", raw("text").alias("t"), F.xxhash64("text").alias("row"))
 
 
-def occurrences(docs: DataFrame, window: int) -> DataFrame:
+def occurrences(docs: DataFrame, window: int, seed: int = 0) -> DataFrame:
     """``prefix, run, doc_id, row, at``: a row for each run of windows; ``at``
     holds its first start, windows, and words before the anchor, in 32, 16 and 16
     bits."""
 
     def made(columns: list[list]) -> list:
         ids, texts, rows = columns
-        prefix, run, owner, start, count, ahead = runs(texts, window)
+        prefix, run, owner, start, count, ahead = runs(texts, window, seed)
         at = start << 32 | count << 16 | ahead
         return [prefix.view(np.int64), run.view(np.int64), np.array(ids, np.int64)[owner], np.array(rows, np.int64)[owner], at]
 
     return map_rows(_keyed(docs), made, "prefix long, run long, doc_id long, row long, at long", size=1_000_000)
 
 
-def shared_prefixes(docs: DataFrame, window: int) -> DataFrame:
+def shared_prefixes(docs: DataFrame, window: int, seed: int = 0) -> DataFrame:
     """``prefix``: those that more than one run has, counted in the tasks that
     read the texts before anything is shuffled."""
 
     def made(columns: list[list]) -> list:
-        values, counts = np.unique(runs(columns[1], window)[0], return_counts=True)
+        values, counts = np.unique(runs(columns[1], window, seed)[0], return_counts=True)
         return [values.view(np.int64), counts]
 
     partial = map_rows(_keyed(docs).select("doc_id", "t"), made, "prefix long, n long", size=1_000_000)
@@ -123,32 +127,39 @@ def _at(column: str) -> tuple:
 #: prefix; ``t`` is the whole run's text.
 PIECE = "key long, prefix long, run long, lo int, hi int, ahead int, least long, most long, t binary"
 _NAMES = [c.split()[0] for c in PIECE.split(", ")]
+_TEXT = PIECE + ", row long, at long, n long, digest binary"
+
+
+def _digest(words: list[bytes]) -> bytes:
+    return blake2b(b" ".join(words), digest_size=32).digest()
 
 
 def _texts(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
-    """Pieces of the runs ``wanted`` (``prefix, run, doc_id, row, at, most``),
-    with their texts out of ``docs``."""
-    start, count, ahead = _at("at")
-    lists = wanted.groupBy("doc_id", "row").agg(F.collect_list(F.struct(start.alias("start"), count.alias("count"), ahead.alias("ahead"), "prefix", "run", "most")).alias("runs"))
+    """Pieces of the runs ``wanted`` (``prefix, run, doc_id, row, at, most, n,
+    differs``) out of ``docs``: with their texts where runs of the prefix differ,
+    and a digest where there are several of a run."""
+    lists = wanted.groupBy("doc_id", "row").agg(F.collect_list(F.struct("at", "prefix", "run", "most", "n", "differs")).alias("runs"))
     lists = checkpoint(lists)
     # Hashing the narrow side spares sorting the texts.
     both = _keyed(docs).join(lists.hint("shuffle_hash"), ["doc_id", "row"]).select("doc_id", "t", "row", "runs")
     seen: set[tuple[int, int]] = set()  # in a task: rows that are alike give their runs once
 
     def cut(columns: list[list]) -> list:
-        out: list[list] = [[] for _ in _NAMES]
+        out: list[list] = [[] for _ in _TEXT.split(", ")]
         for doc, text, row, wants in zip(*columns):
             if (doc, row) in seen:
                 continue
             seen.add((doc, row))
             words = text.split()
             for w in wants:
-                mine = b" ".join(words[w["start"] : w["start"] + w["count"] + window - 1])
-                for c, v in zip(out, (w["prefix"], w["prefix"], w["run"], 0, w["count"], w["ahead"], doc, w["most"], mine)):
+                start, count, ahead = w["at"] >> 32, w["at"] >> 16 & 0xFFFF, w["at"] & 0xFFFF
+                mine = words[start : start + count + window - 1]
+                values = (w["prefix"], w["prefix"], w["run"], 0, count, ahead, doc, w["most"], b" ".join(mine) if w["differs"] else None, row, w["at"], w["n"], _digest(mine) if w["n"] > 1 else None)
+                for c, v in zip(out, values):
                     c.append(v)
         return out
 
-    return map_rows(both, cut, PIECE)
+    return map_rows(both, cut, _TEXT)
 
 
 def _lengthened(pieces: DataFrame, window: int, length: int) -> DataFrame:
@@ -165,7 +176,7 @@ def _lengthened(pieces: DataFrame, window: int, length: int) -> DataFrame:
             for a, b, first in ((lo, edge, ahead + anchor - length), (edge, hi, ahead)):
                 if a < b:
                     sums = sums_of(word_hashes([b" ".join(words[first : first + length])])[0], WORD_BASE)
-                    key = int(between(sums, WORD_BASE, np.array([0]), np.array([length])).view(np.int64)[0])
+                    key = int(between(sums, WORD_BASE, np.array([0]), np.array([length])).view(np.int64)[0])  # groups that share a key by chance are one group
                     for c, v in zip(out, (key ^ (length << 1) ^ (a < edge), prefix, run, a, b, ahead, least, most, t)):
                         c.append(v)
         return out
@@ -252,44 +263,45 @@ def _solve(pieces: DataFrame, window: int, most: int) -> DataFrame:
 
 def _deepest(pieces: DataFrame, window: int) -> DataFrame:
     """``prefix, run, lo, hi, least`` where the longest prefix is not enough:
-    below a whole window there is one node, named by 64 bits of its own and the
-    64 of its group's key, so its least document is a grouped minimum."""
+    below a whole window there is one node, its words, and its least document is
+    a grouped minimum."""
 
     def run(columns: list[list]) -> list:
         out: list[list] = [[] for _ in range(6)]
-        for key, t, prefix, name, lo, hi, least, most in zip(*columns):
-            hashes, _ = word_hashes([t])
-            at = np.arange(lo, hi)
-            nodes = between(sums_of(hashes, WORD_BASE), WORD_BASE, at, at + window).view(np.int64)
-            for c, v in zip(out, (np.full(len(at), key), nodes, np.full(len(at), prefix), np.full(len(at), name), at, np.stack([np.full(len(at), least), np.full(len(at), most)], 1))):
-                c.append(v)
-        whole = [np.concatenate(c) if c else np.empty(0, np.int64) for c in out]
-        ends = whole.pop() if columns[0] else np.empty((0, 2), np.int64)
-        return [*whole, ends[:, 0], ends[:, 1]]
-
-    leaves = map_rows(pieces.select("key", "t", "prefix", "run", "lo", "hi", "least", "most"), run, "key long, node long, prefix long, run long, lo int, own long, most long")
+        for _, t, prefix, name, lo, hi, least, most in zip(*columns):
+            words = t.split()
+            for at in range(lo, hi):
+                for c, v in zip(out, (b" ".join(words[at : at + window]), prefix, name, at, least, most)):
+                    c.append(v)
+        return out
+
+    leaves = map_rows(pieces.select("key", "t", "prefix", "run", "lo", "hi", "least", "most"), run, "node binary, prefix long, run long, lo int, own long, most long", step=256)
     # Written out, so that a node with many leaves can be split in the join.
-    nodes = checkpoint(leaves.groupBy("key", "node").agg(F.min("own").alias("least")))
-    late = leaves.join(nodes, ["key", "node"]).filter("least < most")
+    nodes = checkpoint(leaves.groupBy("node").agg(F.min("own").alias("least")))
+    late = leaves.join(nodes, "node").filter("least < most")
     return late.select("prefix", "run", "lo", F.col("lo").alias("hi"), "least")
 
 
-def repeated_passages(docs: DataFrame, window: int = 50, group: int = 8192) -> DataFrame:
-    """``doc_id, row, passages``: of rows (see ``_keyed``) that have any, the
-    windows, as an array of first and last start, whose words also start in a
-    document with a smaller id."""
-    shared = checkpoint(shared_prefixes(docs, window))
-    live = checkpoint(occurrences(docs, window).join(shared, "prefix"))
+def repeated_passages(docs: DataFrame, window: int = 50, group: int = 8192, seed: int = 0) -> DataFrame:
+    """``doc_id, row, passages, checks``: of rows (see ``_keyed``) that have any,
+    the windows, as an array of first and last start, whose words also start in a
+    document with a smaller id; and what has to be so for that: an array of
+    stretches, as start, words and digest."""
+    shared = checkpoint(shared_prefixes(docs, window, seed))
+    live = checkpoint(occurrences(docs, window, seed).join(shared, "prefix"))
     who = F.struct("doc_id", "row", "at")
-    distinct = live.groupBy("prefix", "run").agg(F.min(who).alias("who"), F.max("doc_id").alias("most"))
-    distinct = checkpoint(distinct.select("prefix", "run", "who.doc_id", "who.row", "who.at", "most"))
-    # Where runs of one prefix differ, words decide; elsewhere all are equal.
-    several = distinct.groupBy("prefix").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least"), F.max("most").alias("last")).filter("n > 1 and least < last")
-    several = checkpoint(several.select("prefix", "n"))
-    alone = distinct.filter("doc_id < most").join(several, "prefix", "left_anti")
-    found = alone.select("prefix", "run", F.lit(0).alias("lo"), (_at("at")[1] - 1).alias("hi"), F.col("doc_id").alias("least"))
-
-    pieces = checkpoint(_texts(docs, distinct.join(several.select("prefix"), "prefix"), window))
+    distinct = live.groupBy("prefix", "run").agg(F.min(who).alias("who"), F.max("doc_id").alias("most"), F.count(F.lit(1)).alias("n"))
+    distinct = checkpoint(distinct.select("prefix", "run", "who.doc_id", "who.row", "who.at", "most", "n"))
+    # Where runs of one prefix differ, trees decide; elsewhere all are equal.
+    several = distinct.groupBy("prefix").agg(F.count(F.lit(1)).alias("runs"), F.min("doc_id").alias("least"), F.max("most").alias("last")).filter("runs > 1 and least < last")
+    several = checkpoint(several.select("prefix", F.lit(True).alias("differs")))
+    wanted = distinct.join(several, "prefix", "left").withColumn("differs", F.coalesce("differs", F.lit(False)))
+    alone = wanted.filter("not differs and doc_id < most")
+    start, count, _ = _at("at")
+    found = alone.select("prefix", "run", F.lit(0).alias("lo"), (count - 1).alias("hi"), F.col("doc_id").alias("least"))
+
+    texts = checkpoint(_texts(docs, wanted.filter("differs or n > 1"), window))
+    pieces = texts.filter("t is not null").select(*_NAMES)
     for length in [*(n for n in LENGTHS[1:] if 2 * n - LENGTHS[0] <= window), None]:
         hot = checkpoint(pieces.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > group).select("key"))
         if hot.isEmpty():
@@ -304,15 +316,21 @@ def repeated_passages(docs: DataFrame, window: int = 50, group: int = 8192) -> D
     if pieces is not None:
         found = found.unionByName(_solve(pieces, window, 2 * group))
 
-    start = _at("at")[0]
     # Written out, so that a run with many rows can be split in the join.
     late = live.join(checkpoint(found), ["prefix", "run"]).filter("least < doc_id")
     passage = F.struct((start + F.col("lo")).alias("lo"), (start + F.col("hi")).alias("hi"))
-    return late.groupBy("doc_id", "row").agg(F.collect_set(passage).alias("passages"))
+    first = texts.filter("n > 1").select("prefix", "run", F.struct(F.col("least").alias("doc_id"), "row", "at").alias("first"), "digest")
+    others = live.join(first, ["prefix", "run"]).filter(who != F.col("first"))
+    check = F.struct(start.alias("start"), (count + window - 1).alias("words"), "digest")
+    marks = late.select("doc_id", "row", passage.alias("passage")).unionByName(others.select("doc_id", "row", check.alias("check")), allowMissingColumns=True)
+    return marks.groupBy("doc_id", "row").agg(F.collect_set("passage").alias("passages"), F.collect_set("check").alias("checks"))
 
 
-def _finish(text: bytes | None, passages: list | None, window: int) -> tuple[int, bytes]:
+def _finish(text: bytes | None, passages: list | None, checks: list | None, window: int) -> tuple[int, bytes]:
     words = text.split() if text else []
+    for c in checks or ():
+        if _digest(words[c["start"] : c["start"] + c["words"]]) != c["digest"]:
+            raise RuntimeError("different words have one hash under this seed; take another")
     if not passages:
         return len(words), b" ".join(words)
     edge = np.zeros(len(words) + 1, np.int64)
@@ -322,7 +340,7 @@ def _finish(text: bytes | None, passages: list | None, window: int) -> tuple[int
     return len(words), b" ".join([w for w, g in zip(words, gone.tolist()) if not g])
 
 
-def remove_repeats(docs: DataFrame, window: int = 50, group: int = 8192) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 50, group: int = 8192, seed: int = 0) -> DataFrame:
     """``doc_id, n_words, n_removed, kept`` for each row of ``docs``: its words
     joined by single spaces, without those covered by a ``window`` whose words
     also start in a document with a smaller id.
@@ -331,22 +349,23 @@ def remove_repeats(docs: DataFrame, window: int = 50, group: int = 8192) -> Data
     short one loses none. A null id is neither smaller nor larger than others:
     such rows lose nothing. Rows that repeat an id, with the same text or
     another, are judged each by its own words and lose none to each other. Only
-    ``doc_id`` and ``text`` are read, and an empty table gives no rows.
+    ``doc_id`` and ``text`` are read, and an empty table gives no rows. Raises
+    where different words have one hash under ``seed``, rather than remove them.
     """
     if not LENGTHS[0] < window < 1 << 16:
         raise ValueError(f"window must have more than {LENGTHS[0]} words, and fewer than {1 << 16}")
-    found = checkpoint(repeated_passages(docs, window, group))
+    found = checkpoint(repeated_passages(docs, window, group, seed))
     keyed = docs.select("doc_id", raw("text").alias("t"), F.xxhash64("text").alias("row"))
     both = keyed.join(found.hint("shuffle_hash"), ["doc_id", "row"], "left")
 
     def run(columns: list[list]) -> list:
-        ids, texts, passages = columns
-        made = [_finish(t, p, window) for t, p in zip(texts, passages)]
+        ids, texts, passages, checks = columns
+        made = [_finish(t, p, c, window) for t, p, c in zip(texts, passages, checks)]
         total, kept = [n for n, _ in made], [k for _, k in made]
         left = [k.count(b" ") + 1 if k else 0 for k in kept]
         return [ids, total, [a - b for a, b in zip(total, left)], kept]
 
-    return map_rows(both.select("doc_id", "t", "passages"), run, "doc_id long, n_words long, n_removed long, kept binary").withColumn("kept", F.col("kept").cast("string"))
+    return map_rows(both.select("doc_id", "t", "passages", "checks"), run, "doc_id long, n_words long, n_removed long, kept binary").withColumn("kept", F.col("kept").cast("string"))
 
 
 def digest(kept: DataFrame) -> DataFrame:

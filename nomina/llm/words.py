@@ -1,18 +1,18 @@
-"""Hashes of the words of many texts and of stretches of words, by whole arrays.
+"""Hashes of the words of many texts and of stretches of words.
 
-A word is a run of bytes other than the six ASCII spaces. Its hash is a
-polynomial in its bytes modulo 2**64, mixed; a stretch of words hashes likewise
-over its words. Both come from prefix sums, so that no word is looked at alone.
+A word is a run of bytes other than the six ASCII spaces. Its hash is the XXH3 of
+its bytes under a seed, made once for each different word of a run of texts; a
+stretch of words hashes as a polynomial in theirs modulo 2**64, mixed, out of
+prefix sums. Equal words have equal hashes; what follows from equal hashes has to
+be held against the words.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 
 _U = np.uint64
-#: Bytes hashed at once.
-BYTES = 1 << 20
-_SPACES = np.isin(np.arange(256), (9, 10, 11, 12, 13, 32))
 
 
 class _Base:
@@ -31,7 +31,7 @@ class _Base:
         return self.up[:n], self.down[:n]
 
 
-_BYTE_BASE, WORD_BASE = _Base(0x9E3779B97F4A7C15), _Base(0xC2B2AE3D27D4EB4F)
+WORD_BASE = _Base(0xC2B2AE3D27D4EB4F)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -51,25 +51,18 @@ def between(sums: np.ndarray, base: _Base, start: np.ndarray, end: np.ndarray) -
     return _mix((sums[end] - sums[start]) * base.powers(len(sums))[1][start])
 
 
-def word_hashes(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+class _Hashes(dict):
+    def __init__(self, seed: int):
+        super().__init__()
+        self.seed = seed
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = h = xxhash.xxh3_64_intdigest(word, self.seed)
+        return h
+
+
+def word_hashes(texts: list[bytes | None], seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """The hash of every word of some texts, and the text it is in."""
-    lengths = np.array([len(t or b"") for t in texts], np.int64)
-    data = np.frombuffer(b"".join(t for t in texts if t), np.uint8)
-    edges = np.r_[0, np.cumsum(lengths)]
-    if not len(data):
-        return np.empty(0, _U), np.empty(0, np.int64)
-    inside = ~_SPACES[data]
-    cut = np.zeros(len(data) + 1, bool)
-    cut[edges] = True
-    before = np.r_[True, ~inside[:-1]] | cut[:-1]
-    after = np.r_[~inside[1:], True] | cut[1:]
-    start, end = np.flatnonzero(inside & before), np.flatnonzero(inside & after) + 1
-    hashes = np.empty(len(start), _U)
-    first = 0
-    while first < len(start):
-        last = max(first + 1, int(np.searchsorted(end, start[first] + BYTES, "right")))
-        at = int(start[first])
-        sums = sums_of(data[at : end[last - 1]].astype(_U) + _U(1), _BYTE_BASE)
-        hashes[first:last] = between(sums, _BYTE_BASE, start[first:last] - at, end[first:last] - at)
-        first = last
-    return hashes, np.searchsorted(edges, start, "right") - 1
+    known = _Hashes(seed)
+    parts = [np.array([known[w] for w in t.split()] if t else [], _U) for t in texts]
+    return np.concatenate([np.empty(0, _U), *parts]), np.repeat(np.arange(len(texts)), [len(p) for p in parts])

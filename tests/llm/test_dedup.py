@@ -214,7 +214,6 @@ def test_remove_repeats(spark, make_docs, prose, edges, group, window):
 def test_words_and_anchors_do_not_depend_on_the_batch(prose, monkeypatch):
     texts = [prose(k, 40 + 37 * k).encode() for k in range(30)] + [b"", None, b"  \t", b"x" * 5000, "é 日本 ".encode() * 60]
     whole = substring.runs(texts, 50)
-    monkeypatch.setattr(words, "BYTES", 97)
     monkeypatch.setattr(substring, "WORDS", 64)
     again = substring.runs(texts, 50)
     assert all((a == b).all() for a, b in zip(whole, again))
@@ -247,6 +246,35 @@ def test_groups_are_split_until_they_fit(spark, make_docs, prose, monkeypatch):
     assert sorted([(x["doc_id"], x["n_words"], x["n_removed"], x["kept_sha256"]) for x in got], key=str) == plain_removal(rows)
 
 
+def test_words_that_collide_in_polynomials_are_different(spark, make_docs, prose):
+    """Thue and Morse's words of 1,024 letters have equal polynomial hashes modulo
+    2 ** 64 under any odd base."""
+    signs = [bin(i).count("1") % 2 for i in range(1024)]
+    a, b = ("".join("ab"[s ^ k] for s in signs) for k in (0, 1))
+    rows = [(1, f"{a} {prose(1, 49)}"), (2, f"{b} {prose(1, 49)}"), (3, f"{b} {prose(1, 49)}"), (4, f"{prose(1, 49)} {a}")]
+    rows += [(10 + k, " ".join(a if s ^ k % 2 else b for s in signs) + f" end{k % 2}") for k in range(4)]
+    for group in (8192, 2):
+        got = substring.digest(substring.remove_repeats(make_docs(rows), group=group)).collect()
+        assert sorted([(x["doc_id"], x["n_words"], x["n_removed"], x["kept_sha256"]) for x in got], key=str) == plain_removal(rows)
+
+
+@pytest.mark.parametrize("differ", ["across", "within"])
+def test_hashes_that_collide_are_found(spark, make_docs, prose, monkeypatch, differ):
+    """Under the first seed two words have one hash: refused. Under another, right."""
+    missing = words._Hashes.__missing__
+
+    def same(self, word):
+        return missing(self, b"left" if self.seed == 0 and word == b"right" else word)
+
+    monkeypatch.setattr(words._Hashes, "__missing__", same)
+    text = lambda w: f"{prose(1, 120)} {w} {prose(2, 120)}"
+    rows = [(1, text("left")), (2, text("right"))] if differ == "across" else [(1, text("left") + " " + prose(3, 60) + " " + text("right")), (2, prose(4, 90))]
+    with pytest.raises(Exception, match="take another"):
+        substring.remove_repeats(make_docs(rows)).collect()
+    got = substring.digest(substring.remove_repeats(make_docs(rows), seed=1)).collect()
+    assert sorted([(x["doc_id"], x["n_words"], x["n_removed"], x["kept_sha256"]) for x in got], key=str) == plain_removal(rows)
+
+
 def test_remove_repeats_of_nothing(spark, make_docs):
     assert substring.remove_repeats(make_docs([])).count() == 0
     with pytest.raises(ValueError):
