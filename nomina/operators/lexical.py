@@ -3,6 +3,8 @@ with names and vectors together."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,15 +16,16 @@ def _words(name: Column) -> Column:
     return F.array_distinct(text.words(F.lower(name)))
 
 
-def similar_names(queries: DataFrame, names: DataFrame, theta: float = 0.5) -> DataFrame:
+def similar_names(queries: DataFrame, names: DataFrame, theta: float = 0.5, tokens: Callable[[Column], Column] = _words) -> DataFrame:
     """``query_id, id, jaccard`` of queries and names (``id, name``) whose shares
-    of common words are at least ``theta``; names without words match nothing.
+    of common words, or whatever distinct ``tokens`` a name has, are at least
+    ``theta``; names without any match nothing.
 
     Two sets as similar as that share one of their ``n - ceil(theta * n) + 1``
     rarest words, so only those are joined on: a frequent word joins just the
     names that have nothing rarer. Frequencies are a table, not a broadcast.
     """
-    keyed = lambda d, i, k, w: d.select(F.col("id").alias(i), F.array_sort(_words(F.col("name"))).alias(w)).filter(F.size(w) > 0).select(i, F.array_join(w, " ").alias(k), w)
+    keyed = lambda d, i, k, w: d.select(F.col("id").alias(i), F.array_sort(tokens(F.col("name"))).alias(w)).filter(F.size(w) > 0).select(i, F.array_join(w, " ").alias(k), w)
     asked, stored = keyed(queries, "query_id", "qk", "qw"), keyed(names, "id", "k", "w")
     # Names with the same words are one until the pairs are known.
     a, b = asked.select("qk", "qw").distinct(), stored.select("k", "w").distinct()

@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 import os
-
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local(cpus: str | int = "*", memory: str = "8g", partitions: int = 8) -> SparkSession:
@@ -36,3 +35,12 @@ def scratch(spark: SparkSession) -> str:
     files = made.getFileSystem(spark._jsc.hadoopConfiguration())
     files.deleteOnExit(made)
     return path
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut lineage with files below ``spark.checkpoint.dir``; a local master may
+    go without that setting."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or scratch(spark))
+    return df.checkpoint()
