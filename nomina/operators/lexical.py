@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from .scoring import scored_names
 from .search import neighbours
 
 
@@ -48,8 +49,11 @@ def entity_hits(queries: DataFrame, aliases: DataFrame, theta: float = 0.5, cosi
     """``case_id, entity_id, gnr_score, emb_score, ordinal``: entities that a
     query (``id, entity, name, v``) reaches by name or by vector, each with the
     best scores of its aliases (same columns), 0 to 100, in order of the better
-    of them. Stands in for an engine's search with all candidates."""
-    by_name = similar_names(queries, aliases, theta).select("query_id", "id", F.floor(100 * F.col("jaccard")).cast("int").alias("gnr"), F.lit(None).cast("int").alias("emb"))
+    of them. Names are candidates if they share ``theta`` of their words, and get
+    their graded score. Stands in for an engine's search with all candidates."""
+    met = similar_names(queries, aliases, theta).select("query_id", "id")
+    met = met.join(queries.select(F.col("id").alias("query_id"), F.col("name").alias("name_a")), "query_id").join(aliases.select("id", F.col("name").alias("name_b")), "id")
+    by_name = scored_names(met, score="gnr").select("query_id", "id", "gnr", F.lit(None).cast("int").alias("emb"))
     near = neighbours(queries, aliases, k, cosine)
     by_vector = near.select("query_id", F.col("feat_id").alias("id"), F.lit(None).cast("int").alias("gnr"), F.floor(100 * F.col("cosine") + 1e-6).cast("int").alias("emb"))
     found = by_name.unionByName(by_vector).join(aliases.select("id", "entity"), "id")

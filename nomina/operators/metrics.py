@@ -122,15 +122,15 @@ def with_medians(report: DataFrame, rows: DataFrame, medians: dict[str, str], by
 
 
 def floor_percentiles(rows: DataFrame, value: str, points: tuple[float, ...], by: Iterable[str] = ()) -> DataFrame:
-    """Percentiles as the sorted value at place ``floor(p * n)`` from 0. Values
-    are counted before they are ordered, so a group's rows never meet."""
+    """Percentiles as the sorted value at place ``floor(p * n)`` from 0, null
+    where there is none; groups without a value give no row. Places come from
+    ``positions``, so no task orders a whole group."""
     by = list(by)
-    counts = rows.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
-    whole = Window.partitionBy(*by)
-    upto = F.sum("_n").over(whole.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    run = counts.select(*by, value, upto.alias("_to"), F.sum("_n").over(whole).alias("_all"))
-    pick = lambda p: F.min(F.when(F.col("_to") > F.floor(F.lit(p) * F.col("_all")), F.col(value)))
-    return run.groupBy(*by).agg(*[pick(p).alias(f"p{round(100 * p):02d}") for p in points])
+    run = positions(rows, value, by)
+    both = _same(run, run.groupBy(*by).agg(F.sum("n").alias("_all")), by)
+    place = lambda p: F.floor(F.lit(p) * F.col("_all"))
+    holds = lambda k: F.max(F.when((F.col("before") <= k) & (k < F.col("before") + F.col("n")), F.col("value")))
+    return both.groupBy(*by).agg(*[holds(place(p)).alias(f"p{round(100 * p):02d}") for p in points])
 
 
 def describe(value: Column | str, name: str) -> list[Column]:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scripts, text, vectors
 from .ranking import first_n, keep_first
+from .scoring import scored_names
 from .search import similarity_join
 
 PAIR = ("name_a", "name_b", "entity_a", "entity_b", "same_entity", "pair_type")
@@ -53,11 +54,13 @@ def all_pairs(within: DataFrame, cross: DataFrame) -> DataFrame:
 
 
 def scored(pairs: DataFrame, embeddings: DataFrame, mapping: DataFrame) -> DataFrame:
-    """``pairs`` with the cosine of their names' vectors (``name, v``) and a name
-    score, null where the second entity is not in ``mapping`` (``entity_b``)."""
+    """``pairs`` with the cosine of their names' vectors (``name, v``) and their
+    graded name score, null where the second entity is not in ``mapping``
+    (``entity_b``). Each distinct pair of names is scored once."""
     v = lambda side: embeddings.select(F.col("name").alias(f"name_{side}"), F.col("v").alias(f"v_{side}"))
     rows = pairs.join(v("a"), "name_a", "left").join(v("b"), "name_b", "left").join(mapping.select("entity_b").distinct().withColumn("_known", F.lit(True)), "entity_b", "left")
-    gnr = F.when(F.col("_known"), text.lexical_score(F.col("name_a"), F.col("name_b")))
+    rows = scored_names(rows, score="_score")
+    gnr = F.when(F.col("_known"), F.col("_score"))
     out = rows.withColumn("gnr_score", gnr).withColumn("gnr_bucket", text.bucket(F.col("gnr_score"))).withColumn("cosine_sim", vectors.cosine(F.col("v_a"), F.col("v_b")))
     return out.select(*PAIR, "gnr_score", "gnr_bucket", "cosine_sim")
 
@@ -172,10 +175,24 @@ def hard_positive_triplets(pairs: DataFrame, pool: DataFrame, n: int = 3, seed:
     return one.unionByName(few.select(F.col("name_b").alias("anchor"), F.col("name_a").alias("positive"), "negative", F.col("entity").alias("anchor_group")))
 
 
+def _leading(named: DataFrame, n: int) -> DataFrame:
+    """Of each record's names, the first ``n`` rows of each of the ``n`` values
+    that come up first."""
+    few = first_n(named, ["record_id", "name"], ["idx"], n)
+    firsts = first_n(few.groupBy("record_id", "name").agg(F.min("idx").alias("idx")), ["record_id"], ["idx"], n).select("record_id", "name")
+    return few.join(firsts, ["record_id", "name"])
+
+
 def alias_triplets(named: DataFrame, most: int = 5, seed: int = 42) -> DataFrame:
     """Triplets from records' own names (``record_id, record_type, idx, name``):
-    pairs i < j of a record, each with the first name of another record of its
-    type, drawn by hash."""
+    the first ``most`` pairs i < j of different names of a record, each with the
+    first name of another record of its type, drawn by hash.
+
+    A record's first name has as many pairs as names differ from it; if these are
+    ``most``, they are the first, and else all but that many names equal the first
+    one. So the first ``most + 1`` names of each value, of the first ``most + 1``
+    values to come up, hold all that can be asked for, and only they are joined."""
+    named = _leading(named, most + 1)
     a = named.select("record_id", "record_type", F.col("idx").alias("i"), F.col("name").alias("anchor"))
     b = named.select("record_id", F.col("idx").alias("j"), F.col("name").alias("positive"))
     pairs = first_n(a.join(b, "record_id").filter("i < j and anchor <> positive"), ["record_id"], ["i", "j"], most)

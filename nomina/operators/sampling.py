@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpoint
+
 from .pairs import seeded
 
 
@@ -37,12 +39,15 @@ def stratified(analyzed: DataFrame, size: int, key: str, person_ratio: float = 0
     with aliases, two tenths to other than Latin names, the rest to anyone.
 
     Whoever is drawn is among the first of its type, of those with aliases or of
-    those with other names, in seeded order: three top-n cuts, each made in the
-    tasks that read the records, leave a few times ``size`` rows, from which the
-    quotas are then filled.
+    those with other names, in seeded order. The records are read once, for their
+    keys, draws and two flags; three top-n cuts of these leave a few times ``size``
+    keys, from which the quotas are filled, and the chosen keys meet the records
+    again. Records with a null key can't be drawn; of those that share a key one is.
     """
-    rows = analyzed.filter(F.col("record_type").isin("PERSON", "ORGANIZATION")).withColumn("_draw", seeded(seed, key))
-    have = {r["record_type"]: r["n"] for r in rows.groupBy("record_type").agg(F.count(F.lit(1)).alias("n")).collect()}
+    kinds = F.col("record_type").isin("PERSON", "ORGANIZATION")
+    flags = (F.coalesce("has_aliases", F.lit(False)).alias("_a"), F.coalesce(F.col("script") != "latin", F.lit(False)).alias("_odd"))
+    slim = checkpoint(analyzed.filter(kinds & F.col(key).isNotNull()).select(key, "record_type", seeded(seed, key).alias("_draw"), *flags).dropDuplicates([key]))
+    have = {r["record_type"]: r["n"] for r in slim.groupBy("record_type").agg(F.count(F.lit(1)).alias("n")).collect()}
     persons, orgs = have.get("PERSON", 0), have.get("ORGANIZATION", 0)
     p = int(size * person_ratio)
     o = size - p
@@ -52,29 +57,28 @@ def stratified(analyzed: DataFrame, size: int, key: str, person_ratio: float = 0
     elif orgs < o:
         o = orgs
         p = min(size - o, persons)
-    made = [_drawn(rows.filter(F.col("record_type") == kind), target, key) for kind, target in (("PERSON", p), ("ORGANIZATION", o))]
-    return made[0].unionByName(made[1])
+    made = [_drawn(slim.filter(F.col("record_type") == kind), target, key) for kind, target in (("PERSON", p), ("ORGANIZATION", o))]
+    return analyzed.join(F.broadcast(made[0].unionByName(made[1])), key, "left_semi").dropDuplicates([key])
 
 
 def _drawn(rows: DataFrame, target: int, key: str) -> DataFrame:
-    """``target`` rows of one type, by stratum."""
+    """``target`` keys of one type, by stratum."""
     order = (F.col("_draw"), F.col(key))
     with_aliases, others = int(target * 0.3), int(target * 0.2)
-    odd = F.coalesce(F.col("script") != "latin", F.lit(False))
-    cuts = ((F.coalesce("has_aliases", F.lit(False)), with_aliases), (odd, with_aliases + others), (F.lit(True), target))
+    cuts = ((F.col("_a"), with_aliases), (F.col("_odd"), with_aliases + others), (F.lit(True), target))
     few = None
     for of, n in cuts:
         part = rows.filter(of).orderBy(*order).limit(n)
         few = part if few is None else few.unionByName(part)
-    # From here on a few times ``target`` rows: rank them by stratum.
+    # From here on a few times ``target`` keys: rank them by stratum.
     few = few.dropDuplicates([key])
     nth = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(*order))
-    first = few.withColumn("_a", F.coalesce("has_aliases", F.lit(False))).withColumn("_first", F.col("_a") & (nth("_a") <= with_aliases))
-    second = first.withColumn("_o", odd & ~F.col("_first")).withColumn("_second", F.col("_o") & (nth("_o") <= others))
+    first = few.withColumn("_first", F.col("_a") & (nth("_a") <= with_aliases))
+    second = first.withColumn("_o", F.col("_odd") & ~F.col("_first")).withColumn("_second", F.col("_o") & (nth("_o") <= others))
     taken = second.withColumn("_taken", F.col("_first") | F.col("_second"))
     all_taken = F.count_if("_taken").over(Window.partitionBy(F.lit(1)))
     chosen = taken.withColumn("_got", all_taken).withColumn("_n", nth("_taken")).filter(F.col("_taken") | (F.col("_n") <= target - F.col("_got")))
-    return chosen.select(*[c for c in rows.columns if c != "_draw"])
+    return chosen.select(key)
 
 
 def priority_split(rows: DataFrame, n: int, priority: str, key: str, share: float = 0.8, seed: int = 42) -> DataFrame:

@@ -1,9 +1,11 @@
 """Exact vector search: nearest neighbours, thresholds and similarity joins.
 
-A block of queries meets a block of vectors as one matrix product, and only a
-query's best or sufficient rows leave the task, so nothing of the size of the
-cross product is ever written. Queries that fit a checked bound are broadcast
-and the vectors stay where they are; beyond it both sides are dealt into blocks.
+A block of queries meets a block of vectors as one matrix product, and a task
+keeps a query's ``k`` best rows across all its blocks, so it writes at most ``k``
+rows a query. Queries that fit a checked bound are broadcast and the vectors stay
+where they are. Beyond it vectors are filed by the nearest of some centres, and a
+query meets a cell only if the triangle inequality of angles lets a row of the
+cell reach the threshold, or the query's floor: its k-th best in its own cell.
 """
 
 from __future__ import annotations
@@ -16,34 +18,73 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Bytes of query vectors that may be broadcast.
-BROADCAST = 64 << 20
+from ..session import checkpoint
+
+#: Bytes of query vectors, and rows held for them, that may be broadcast.
+BROADCAST, HELD = 64 << 20, 4_000_000
+#: Rows of a sample that chooses centres; rows of a block of a cell.
+SAMPLE, BLOCK = 20_000, 16_384
 _OUT = "query_id long, feat_id long, cosine double"
+_VECTOR = "id long, entity long, v array<double>"
+
+
+class Best:
+    """The best ``k`` hits of each of some queries, or all of them, as blocks of
+    vectors come by: by cosine, rounded if asked, ties to smaller ids."""
+
+    def __init__(self, queries: pd.DataFrame, k: int | None, least: float | None, other_entity: bool, decimals: int | None):
+        self.ids, self.entities = queries["id"].to_numpy(), queries["entity"].to_numpy()
+        self.v = np.stack(queries["v"].to_numpy()).astype(float)
+        self.k, self.other, self.decimals = k, other_entity, decimals
+        self.floor = np.full(len(self.ids), -np.inf if least is None else least)
+        self.held = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))] * (1 + (len(self.ids) - 1) // 256)
+
+    def meet(self, rows: pd.DataFrame) -> pd.DataFrame:
+        """Take a block of vectors; without ``k``, its hits."""
+        b, ids, entities = np.stack(rows["v"].to_numpy()).astype(float), rows["id"].to_numpy(), rows["entity"].to_numpy()
+        out = []
+        for n in range(len(self.held)):
+            at = 256 * n
+            s = self.v[at : at + 256] @ b.T
+            if self.decimals is not None:
+                s = np.round(s, self.decimals)
+            ok = (s >= self.floor[at : at + 256, None]) & (self.ids[at : at + 256, None] != ids[None, :])
+            if self.other:
+                ok &= self.entities[at : at + 256, None] != entities[None, :]
+            q, t = np.nonzero(ok)
+            new = (q + at, ids[t], s[q, t])
+            if self.k is None:
+                out.append(new)
+            elif len(q):
+                self._keep(n, new)
+        return self._frame(out)
 
+    def _keep(self, n: int, new: tuple[np.ndarray, np.ndarray, np.ndarray]) -> None:
+        q, t, s = (np.concatenate(x) for x in zip(self.held[n], new))
+        order = np.lexsort((t, -s, q))
+        q, t, s = q[order], t[order], s[order]
+        first = np.r_[True, q[1:] != q[:-1]]
+        nth = np.arange(len(q)) - np.maximum.accumulate(np.where(first, np.arange(len(q)), 0))
+        full = nth == self.k - 1
+        self.floor[q[full]] = s[full]
+        self.held[n] = (q[nth < self.k], t[nth < self.k], s[nth < self.k])
 
-def _best(q: pd.DataFrame, t: pd.DataFrame, k: int | None, least: float | None, other_entity: bool) -> pd.DataFrame:
-    """Hits of a block of queries in a block of vectors; self-hits never count."""
-    if not len(q) or not len(t):
-        return pd.DataFrame({"query_id": [], "feat_id": [], "cosine": []})
-    a, b = np.stack(q["v"].to_numpy()).astype(float), np.stack(t["v"].to_numpy()).astype(float)
-    qid, tid = q["id"].to_numpy(), t["id"].to_numpy()
-    qe, te = q["entity"].to_numpy(), t["entity"].to_numpy()
-    out = []
-    for at in range(0, len(a), 256):
-        s = a[at : at + 256] @ b.T
-        ok = qid[at : at + 256, None] != tid[None, :]
-        if other_entity:
-            ok &= qe[at : at + 256, None] != te[None, :]
-        if least is not None:
-            ok &= s >= least
-        for i in range(len(s)):
-            hit = np.flatnonzero(ok[i])
-            if k is not None and len(hit) > k:
-                near = s[i, hit]
-                edge = np.partition(near, len(near) - k)[len(near) - k]
-                hit = hit[near >= edge - 2e-6]  # ties, rounded ones too, are settled by id later
-            out.append(pd.DataFrame({"query_id": qid[at + i], "feat_id": tid[hit], "cosine": s[i, hit]}))
-    return pd.concat(out)
+    def _frame(self, parts: list) -> pd.DataFrame:
+        q, t, s = (np.concatenate(x) for x in zip(*parts)) if parts else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+        return pd.DataFrame({"query_id": self.ids[q], "feat_id": t, "cosine": s})
+
+    def end(self) -> pd.DataFrame:
+        return self._frame(self.held if self.k is not None else [])
+
+
+def _usable(rows: DataFrame) -> DataFrame:
+    return rows.select("id", "entity", F.col("v").cast("array<double>").alias("v")).filter("v is not null and id is not null")
+
+
+def _ranked(found: DataFrame, k: int | None) -> DataFrame:
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("cosine"), "feat_id"))
+    ranked = found.select("query_id", rank.alias("rank"), "feat_id", "cosine")
+    return ranked if k is None else ranked.filter(F.col("rank") <= k)
 
 
 def neighbours(
@@ -53,44 +94,161 @@ def neighbours(
     least: float | None = None,
     other_entity: bool = False,
     decimals: int | None = None,
-    block: int = 16_384,
+    block: int = BLOCK,
 ) -> DataFrame:
     """``query_id, rank, feat_id, cosine``: for each query (``id, entity, v``)
     the ``k`` nearest rows of ``table`` (same columns) with a cosine of at least
     ``least``, best first, ties to smaller ids. ``decimals`` rounds cosines
-    before they are ranked. Rows without a vector take no part."""
-    queries = queries.select("id", "entity", "v").filter("v is not null and id is not null")
-    table = table.select("id", "entity", "v").filter("v is not null and id is not null")
-    n = queries.count()
-    width = queries.select(F.size("v").alias("w")).first()
-    if n and n * width["w"] * 4 <= BROADCAST:
-        held = queries.toPandas()
-
-        def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for part in parts:
-                if len(part):
-                    yield _best(held, part, k, least, other_entity)
-
-        found = table.mapInPandas(run, _OUT)
-    else:
-        m = table.count()
-        qs, ts = max(1, math.ceil(n / block)), max(1, math.ceil(m / block))
-        left = queries.select(F.pmod(F.xxhash64("id"), F.lit(qs)).cast("int").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(ts - 1))).alias("t"), F.lit(True).alias("asks"), "id", "entity", "v")
-        right = table.select(F.explode(F.sequence(F.lit(0), F.lit(qs - 1))).alias("q"), F.pmod(F.xxhash64("id"), F.lit(ts)).cast("int").alias("t"), F.lit(False).alias("asks"), "id", "entity", "v")
-
-        def meet(part: pd.DataFrame) -> pd.DataFrame:
-            asks = part["asks"].to_numpy(bool)
-            return _best(part[asks], part[~asks], k, least, other_entity)
-
-        both = left.unionByName(right)
-        found = both.groupBy("q", "t").applyInPandas(meet, _OUT)
-    if decimals is not None:
-        found = found.withColumn("cosine", F.round("cosine", decimals))
-        if least is not None:
-            found = found.filter(F.col("cosine") >= least)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("cosine"), "feat_id"))
-    ranked = found.select("query_id", rank.alias("rank"), "feat_id", "cosine")
-    return ranked if k is None else ranked.filter(F.col("rank") <= k)
+    before they are ranked. Rows without a vector take no part, and a query never
+    finds its own id. Many queries are searched by ``in_cells``."""
+    asked, stored = _usable(queries), _usable(table)
+    size = asked.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("width")).first()
+    if size["n"] and (size["n"] * size["width"] * 4 > BROADCAST or size["n"] * (k or 1) > HELD):
+        return in_cells(queries, table, k, least, other_entity, decimals, block=block)
+    held = asked.toPandas()
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        if not len(held):
+            return
+        best = Best(held, k, least, other_entity, decimals)
+        for part in parts:
+            if len(part):
+                yield best.meet(part)
+        yield best.end()
+
+    return _ranked(stored.mapInPandas(run, _OUT), k)
+
+
+def _sphere(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths of vectors, and their angles to unit centres."""
+    length = np.linalg.norm(x, axis=1)
+    cosine = (x @ centres.T) / np.where(length > 0, length, 1)[:, None]
+    return length, np.arccos(np.clip(cosine, -1, 1))
+
+
+def _filed(rows: DataFrame, centres: np.ndarray) -> DataFrame:
+    """Rows with the cell of the nearest centre, the angle to it and their length."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            if len(part):
+                length, angle = _sphere(np.stack(part["v"].to_numpy()), centres)
+                cell = angle.argmin(axis=1)
+                yield part.assign(cell=cell, angle=angle[np.arange(len(part)), cell], length=length)
+
+    return rows.mapInPandas(run, _VECTOR + ", cell long, angle double, length double")
+
+
+#: What rounding may hide.
+_SLACK = 1e-6
+
+
+def _sent(asked: DataFrame, centres: np.ndarray, shapes: pd.DataFrame, least: float | None, decimals: int | None, probes: int | None) -> DataFrame:
+    """Queries (with a ``floor``, or null) once for every cell that may hold what
+    they ask for; ``probes``: the nearest ones instead."""
+    cells, widest, longest = shapes["cell"].to_numpy(), shapes["angle"].to_numpy(), shapes["length"].to_numpy()
+    slack = _SLACK + (0.6 * 10.0**-decimals if decimals is not None else 0)
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            if not len(part):
+                continue
+            length, angle = _sphere(np.stack(part["v"].to_numpy()), centres)
+            angle = angle[:, cells]
+            if probes is not None:
+                go = np.zeros(angle.shape, bool)
+                np.put_along_axis(go, np.argsort(angle, axis=1, kind="stable")[:, :probes], True, axis=1)
+            else:
+                # No row of a cell is nearer in angle than this, and none is longer.
+                reach = np.cos(np.maximum(angle - widest, 0))
+                bound = length[:, None] * np.where(reach > 0, longest * reach, 0)
+                floor = part["floor"].fillna(-np.inf if least is None else least).to_numpy()
+                go = bound >= floor[:, None] - slack
+            q, c = np.nonzero(go)
+            yield part.iloc[q].assign(cell=cells[c])[["cell", "id", "entity", "v", "own"]]
+
+    return asked.mapInPandas(run, "cell long, id long, entity long, v array<double>, own long")
+
+
+def _met(sent: DataFrame, filed: DataFrame, k: int | None, least: float | None, other_entity: bool, decimals: int | None, block: int) -> DataFrame:
+    """Hits of queries in the cells they were sent to. Full cells are dealt into
+    blocks on either side."""
+    size = lambda rows, c: rows.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(c))
+    shape = F.broadcast(size(filed, "ts").join(size(sent, "qs"), "cell"))
+    deal = lambda rows, own, n, other, m: rows.join(shape, "cell").select("cell", F.pmod(F.xxhash64("id"), F.col(n)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.col(m) - 1)).alias(other), F.lit(own == "q").alias("asks"), "id", "entity", "v")
+
+    def meet(part: pd.DataFrame) -> pd.DataFrame:
+        asks = part["asks"].to_numpy(bool)
+        if asks.all() or not asks.any():
+            return pd.DataFrame({"query_id": [], "feat_id": [], "cosine": []})
+        best = Best(part[asks], k, least, other_entity, decimals)
+        found = best.meet(part[~asks])
+        return best.end() if k is not None else found
+
+    return deal(sent, "q", "qs", "t", "ts").unionByName(deal(filed, "t", "ts", "q", "qs")).groupBy("cell", "q", "t").applyInPandas(meet, _OUT)
+
+
+class Cells:
+    """A table's vectors filed by the nearest of at most ``cells`` centres, which a
+    bounded sample chooses; they decide what is read and never what is found."""
+
+    def __init__(self, table: DataFrame, cells: int | None = None, block: int = BLOCK):
+        rows = _usable(table)
+        if cells is None:
+            cells = min(1024, 8 + 4 * math.isqrt(rows.count() // 64))
+        self.centres = centroids(rows, cells)
+        self.block = block
+        self.rows = checkpoint(_filed(rows, self.centres)) if len(self.centres) else rows.limit(0)
+        shapes = [] if not len(self.centres) else self.rows.groupBy("cell").agg(F.max("angle").alias("angle"), F.max("length").alias("length"), F.count(F.lit(1)).alias("rows")).orderBy("cell").collect()
+        self.shapes = pd.DataFrame([r.asDict() for r in shapes], columns=["cell", "angle", "length", "rows"])
+
+    def ask(self, queries: DataFrame) -> DataFrame:
+        asked = _filed(_usable(queries), self.centres).withColumn("own", F.col("cell")).withColumn("floor", F.lit(None).cast("double"))
+        return asked.select("id", "entity", "v", "own", "floor")
+
+
+def in_cells(
+    queries: DataFrame,
+    table: DataFrame | Cells,
+    k: int | None = None,
+    least: float | None = None,
+    other_entity: bool = False,
+    decimals: int | None = None,
+    cells: int | None = None,
+    block: int = BLOCK,
+) -> DataFrame:
+    """``neighbours`` over a table in cells, exact too. With ``k``, queries search
+    the cell nearest to them first; only cells that can beat what they have found
+    there, or reach ``least``, are searched next. Where vectors are clustered most
+    are not (see ``shares``); where they point evenly in all directions all are,
+    and work grows as queries times vectors."""
+    held = table if isinstance(table, Cells) else Cells(table, cells, block)
+    if not len(held.shapes):
+        return _ranked(held.rows.select(F.col("id").alias("query_id"), F.col("id").alias("feat_id"), F.lit(0.0).alias("cosine")), k)
+    asked = held.ask(queries)
+    meet = lambda sent: _met(sent, held.rows, k, least, other_entity, decimals, held.block)
+    if k is None:
+        return _ranked(meet(_sent(asked, held.centres, held.shapes, least, decimals, None)), k)
+    near = checkpoint(_ranked(meet(_sent(asked, held.centres, held.shapes, least, decimals, 1)), k).drop("rank"))
+    floors = near.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("cosine").alias("kth")).filter(F.col("n") >= k)
+    asked = asked.join(floors.select(F.col("query_id").alias("id"), "kth"), "id", "left").withColumn("floor", F.col("kth")).drop("kth")
+    rest = _sent(asked, held.centres, held.shapes, least, decimals, None)
+    # The nearest cell that has rows may not be the nearest of all.
+    first = _sent(held.ask(queries), held.centres, held.shapes, least, decimals, 1).select("id", "cell")
+    found = meet(checkpoint(rest.join(first, ["id", "cell"], "left_anti")))
+    return _ranked(near.unionByName(found), k)
+
+
+def shares(queries: DataFrame, table: Cells, least: float) -> DataFrame:
+    """How many (query, cell) and (query, row) pairs there are, and how many of
+    them a join at ``least`` multiplies: ``cells, cells_met, rows, rows_met``."""
+    asked = table.ask(queries)
+    counts = table.rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+    met = _sent(asked, table.centres, table.shapes, least, None, None).join(F.broadcast(counts), "cell")
+    n, rows = len(table.shapes), int(table.shapes["rows"].sum())
+    whole = asked.agg((F.count(F.lit(1)) * n).alias("cells"), (F.count(F.lit(1)) * rows).alias("rows"))
+    part = met.agg(F.count(F.lit(1)).alias("cells_met"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows_met"))
+    return whole.crossJoin(part).select("cells", "cells_met", "rows", "rows_met")
 
 
 def within(queries: DataFrame, table: DataFrame, theta: float) -> DataFrame:
@@ -111,11 +269,14 @@ def similarity_join(aliases: DataFrame, theta: float = 0.43, k: int = 5, per_ent
     return neighbours(query_aliases(aliases, per_entity), aliases, k, theta, True, decimals)
 
 
-def centroids(table: DataFrame, cells: int, sample: int = 20_000, rounds: int = 15, seed: int = 42) -> np.ndarray:
+def centroids(table: DataFrame, cells: int, sample: int = SAMPLE, rounds: int = 15, seed: int = 42) -> np.ndarray:
     """Unit centres of ``cells`` cells by k-means over at most ``sample`` rows,
     those with the smallest hashes of their id."""
     rows = table.filter("v is not null").select("id", "v").orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(sample).collect()
+    if not rows:
+        return np.empty((0, 0))
     x = np.array([r["v"] for r in rows], float)
+    x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
     made = x[np.random.default_rng(seed).permutation(len(x))[:cells]]
     for _ in range(rounds):
         own = (x @ made.T).argmax(axis=1)
@@ -126,38 +287,14 @@ def centroids(table: DataFrame, cells: int, sample: int = 20_000, rounds: int =
     return made
 
 
-def _celled(rows: DataFrame, centres: np.ndarray, n: int) -> DataFrame:
-    """A row for each of the ``n`` cells nearest to a row's vector."""
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            if len(part):
-                near = np.argsort(-(np.stack(part["v"].to_numpy()) @ centres.T), axis=1, kind="stable")[:, :n]
-                yield part.loc[part.index.repeat(near.shape[1])].assign(cell=near.ravel())
-
-    return rows.select("id", "entity", "v").filter("v is not null and id is not null").mapInPandas(run, "id long, entity long, v array<double>, cell long")
-
-
-def approximate(queries: DataFrame, table: DataFrame, k: int, cells: int = 64, probes: int = 40, sample: int = 20_000, block: int = 16_384) -> DataFrame:
+def approximate(queries: DataFrame, table: DataFrame | Cells, k: int, cells: int = 64, probes: int = 40, block: int = BLOCK) -> DataFrame:
     """``neighbours`` among the rows of the ``probes`` cells nearest to a query.
-    Centres come from a bounded sample, every row is indexed, and full cells are
-    dealt into blocks. Approximate: measure it with ``recall``, which the defaults
-    keep above nine tenths even for vectors without clusters; with clusters, a few
-    probes do."""
-    centres = centroids(table, cells, sample)
-    stored, asked = _celled(table, centres, 1), _celled(queries, centres, probes)
-    size = lambda rows, c: rows.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(c))
-    shape = F.broadcast(size(stored, "ts").join(size(asked, "qs"), "cell"))
-    deal = lambda rows, own, n, other, m: rows.join(shape, "cell").select("cell", F.pmod(F.xxhash64("id"), F.col(n)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.col(m) - 1)).alias(other), F.lit(own == "q").alias("asks"), "id", "entity", "v")
-    left, right = deal(asked, "q", "qs", "t", "ts"), deal(stored, "t", "ts", "q", "qs")
-
-    def meet(part: pd.DataFrame) -> pd.DataFrame:
-        asks = part["asks"].to_numpy(bool)
-        return _best(part[asks], part[~asks], k, None, False)
-
-    found = left.unionByName(right).groupBy("cell", "q", "t").applyInPandas(meet, _OUT)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("cosine"), "feat_id"))
-    return found.select("query_id", rank.alias("rank"), "feat_id", "cosine").filter(F.col("rank") <= k)
+    Every row is in a cell. Approximate: measure it with ``recall``, which the
+    defaults keep above nine tenths even for vectors without clusters; with
+    clusters, a few probes do."""
+    held = table if isinstance(table, Cells) else Cells(table, cells, block)
+    sent = _sent(held.ask(queries), held.centres, held.shapes, None, None, probes)
+    return _ranked(_met(sent, held.rows, k, None, False, None, held.block), k)
 
 
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:

@@ -69,13 +69,14 @@ def embedding_file(spark, d):
 
 def upserted(spark, d):
     """Two loads of events by user: later values replace earlier ones, failures
-    change nothing, and a load that is run again changes nothing more."""
+    change nothing, and a load that is run again changes nothing more. The first
+    load has all of a user's events, of which the earliest is to stay."""
     path = scratch(spark)
     e = table(spark, d, "events").select(F.col("user_id").cast("string").alias("record_id"), "event_id", "value")
-    first = e.groupBy("record_id").agg(F.min_by("value", "event_id").alias("value"))
+    first = e.withColumn("turn", -F.col("event_id")).drop("event_id")
     last = e.groupBy("record_id").agg(F.max_by("value", "event_id").alias("value"), F.max("event_id").alias("event_id"))
     fails = F.when(F.col("event_id") % 5 == 0, "too_long")
-    outcomes = [writers.upsert(first.filter("record_id % 3 <> 0").withColumn("error_type", F.lit(None).cast("string")), path, "record_id")]
+    outcomes = [writers.upsert(first.filter("record_id % 3 <> 0").withColumn("error_type", F.lit(None).cast("string")), path, "record_id", order="turn")]
     tries = last.filter("record_id % 2 = 0").withColumn("error_type", fails).drop("event_id")
     for _ in range(2):
         outcomes.append(writers.upsert(tries, path, "record_id"))

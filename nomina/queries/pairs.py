@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import pairs as ops
 from ..operators import ranking, search, stats
 from .base import WITH_ALIASES, WITH_HITS, WITH_PAIRS, Query, aliases, hits, pairs, rounded, table
+from .resolution import graded
 
 _SCRIPTS = ("LATIN", "CYRILLIC", "CJK")
 
@@ -236,7 +237,8 @@ SELECT name_a, name_b, same_entity, pair_type FROM u QUALIFY row_number() OVER (
     "cross_entity_pairs": Query(cross_entity_pairs, f"""WITH {WITH_ALIASES}, f AS (SELECT id FROM aliases QUALIFY row_number() OVER (PARTITION BY entity ORDER BY id) <= 3),
 c AS (SELECT q.name AS name_a, t.name AS name_b, q.entity AS entity_a, t.entity AS entity_b, round(list_dot_product(q.v, t.v), 6) AS initial_cosine, q.id AS a, t.id AS b FROM aliases q JOIN aliases t ON q.entity <> t.entity WHERE q.id IN (FROM f))
 SELECT name_a, name_b, entity_a, entity_b, false AS same_entity, 'cross_entity_embedding_match' AS pair_type, initial_cosine FROM c WHERE initial_cosine >= 0.2 QUALIFY row_number() OVER (PARTITION BY a ORDER BY initial_cosine DESC, b) <= 5"""),
-    "score_pairs": Query(score_pairs, _P + ", p AS (SELECT *, CAST(substr(name_a, 2) AS BIGINT) % 5 AS x, CAST(substr(name_b, 2) AS BIGINT) % 5 AS y FROM pairs) SELECT name_a || ' w' || x AS name_a, name_b || ' w' || y AS name_b, entity_a, entity_b, same_entity, CASE WHEN entity_b % 3 <> 0 AND x = y THEN CAST(floor(100.0 / 3) AS INTEGER) END AS gnr_score, cosine_sim FROM p"),
+    "score_pairs": Query(score_pairs, f"""WITH RECURSIVE {WITH_PAIRS}, p AS (SELECT name_a || ' w' || CAST(substr(name_a, 2) AS BIGINT) % 5 AS name_a, name_b || ' w' || CAST(substr(name_b, 2) AS BIGINT) % 5 AS name_b, entity_a, entity_b, same_entity, cosine_sim FROM pairs),
+q AS (SELECT name_a AS x, name_b AS y FROM p), {graded("q")} SELECT name_a, name_b, entity_a, entity_b, same_entity, CASE WHEN entity_b % 3 <> 0 THEN score END AS gnr_score, cosine_sim FROM p LEFT JOIN graded ON x = name_a AND y = name_b"""),
     "corr_pearson": Query(corr_pearson, _BOTH + f", c AS (SELECT {_raw_corr('g', 'c')} AS r, count(*) AS n FROM p)" + _student("pearson")),
     "corr_spearman": Query(corr_spearman, _BOTH + f", k AS (SELECT {_rank('g')} AS rg, {_rank('c')} AS rc FROM p), c AS (SELECT {_raw_corr('rg', 'rc')} AS r, count(*) AS n FROM k)" + _student("spearman")),
     "corr_kendall": Query(corr_kendall, _BOTH + """, k AS (SELECT row_number() OVER () AS i, g, c FROM p), q AS (SELECT sum(sign(a.g - b.g) * sign(a.c - b.c)) AS s FROM k a JOIN k b ON a.i < b.i), m AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM k),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import vectors
 from ..operators import comparison, lexical, metrics, search
 from .base import WITH_ALIASES, WITH_NAMES, Query, aliases, names, rounded, table
+from .resolution import graded
 
 K, D = 10, 6
 _COS = f"round(list_dot_product(q.v, t.v), {D})"
@@ -44,6 +45,23 @@ def sim_join_cross_entity(spark, d):
     return search.similarity_join(aliases(spark, d), theta=0.2, decimals=D)
 
 
+def sim_join_cells(spark, d):
+    """The same join in cells, whatever its size."""
+    a = aliases(spark, d)
+    return search.in_cells(search.query_aliases(a), a, 5, 0.2, True, D, cells=16)
+
+
+def clustered_join(spark, d):
+    """All pairs above a cosine, of embeddings with their label's own axis beside
+    them, and whether cells spared half of the products."""
+    axes = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.when(i == F.col("entity") % 32, 3.0).otherwise(0.0))
+    a = aliases(spark, d).withColumn("v", F.transform(F.concat(vectors.doubles(F.col("v")), axes), lambda x: x / 10.0**0.5))
+    cells = search.Cells(a, 32)
+    half = search.shares(a, cells, 0.92).select((2 * F.col("rows_met") < F.col("rows")).alias("spared"))
+    found = search.in_cells(a, cells, least=0.92, decimals=D).select("query_id", "rank", "feat_id", "cosine")
+    return found.crossJoin(F.broadcast(half))
+
+
 def l2_normalize(spark, d):
     v = vectors.l2_normalize(F.transform(vectors.doubles(F.col("embedding")), lambda x: x * 3.0))
     return table(spark, d, "embeddings").select("vec_id", F.transform(v, lambda x: F.round(x, D)).alias("v"), F.round(vectors.norm(v), D).alias("norm"))
@@ -132,6 +150,8 @@ SELECT count(*) AS cases, {", ".join(f"round(100 * avg(CASE WHEN rank <= {k} THE
     "sim_range": Query(sim_range, f"WITH {WITH_ALIASES} SELECT q.id AS query_id, t.id AS feat_id, {_COS} AS cosine, round(1 - list_dot_product(q.v, t.v), {D}) AS distance FROM aliases q JOIN aliases t ON q.id <> t.id WHERE q.id % 5 = 0 AND list_dot_product(q.v, t.v) >= 0.30"),
     "candidate_043": Query(candidate_043, _knn(f"q.id % 5 = 0 AND {_COS} >= 0.43", 100)),
     "sim_join_cross_entity": Query(sim_join_cross_entity, _knn(f"q.entity <> t.entity AND {_COS} >= 0.2 AND q.id IN (SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY entity ORDER BY id) AS n FROM aliases) WHERE n <= 3)", 5)),
+    "sim_join_cells": Query(sim_join_cells, _knn(f"q.entity <> t.entity AND {_COS} >= 0.2 AND q.id IN (SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY entity ORDER BY id) AS n FROM aliases) WHERE n <= 3)", 5)),
+    "clustered_join": Query(clustered_join, f"WITH {WITH_ALIASES}, c AS (SELECT q.id AS query_id, t.id AS feat_id, round((list_dot_product(q.v, t.v) + CASE WHEN q.entity % 32 = t.entity % 32 THEN 9 ELSE 0 END) / 10, {D}) AS cosine FROM aliases q JOIN aliases t ON q.id <> t.id) SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, feat_id) AS INTEGER) AS rank, feat_id, cosine, true AS spared FROM c WHERE cosine >= 0.92"),
     "l2_normalize": Query(l2_normalize, f"SELECT vec_id, {_V.format(_TRIPLE, _TRIPLE, _TRIPLE)} AS v, 1.0::DOUBLE AS norm FROM embeddings"),
     "matryoshka": Query(matryoshka, f"SELECT vec_id, {_V.format(_HEAD, _HEAD, _HEAD)} AS v FROM embeddings"),
     "vector_roundtrip": Query(vector_roundtrip, "SELECT vec_id, CAST(CAST(embedding AS VARCHAR) AS FLOAT[]) = embedding AS equal, len(embedding) AS n FROM embeddings"),
@@ -139,10 +159,10 @@ SELECT count(*) AS cases, {", ".join(f"round(100 * avg(CASE WHEN rank <= {k} THE
     "similar_names": Query(similar_names, rf"""WITH {WITH_NAMES}, w AS (SELECT id, list_distinct(list_filter(string_split_regex(lower(name), '\s+'), lambda x: x <> '')) AS w FROM names),
 c AS (SELECT q.id AS query_id, t.id, len(list_intersect(q.w, t.w)) / len(list_distinct(list_concat(q.w, t.w)))::DOUBLE AS jaccard FROM w q JOIN w t ON q.id <> t.id AND len(q.w) > 0 AND len(t.w) > 0 WHERE q.id LIKE 'n%' OR q.id LIKE '%0')
 SELECT query_id, id, round(jaccard, 6) AS jaccard FROM c WHERE jaccard >= 0.4"""),
-    "entity_hits": Query(entity_hits, f"""WITH {WITH_ALIASES}, c AS (SELECT q.id AS case_id, t.entity AS entity_id, q.id <> t.id AS other, list_dot_product(q.v, t.v) AS cosine, t.id AS tid,
-  [q.id % 97, q.id % 89] AS a, [t.id % 97, t.id % 89] AS b FROM aliases q JOIN aliases t ON q.id % 25 = 0),
-j AS (SELECT *, len(list_intersect(list_distinct(a), list_distinct(b))) / len(list_distinct(list_concat(a, b)))::DOUBLE AS jaccard FROM c),
-f AS (SELECT case_id, entity_id, CASE WHEN jaccard >= 0.3 THEN CAST(floor(100 * jaccard) AS INTEGER) END AS g, CASE WHEN other AND cosine >= 0.35 THEN CAST(floor(100 * cosine + 1e-6) AS INTEGER) END AS e FROM j WHERE jaccard >= 0.3 OR (other AND cosine >= 0.35))
+    "entity_hits": Query(entity_hits, f"""WITH RECURSIVE {WITH_ALIASES}, c AS (SELECT q.id AS case_id, t.entity AS entity_id, q.id <> t.id AS other, list_dot_product(q.v, t.v) AS cosine, t.id AS tid,
+  [q.id % 97, q.id % 89] AS a, [t.id % 97, t.id % 89] AS b, 'w' || q.id % 97 || ' w' || q.id % 89 AS x, 'w' || t.id % 97 || ' w' || t.id % 89 AS y FROM aliases q JOIN aliases t ON q.id % 25 = 0),
+j AS (SELECT *, len(list_intersect(list_distinct(a), list_distinct(b))) / len(list_distinct(list_concat(a, b)))::DOUBLE AS jaccard FROM c), k AS (SELECT x, y FROM j WHERE jaccard >= 0.3), {graded("k")},
+f AS (SELECT case_id, entity_id, CASE WHEN jaccard >= 0.3 THEN score END AS g, CASE WHEN other AND cosine >= 0.35 THEN CAST(floor(100 * cosine + 1e-6) AS INTEGER) END AS e FROM j LEFT JOIN graded USING (x, y) WHERE jaccard >= 0.3 OR (other AND cosine >= 0.35))
 SELECT case_id, entity_id, max(g) AS gnr_score, max(e) AS emb_score FROM f GROUP BY 1, 2"""),
     "encode_names": Query(encode_names, f"WITH {WITH_NAMES} SELECT count(*) AS names, count(DISTINCT name) AS distinct_names, 1.0::DOUBLE AS least, 1.0::DOUBLE AS largest, 64::BIGINT AS dim FROM names WHERE name <> ''"),
     "fp16_error": Query(fp16_error, f"WITH h AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, {_HALF} AS h FROM embeddings) SELECT vec_id, round(list_sum(h), 9) AS total, round(list_max(list_transform(list_zip(v, h), lambda x: abs(x[1] - x[2]))), 9) AS error FROM h"),

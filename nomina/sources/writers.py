@@ -45,19 +45,21 @@ def load(attempts: DataFrame, path: str, dead_letters: str) -> None:
     json_lines(attempts.filter(~ok), dead_letters)
 
 
-def upsert(attempts: DataFrame, path: str, key: str, buckets: int = 64) -> DataFrame:
+def upsert(attempts: DataFrame, path: str, key: str, buckets: int = 64, order: str | None = None) -> DataFrame:
     """Bring records into a table by key and say what came of each: ``key,
     outcome``, which is inserted, updated or the attempt's ``error_type``.
 
     The table is partitioned by a hash of the key. Only the buckets that records
     fall into are read, merged and replaced, each as a whole, so a lost job can
-    run again. Of attempts that share a key the last row by value counts; null
-    keys fail as ``no_key``. An empty frame changes nothing."""
+    run again. Of attempts that share a key the last by the column ``order``, which
+    is not stored, counts; without it, or where it ties, the largest row by value.
+    Null keys fail as ``no_key``. An empty frame changes nothing."""
     spark = attempts.sparkSession
     kind = F.coalesce("error_type", F.when(F.col(key).isNull(), "no_key"))
     tried = attempts.withColumn("error_type", kind).withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
-    columns = [c for c in tried.columns if c not in ("error_type", "bucket", key)]
-    good = tried.filter("error_type is null").groupBy(key, "bucket").agg(F.max(F.struct(*columns)).alias("_r")).select(key, "_r.*", "bucket")
+    columns = [c for c in tried.columns if c not in ("error_type", "bucket", key, order)]
+    last = F.max(F.struct(*([order] if order else []), F.struct(*columns).alias("_row"))).alias("_r")
+    good = tried.filter("error_type is null").groupBy(key, "bucket").agg(last).select(key, "_r._row.*", "bucket")
     files = spark._jvm.org.apache.hadoop.fs.Path(path)
     there = files.getFileSystem(spark._jsc.hadoopConfiguration()).exists(files)
     old = spark.read.schema(good.schema).parquet(path) if there else good.limit(0)
