@@ -66,3 +66,20 @@ def word_hashes(texts: list[bytes | None], seed: int = 0) -> tuple[np.ndarray, n
     known = _Hashes(seed)
     parts = [np.array([known[w] for w in t.split()] if t else [], _U) for t in texts]
     return np.concatenate([np.empty(0, _U), *parts]), np.repeat(np.arange(len(texts)), [len(p) for p in parts])
+
+
+class _Numbers(dict):
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
+def wide_hashes(texts: list[bytes | None], seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Both halves of a 128-bit hash of every word of some texts, and the text it
+    is in."""
+    known = _Numbers()
+    parts = [np.array([known[w] for w in t.split()] if t else [], np.int64) for t in texts]
+    data = b"".join(xxhash.xxh3_128_digest(w, seed) for w in known)
+    halves = np.frombuffer(data, ">u8").astype(_U).reshape(-1, 2)
+    words = np.concatenate([np.empty(0, np.int64), *parts])
+    return halves[words, 0], halves[words, 1], np.repeat(np.arange(len(texts)), [len(p) for p in parts])
