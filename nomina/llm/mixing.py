@@ -1,12 +1,15 @@
 """Mixing sources to target weights by Efraimidis-Spirakis sampling.
 
 A source's target is met by as many whole epochs as fit, then by a weighted
-sample without replacement: documents in descending order of u ** (1 / weight),
-u uniform from a hash of the id, until the words left over are filled. The
-prefix sums are hierarchical: words are summed by ``(source, key range)`` before
-anything is ordered, the range in which the budget runs out is refined the same
-way, and single documents are ordered only within the last one, about a
-16-millionth part of a source.
+sample without replacement: documents in ascending order of the exponential key
+-ln(u) / weight, that is descending order of u ** (1 / weight), u uniform from a
+hash of the id, until the words left over are filled. The prefix sums are
+hierarchical: words are summed by ``(source, key range)`` before anything is
+ordered, the range in which the budget runs out is refined the same way, and
+single documents are ordered only within the last one. Ranges are even in the
+logarithm of the key, whose density is the same for every weight, only shifted: a
+last range holds at most three millionths of a source's documents of one weight,
+whatever the weights.
 """
 
 from __future__ import annotations
@@ -21,8 +24,8 @@ from pyspark.sql import functions as F
 from .common import WORD, checkpoint, cuts, unused
 
 _WORDS = re.compile(WORD)
-#: A key range is split into this many.
-FAN = 4096
+#: A key range is split into this many; the first has this many octaves.
+FAN, OCTAVES = 4096, 128
 #: Sources whose totals may be broadcast.
 SOURCES = 100_000
 
@@ -79,6 +82,13 @@ def _refine(rows: DataFrame, budgets: DataFrame, bin_: str, near: Callable[[Data
     return edge.select("g", "x.edge", "x.left")
 
 
+def _place(key: Column) -> Column:
+    """The range of a key: even in its logarithm, from 2 ** -64 to 2 ** 64; what
+    lies beyond, if anything does, is in the outermost."""
+    at = F.floor((F.log2(key) + OCTAVES / 2) * (FAN * FAN / OCTAVES))
+    return F.greatest(F.lit(0), F.least(at, F.lit(FAN * FAN - 1))).cast("long")
+
+
 def mix(rows: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3) -> DataFrame:
     """``doc_id, row, size, source_size, target, taken`` for each of ``rows``
     with columns ``doc_id, row, source, size, weight, u``: a hash that tells rows
@@ -93,9 +103,8 @@ def mix(rows: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3) ->
     rows.
     """
     weight = F.when(F.col("weight") > 0, F.col("weight")).otherwise(1e-6)
-    key = F.pow(F.col("u"), 1.0 / weight)
-    place = F.least(F.floor((1.0 - key) * FAN * FAN), F.lit(FAN * FAN - 1)).cast("long")
-    base = rows.select("doc_id", "row", "source", F.col("size").cast("long").alias("s"), key.alias("key"), place.alias("place"))
+    key = -F.log(F.col("u")) / weight
+    base = rows.select("doc_id", "row", "source", F.col("size").cast("long").alias("s"), key.alias("key"), _place(key).alias("place"))
     base = checkpoint(base.select("*", F.struct(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name")).alias("g")), compact=True)
 
     sizes = base.groupBy("source").agg(F.sum("s").alias("source_size"))
@@ -112,7 +121,7 @@ def mix(rows: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3) ->
 
     # Only documents in the last range are ordered one by one.
     last = base.join(near(fine), "g").filter("place = edge")
-    order = [F.col("key").desc(), F.col("doc_id").asc_nulls_last(), F.col("s")]
+    order = [F.col("key"), F.col("doc_id").asc_nulls_last(), F.col("s")]
     last = last.withColumn("got", F.least("s", F.greatest(F.lit(0), F.col("left") - _running(last, ["g"], order) + F.col("s"))))
     rest = base.join(near(fine.select("g", "edge")), "g", "left").filter("edge is null or place <> edge")
     rest = rest.withColumn("got", F.when(F.col("place") < F.col("edge"), F.col("s")).otherwise(0))

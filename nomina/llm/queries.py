@@ -122,7 +122,7 @@ WITH marks AS (SELECT doc_id, min(quality) AS q FROM labels WHERE doc_id IS NOT
 d AS (SELECT d.doc_id, d.source, CAST(len(regexp_extract_all(coalesce(d.text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
   CASE WHEN q >= 1 THEN 1.0 WHEN q < 1 THEN 0.1 ELSE 0.5 END::DOUBLE AS weight,
   md5('42|' || coalesce(CAST(d.doc_id AS VARCHAR), '') || '|' || md5(coalesce(d.text, ''))) AS draw FROM documents d LEFT JOIN marks USING (doc_id)),
-k AS (SELECT *, pow((('0x' || substr(draw, 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0, 1.0 / weight) AS key FROM d),
+k AS (SELECT *, -ln((('0x' || substr(draw, 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0) / weight AS key FROM d),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS turn FROM k GROUP BY source),
 w AS (SELECT *, [5.0, 2.0, 1.0][1 + turn % 3]::DOUBLE AS w, 3 * source_size::DOUBLE AS cap FROM s),
 v AS (SELECT *, cap / w AS level, coalesce(sum(cap) OVER b, 0) AS held, sum(w) OVER () - coalesce(sum(w) OVER b, 0) AS open, sum(source_size) OVER () AS total
@@ -131,7 +131,7 @@ f AS (SELECT *, (SELECT (total - held) / open FROM v WHERE level > (total - held
 t AS (SELECT source, source_size, CASE WHEN flow IS NULL OR level <= flow THEN cap ELSE flow * w END AS target FROM f),
 p AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target) AS BIGINT) // source_size ELSE 0 END AS epochs FROM t),
 r AS (SELECT k.*, p.source_size, p.target, p.epochs, CAST(floor(p.target) AS BIGINT) - p.epochs * p.source_size AS budget,
-  sum(k.size) OVER (PARTITION BY k.source ORDER BY k.key DESC, k.doc_id NULLS LAST, k.size ROWS UNBOUNDED PRECEDING) AS upto
+  sum(k.size) OVER (PARTITION BY k.source ORDER BY k.key, k.doc_id NULLS LAST, k.size ROWS UNBOUNDED PRECEDING) AS upto
   FROM k JOIN p ON k.source IS NOT DISTINCT FROM p.source)
 SELECT doc_id, size, source_size, target, CAST(epochs * size + least(size, greatest(0, budget - upto + size)) AS BIGINT) AS taken FROM r
 """

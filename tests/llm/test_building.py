@@ -158,6 +158,17 @@ def test_good_documents_are_drawn_first(spark):
     assert share[1.0] > 1.5 * share[0.1]
 
 
+@pytest.mark.parametrize("weight", [1e-6, 0.1, 1.0, 40.0])
+def test_ranges_are_small_whatever_the_weights(spark, weight):
+    keys = spark.range(200_000).select((-F.log((F.col("id") + 0.5) / 200_000) / weight).alias("key"))
+    places = keys.groupBy(mixing._place(F.col("key")).alias("place"))
+    assert places.count().agg(F.max("count")).first()[0] <= 3
+    coarse = keys.groupBy(F.floor(mixing._place(F.col("key")) / mixing.FAN)).count().agg(F.max("count")).first()[0]
+    assert coarse < 0.02 * 200_000
+    ordered = keys.select("key", mixing._place(F.col("key")).alias("place")).orderBy("key").toPandas()["place"]
+    assert ordered.is_monotonic_increasing
+
+
 @pytest.fixture(scope="module")
 def encoder():
     return queries.tokenizer()
