@@ -61,6 +61,46 @@ def half_precision(v: pd.Series) -> pd.Series:
     return v.map(lambda x: np.asarray(x, np.float16).astype(np.float32) if x is not None else None)
 
 
+def int8_scales(rows: DataFrame, v: str, key: str, sample: int = 20_000, seed: int = 42) -> list[float]:
+    """What one step of each dimension is worth, so that 127 of them reach the
+    largest component of a calibration sample: at most ``sample`` rows, those with
+    the smallest hashes of ``key``. A dimension that is zero there has step 1."""
+    held = rows.filter(F.col(v).isNotNull()).select(doubles(F.col(v)).alias("v"), F.xxhash64(F.lit(seed), key).alias("h"), key).orderBy("h", key).limit(sample)
+    most = held.select(F.posexplode("v").alias("i", "x")).groupBy("i").agg(F.max(F.abs("x")).alias("m")).orderBy("i").collect()
+    return [r["m"] / 127 if r["m"] else 1.0 for r in most]
+
+
+def _scaled(v: Column, scales: list[float]) -> Column:
+    return F.zip_with(doubles(v), F.array(*map(F.lit, scales)), lambda x, s: F.greatest(F.lit(-127.0), F.least(F.lit(127.0), F.round(x / s))))
+
+
+def to_int8(v: Column, scales: list[float]) -> Column:
+    """A vector's steps in each dimension, as bytes; what lies beyond the sample's
+    largest is cut there."""
+    return _packed(F.transform(_scaled(v, scales), lambda x: x.cast("tinyint")))
+
+
+def from_int8(packed: Column, scales: list[float]) -> Column:
+    return F.zip_with(_unpacked(packed).cast("array<double>"), F.array(*map(F.lit, scales)), lambda q, s: q * s)
+
+
+@F.pandas_udf(T.BinaryType())
+def _packed(v: pd.Series) -> pd.Series:
+    return v.map(lambda x: np.asarray(x, np.int8).tobytes() if x is not None else None)
+
+
+@F.pandas_udf(T.ArrayType(T.ByteType()))
+def _unpacked(v: pd.Series) -> pd.Series:
+    return v.map(lambda x: np.frombuffer(x, np.int8) if x is not None else None)
+
+
+@F.pandas_udf(T.LongType())
+def int8_dot(a: pd.Series, b: pd.Series) -> pd.Series:
+    """The inner product of two packed vectors, in whole numbers."""
+    out = [None if x is None or y is None else int(np.frombuffer(x, np.int8).astype(np.int32) @ np.frombuffer(y, np.int8).astype(np.int32)) for x, y in zip(a, b)]
+    return pd.Series(out, dtype="Int64")
+
+
 def mean_pool(tokens: np.ndarray, mask: np.ndarray) -> np.ndarray:
     """Mask-weighted mean over tokens (batch x tokens x dim)."""
     weight = mask[:, :, None].astype(tokens.dtype)

@@ -120,27 +120,28 @@ def seeded(seed: int, *keys: str) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]).cast("binary"))
 
 
-def numbered(pool: DataFrame, entity: str, name: str, by: list[str] | tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+def numbered(pool: DataFrame, entity: str, name: str, by: list[str] | tuple[str, ...] = (), weighted: bool = False) -> tuple[DataFrame, DataFrame]:
     """Distinct names of a pool, numbered from 0 in each group of ``by`` so that
-    an entity's are neighbours: ``by..., entity, name, place``; and the entities:
-    ``by..., entity, first, own, total`` (its first number, how many it has, how
-    many there are). Hashes deal entities and an entity's names into cells, whose
+    an entity's are neighbours: ``by..., entity, name, place, weight``; and the
+    entities: ``by..., entity, first, own, total`` (its first number, how many it
+    has, how many there are). ``weighted``: a name takes as many numbers as it has
+    rows in the pool, from ``place`` on; else one. Hashes deal entities and an entity's names into cells, whose
     totals give the offsets: no task orders all of them, nor all of an entity's."""
     by = list(by)
     cell = lambda c: F.substring(F.md5(F.col(c).cast("string").cast("binary")), 1, 3)
     earlier = lambda n, w: F.coalesce(F.sum(n).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    names = pool.filter(F.col(entity).isNotNull() & F.col(name).isNotNull()).select(*by, F.col(entity).alias("entity"), F.col(name).alias("name")).distinct()
+    names = pool.filter(F.col(entity).isNotNull() & F.col(name).isNotNull()).groupBy(*by, F.col(entity).alias("entity"), F.col(name).alias("name")).agg((F.count(F.lit(1)) if weighted else F.lit(1).cast("long")).alias("weight"))
     names = names.withColumn("_e", F.md5(F.col("entity").cast("string").cast("binary"))).withColumn("_n", F.md5(F.col("name").cast("binary"))).withColumn("_c", F.substring("_n", 1, 3))
-    parts = names.groupBy(*by, "entity", "_e", "_c").agg(F.count(F.lit(1)).alias("n"))
+    parts = names.groupBy(*by, "entity", "_e", "_c").agg(F.sum("weight").alias("n"))
     inside = parts.withColumn("_inside", earlier("n", Window.partitionBy(*by, "entity").orderBy("_c")))
     own = parts.groupBy(*by, "entity", "_e").agg(F.sum("n").alias("own")).withColumn("_k", F.substring("_e", 1, 3))
     cells = own.groupBy(*by, "_k").agg(F.sum("own").alias("n"))
     cells = cells.withColumn("_before", earlier("n", Window.partitionBy(*by).orderBy("_k"))).withColumn("total", F.sum("n").over(Window.partitionBy(*by)))
     near = own.join(F.broadcast(cells.drop("n")), [*by, "_k"])
     entities = near.withColumn("first", F.col("_before") + earlier("own", Window.partitionBy(*by, "_k").orderBy("_e", "entity"))).select(*by, "entity", "first", "own", "total")
-    nth = F.row_number().over(Window.partitionBy(*by, "entity", "_c").orderBy("_n", "name")) - 1
+    nth = earlier("weight", Window.partitionBy(*by, "entity", "_c").orderBy("_n", "name"))
     rows = names.withColumn("_nth", nth).join(inside.select(*by, "entity", "_c", "_inside"), [*by, "entity", "_c"]).join(entities.select(*by, "entity", "first"), [*by, "entity"])
-    return rows.select(*by, "entity", "name", (F.col("first") + F.col("_inside") + F.col("_nth")).alias("place")), entities
+    return rows.select(*by, "entity", "name", (F.col("first") + F.col("_inside") + F.col("_nth")).alias("place"), "weight"), entities
 
 
 def draw_others(rows: DataFrame, keys: list[str], pool: DataFrame, entity: str, name: str, n: int, seed: int, by: list[str] | tuple[str, ...] = ()) -> DataFrame:
@@ -166,11 +167,37 @@ def draw_others(rows: DataFrame, keys: list[str], pool: DataFrame, entity: str,
     return found.select(*rows.columns, "j", "negative")
 
 
-def hard_positive_triplets(pairs: DataFrame, pool: DataFrame, n: int = 3, seed: int = 42) -> DataFrame:
+#: Numbers of a pool that are joined on as one.
+STRIDE = 16
+
+
+def draw_weighted(rows: DataFrame, keys: list[str], pool: DataFrame, entity: str, name: str, n: int, seed: int) -> DataFrame:
+    """``rows`` (with ``entity``), each ``n`` times with a ``negative`` of another
+    entity, drawn with replacement: a name that is ``k`` times in the pool is drawn
+    ``k`` times as often. Rows whose entity has the whole pool give none.
+
+    A draw is a number among the others', from a hash of ``keys`` and the draw's;
+    a name has a stretch of numbers, cut at every ``STRIDE``-th, so that numbers
+    and stretches meet in an equi-join of at most that many rows each."""
+    places, entities = numbered(pool, entity, name, weighted=True)
+    whole = entities.agg(F.max("total").alias("_total"))
+    known = rows.join(entities.select(F.col("entity").alias("_entity"), "first", "own"), F.col("entity") == F.col("_entity"), "left").crossJoin(F.broadcast(whole))
+    drawn = known.withColumn("_others", F.col("_total") - F.coalesce("own", F.lit(0))).filter("_others > 0").withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    h = F.conv(F.substring(seeded(seed, *keys, "j"), 1, 12), 16, 10).cast("long")
+    drawn = drawn.withColumn("_at", F.pmod(h, F.col("_others")))
+    drawn = drawn.withColumn("_at", F.when(F.col("own").isNotNull() & (F.col("_at") >= F.col("first")), F.col("_at") + F.col("own")).otherwise(F.col("_at")))
+    cuts = F.sequence(F.expr(f"place div {STRIDE}"), F.expr(f"(place + weight - 1) div {STRIDE}"))
+    stretches = places.select(F.col("name").alias("negative"), "place", "weight", F.explode(cuts).alias("_cut"))
+    found = drawn.withColumn("_cut", F.expr(f"_at div {STRIDE}")).join(stretches, "_cut").filter("_at >= place and _at < place + weight")
+    return found.select(*rows.columns, "j", "negative")
+
+
+def hard_positive_triplets(pairs: DataFrame, pool: DataFrame, n: int = 3, seed: int = 42, weighted: bool = False) -> DataFrame:
     """Hard positives, each with ``n`` negatives from ``pool`` (``entity, name``)
-    of other entities, and each also the other way round."""
+    of other entities, and each also the other way round. ``weighted``: names that
+    come more often in the pool are drawn more often, and may be drawn again."""
     hard = pairs.filter(is_hard_positive()).withColumn("entity", F.col("entity_a")).select("name_a", "name_b", "entity")
-    few = draw_others(hard, ["name_a", "name_b"], pool, "entity", "name", n, seed)
+    few = (draw_weighted if weighted else draw_others)(hard, ["name_a", "name_b"], pool, "entity", "name", n, seed)
     one = few.select(F.col("name_a").alias("anchor"), F.col("name_b").alias("positive"), "negative", F.col("entity").alias("anchor_group"))
     return one.unionByName(few.select(F.col("name_b").alias("anchor"), F.col("name_a").alias("positive"), "negative", F.col("entity").alias("anchor_group")))
 

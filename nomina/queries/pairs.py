@@ -118,6 +118,13 @@ def hard_positive_triplets(spark, d):
     return ops.hard_positive_triplets(pairs(spark, d), pool)
 
 
+def weighted_triplets(spark, d):
+    """Hard positives with negatives from a pool that has a name once for each
+    day of its number modulo seven."""
+    pool = aliases(spark, d).select("entity", "name", F.explode(F.sequence(F.lit(0), (F.col("id") % 7).cast("int"))).alias("day"))
+    return ops.hard_positive_triplets(pairs(spark, d), pool, weighted=True)
+
+
 def alias_triplets(spark, d):
     m = table(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("record_id"), F.when(F.col("conv_id") % 2 == 0, "PERSON").otherwise("ORGANIZATION").alias("record_type"), F.col("turn").alias("idx"), F.concat(F.col("conv_id").cast("string"), F.lit(":"), F.col("turn").cast("string")).alias("name"))
     return ops.alias_triplets(m)
@@ -261,6 +268,12 @@ SELECT v.problem, count(f.name_a) AS n, round(100.0::DOUBLE * count(f.name_a) /
 FROM (VALUES ('high_cosine_low_name'), ('low_cosine_high_name')) v(problem) LEFT JOIN f USING (problem) GROUP BY v.problem"""),
     "hard_positive_triplets": Query(hard_positive_triplets, f"WITH {WITH_PAIRS}, {WITH_ALIASES}, " + _others("SELECT name_a, name_b, entity_a AS entity FROM pairs WHERE same_entity AND cosine_sim < 0.6 AND coalesce(gnr_score >= 85, true)", "name_a || '|' || name_b", "SELECT entity, name FROM aliases", 3)
       + "SELECT name_a AS anchor, name_b AS positive, negative, entity AS anchor_group FROM z UNION ALL SELECT name_b, name_a, negative, entity FROM z"),
+    "weighted_triplets": Query(weighted_triplets, f"""WITH {WITH_PAIRS}, {WITH_ALIASES}, o AS (SELECT entity, name, 1 + id % 7 AS w FROM aliases),
+num AS (SELECT *, sum(w) OVER (ORDER BY md5(CAST(entity AS VARCHAR)), entity, md5(name), name) - w AS place, sum(w) OVER () AS total FROM o), e AS (SELECT entity, min(place) AS first, sum(w) AS own FROM num GROUP BY entity),
+p AS (SELECT name_a, name_b, entity_a AS entity, unnest([0, 1, 2]) AS j FROM pairs WHERE same_entity AND cosine_sim < 0.6 AND coalesce(gnr_score >= 85, true)),
+d AS (SELECT p.*, e.first, e.own, CAST('0x' || substr(md5('42|' || name_a || '|' || name_b || '|' || j), 1, 12) AS BIGINT) % ((SELECT max(total) FROM num) - e.own) AS spot FROM p JOIN e USING (entity)),
+z AS (SELECT d.*, num.name AS negative FROM d JOIN num ON CASE WHEN spot >= first THEN spot + own ELSE spot END >= num.place AND CASE WHEN spot >= first THEN spot + own ELSE spot END < num.place + num.w)
+SELECT name_a AS anchor, name_b AS positive, negative, entity AS anchor_group FROM z UNION ALL SELECT name_b, name_a, negative, entity FROM z"""),
     "alias_triplets": Query(alias_triplets, """WITH n AS (SELECT CAST(conv_id AS VARCHAR) AS record_id, CASE WHEN conv_id % 2 = 0 THEN 'PERSON' ELSE 'ORGANIZATION' END AS record_type, turn AS idx, conv_id || ':' || turn AS name FROM conversations),
 q AS (SELECT a.record_id AS entity, a.record_type, a.idx AS i, b.idx AS other, a.name AS anchor, b.name AS positive FROM n a JOIN n b ON a.record_id = b.record_id AND a.idx < b.idx AND a.name <> b.name QUALIFY row_number() OVER (PARTITION BY a.record_id ORDER BY a.idx, b.idx) <= 5), """
       + _others("SELECT * FROM q", "entity || '|' || i || '|' || other", "SELECT record_type, record_id AS entity, name FROM n WHERE idx = 0", 1, "record_type") + "SELECT anchor, positive, negative, record_type, entity AS record_id FROM z"),

@@ -78,10 +78,11 @@ def vector_roundtrip(spark, d):
 
 def conversion_check(spark, d):
     """Embeddings against copies with coarser components, by kind of model: to
-    four places, by 16-bit floats and in steps of a thirtieth."""
+    four places, by 16-bit floats and in bytes calibrated by dimension."""
     e = aliases(spark, d).select("id", "v")
     step = lambda n: F.transform("v", lambda x: F.round(x * n) / n)
-    copies = {"fp32": step(10_000), "fp16": vectors.half_precision(F.col("v")), "int8": step(30)}
+    scales = vectors.int8_scales(e, "v", "id")
+    copies = {"fp32": step(10_000), "fp16": vectors.half_precision(F.col("v")), "int8": vectors.from_int8(vectors.to_int8(F.col("v"), scales), scales)}
     out = None
     for kind, v in copies.items():
         one = comparison.conversion_check(e, e.withColumn("v", v), kind).withColumn("kind", F.lit(kind))
@@ -89,6 +90,16 @@ def conversion_check(spark, d):
     return rounded(out)
 
 
+def int8_products(spark, d):
+    """Inner products of each embedding and the seven after it in whole numbers
+    of calibrated steps."""
+    e = aliases(spark, d).select("id", "v")
+    packed = e.select("id", vectors.to_int8(F.col("v"), vectors.int8_scales(e, "v", "id")).alias("p"))
+    after = packed.select(F.col("id").alias("a"), F.col("p").alias("pa"), F.explode(F.sequence(F.col("id") + 1, F.col("id") + 7)).alias("b"))
+    both = after.join(packed.select(F.col("id").alias("b"), F.col("p").alias("pb")), "b")
+    return both.select("a", "b", vectors.int8_dot("pa", "pb").alias("product"), F.octet_length("pa").cast("long").alias("bytes"))
+
+
 def similar_names(spark, d):
     """Fixed names and every tenth document's against all names."""
     n = names(spark, d).select("id", "name")
@@ -127,6 +138,10 @@ def fp16_error(spark, d):
 # The nearest number of eleven significant bits, halves to even; below 2 ** -14
 # in steps of 2 ** -24.
 _HALF = "list_transform(CAST(embedding AS DOUBLE[]), lambda x: CASE WHEN x = 0 THEN 0 ELSE round_even(x / pow(2, greatest(floor(log2(abs(x))), -14) - 10), 0) * pow(2, greatest(floor(log2(abs(x))), -14) - 10) END)"
+#: The table is smaller than the calibration sample, which has all of it.
+_STEPS = """x AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings), m AS (SELECT i, max(abs(v[i])) AS m FROM x GROUP BY i),
+steps AS (SELECT list(CASE WHEN m = 0 THEN 1 ELSE m / 127 END ORDER BY i) AS steps FROM m),
+bytes AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, list_transform(range(1, len(embedding) + 1), lambda i: greatest(-127, least(127, round(CAST(embedding[i] AS DOUBLE) / steps[i])))) AS q FROM embeddings, steps)"""
 _KNN = f"""
 WITH {WITH_ALIASES}, c AS (SELECT q.id AS query_id, t.id AS feat_id, q.entity AS qe, t.entity AS te, {_COS} AS cosine FROM aliases q JOIN aliases t ON q.id <> t.id WHERE {{where}}),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, feat_id) AS INTEGER) AS rank FROM c)
@@ -166,9 +181,10 @@ f AS (SELECT case_id, entity_id, CASE WHEN jaccard >= 0.3 THEN score END AS g, C
 SELECT case_id, entity_id, max(g) AS gnr_score, max(e) AS emb_score FROM f GROUP BY 1, 2"""),
     "encode_names": Query(encode_names, f"WITH {WITH_NAMES} SELECT count(*) AS names, count(DISTINCT name) AS distinct_names, 1.0::DOUBLE AS least, 1.0::DOUBLE AS largest, 64::BIGINT AS dim FROM names WHERE name <> ''"),
     "fp16_error": Query(fp16_error, f"WITH h AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, {_HALF} AS h FROM embeddings) SELECT vec_id, round(list_sum(h), 9) AS total, round(list_max(list_transform(list_zip(v, h), lambda x: abs(x[1] - x[2]))), 9) AS error FROM h"),
+    "int8_products": Query(int8_products, f"WITH {_STEPS} SELECT a.vec_id AS a, b.vec_id AS b, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS product, len(a.q) AS bytes FROM bytes a JOIN bytes b ON b.vec_id BETWEEN a.vec_id + 1 AND a.vec_id + 7"),
     "conversion_check": Query(conversion_check, f"""
-WITH e AS (SELECT CAST(embedding AS DOUBLE[]) AS a, {_HALF} AS h FROM embeddings),
-k AS (SELECT 'fp32' AS kind, 0.999 AS least, a, list_transform(a, lambda x: round(x * 10000) / 10000) AS b FROM e UNION ALL SELECT 'fp16', 0.99, a, h FROM e UNION ALL SELECT 'int8', 0.95, a, list_transform(a, lambda x: round(x * 30) / 30) FROM e),
+WITH {_STEPS}, e AS (SELECT CAST(embedding AS DOUBLE[]) AS a, {_HALF} AS h FROM embeddings),
+k AS (SELECT 'fp32' AS kind, 0.999 AS least, a, list_transform(a, lambda x: round(x * 10000) / 10000) AS b FROM e UNION ALL SELECT 'fp16', 0.99, a, h FROM e UNION ALL SELECT 'int8', 0.95, v, list_transform(range(1, len(v) + 1), lambda i: q[i] * steps[i]) FROM bytes, steps),
 c AS (SELECT kind, least, list_dot_product(a, b) / (sqrt(list_dot_product(a, a)) * sqrt(list_dot_product(b, b))) AS cosine, list_max(list_transform(list_zip(a, b), lambda x: abs(x[1] - x[2]))) AS gap FROM k)
 SELECT kind, count(*) AS rows, round(min(cosine), 6) AS min_cosine, round(max(gap), 6) AS max_difference, min(cosine) > any_value(least) AS ok FROM c GROUP BY kind"""),
 }

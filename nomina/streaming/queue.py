@@ -39,6 +39,17 @@ def drained(stream: DataFrame, mode: str = "append", timeout: int = 300) -> Data
     return stream.sparkSession.table(name)
 
 
+def written(stream: DataFrame, path: str, checkpoint: str, timeout: int = 300) -> DataFrame:
+    """What a stream gives once all that is there has been read, as Parquet at
+    ``path``: for results of any size, whose rows never pass the driver."""
+    spark = stream.sparkSession
+    query = stream.writeStream.format("parquet").option("checkpointLocation", checkpoint).option("path", path).trigger(availableNow=True).start()
+    if not query.awaitTermination(timeout):
+        query.stop()
+        raise TimeoutError(f"the stream took more than {timeout} s")
+    return spark.read.schema(stream.schema).parquet(path)
+
+
 def deduplicated(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
     """Each event once, within the watermark."""
     return stream.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["event_id"])
