@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import vectors
-from ..operators import comparison, lexical, metrics, search
+from ..operators import comparison, index, lexical, metrics, search
+from ..session import scratch
 from .base import WITH_ALIASES, WITH_NAMES, Query, aliases, names, rounded, table
 from .resolution import graded
 
@@ -51,11 +52,29 @@ def sim_join_cells(spark, d):
     return search.in_cells(search.query_aliases(a), a, 5, 0.2, True, D, cells=16)
 
 
+def _clustered(spark, d):
+    """Embeddings with their label's own axis beside them."""
+    axes = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.when(i == F.col("entity") % 32, 3.0).otherwise(0.0))
+    return aliases(spark, d).withColumn("v", F.transform(F.concat(vectors.doubles(F.col("v")), axes), lambda x: x / 10.0**0.5))
+
+
+def stored_index(spark, d):
+    """Search in a stored index, held against exact search: how many neighbours
+    there are, whether nine tenths were found, whether a quarter of the rows were
+    looked at by their bytes at most, and eight times as many as asked for by their
+    vectors."""
+    a, path = _clustered(spark, d), scratch(spark)
+    index.build(a, path, cells=32)
+    q = a.filter("id % 5 = 0")
+    found, told = index.searched(q, path, K, probes=5, again=8)
+    r = search.recall(found, search.neighbours(q, a, k=K))
+    return r.crossJoin(F.broadcast(told)).select("exact", (F.col("recall") >= 0.9).alias("enough"), (4 * F.col("codes") <= F.col("rows")).alias("quarter"), (F.col("vectors") <= 8 * K * F.col("queries")).alias("few"), "queries", "rows")
+
+
 def clustered_join(spark, d):
     """All pairs above a cosine, of embeddings with their label's own axis beside
     them, and whether cells spared half of the products."""
-    axes = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.when(i == F.col("entity") % 32, 3.0).otherwise(0.0))
-    a = aliases(spark, d).withColumn("v", F.transform(F.concat(vectors.doubles(F.col("v")), axes), lambda x: x / 10.0**0.5))
+    a = _clustered(spark, d)
     cells = search.Cells(a, 32)
     half = search.shares(a, cells, 0.92).select((2 * F.col("rows_met") < F.col("rows")).alias("spared"))
     found = search.in_cells(a, cells, least=0.92, decimals=D).select("query_id", "rank", "feat_id", "cosine")
@@ -171,6 +190,7 @@ SELECT count(*) AS cases, {", ".join(f"round(100 * avg(CASE WHEN rank <= {k} THE
     "matryoshka": Query(matryoshka, f"SELECT vec_id, {_V.format(_HEAD, _HEAD, _HEAD)} AS v FROM embeddings"),
     "vector_roundtrip": Query(vector_roundtrip, "SELECT vec_id, CAST(CAST(embedding AS VARCHAR) AS FLOAT[]) = embedding AS equal, len(embedding) AS n FROM embeddings"),
     "knn_approximate": Query(knn_approximate, f"SELECT {K} * count(*) AS exact, true AS enough FROM embeddings WHERE vec_id % 5 = 0"),
+    "stored_index": Query(stored_index, f"SELECT {K} * count(*) AS exact, true AS enough, true AS quarter, true AS few, count(*) AS queries, count(*) * (SELECT count(*) FROM embeddings) AS rows FROM embeddings WHERE vec_id % 5 = 0"),
     "similar_names": Query(similar_names, rf"""WITH {WITH_NAMES}, w AS (SELECT id, list_distinct(list_filter(string_split_regex(lower(name), '\s+'), lambda x: x <> '')) AS w FROM names),
 c AS (SELECT q.id AS query_id, t.id, len(list_intersect(q.w, t.w)) / len(list_distinct(list_concat(q.w, t.w)))::DOUBLE AS jaccard FROM w q JOIN w t ON q.id <> t.id AND len(q.w) > 0 AND len(t.w) > 0 WHERE q.id LIKE 'n%' OR q.id LIKE '%0')
 SELECT query_id, id, round(jaccard, 6) AS jaccard FROM c WHERE jaccard >= 0.4"""),
