@@ -45,18 +45,55 @@ def similar_names(queries: DataFrame, names: DataFrame, theta: float = 0.5, toke
     return alike.join(asked.select("query_id", "qk"), "qk").join(stored.select("id", "k"), "k").select("query_id", "id", "jaccard")
 
 
-def entity_hits(queries: DataFrame, aliases: DataFrame, theta: float = 0.5, cosine: float = 0.43, k: int = 100) -> DataFrame:
-    """``case_id, entity_id, gnr_score, emb_score, ordinal``: entities that a
-    query (``id, entity, name, v``) reaches by name or by vector, each with the
-    best scores of its aliases (same columns), 0 to 100, in order of the better
-    of them. Names are candidates if they share ``theta`` of their words, and get
-    their graded score. Stands in for an engine's search with all candidates."""
+def alias_hits(queries: DataFrame, aliases: DataFrame, theta: float, cosine: float, k: int | None, own: bool) -> DataFrame:
+    """``query_id, id, gnr, emb``: aliases that a query reaches by name, with
+    their graded score, and by vector, with their cosine in hundredths, a row for
+    each way. ``own``: whether a query may reach its own id by name."""
     met = similar_names(queries, aliases, theta).select("query_id", "id")
+    met = met if own else met.filter("query_id <> id")
     met = met.join(queries.select(F.col("id").alias("query_id"), F.col("name").alias("name_a")), "query_id").join(aliases.select("id", F.col("name").alias("name_b")), "id")
     by_name = scored_names(met, score="gnr").select("query_id", "id", "gnr", F.lit(None).cast("int").alias("emb"))
     near = neighbours(queries, aliases, k, cosine)
     by_vector = near.select("query_id", F.col("feat_id").alias("id"), F.lit(None).cast("int").alias("gnr"), F.floor(100 * F.col("cosine") + 1e-6).cast("int").alias("emb"))
-    found = by_name.unionByName(by_vector).join(aliases.select("id", "entity"), "id")
+    return by_name.unionByName(by_vector)
+
+
+def entity_hits(queries: DataFrame, aliases: DataFrame, theta: float = 0.5, cosine: float = 0.43, k: int | None = 100) -> DataFrame:
+    """``case_id, entity_id, gnr_score, emb_score, ordinal``: entities that a
+    query (``id, entity, name, v``) reaches by name or by vector, each with the
+    best scores of its aliases (same columns), 0 to 100, in order of the better
+    of them. Names are candidates if they share ``theta`` of their words, and get
+    their graded score. Stands in for an engine's search with all candidates."""
+    found = alias_hits(queries, aliases, theta, cosine, k, True).join(aliases.select("id", "entity"), "id")
     hits = found.groupBy(F.col("query_id").alias("case_id"), F.col("entity").alias("entity_id")).agg(F.max("gnr").alias("gnr_score"), F.max("emb").alias("emb_score"))
     order = Window.partitionBy("case_id").orderBy(F.desc(F.greatest("gnr_score", "emb_score")), "entity_id")
     return hits.withColumn("ordinal", F.row_number().over(order) - 1)
+
+
+def search_modes(queries: DataFrame, aliases: DataFrame, theta: float = 0.5, cosine: float = 0.43, k: int | None = 100) -> DataFrame:
+    """``case_id, mode, entity_id, gnr_score, emb_score, ordinal``: what each
+    query finds by names alone (``name``) and by vectors alone (``emb``), entities
+    in order of their best alias's score, ties to smaller ids. A query's own row
+    among the aliases counts in neither. An entity that a mode does not reach is
+    no hit of it; the other score is null."""
+    found = alias_hits(queries, aliases, theta, cosine, k, False).join(aliases.select("id", F.col("entity").alias("entity_id")), "id")
+    mode = F.when(F.col("gnr").isNotNull(), "name").otherwise("emb")
+    hits = found.groupBy(F.col("query_id").alias("case_id"), mode.alias("mode"), "entity_id").agg(F.max("gnr").alias("gnr_score"), F.max("emb").alias("emb_score"))
+    order = Window.partitionBy("case_id", "mode").orderBy(F.desc(F.coalesce("gnr_score", "emb_score")), "entity_id")
+    return hits.withColumn("ordinal", F.row_number().over(order) - 1)
+
+
+def searched_results(queries: DataFrame, aliases: DataFrame, theta: float = 0.5, cosine: float = 0.43, k: int | None = 100) -> DataFrame:
+    """``case_id, name_rank, emb_rank, name_score, emb_score, name_total,
+    emb_total``: where each query's own entity comes up in either mode, null if it
+    doesn't, and how many entities do. A row for every query, for the reports of
+    ``metrics``."""
+    hits = search_modes(queries, aliases, theta, cosine, k)
+    cases = queries.select(F.col("id").alias("case_id"), F.col("entity").alias("expected"))
+    known = hits.join(cases, "case_id").withColumn("hit", F.col("entity_id") == F.col("expected"))
+    of = lambda mode, value: F.max(F.when((F.col("mode") == mode) & F.col("hit"), value))
+    totals = [F.count_if(F.col("mode") == m).alias(f"{m}_total") for m in ("name", "emb")]
+    ranks = [of(m, F.col("ordinal") + 1).cast("int").alias(f"{m}_rank") for m in ("name", "emb")]
+    scores = [of("name", F.col("gnr_score")).alias("name_score"), of("emb", F.col("emb_score")).alias("emb_score")]
+    found = known.groupBy("case_id").agg(*ranks, *scores, *totals)
+    return cases.select("case_id").join(found, "case_id", "left").na.fill(0, ["name_total", "emb_total"])

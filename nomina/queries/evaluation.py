@@ -6,9 +6,10 @@ import re
 
 from pyspark.sql import functions as F
 
-from ..operators import comparison, metrics, ranking, search, stats
+from ..operators import comparison, lexical, metrics, ranking, search, stats
 from ..plans import pipelines
 from .base import HITS, WITH_ALIASES, WITH_HITS, WITH_RESULTS, Query, aliases, expected, hits, results, rounded, table
+from .resolution import graded
 
 KS, NS = metrics.KS, (5, 10, 20, 100)
 
@@ -59,6 +60,20 @@ def retrieval_report(spark, d):
     return rounded(metrics.retrieval(results(spark, d)))
 
 
+def _searched(spark, d):
+    """Every embedding with a short name searched among all others, both ways."""
+    a = aliases(spark, d).withColumn("name", F.concat(F.lit("w"), (F.col("id") % 97).cast("string"), F.lit(" w"), (F.col("id") % 89).cast("string")))
+    return lexical.searched_results(a, a, 0.3, 0.2, None)
+
+
+def searched_retrieval(spark, d):
+    return rounded(metrics.retrieval(_searched(spark, d)))
+
+
+def searched_rescue(spark, d):
+    return rounded(metrics.rescue(_searched(spark, d)).drop("rescue_rate").crossJoin(metrics.impact(_searched(spark, d), top=False)))
+
+
 def rescue(spark, d):
     return rounded(metrics.rescue(results(spark, d)))
 
@@ -246,6 +261,13 @@ def _corr(x: str, y: str) -> str:
 
 _SCORE = "coalesce(emb_score, gnr_score, 0)"
 _R = f"WITH {WITH_RESULTS} SELECT "
+WITH_SEARCHED = f"""{WITH_ALIASES}, n AS (SELECT id, entity, v, 'w' || id % 97 AS p, 'w' || id % 89 AS q, 'w' || id % 97 || ' w' || id % 89 AS name FROM aliases),
+m AS (SELECT a.id AS case_id, b.id, b.entity, a.name AS x, b.name AS y, len(list_intersect([a.p, a.q], [b.p, b.q])) / len(list_distinct([a.p, a.q, b.p, b.q]))::DOUBLE AS jaccard FROM n a JOIN n b ON a.id <> b.id AND (a.p IN (b.p, b.q) OR a.q IN (b.p, b.q))),
+k AS (SELECT x, y FROM m WHERE jaccard >= 0.3), {graded("k")},
+h AS (SELECT case_id, 'name' AS mode, entity, max(score) AS score FROM m JOIN graded USING (x, y) WHERE jaccard >= 0.3 GROUP BY ALL
+UNION ALL SELECT a.id, 'emb', b.entity, max(CAST(floor(100 * list_dot_product(a.v, b.v) + 1e-6) AS INTEGER)) FROM n a JOIN n b ON a.id <> b.id WHERE list_dot_product(a.v, b.v) >= 0.2 GROUP BY ALL),
+o AS (SELECT *, CAST(row_number() OVER (PARTITION BY case_id, mode ORDER BY score DESC, entity) AS INTEGER) AS rank FROM h),
+results AS (SELECT n.id AS case_id, max(rank) FILTER (mode = 'name' AND o.entity = n.entity) AS name_rank, max(rank) FILTER (mode = 'emb' AND o.entity = n.entity) AS emb_rank FROM n LEFT JOIN o ON o.case_id = n.id GROUP BY n.id)"""
 _RANKED = f"WITH {WITH_HITS}, r AS (SELECT *, {_SCORE} AS score, CAST(row_number() OVER (PARTITION BY case_id, mode ORDER BY {{order}}) AS INTEGER) AS rank FROM hits)"
 _BY_SCORE, _BY_ORDINAL = _RANKED.format(order=f"{_SCORE} DESC, ordinal"), _RANKED.format(order="ordinal")
 _PLACED = """, p AS (SELECT case_id, mode, min(CASE WHEN entity_id = expected_entity_id THEN rank END) AS positive_rank, min(CASE WHEN entity_id <> expected_entity_id THEN rank END) AS negative_rank,
@@ -305,6 +327,11 @@ QUERIES = {
     "mrr_found": Query(mrr_found, _R + f"{_mrr('name_rank')} AS name, {_mrr('emb_rank')} AS emb FROM results"),
     "mrr_all": Query(mrr_all, _R + f"{_all('name_rank')} AS name, {_all('emb_rank')} AS emb FROM results"),
     "ndcg_at_k": Query(ndcg_at_k, _R + ", ".join(f"{_ndcg(f'{m}_rank', k)} AS {m}_ndcg_{k}" for m in ("name", "emb") for k in NS) + " FROM results"),
+    "searched_retrieval": Query(searched_retrieval, f"WITH RECURSIVE {WITH_SEARCHED} SELECT " + _retrieval() + " FROM results"),
+    "searched_rescue": Query(searched_rescue, f"""WITH RECURSIVE {WITH_SEARCHED} SELECT count(*) FILTER (name_rank IS NULL) AS name_failures, count(*) FILTER (name_rank IS NULL AND emb_rank IS NOT NULL) AS rescued,
+  {_pct(f"{_G} AND {_E}")} AS both_correct, {_pct(f"{_G} AND NOT {_E}")} AS name_only_correct, {_pct(f"NOT {_G} AND {_E}")} AS emb_only_correct, {_pct(f"NOT {_G} AND NOT {_E}")} AS neither_correct,
+  count(*) FILTER (name_rank IS NULL AND emb_rank IS NOT NULL) AS improved, count(*) FILTER (name_rank IS NOT NULL AND emb_rank IS NULL) AS degraded,
+  {_pct("name_rank IS NULL AND emb_rank IS NOT NULL")} AS improvement_rate, {_pct("name_rank IS NOT NULL AND emb_rank IS NULL")} AS degradation_rate FROM results"""),
     "retrieval_report": Query(retrieval_report, _R + _retrieval() + " FROM results"),
     "rescue": Query(rescue, _R + f"""count(*) FILTER (name_rank IS NULL) AS name_failures, count(*) FILTER (name_rank IS NULL AND emb_rank IS NOT NULL) AS rescued,
   round(100.0::DOUBLE * count(*) FILTER (name_rank IS NULL AND emb_rank IS NOT NULL) / count(*) FILTER (name_rank IS NULL), 6) AS rescue_rate,
