@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import scripts, vectors
-from .operators import comparison, loading, pairs, records, sampling, stats
+from .operators import comparison, loading, pairs, records, resolution, sampling, scoring, stats
 from .plans import pipelines
 from .sources import readers, writers
 
@@ -21,6 +21,7 @@ ENTITY = "entity_id string, canonical string, aliases array<struct<name:string,l
 PAIR = "name_a string, name_b string, entity_a string, entity_b string, same_entity boolean, pair_type string, gnr_score int, gnr_bucket string, cosine_sim double"
 JUDGED = "case_id string, record_type string, variant_type string, query_name_type string, expected_entity_id bigint"
 REPORT = "test_set string, model_type string, model_path string, emb_accuracy double, emb_ndcg map<string,double>"
+LOADED = "record_id string, name string, entity_id string"
 CASE = "test_case_id string, record_id string, data_source string, record_type string, query_name string, query_name_type string, all_aliases array<string>, expected_entity_id bigint"
 
 
@@ -139,6 +140,29 @@ def numbers(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     return readers.standard_input(spark, sys.stdin) if a.input == "-" else readers.lines(spark, a.input)
 
 
+def load(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
+    """Records to entities by their first names, on top of those that an earlier
+    load gave (--stored); records without an id or a name go to --dead."""
+    named = records.names(readers.records(spark, a.input)).filter("idx = 0")
+    key = F.when(F.col("record_id").isNotNull(), F.concat_ws(":", "data_source", "record_id"))
+    rows = named.select(key.alias("record_id"), "name")
+    vector = F.lit(None).cast("array<double>").alias("v")
+    if a.dead:
+        every = readers.records(spark, a.input)
+        lost = every.join(named.select(F.col("record_id").alias("RECORD_ID"), F.col("data_source").alias("DATA_SOURCE")).distinct(), ["DATA_SOURCE", "RECORD_ID"], "left_anti")
+        writers.raw_lines(lost, a.dead)
+    stored = readers.decoded(readers.scanned(spark, a.stored), schema=LOADED).select("record_id", "name", vector, "entity_id") if a.stored else None
+    return resolution.resolve(rows.select("record_id", "name", vector), stored, share=a.share, least=a.score).drop("v")
+
+
+def why(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
+    """Names against whole entities of a load (--entities): the best alias, its
+    score and bucket, and the words that agree."""
+    asked = readers.decoded(readers.scanned(spark, a.input), schema="name string, entity string").select("name", "entity")
+    known = readers.decoded(readers.scanned(spark, a.entities), schema=LOADED).select(F.col("entity_id").alias("entity"), "name")
+    return scoring.why(asked, known)
+
+
 COMMANDS = {
     sample: {"--size": 10_000, "--person-ratio": 0.5, "--seed": 42},
     cases: {"--size": 100, "--filter": "both", "--seed": 42, "--date": ""},
@@ -154,6 +178,8 @@ COMMANDS = {
     compare: {"--best-only": False},
     retry: {"--max-attempts": 3},
     numbers: {},
+    load: {"--stored": "", "--dead": "", "--share": 0.4, "--score": 75},
+    why: {"--entities": ""},
 }
 
 

@@ -76,3 +76,19 @@ def test_reports_attempts_and_lines(spark, tmp_path):
     assert {(x["record_id"], x["attempts"], x["outcome"]) for x in read(spark, tmp_path / "last")} == {("x", 2, "success"), ("y", 1, "too_long"), ("z", 2, "retryable")}
     main(["numbers", str(tmp_path / "log.jsonl"), str(tmp_path / "n")], spark)
     assert sorted(x["ordinal"] for x in read(spark, tmp_path / "n")) == [1, 2, 3, 4, 5]
+
+
+def test_load_and_why(spark, tmp_path):
+    record = lambda i, name: {"DATA_SOURCE": "S", "RECORD_ID": i, "RECORD_TYPE": "PERSON", "NAMES": [{"NAME_TYPE": "PRIMARY", "NAME_FULL": name}] if name else []}
+    first = [record("1", "Johannes Kowalski"), record("2", "Johanes Kowalski"), record("3", "Maria Ferrari"), record("4", None)]
+    (tmp_path / "a.jsonl").write_text("\n".join(map(json.dumps, first)))
+    (tmp_path / "b.jsonl").write_text("\n".join(map(json.dumps, [record("0", "Johannes Kowalsky"), record("3", "Maria Ferari")])))
+    main(["load", str(tmp_path / "a.jsonl"), str(tmp_path / "l1"), "--dead", str(tmp_path / "dead")], spark)
+    assert {r["record_id"]: r["entity_id"] for r in read(spark, tmp_path / "l1")} == {"S:1": "S:1", "S:2": "S:1", "S:3": "S:3"}
+    assert [r["RECORD_ID"] for r in read(spark, tmp_path / "dead")] == ["4"]
+    main(["load", str(tmp_path / "b.jsonl"), str(tmp_path / "l2"), "--stored", str(tmp_path / "l1")], spark)
+    assert {r["record_id"]: (r["name"], r["entity_id"]) for r in read(spark, tmp_path / "l2")} == {"S:0": ("Johannes Kowalsky", "S:0"), "S:1": ("Johannes Kowalski", "S:0"), "S:2": ("Johanes Kowalski", "S:0"), "S:3": ("Maria Ferari", "S:3")}
+    (tmp_path / "q.jsonl").write_text("\n".join(map(json.dumps, [{"name": "J. Kowalski", "entity": "S:0"}, {"name": "Nobody", "entity": "S:0"}])))
+    main(["why", str(tmp_path / "q.jsonl"), str(tmp_path / "w"), "--entities", str(tmp_path / "l2")], spark)
+    told = {r["name"]: r for r in read(spark, tmp_path / "w")}
+    assert told["J. Kowalski"]["score"] == 90 and told["J. Kowalski"]["alias"] == "Johanes Kowalski" and "score" not in told["Nobody"]
