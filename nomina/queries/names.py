@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions import scripts, text
+from ..functions import scripts, tables, text
 from ..operators.ranking import keep_first
 from .base import WITH_NAMES, Query, names, rounded
 
@@ -105,6 +105,15 @@ def variants_all(spark, d):
     return keep_first(few, [F.lower("variant")], ["id", "nth"])
 
 
+def variants_lateral(spark, d):
+    """The same, by table functions in SQL."""
+    tables.register(spark)
+    names(spark, d).createOrReplaceTempView("nomina_names")
+    few = spark.sql("""SELECT id, v.* FROM nomina_names AS n, LATERAL person_variants(n.name) AS v WHERE n.record_type = 'PERSON' AND v.nth < 2
+        UNION ALL SELECT id, v.* FROM nomina_names AS n, LATERAL business_variants(n.name) AS v WHERE n.record_type <> 'PERSON' AND v.nth < 2""")
+    return keep_first(few, [F.lower("variant")], ["id", "nth"])
+
+
 _ALL_SQL = (
     f"WITH {WITH_NAMES}, v AS ("
     + " UNION ALL ".join(f"SELECT id, {i} AS rule, {v} AS variant, '{k}' AS variant_type, name FROM names WHERE record_type {op} 'PERSON' AND {w}" for op, rules in (("=", _PERSON), ("<>", _BUSINESS)) for i, (k, v, w) in enumerate(rules))
@@ -246,6 +255,7 @@ QUERIES = {
     "eval_fuzzy": Query(_exploded(text.fuzzy_variants), _kinds(_FUZZY)),
     "eval_partial": Query(_exploded(text.partial_variants), _kinds(_PARTIAL)),
     "variants_all": Query(variants_all, _ALL_SQL),
+    "variants_lateral": Query(variants_lateral, _ALL_SQL),
     "variants_triplet": Query(triplet_variants, _TRIPLET_SQL),
     "script_detect_v1": _script(scripts.dominant_of_five, _five_sql()),
     "script_detect_v2": _script(scripts.majority, _majority_sql()),

@@ -139,3 +139,25 @@ def test_model_encoder(monkeypatch):
     assert np.allclose(made(["abc"]), np.tanh([[0.6, -0.3]]))
     plain = vectors.onnx_encoder("m", "t", layer={"weight": weight, "activation": None}, max_length=4)
     assert np.allclose(plain(["abc"]), [[0.5, -0.5]])
+
+
+def test_table_functions_are_the_rules(spark):
+    """Each table function against its column expression, in lateral joins."""
+    from nomina.functions import tables
+
+    names = spark.createDataFrame([(i, n) for i, n in enumerate(["Acme International Management Co.", "John W Smith", "Bank of the West", "it's", "", None, "A, B & \"C\" Ltd.", "Иванов Ivan Петрович", "x" * 50])], "id int, name string")
+    names.createOrReplaceTempView("some_names")
+    assert tables.register(spark) == list(tables.RULES)
+    for function, rule in tables.RULES.items():
+        got = spark.sql(f"SELECT id, v.* FROM some_names AS n, LATERAL {function}(n.name) AS v").collect()
+        plain = names.select("id", F.posexplode(rule(F.col("name"))).alias("nth", "v")).select("id", "nth", "v.variant", "v.variant_type").collect()
+        assert sorted(map(tuple, got)) == sorted(map(tuple, plain)) and plain
+        assert spark.sql(f"SELECT * FROM {function}('John William Smith Co.')").count() > 0
+
+
+def test_operators_become_functions(spark):
+    from nomina.functions import tables
+
+    c = F.when((F.col("a") >= 2) & ~(F.col("a") == 5) | F.col("a").isNull(), F.concat(F.lit("it's =( \\"), -F.col("a") + 1)).otherwise("<(")
+    df = spark.createDataFrame([(1,), (3,), (5,), (None,)], "a int")
+    assert df.select(F.expr(tables.sql_of(c)).alias("c")).collect() == df.select(c.alias("c")).collect()
