@@ -138,7 +138,8 @@ def _row(of: str = "") -> Column:
 
 def quality_weights(docs: DataFrame, labels: DataFrame, seed: int = 42) -> DataFrame:
     """``doc_id, row, source, size, weight, u`` of documents: weight 1 if labelled
-    good, 0.1 if labelled bad by any label, 0.5 otherwise."""
+    good, 0.1 if labelled bad by any label, 0.5 otherwise; a label without a
+    quality, or without an id, is none."""
     marks = labels.filter("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("_q"))
     sized = docs.select("doc_id", _row().alias("row"), "source", size().alias("size"), uniform("doc_id", "text", seed).alias("u"))
     weight = F.when(F.col("_q") >= 1, 1.0).when(F.col("_q") < 1, 0.1).otherwise(0.5)

@@ -1,7 +1,7 @@
 """Toxic passages as maximum-scoring segments.
 
 Words score the log-odds of occurring in toxic rather than clean documents,
-under Dirichlet priors in proportion to the whole corpus (Monroe et al., 2008);
+under Dirichlet priors in proportion to all labelled text (Monroe et al., 2008);
 words that the labels say little about score as their longest telling prefix
 does. All maximal segments of a text come from one linear scan (Ruzzo and Tompa,
 1999). A segment's score S becomes lambda * S - ln(K * n) by the extreme-value
