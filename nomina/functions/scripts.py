@@ -26,7 +26,8 @@ FIRST_SEEN = {
     "GREEK": r"\x{370}-\x{3FF}", "LATIN": r"\x{41}-\x{5A}\x{61}-\x{7A}\x{C0}-\x{24F}",
 }
 FIRST_SEEN_SKIPS = r".,;:!?()\[\]{}\"'\-"
-# Membership tables by script and language, and those of letters no relative has.
+# Membership tables by script and language, and those of letters no
+# relative has.
 TABLES = {
     "Latin": ((0x41, 0x5A), (0x61, 0x7A), (0xFF21, 0xFF3A), (0xFF41, 0xFF5A)),
     "CJK": ((0x4E00, 0x9FFF), (0x3000, 0x303F), (0xFF61, 0xFF64)),

@@ -185,7 +185,7 @@ def script_alphabets(spark, d):
     return rows.select("id", *[scripts.within(F.col("name"), k).alias(f"in_{k.lower()}") for k in scripts.TABLES])
 
 
-# The tables' members, as the oracle has them.
+# The members of ``scripts.TABLES``, as the oracle's patterns have them.
 _MEMBERS = {
     "Latin": r"A-Za-zＡ-Ｚａ-ｚ", "CJK": r"\x{4E00}-\x{9FFF}\x{3000}-\x{303F}\x{FF61}-\x{FF64}",
     "Cyrillic": r"\x{400}-\x{52F}\x{2DE0}-\x{2DFF}\x{A640}-\x{A69F}\x{1C80}-\x{1C8F}\x{1E030}-\x{1E08F}",

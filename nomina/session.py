@@ -17,6 +17,7 @@ def local(cpus: str | int = "*", memory: str = "8g", partitions: int = 8) -> Spa
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
 

@@ -32,7 +32,9 @@ def lines(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
 
 def standard_input(spark: SparkSession, stream: Iterable[str], rows: int = 100_000) -> DataFrame:
     """``ordinal, value``: lines that a pipe brings to the driver, such as
-    ``sys.stdin``, sent on in pieces of ``rows``, so that the driver holds one."""
+    ``sys.stdin``, in partitions of ``rows``. A pipe can't be read again, so the
+    driver holds all of its lines as long as the frame is used: for files, which
+    have no such limit, see ``lines``."""
     schema = "ordinal long, value string"
     parts, numbers = [], itertools.count(1)
     lines_ = (x.rstrip("\n") for x in stream)
