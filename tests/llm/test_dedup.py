@@ -173,6 +173,23 @@ def test_stage_drops_copies_of_four_fifths(spark, make_docs, prose, edges):
     assert resemblance.near_duplicates(make_docs([])).count() == 0
 
 
+@pytest.mark.parametrize("small, together, heads", [(0, 4, 0), (16, 64, 0), (0, 7, 2)])
+def test_no_link_of_a_key_is_lost(spark, make_docs, prose, monkeypatch, small, together, heads):
+    """Copies that differ more from each other than from an original that is not
+    there: heads miss most links."""
+    for name, value in (("SMALL", small), ("TOGETHER", together), ("HEADS", heads), ("FEW", 0)):
+        monkeypatch.setattr(resemblance, name, value)
+    r, base, rows = random.Random(5), prose(77, 240).split(), []
+    for i in range(60):
+        other = list(base)
+        for _ in range(r.randrange(3, 9)):
+            other[r.randrange(len(other))] = f"own{r.randrange(40)}"
+        rows.append((i, " ".join(other)))
+    rows += [(100 + i, prose(i, 80)) for i in range(10)] + [(200, rows[3][1]), (3, rows[3][1])]
+    got = {x["doc_id"]: x["component_id"] for x in resemblance.near_duplicates(make_docs(rows)).collect()}
+    assert got == plain_groups(rows) and 12 < len(set(got.values())) < 60
+
+
 def plain_removal(rows, window=50):
     texts = [(i, (t or "").encode().split()) for i, t in rows]
     first = {}
