@@ -3,12 +3,15 @@ with names and vectors together."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..session import checkpoint
 from .scoring import scored_names
 from .search import neighbours
 
@@ -17,31 +20,114 @@ def _words(name: Column) -> Column:
     return F.array_distinct(text.words(F.lower(name)))
 
 
+#: Posting rows of one token that meet in a task, and of the tokens that share one.
+BLOCK, TOGETHER = 2_048, 20_000
+_U = np.uint64
+
+
+def _sketch(tokens: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """256 bits a set, one for each of its tokens."""
+    h = tokens.astype(_U) * _U(0x9E3779B97F4A7C15)
+    bits = np.zeros((n, 4), _U)
+    np.bitwise_or.at(bits, (owner, (h >> _U(62)).astype(np.int64)), _U(1) << ((h >> _U(56)) & _U(63)))
+    return bits
+
+
+def _alike(size: np.ndarray, place: np.ndarray, tokens: np.ndarray, token: int, theta: float, meets: np.ndarray, bits: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs of one token's sets (``tokens``: ids in order, a row a set, padded by
+    -1; ``place``: where the token is) that are alike, with their similarity, if
+    the token is the first that they have in common. What comes after the token,
+    and the bits that differ, bound what two sets can have in common."""
+    n, after = len(size), size - place
+    step = max(1, 200_000 // n)
+    for at in range(0, n, step):
+        own = slice(at, min(n, at + step))
+        need = theta / (1 + theta) * (size[own, None] + size[None, :]) - 1e-9
+        ok = meets[own] & (np.minimum(after[own, None], after[None, :]) >= need)
+        ok &= np.arange(n)[None, :] > np.arange(n)[own, None]
+        i, j = np.nonzero(ok)
+        i += at
+        differ = sum(np.bitwise_count(bits[i, k] ^ bits[j, k]).astype(np.int64) for k in range(4))
+        some = size[i] + size[j] - differ >= 2 * (theta / (1 + theta) * (size[i] + size[j]) - 1e-9)
+        i, j = i[some], j[some]
+        for start in range(0, len(i), 10_000):
+            p, q = i[start : start + 10_000], j[start : start + 10_000]
+            wide = int(max(size[p].max(), size[q].max()))
+            both = np.sort(np.concatenate([tokens[p, :wide], tokens[q, :wide]], axis=1), axis=1)
+            same = (both[:, 1:] == both[:, :-1]) & (both[:, 1:] >= 0)
+            common = same.sum(axis=1)
+            jaccard = common / (size[p] + size[q] - common)
+            first = both[np.arange(len(p)), np.argmax(same, axis=1) + 1]
+            hit = (jaccard >= theta) & (first == token)
+            yield p[hit], q[hit], jaccard[hit]
+
+
+def similar_sets(sets: DataFrame, theta: float) -> DataFrame:
+    """``x, y, jaccard``: pairs, once each and in any order, of the ``sets``
+    (``node`` string, unique; ``words``: distinct, not null; ``asks``: one of a
+    pair must) whose shares of common words are at least ``theta``, which is
+    above 0; sets without words match nothing.
+
+    Two sets as similar as that share one of their ``n - ceil(theta * n) + 1``
+    rarest words. Sets are dealt to these, with all their words by number, and
+    a pair is compared in the task of the first word that both have: candidates
+    are never written. Words that many sets have are met in blocks."""
+    sets = checkpoint(sets.filter(F.size("words") > 0).select("node", "words", "asks"))
+    frequency = sets.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    # Numbers in the order of the words, whatever their partitions.
+    numbered = checkpoint(frequency.orderBy("df", "word").select("word", F.monotonically_increasing_id().alias("token")))
+    each = sets.select("node", "asks", F.explode("words").alias("word")).join(numbered, "word")
+    rows = each.groupBy("node", "asks").agg(F.array_sort(F.collect_list("token")).alias("tokens"))
+    few = (F.size("tokens") - F.ceil(F.lit(theta) * F.size("tokens") - 1e-9) + 1).cast("int")
+    rows = checkpoint(rows.withColumn("rarest", few))
+    posted = rows.select("node", "asks", "tokens", F.posexplode(F.slice("tokens", F.lit(1), F.col("rarest"))).alias("place", "token"))
+    counts = checkpoint(posted.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    whole = counts.agg(F.sum("n")).first()[0] or 0
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    shape = counts.select("token", blocks.alias("blocks"), F.when(blocks > 1, F.col("token")).otherwise(-1 - F.pmod(F.xxhash64("token"), F.lit(1 + whole // TOGETHER))).alias("bin"))
+    dealt = posted.join(shape, "token").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = dealt.select("bin", "token", "own", "place", "node", "asks", "tokens", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("bin", F.least("own", "other").alias("u"), F.greatest("own", "other").alias("v"), "token", "own", "place", "node", "asks", "tokens")
+
+    def meet(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("token", kind="stable", ignore_index=True)
+        token, nodes = part["token"].to_numpy(), part["node"].to_numpy()
+        size, place = part["tokens"].map(len).to_numpy(np.int64), part["place"].to_numpy(np.int64)
+        own, asks, across = part["own"].to_numpy(), part["asks"].to_numpy(bool), part["u"].iloc[0] != part["v"].iloc[0]
+        flat, owner = np.concatenate(part["tokens"].to_numpy()), np.repeat(np.arange(len(part)), size)
+        bits, out = _sketch(flat, owner, len(part)), [(nodes[:0], nodes[:0], np.empty(0))]
+        start = np.cumsum(size) - size
+        ends = np.r_[np.flatnonzero(token[1:] != token[:-1]) + 1, len(part)]
+        for a, b in zip(np.r_[0, ends[:-1]], ends):
+            if b - a < 2:
+                continue
+            padded = np.full((b - a, size[a:b].max()), -1, np.int64)
+            at = slice(start[a], start[b - 1] + size[b - 1])
+            padded[owner[at] - a, np.arange(at.start, at.stop) - start[owner[at]]] = flat[at]
+            meets = asks[a:b, None] | asks[None, a:b]
+            if across:
+                meets = meets & (own[a:b, None] != own[None, a:b])
+            for i, j, s in _alike(size[a:b], place[a:b], padded, token[a], theta, meets, bits[a:b]):
+                out.append((nodes[a + i], nodes[a + j], s))
+        x, y, s = (np.concatenate(c) for c in zip(*out))
+        return pd.DataFrame({"x": x, "y": y, "jaccard": s})
+
+    return dealt.groupBy("bin", "u", "v").applyInPandas(meet, "x string, y string, jaccard double")
+
+
 def similar_names(queries: DataFrame, names: DataFrame, theta: float = 0.5, tokens: Callable[[Column], Column] = _words) -> DataFrame:
     """``query_id, id, jaccard`` of queries and names (``id, name``) whose shares
     of common words, or whatever distinct ``tokens`` a name has, are at least
-    ``theta``; names without any match nothing.
-
-    Two sets as similar as that share one of their ``n - ceil(theta * n) + 1``
-    rarest words, so only those are joined on: a frequent word joins just the
-    names that have nothing rarer. Frequencies are a table, not a broadcast.
-    """
+    ``theta``; names without any match nothing. See ``similar_sets``."""
     keyed = lambda d, i, k, w: d.select(F.col("id").alias(i), F.array_sort(tokens(F.col("name"))).alias(w)).filter(F.size(w) > 0).select(i, F.array_join(w, " ").alias(k), w)
-    asked, stored = keyed(queries, "query_id", "qk", "qw"), keyed(names, "id", "k", "w")
+    asked, stored = keyed(queries, "query_id", "qk", "words"), keyed(names, "id", "k", "words")
     # Names with the same words are one until the pairs are known.
-    a, b = asked.select("qk", "qw").distinct(), stored.select("k", "w").distinct()
-    frequency = b.select(F.explode("w").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
-
-    def rarest(rows: DataFrame, key: str, words: str) -> DataFrame:
-        each = rows.select(key, F.explode(words).alias("word"), F.size(words).alias("n")).join(frequency, "word", "left")
-        sorted_ = each.groupBy(key, "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "word"))).alias("s"))
-        few = F.slice("s", F.lit(1), (F.col("n") - F.ceil(F.lit(theta) * F.col("n") - 1e-9) + 1).cast("int"))
-        return sorted_.select(key, F.explode(few).alias("x")).select(key, "x.word")
-
-    pairs = rarest(a, "qk", "qw").join(rarest(b, "k", "w"), "word").select("qk", "k").distinct()
-    both = pairs.join(a, "qk").join(b, "k")
-    common, either = F.size(F.array_intersect("qw", "w")), F.size(F.array_union("qw", "w"))
-    alike = both.select("qk", "k", (common / either).alias("jaccard")).filter(F.col("jaccard") >= theta)
+    flagged = asked.select(F.col("qk").alias("node"), "words", F.lit(True).alias("asks"), F.lit(False).alias("held"))
+    flagged = flagged.unionByName(stored.select(F.col("k").alias("node"), "words", F.lit(False).alias("asks"), F.lit(True).alias("held")))
+    sets = checkpoint(flagged.groupBy("node").agg(F.first("words").alias("words"), F.max("asks").alias("asks"), F.max("held").alias("held")))
+    found = similar_sets(sets, theta)
+    both = found.select(F.explode(F.array(F.struct(F.col("x").alias("qk"), F.col("y").alias("k")), F.struct(F.col("y").alias("qk"), F.col("x").alias("k")))).alias("p"), "jaccard").select("p.*", "jaccard")
+    alike = both.unionByName(sets.filter("asks and held").select(F.col("node").alias("qk"), F.col("node").alias("k"), F.lit(1.0).alias("jaccard")))
     return alike.join(asked.select("query_id", "qk"), "qk").join(stored.select("id", "k"), "k").select("query_id", "id", "jaccard")
 
 

@@ -90,6 +90,20 @@ def align(rows: list[list[int]]) -> int:
     return max(0, best)
 
 
+def scored_pairs(pairs: DataFrame, a: str = "name_a", b: str = "name_b", score: str = "score") -> DataFrame:
+    """Distinct pairs of names (``a, b``, neither null) with their ``score``, 0 to
+    100, null where nothing agrees or a name has no word. Nothing is moved."""
+    words = pairs.select(F.col(a).alias("_x"), F.col(b).alias("_y"), name_words(F.col(a)).alias("u"), name_words(F.col(b)).alias("v"))
+    table = words.select("_x", "_y", F.transform("u", lambda u: F.transform("v", lambda v: word_agreement(u, v))).alias("rows"))
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            found = pd.Series([align(r) or None for r in part["rows"]], dtype="Int64")
+            yield pd.DataFrame({a: part["_x"].to_numpy(), b: part["_y"].to_numpy(), score: found})
+
+    return table.mapInPandas(run, f"`{a}` string, `{b}` string, `{score}` int")
+
+
 def scored_names(pairs: DataFrame, a: str = "name_a", b: str = "name_b", score: str = "score") -> DataFrame:
     """``pairs`` with the ``score`` of two of their columns, 0 to 100, null where
     nothing agrees or a name is null or has no word. Each distinct pair is
@@ -97,14 +111,7 @@ def scored_names(pairs: DataFrame, a: str = "name_a", b: str = "name_b", score:
     both = F.col(a).isNotNull() & F.col(b).isNotNull()
     x, y = F.when(both, F.least(a, b)), F.when(both, F.greatest(a, b))
     distinct = pairs.filter(both).select(x.alias("_x"), y.alias("_y")).distinct()
-    words = distinct.select("_x", "_y", name_words(F.col("_x")).alias("u"), name_words(F.col("_y")).alias("v"))
-    table = words.select("_x", "_y", F.transform("u", lambda u: F.transform("v", lambda v: word_agreement(u, v))).alias("rows"))
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            yield pd.DataFrame({"_x": part["_x"], "_y": part["_y"], score: [align(r) for r in part["rows"]]})
-
-    known = table.mapInPandas(run, f"_x string, _y string, `{score}` int").filter(F.col(score) > 0)
+    known = scored_pairs(distinct, "_x", "_y", score).filter(F.col(score) > 0)
     return pairs.join(known, (x == F.col("_x")) & (y == F.col("_y")), "left").drop("_x", "_y")
 
 

@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from nomina.operators import components, resolution, scoring
+from nomina.operators import components, lexical, resolution, scoring
 
 
 def plain_align(rows):
@@ -134,3 +134,19 @@ def test_batches_give_what_all_at_once_gives(spark):
     left = entities(resolution.without(stored.filter("name = 'Same Name Everywhere' or record_id < 'r1'"), gone, **rules))
     assert "0first" not in left and left["hot5"] == "hot0"
     assert resolution.resolve(stored.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("theta", [0.2, 0.5, 1.0])
+def test_similar_sets_against_all_pairs(spark, monkeypatch, theta):
+    monkeypatch.setattr(lexical, "BLOCK", 16)
+    rng = random.Random(7)
+    sets = [(f"s{i}", rng.sample([f"w{k}" for k in range(30)], rng.randint(0, 8)) + ["all"] * (i % 3 > 0), i % 4 > 0) for i in range(150)]
+    df = spark.createDataFrame(sets, "node string, words array<string>, asks boolean")
+    got = [(*sorted((r["x"], r["y"])), round(r["jaccard"], 9)) for r in lexical.similar_sets(df, theta).collect()]
+    want = set()
+    for i, (x, a, asks) in enumerate(sets):
+        for y, b, other in sets[:i]:
+            share = len(set(a) & set(b)) / max(1, len(set(a) | set(b)))
+            if share >= theta and share > 0 and (asks or other):
+                want.add((*sorted((x, y)), round(share, 9)))
+    assert len(got) == len(set(got)) and set(got) == want
