@@ -83,11 +83,11 @@ def clustered_join(spark, d):
 
 def l2_normalize(spark, d):
     v = vectors.l2_normalize(F.transform(vectors.doubles(F.col("embedding")), lambda x: x * 3.0))
-    return table(spark, d, "embeddings").select("vec_id", F.transform(v, lambda x: F.round(x, D)).alias("v"), F.round(vectors.norm(v), D).alias("norm"))
+    return table(spark, d, "embeddings").select("vec_id", F.transform(v, lambda x: vectors.rounded(x, D)).alias("v"), F.round(vectors.norm(v), D).alias("norm"))
 
 
 def matryoshka(spark, d):
-    return table(spark, d, "embeddings").select("vec_id", F.transform(vectors.matryoshka(F.col("embedding"), 16), lambda x: F.round(x, D)).alias("v"))
+    return table(spark, d, "embeddings").select("vec_id", F.transform(vectors.matryoshka(F.col("embedding"), 16), lambda x: vectors.rounded(x, D)).alias("v"))
 
 
 def vector_roundtrip(spark, d):
