@@ -153,3 +153,25 @@ def test_bytes(spark):
             assert len(q) == 6 and row["dot"] == int(q @ q) and np.abs(np.array(row["back"]) - x[row["id"]]).max(initial=0) <= 0.5001 * max(scales)
     far = spark.createDataFrame([(1, [1e9, -1e9, 0.0, 0.0, 0.0, 0.0])], "id long, v array<double>").select(vectors.to_int8(F.col("v"), scales).alias("p")).first()["p"]
     assert list(np.frombuffer(far, np.int8)) == [127, -127, 0, 0, 0, 0]
+
+
+def test_steps_reach_the_largest_of_all_rows(spark):
+    t = spark.range(30_000).select("id", F.array(*[((F.col("id") * k) % 30_000).cast("double") for k in (1, 7, 11, 13, 17, 19, 23, 29)]).alias("v"))
+    assert vectors.int8_scales(t, "v", "id") == [29_999 / 127] * 8
+
+
+def test_a_small_negative_number_keeps_its_sign(spark):
+    got = spark.createDataFrame([(-1e-9,), (1e-9,), (-0.25,), (None,)], "x double").select(vectors.rounded(F.col("x"), 6).alias("x")).collect()
+    assert [str(r["x"]) for r in got] == ["-0.0", "0.0", "-0.25", "None"]
+
+
+def test_an_index_of_full_cells(spark, tmp_path):
+    """Bytes must tell a cell's rows apart when it has many more than are looked at
+    by their vectors."""
+    r = np.random.default_rng(4)
+    x = np.concatenate([np.eye(2)[r.integers(2, size=4000)] * 3, r.normal(size=(4000, 30)) / 30**0.5], axis=1) / 10**0.5
+    t = spark.createDataFrame([(i, 0, v.tolist()) for i, v in enumerate(x)], "id long, entity long, v array<double>")
+    path, q = str(tmp_path / "index"), t.filter("id < 50")
+    index.build(t, path, cells=2)
+    found = index.search(q, path, 10, probes=1, again=8)
+    assert search.recall(found, search.neighbours(q, t, 10)).first()["recall"] > 0.9
