@@ -289,3 +289,16 @@ def test_align(spark):
 def test_comparison(spark):
     row = spark.range(1).select(comparison.model_name(F.lit("/a/b/")).alias("n"), comparison.model_id(F.lit(""), F.lit("/x/run/model")).alias("i")).first()
     assert tuple(row) == ("b", "run")
+
+
+def test_siblings_by_membership(spark):
+    """As by lists of siblings, which nothing makes."""
+    r = np.random.default_rng(5)
+    members = spark.createDataFrame([(i, int(e), f"n{i}") for i, e in enumerate(r.integers(9, size=60))] + [(60, 99, "n60")], "id int, entity int, label string")
+    cases = members.filter("id % 3 = 0").select(F.col("id").alias("case_id"), "entity")
+    rows = [(c, k, f"n{j}", round(float(r.random()), 3)) for c in range(0, 61, 3) for k, j in enumerate(r.permutation(61)[:20])]
+    top = spark.createDataFrame(rows + [(0, 99, rows[0][2], 9.0)], "case_id int, rank int, label string, distance double")
+    lists = cases.join(members, "entity").filter("id <> case_id").groupBy("case_id").agg(F.collect_list("label").alias("aliases"))
+    same = lambda a, b: sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+    assert same(metrics.sibling_shares(cases, members, top), metrics.sibling_recall(lists, top))
+    assert same(metrics.sibling_hits(cases, members, top), metrics.intra_distances(lists, top))
