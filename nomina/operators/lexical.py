@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..session import checkpoint
-from .scoring import scored_names
+from .scoring import scored_names, scored_pairs
 from .search import neighbours
 
 
@@ -22,6 +22,8 @@ def _words(name: Column) -> Column:
 
 #: Posting rows of one token that meet in a task, and of the tokens that share one.
 BLOCK, TOGETHER = 2_048, 20_000
+#: Queries, and aliases, whose vectors meet in a task.
+MEET = 8_192
 _U = np.uint64
 
 
@@ -162,6 +164,12 @@ def search_modes(queries: DataFrame, aliases: DataFrame, theta: float = 0.5, cos
     in order of their best alias's score, ties to smaller ids. A query's own row
     among the aliases counts in neither. An entity that a mode does not reach is
     no hit of it; the other score is null."""
+    if k is None:
+        # All aliases count, so that the best of each entity can be kept as they come.
+        by = lambda hits, mode, score: hits.select("case_id", F.lit(mode).alias("mode"), "entity_id", *[(F.col(score) if c == score else F.lit(None).cast("int")).alias(f"{c}_score") for c in ("gnr", "emb")])
+        hits = by(_best_names(queries, aliases, theta), "name", "gnr").unionByName(by(_best_vectors(queries, aliases, cosine), "emb", "emb"))
+        order = Window.partitionBy("case_id", "mode").orderBy(F.desc(F.coalesce("gnr_score", "emb_score")), "entity_id")
+        return hits.withColumn("ordinal", F.row_number().over(order) - 1)
     found = alias_hits(queries, aliases, theta, cosine, k, False).join(aliases.select("id", F.col("entity").alias("entity_id")), "id")
     mode = F.when(F.col("gnr").isNotNull(), "name").otherwise("emb")
     hits = found.groupBy(F.col("query_id").alias("case_id"), mode.alias("mode"), "entity_id").agg(F.max("gnr").alias("gnr_score"), F.max("emb").alias("emb_score"))
@@ -169,6 +177,62 @@ def search_modes(queries: DataFrame, aliases: DataFrame, theta: float = 0.5, cos
     return hits.withColumn("ordinal", F.row_number().over(order) - 1)
 
 
+def _best_vectors(queries: DataFrame, aliases: DataFrame, cosine: float) -> DataFrame:
+    """``case_id, entity_id, emb``: for each query and entity the best cosine, in
+    hundredths, of an alias that is not the query's own, if it reaches ``cosine``.
+    A block of queries meets a block of aliases in a task, which keeps the best of
+    each entity: at most one row for a query, an entity and a block leaves it."""
+    usable = lambda d: d.select("id", "entity", F.col("v").cast("array<double>").alias("v")).filter("v is not null and id is not null")
+    asked, held = checkpoint(usable(queries)), checkpoint(usable(aliases))
+    parts = lambda d: max(1, -(-d.count() // MEET))
+    qs, ts = parts(asked), parts(held)
+    deal = lambda d, own, n, other, m: d.select(F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias(other), F.lit(own == "q").alias("asks"), "id", "entity", "v")
+
+    def meet(part: pd.DataFrame) -> pd.DataFrame:
+        asks, out = part["asks"].to_numpy(bool), []
+        q, t = part[asks], part[~asks].sort_values("entity", ignore_index=True)
+        if len(q) and len(t):
+            x, y, ids, own = np.stack(q["v"].to_numpy()), np.stack(t["v"].to_numpy()), t["id"].to_numpy(), q["id"].to_numpy()
+            start = np.flatnonzero(~t["entity"].duplicated().to_numpy())
+            entity = t["entity"].iloc[start].to_numpy()
+            for at in range(0, len(q), 256):
+                s = x[at : at + 256] @ y.T
+                s[own[at : at + 256, None] == ids[None, :]] = -np.inf
+                best = np.maximum.reduceat(s, start, axis=1)
+                i, e = np.nonzero(best >= cosine)
+                out.append(pd.DataFrame({"case_id": own[at + i], "entity_id": entity[e], "emb": best[i, e]}))
+        return pd.concat(out) if out else pd.DataFrame({"case_id": [], "entity_id": [], "emb": []})
+
+    both = deal(asked, "q", qs, "t", ts).unionByName(deal(held, "t", ts, "q", qs))
+    met = both.groupBy("q", "t").applyInPandas(meet, "case_id long, entity_id long, emb double")
+    return met.groupBy("case_id", "entity_id").agg(F.floor(100 * F.max("emb") + 1e-6).cast("int").alias("emb"))
+
+
+def _best_names(queries: DataFrame, aliases: DataFrame, theta: float) -> DataFrame:
+    """``case_id, entity_id, gnr``: for each query and entity the best graded
+    score of an alias that is not the query's own, among names that share
+    ``theta`` of their words. Names are compared and entities gathered before
+    queries are: no pair of a query and an alias is made."""
+    plain = lambda d: d.filter("name is not null and id is not null")
+    owners = checkpoint(plain(aliases).groupBy("name", "entity").agg(F.min("id").alias("least"), F.max("id").alias("most")))
+    names = plain(queries).select("name", F.lit(True).alias("asks"), F.lit(False).alias("held")).unionByName(owners.select("name", F.lit(False).alias("asks"), F.lit(True).alias("held")))
+    names = checkpoint(names.groupBy(F.col("name").alias("node")).agg(F.max("asks").alias("asks"), F.max("held").alias("held")))
+    found = similar_sets(names.select("node", _words(F.col("node")).alias("words"), "asks"), theta).select("x", "y")
+    same = names.filter("asks and held").filter(F.size(_words(F.col("node"))) > 0).select(F.col("node").alias("x"), F.col("node").alias("y"))
+    scored = checkpoint(scored_pairs(found.union(same), "x", "y").filter("score is not null"))
+    turned = scored.filter("x <> y").select(F.col("y").alias("x"), F.col("x").alias("y"), "score")
+    near = scored.unionByName(turned).join(owners.withColumnRenamed("name", "y"), "y")
+    # A query's own row is one of its own name's; the entity has another if its
+    # least or largest id is not the query's.
+    self_ = F.col("x") == F.col("y")
+    kept = [F.max(F.when(~self_, F.col("score"))).alias("other"), *[F.max(F.when(self_, F.col(c))).alias(n) for c, n in (("score", "own"), ("least", "least"), ("most", "most"))]]
+    best = checkpoint(near.groupBy("x", "entity").agg(*kept))
+    met = plain(queries).select(F.col("id").alias("case_id"), F.col("name").alias("x")).join(best, "x")
+    alone = (F.col("least") == F.col("case_id")) & (F.col("most") == F.col("case_id"))
+    gnr = F.greatest("other", F.when(~alone, F.col("own")))
+    return met.select("case_id", F.col("entity").alias("entity_id"), gnr.alias("gnr")).filter("gnr is not null")
+
+
 def searched_results(queries: DataFrame, aliases: DataFrame, theta: float = 0.5, cosine: float = 0.43, k: int | None = 100) -> DataFrame:
     """``case_id, name_rank, emb_rank, name_score, emb_score, name_total,
     emb_total``: where each query's own entity comes up in either mode, null if it

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from nomina.functions import vectors
-from nomina.operators import comparison, loading, metrics, pairs, ranking, records, sampling, search, stats
+from nomina.operators import comparison, lexical, loading, metrics, pairs, ranking, records, sampling, search, stats
 from nomina.plans import pipelines
 
 
@@ -302,3 +302,14 @@ def test_siblings_by_membership(spark):
     same = lambda a, b: sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
     assert same(metrics.sibling_shares(cases, members, top), metrics.sibling_recall(lists, top))
     assert same(metrics.sibling_hits(cases, members, top), metrics.intra_distances(lists, top))
+
+
+def test_searched_entities_without_pairs(spark):
+    """As by all pairs of a query and an alias, of which ``k`` keeps every one."""
+    r = np.random.default_rng(6)
+    words = ["acme", "bank", "of", "west", "trade", "co"]
+    rows = [(i, int(r.integers(5)), " ".join(r.choice(words, int(r.integers(1, 4)), replace=False)), r.normal(size=6).tolist()) for i in range(80)]
+    rows += [(80, 7, "lonely", None), (81, None, "acme bank", [1.0] * 6), (82, 8, None, [0.5] * 6), (83, None, "bank", [1.0] * 6), (84, 9, "", [0.1] * 6)]
+    a = spark.createDataFrame(rows, "id bigint, entity bigint, name string, v array<double>")
+    same = lambda k: sorted(map(repr, lexical.search_modes(a, a, 0.3, 0.2, k).select("case_id", "mode", "entity_id", "gnr_score", "emb_score", "ordinal").collect()))
+    assert same(None) == same(10_000)
