@@ -1,11 +1,11 @@
 """Quality rules and an isolation forest over their statistics.
 
-Trees grow on subsamples of labelled good documents, over their statistics in
+Trees grow on subsamples of all labelled good documents, over their statistics in
 robust units. A cell is split anywhere within its bounds, and the first cell
 reaches beyond the sample on every side; so a document unlike the good ones soon
 falls into a part without any, by one statistic far out or by several that are
 each a little out, and its mean path is short. The threshold on the path lengths
-is calibrated on labelled rows that no tree has seen.
+is calibrated on all labelled rows that no tree may see.
 """
 
 from __future__ import annotations
@@ -16,10 +16,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, cuts, map_rows, raw
+from .common import checkpoint, cuts, map_rows, raw
 
 SYMBOLS = b"#*$%&|<>"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -27,6 +27,8 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 FEATURES = ("word_length", "symbols", "dup_lines", "repeats", "upper", "marks", "digits", "long_word", "variety")
 #: Least unit of a statistic, where good documents hardly vary in it.
 UNIT = 0.05
+#: Steps of a score from 0 to 1 that calibration tells apart.
+LEVELS = 10_000
 #: Levels of a tree; splits beyond the sample part nothing, so more than log2.
 HEIGHT = 16
 
@@ -141,9 +143,16 @@ def grow(good: np.ndarray, trees: int = 100, rows: int = 256, seed: int = 42) ->
     least; a split takes any feature and any place within the cell."""
     rng = np.random.default_rng(seed)
     low, centre, high = np.percentile(good, [2.5, 50, 97.5], axis=0)
-    unit = np.maximum(high - low, UNIT)
-    z = robust(good, centre, unit)
-    rows = min(rows, len(z))
+    drawn = [good[rng.choice(len(good), min(rows, len(good)), replace=False)] for _ in range(trees)]
+    forest = planted(drawn, centre, np.maximum(high - low, UNIT), seed)
+    forest.usual = max(1e-9, float(np.median(forest.paths(good))))
+    return forest
+
+
+def planted(samples: list[np.ndarray], centre: np.ndarray, unit: np.ndarray, seed: int = 42) -> Forest:
+    """A tree for each sample of rows, as ``grow`` says; paths are not yet
+    compared with usual ones."""
+    rng = np.random.default_rng(seed)
     feature: list[int] = []
     split: list[float] = []
     left: list[int] = []
@@ -157,8 +166,8 @@ def grow(good: np.ndarray, trees: int = 100, rows: int = 256, seed: int = 42) ->
         return len(left) - 1
 
     roots = []
-    for _ in range(trees):
-        part = z[rng.choice(len(z), rows, replace=False)]
+    for sample in samples:
+        part = robust(sample, centre, unit)
         low, high = part.min(axis=0), part.max(axis=0)
         margin = np.maximum(high - low, 1.0)
         roots.append(add())
@@ -168,7 +177,7 @@ def grow(good: np.ndarray, trees: int = 100, rows: int = 256, seed: int = 42) ->
             if depth == HEIGHT or len(part) < 2:
                 length[k] = depth + expected(len(part))
                 continue
-            f = int(rng.integers(z.shape[1]))
+            f = int(rng.integers(part.shape[1]))
             s = float(rng.uniform(low[f], high[f]))
             above = part[:, f] >= s
             feature[k], split[k], left[k] = f, s, add()
@@ -176,38 +185,41 @@ def grow(good: np.ndarray, trees: int = 100, rows: int = 256, seed: int = 42) ->
             low2, high2 = low.copy(), high.copy()
             low2[f] = high2[f] = s
             stack += [(left[k], part[~above], low, high2, depth + 1), (left[k] + 1, part[above], low2, high, depth + 1)]
-    forest = Forest(*map(np.array, (roots, feature, split, left, length)), centre, unit)
-    forest.usual = max(1e-9, float(np.median(forest.paths(good))))
-    return forest
+    return Forest(*map(np.array, (roots, feature, split, left, length)), centre, unit)
 
 
 def calibrate(forest: Forest, x: np.ndarray, good: np.ndarray, spare: float) -> Forest:
-    """Set the threshold that best tells good rows from bad ones (largest sum of
-    the shares told right), among those that reject at most ``spare`` of the
-    good, and in the middle of the scores that tell the same. Without bad rows
-    nothing is rejected."""
-    scores = forest.scores(x)
-    forest.threshold = math.inf
-    bad, fine = np.sort(scores[~good]), np.sort(scores[good])
-    best = 0.0
-    values = np.unique(scores)
-    for below, t in zip(np.r_[values[:1], values[:-1]], values):
-        lost = 1 - np.searchsorted(fine, t) / max(1, len(fine))
-        gain = 1 - np.searchsorted(bad, t) / max(1, len(bad)) if len(bad) else 0.0
-        if lost <= spare and gain - lost > best:
-            best, forest.threshold = gain - lost, float((below + t) / 2)
+    """Set the threshold that ``best_threshold`` finds on rows."""
+    forest.threshold = best_threshold(forest.scores(x), good, np.ones(len(x), int), spare)
     return forest
 
 
-def fit(docs: DataFrame, labels: DataFrame, rules: Rules = Rules(), bound: int = 20_000, spare: float = 0.015) -> Forest | None:
-    """A forest from labelled documents that pass the base rule: at most
-    ``bound`` of them, the ones with the smallest hashes of their id, which are
-    broadcast to find their texts; their statistics alone come to the driver.
-    Trees grow on the good ones of one half, by a hash of the id, and the other
-    half calibrates. A row labelled twice counts as bad if either label is.
-    None without labelled good rows to grow on."""
+def best_threshold(scores: np.ndarray, good: np.ndarray, n: np.ndarray, spare: float, step: float = 0.0) -> float:
+    """The threshold that best tells good rows from bad ones (largest sum of the
+    shares told right), ``n`` for each score, among those that reject at most
+    ``spare`` of the good, and in the middle of the scores that tell the same;
+    scores may stand for those less than ``step`` above them. Infinity without bad rows: nothing is rejected."""
+    good, best, threshold = np.asarray(good, bool), 0.0, math.inf
+    values, at = np.unique(scores, return_inverse=True)
+    fine, bad = (np.cumsum(np.bincount(at[side], n[side], len(values))[::-1])[::-1] for side in (good, ~good))
+    for below, t, f, b in zip(np.r_[values[:1], values[:-1]], values, fine, bad):
+        lost, gain = f / max(1, fine[0]), b / max(1, bad[0])
+        if lost <= spare and gain - lost > best:
+            best, threshold = gain - lost, min(float(t), float((below + step + t) / 2))
+    return threshold
+
+
+def fit(docs: DataFrame, labels: DataFrame, rules: Rules = Rules(), spare: float = 0.015, trees: int = 100, size: int = 256) -> Forest | None:
+    """A forest from all labelled documents that pass the base rule. Trees grow on
+    the good ones of one half, by a hash of the id, and the other half
+    calibrates, every row of it. Units are percentiles of all good rows that may
+    grow, to a thousandth of their rank. What the method samples is what a tree
+    sees: ``size`` rows, those with the smallest hashes of its number and their id
+    among all that may grow. Those rows, and the scores' counts in ``LEVELS``
+    steps, are what the driver gets. A row labelled twice counts as bad if either
+    label is. None without labelled good rows to grow on."""
     marks = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("q"))
-    few = docs.select("doc_id", raw("text").alias("t")).join(F.broadcast(bounded_sample(marks, "doc_id", bound)), "doc_id")
+    few = docs.select("doc_id", raw("text").alias("t")).join(marks, "doc_id")
 
     def run(columns: list[list]) -> list:
         ids, texts, q = columns
@@ -216,13 +228,36 @@ def fit(docs: DataFrame, labels: DataFrame, rules: Rules = Rules(), bound: int =
         return [[ids[i] for i in ok], [both[i][1] for i in ok], [q[i] > 0 for i in ok]]
 
     rows = map_rows(few.select("doc_id", "t", "q"), run, "doc_id long, features array<double>, good boolean")
-    order = F.xxhash64(F.lit(42), "doc_id")
-    rows = rows.withColumn("grows", F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(2)) == 0).orderBy(order, "doc_id", "features").limit(bound).collect()
-    if not any(r["good"] and r["grows"] for r in rows):
+    rows = checkpoint(rows.withColumn("grows", F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(2)) == 0))
+    grow_on = rows.filter("good and grows")
+    points = [F.percentile_approx(F.get("features", F.lit(k)), [0.025, 0.5, 0.975], 1000).alias(f"p{k}") for k in range(len(FEATURES))]
+    told = grow_on.agg(F.count(F.lit(1)).alias("n"), *points).first()
+    if not told["n"]:
         return None
-    x = np.array([r["features"] for r in rows])
-    good, grows = (np.array([r[c] for r in rows]) for c in ("good", "grows"))
-    return calibrate(grow(x[good & grows]), x[~grows], good[~grows], spare)
+    low, centre, high = np.array([told[f"p{k}"] for k in range(len(FEATURES))], float).T
+    # A row is among a tree's with this chance or a little more; the rest is cut by hash.
+    chance = min(1.0, (size + 8 * math.sqrt(size)) / told["n"])
+    tries = grow_on.select("doc_id", "features", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")).withColumn("h", F.xxhash64(F.lit(42), "tree", "doc_id", "features"))
+    drawn = tries.filter(F.col("h") <= F.lit(int(-(2**63) + chance * (2**64 - 1)) if chance < 1 else 2**63 - 1))
+    nth = F.row_number().over(Window.partitionBy("tree").orderBy("h", "doc_id", "features"))
+    seen = drawn.withColumn("nth", nth).filter(F.col("nth") <= size).select("tree", "nth", "features").collect()
+    parts: dict[int, list] = {}
+    for r in sorted(seen, key=lambda r: (r["tree"], r["nth"])):
+        parts.setdefault(r["tree"], []).append(r["features"])
+    forest = planted([np.array(p) for p in parts.values()], centre, np.maximum(high - low, UNIT))
+
+    def path(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.array(batch.column(0).to_pylist(), float).reshape(batch.num_rows, len(FEATURES))
+            yield pa.RecordBatch.from_arrays([pa.array(forest.paths(x)), batch.column(1), batch.column(2)], names=["path", "good", "grows"])
+
+    paths = checkpoint(rows.select("features", "good", "grows").mapInArrow(path, "path double, good boolean, grows boolean"))
+    forest.usual = max(1e-9, paths.filter("good and grows").agg(F.percentile_approx("path", 0.5, 1000)).first()[0])
+    score = F.pow(F.lit(2.0), -F.col("path") / forest.usual)
+    level = F.floor(score * LEVELS) / LEVELS
+    found = paths.filter("not grows").groupBy(level.alias("level"), "good").agg(F.count(F.lit(1)).alias("n")).collect()
+    forest.threshold = best_threshold(*(np.array([r[c] for r in found]) for c in ("level", "good", "n")), spare, 1 / LEVELS)
+    return forest
 
 
 def _verdicts(texts: list[bytes | None], forest: Forest | None, rules: Rules) -> tuple[list[list[int]], np.ndarray, np.ndarray, np.ndarray]:
