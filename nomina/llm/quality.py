@@ -219,15 +219,15 @@ def fit(docs: DataFrame, labels: DataFrame, rules: Rules = Rules(), spare: float
     steps, are what the driver gets. A row labelled twice counts as bad if either
     label is. None without labelled good rows to grow on."""
     marks = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("q"))
-    few = docs.select("doc_id", raw("text").alias("t")).join(marks, "doc_id")
 
     def run(columns: list[list]) -> list:
-        ids, texts, q = columns
-        both = [statistics(t) for t in texts]
+        both = [statistics(t) for t in columns[1]]
         ok = [i for i, b in enumerate(both) if not rules.fail(b[0])]
-        return [[ids[i] for i in ok], [both[i][1] for i in ok], [q[i] > 0 for i in ok]]
+        return [[columns[0][i] for i in ok], [both[i][1] for i in ok]]
 
-    rows = map_rows(few.select("doc_id", "t", "q"), run, "doc_id long, features array<double>, good boolean")
+    # Statistics are joined, since texts would be moved.
+    told = map_rows(docs.select("doc_id", raw("text").alias("t")).filter("doc_id is not null"), run, "doc_id long, features array<double>")
+    rows = told.join(marks, "doc_id").select("doc_id", "features", (F.col("q") > 0).alias("good"))
     rows = checkpoint(rows.withColumn("grows", F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(2)) == 0))
     grow_on = rows.filter("good and grows")
     points = [F.percentile_approx(F.get("features", F.lit(k)), [0.025, 0.5, 0.975], 1000).alias(f"p{k}") for k in range(len(FEATURES))]
