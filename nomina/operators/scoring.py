@@ -15,6 +15,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text
 
@@ -128,10 +129,23 @@ def why(pairs: DataFrame, aliases: DataFrame) -> DataFrame:
     the name that ``agree`` with it.
 
     Each distinct (name, entity) is looked up once and remembered for all its
-    pairs; a row without a name, an entity or an agreeing alias has nulls."""
+    pairs. Names are scored against an entity's aliases as these are met, and the
+    best is kept; pairs of names are never written. A row without a name, an entity or an agreeing alias has nulls."""
     asked = pairs.select("name", "entity").filter("name is not null and entity is not null").distinct()
     known = aliases.filter("entity is not null and name is not null").select("entity", F.col("name").alias("alias")).distinct()
-    met = scored_names(asked.join(known, "entity"), "name", "alias").filter("score is not null")
+    words = lambda rows, name, w: rows.withColumn(w, name_words(F.col(name)))
+    both = words(asked, "name", "u").join(words(known, "alias", "v"), "entity").filter("size(u) > 0 and size(v) > 0")
+    table = both.select("name", "entity", "alias", F.transform("u", lambda u: F.transform("v", lambda v: word_agreement(u, v))).alias("rows"))
+    # What agrees nowhere scores nothing and is not sent to the kernel.
+    table = table.filter(F.exists("rows", lambda r: F.array_max(r) > 0))
+    kind = asked.schema["entity"].dataType
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            yield part[["name", "entity", "alias"]].assign(score=[align(r) for r in part["rows"]])
+
+    out = T.StructType([T.StructField("name", T.StringType()), T.StructField("entity", kind), T.StructField("alias", T.StringType()), T.StructField("score", T.IntegerType())])
+    met = table.mapInPandas(run, out).filter("score > 0")
     best = met.groupBy("name", "entity").agg(F.min(F.struct((-F.col("score")).alias("s"), "alias")).alias("b"))
     memo = best.select("name", "entity", (-F.col("b.s")).alias("score"), F.col("b.alias").alias("alias"))
     memo = memo.withColumn("bucket", text.bucket(F.col("score"))).withColumn("agree", agreeing_words(F.col("name"), F.col("alias")))

@@ -150,3 +150,10 @@ def test_similar_sets_against_all_pairs(spark, monkeypatch, theta):
             if share >= theta and share > 0 and (asks or other):
                 want.add((*sorted((x, y)), round(share, 9)))
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_why_writes_no_pairs_of_names(spark):
+    """Pairs come from the join of entities and are reduced where they are."""
+    aliases = spark.createDataFrame([(1, "Acme"), (1, "Acme Bank")], "entity long, name string")
+    plan = scoring.why(aliases.select("entity", F.lit("Acme").alias("name")), aliases)._jdf.queryExecution().optimizedPlan().toString()
+    assert "_x" not in plan and "_y" not in plan
