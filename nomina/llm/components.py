@@ -5,10 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
-
-#: Edges up to which a round's minima, at most two an edge, are broadcast.
-FEW = 100_000
+from .common import FEW, checkpoint, single
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -26,20 +23,23 @@ def connected_components(edges: DataFrame, rounds: int = 40, few: int = FEW) ->
 
     Every round links each node's larger neighbours to the smallest one, then
     its smaller ones; both steps keep connectivity, need only grouped minima and
-    equi-joins, and leave stars around the minima after O(log^2 n) rounds. The
-    minima are broadcast as long as there are ``few`` edges; beyond that they are
-    written out, so that the join can split a star with many leaves. Null ends
+    equi-joins, and leave stars around the minima after O(log^2 n) rounds. Up to
+    ``few`` edges are one partition, whose rounds broadcast their minima and
+    shuffle nothing; beyond that minima are written out, so that the join can
+    split a star with many leaves. Null ends
     and self-loops are ignored; no edges give no rows. Raises if ``rounds`` is
     not enough, rather than return wrong roots.
     """
     e = edges.filter("u is not null and v is not null and u <> v")
     e = checkpoint(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = _state(e)
+    both = F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v"))))
     for _ in range(rounds):
         if not before[0]:
             break
+        e = single(e, before[0]) if before[0] <= few else e
         held = F.broadcast if before[0] <= few else checkpoint
-        least = e.union(e.select("v", "u")).groupBy("u").agg(F.min("v").alias("m"))
+        least = e.select(both.alias("e")).select("e.*").groupBy("u").agg(F.min("v").alias("m"))
         least = held(least.select(F.col("u").alias("v"), F.least("u", "m").alias("m")))
         large = e.join(least, "v").select("u", F.col("m").alias("v")).distinct()
         large = large if before[0] <= few else checkpoint(large)

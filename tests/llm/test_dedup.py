@@ -296,3 +296,28 @@ def test_remove_repeats_of_nothing(spark, make_docs):
     assert substring.remove_repeats(make_docs([])).count() == 0
     with pytest.raises(ValueError):
         substring.remove_repeats(make_docs([]), window=10)
+
+
+def _tasks(spark, run):
+    """What ``run`` gives, and how many tasks it took with 50 shuffle partitions."""
+    before = {k: spark.conf.get(k, None) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "50")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.sparkContext.setJobGroup("counted", "counted")
+    try:
+        out, told = run(), spark.sparkContext.statusTracker()
+        stages = {s for j in told.getJobIdsForGroup("counted") for s in told.getJobInfo(j).stageIds}
+        return out, sum(i.numCompletedTasks for i in map(told.getStageInfo, stages) if i)
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_few_edges_take_few_tasks(spark):
+    """Rounds over few edges shuffled them through all partitions, and the log and
+    files of their tasks filled the disk."""
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)], "u long, v long")
+    got, tasks = _tasks(spark, lambda: {(x["node"], x["root"]) for x in connected_components(edges).collect()})
+    assert got == {(i, 0) for i in range(41)}
+    assert tasks < 600
