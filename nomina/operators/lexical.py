@@ -7,6 +7,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +24,10 @@ def _words(name: Column) -> Column:
 
 #: Posting rows of one token that meet in a task, and of the tokens that share one.
 BLOCK, TOGETHER = 2_048, 20_000
+#: Ids of a set that move together; queries, and as many names, of a token that meet in a task.
+PIECE, MOST = 512, 8_192
+#: Tasks that blocks are dealt to, at most.
+TASKS = 4_096
 #: Queries, and aliases, whose vectors meet in a task.
 MEET = 8_192
 _U = np.uint64
@@ -64,6 +70,20 @@ def _alike(size: np.ndarray, place: np.ndarray, tokens: np.ndarray, token: int,
             yield p[hit], q[hit], jaccard[hit]
 
 
+def _by_rarity(sets: DataFrame, theta: float, *more: str) -> DataFrame:
+    """``sets`` (``node``, unique; ``words``: distinct, not null, not empty) with
+    ``tokens``, their words by number, rarest first, and ``rarest``: how many of
+    these are sure to have one that a set as similar as ``theta`` has as well."""
+    sets = checkpoint(sets.select("node", "words", *more))
+    frequency = sets.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    # Numbers in the order of the words, whatever their partitions.
+    numbered = checkpoint(frequency.orderBy("df", "word").select("word", F.monotonically_increasing_id().alias("token")))
+    each = sets.select("node", *more, F.explode("words").alias("word")).join(numbered, "word")
+    rows = each.groupBy("node", *more).agg(F.array_sort(F.collect_list("token")).alias("tokens"))
+    few = (F.size("tokens") - F.ceil(F.lit(theta) * F.size("tokens") - 1e-9) + 1).cast("int")
+    return rows.withColumn("rarest", few)
+
+
 def similar_sets(sets: DataFrame, theta: float) -> DataFrame:
     """``x, y, jaccard``: pairs, once each and in any order, of the ``sets``
     (``node`` string, unique; ``words``: distinct, not null; ``asks``: one of a
@@ -74,14 +94,7 @@ def similar_sets(sets: DataFrame, theta: float) -> DataFrame:
     rarest words. Sets are dealt to these, with all their words by number, and
     a pair is compared in the task of the first word that both have: candidates
     are never written. Words that many sets have are met in blocks."""
-    sets = checkpoint(sets.filter(F.size("words") > 0).select("node", "words", "asks"))
-    frequency = sets.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
-    # Numbers in the order of the words, whatever their partitions.
-    numbered = checkpoint(frequency.orderBy("df", "word").select("word", F.monotonically_increasing_id().alias("token")))
-    each = sets.select("node", "asks", F.explode("words").alias("word")).join(numbered, "word")
-    rows = each.groupBy("node", "asks").agg(F.array_sort(F.collect_list("token")).alias("tokens"))
-    few = (F.size("tokens") - F.ceil(F.lit(theta) * F.size("tokens") - 1e-9) + 1).cast("int")
-    rows = checkpoint(rows.withColumn("rarest", few))
+    rows = checkpoint(_by_rarity(sets.filter(F.size("words") > 0), theta, "asks"))
     posted = rows.select("node", "asks", "tokens", F.posexplode(F.slice("tokens", F.lit(1), F.col("rarest"))).alias("place", "token"))
     counts = checkpoint(posted.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
     whole = counts.agg(F.sum("n")).first()[0] or 0
@@ -117,20 +130,110 @@ def similar_sets(sets: DataFrame, theta: float) -> DataFrame:
     return dealt.groupBy("bin", "u", "v").applyInPandas(meet, "x string, y string, jaccard double")
 
 
+def _spread(n: np.ndarray, step: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Every ``i`` with each ``k`` below ``n[i]``, ``step`` at a time."""
+    end = np.cumsum(n)
+    whole = int(end[-1]) if len(end) else 0
+    for at in range(0, whole, step):
+        slot = np.arange(at, min(whole, at + step))
+        i = np.searchsorted(end, slot, side="right")
+        yield i, slot - (end[i] - n[i])
+
+
+class _Sets:
+    """Sets of tokens as they come by Arrow: a list of ids in order a row."""
+
+    def __init__(self, tokens: pa.ListArray, token: np.ndarray, place: np.ndarray):
+        self.flat, self.token = tokens.flatten().to_numpy(), token
+        self.size = pc.list_value_length(tokens).to_numpy().astype(np.int64)
+        self.start, self.after = np.cumsum(self.size) - self.size, self.size - place
+        self.bits = _sketch(self.flat, np.repeat(np.arange(len(self.size)), self.size), len(self.size))
+
+    def _padded(self, rows: np.ndarray, wide: int) -> np.ndarray:
+        at = np.arange(wide)
+        return np.where(at < self.size[rows, None], self.flat[np.minimum(self.start[rows, None] + at, len(self.flat) - 1)], -1)
+
+    def alike(self, left: np.ndarray, right: np.ndarray, theta: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Pairs of a left and a right row that have their token as the first in
+        common and are alike, with their similarity. See ``_alike``."""
+        left, right = (x[np.argsort(self.token[x], kind="stable")] for x in (left, right))
+        first, last = (np.searchsorted(self.token[right], self.token[left], side=x) for x in ("left", "right"))
+        for i, k in _spread(last - first, 200_000):
+            p, q = left[i], right[first[i] + k]
+            need = theta / (1 + theta) * (self.size[p] + self.size[q]) - 1e-9
+            some = np.minimum(self.after[p], self.after[q]) >= need
+            p, q, need = p[some], q[some], need[some]
+            differ = np.bitwise_count(self.bits[p] ^ self.bits[q]).sum(axis=1, dtype=np.int64)
+            some = self.size[p] + self.size[q] - differ >= 2 * need
+            p, q = p[some], q[some]
+            if not len(p):
+                continue
+            step = max(1, 500_000 // int(max(self.size[p].max(), self.size[q].max())))
+            for at in range(0, len(p), step):
+                yield self._compared(p[at : at + step], q[at : at + step], theta)
+
+    def _compared(self, p: np.ndarray, q: np.ndarray, theta: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        wide = int(max(self.size[p].max(), self.size[q].max()))
+        both = np.sort(np.concatenate([self._padded(p, wide), self._padded(q, wide)], axis=1), axis=1)
+        same = (both[:, 1:] == both[:, :-1]) & (both[:, 1:] >= 0)
+        common = same.sum(axis=1)
+        jaccard = common / (self.size[p] + self.size[q] - common)
+        hit = (jaccard >= theta) & (both[np.arange(len(p)), np.argmax(same, axis=1) + 1] == self.token[p])
+        return p[hit], q[hit], jaccard[hit]
+
+
+def _in_pieces(rows: DataFrame, ids: str) -> DataFrame:
+    """``node, piece`` and the node's ``ids`` (unique), some ``PIECE`` together. At
+    most one row in ``PIECE`` tells how a node is cut and is broadcast."""
+    cut = rows.groupBy("node").agg(F.ceil(F.count(F.lit(1)) / PIECE).alias("pieces")).filter("pieces > 1")
+    piece = F.pmod(F.xxhash64(ids), F.coalesce("pieces", F.lit(1))).alias("piece")
+    return rows.join(F.broadcast(cut), "node", "left").groupBy("node", piece).agg(F.collect_list(ids).alias(ids))
+
+
 def similar_names(queries: DataFrame, names: DataFrame, theta: float = 0.5, tokens: Callable[[Column], Column] = _words) -> DataFrame:
     """``query_id, id, jaccard`` of queries and names (``id, name``) whose shares
     of common words, or whatever distinct ``tokens`` a name has, are at least
-    ``theta``; names without any match nothing. See ``similar_sets``."""
-    keyed = lambda d, i, k, w: d.select(F.col("id").alias(i), F.array_sort(tokens(F.col("name"))).alias(w)).filter(F.size(w) > 0).select(i, F.array_join(w, " ").alias(k), w)
-    asked, stored = keyed(queries, "query_id", "qk", "words"), keyed(names, "id", "k", "words")
-    # Names with the same words are one until the pairs are known.
-    flagged = asked.select(F.col("qk").alias("node"), "words", F.lit(True).alias("asks"), F.lit(False).alias("held"))
-    flagged = flagged.unionByName(stored.select(F.col("k").alias("node"), "words", F.lit(False).alias("asks"), F.lit(True).alias("held")))
-    sets = checkpoint(flagged.groupBy("node").agg(F.first("words").alias("words"), F.max("asks").alias("asks"), F.max("held").alias("held")))
-    found = similar_sets(sets, theta)
-    both = found.select(F.explode(F.array(F.struct(F.col("x").alias("qk"), F.col("y").alias("k")), F.struct(F.col("y").alias("qk"), F.col("x").alias("k")))).alias("p"), "jaccard").select("p.*", "jaccard")
-    alike = both.unionByName(sets.filter("asks and held").select(F.col("node").alias("qk"), F.col("node").alias("k"), F.lit(1.0).alias("jaccard")))
-    return alike.join(asked.select("query_id", "qk"), "qk").join(stored.select("id", "k"), "k").select("query_id", "id", "jaccard")
+    ``theta``, which is above 0; names without any match nothing.
+
+    Words choose where sets meet as in ``similar_sets``. The ids of a set go with
+    it, so pairs leave the task that finds them as rows of the result: neither
+    pairs of sets nor of ids are ever shuffled. A token that many have is met in
+    blocks of ``MOST`` queries and ``MOST`` names."""
+    keyed = lambda d, ids: checkpoint(d.select(F.struct(F.col("id")).alias(ids), F.array_sort(tokens(F.col("name"))).alias("node")).filter(F.size("node") > 0))
+    asked, stored = _in_pieces(keyed(queries, "askers"), "askers"), _in_pieces(keyed(names, "ids"), "ids")
+    pieces = checkpoint(asked.withColumn("asks", F.lit(True)).unionByName(stored.withColumn("asks", F.lit(False)), allowMissingColumns=True))
+    rows = checkpoint(pieces.join(_by_rarity(pieces.select("node", F.col("node").alias("words")).distinct(), theta), "node").drop("node"))
+    posted = rows.select("asks", "piece", "askers", "ids", "tokens", F.posexplode(F.slice("tokens", F.lit(1), F.col("rarest"))).alias("place", "token"))
+    counts = posted.groupBy("token").agg(*[F.sum(F.when(F.col("asks") == asks, F.size(c)).otherwise(0)).alias(n) for asks, c, n in ((True, "askers", "asked"), (False, "ids", "held"))])
+    counts = checkpoint(counts.filter("asked > 0 and held > 0"))
+    us, vs = (F.ceil(F.col(n) / MOST).cast("int") for n in ("asked", "held"))
+    alone = us * vs > 1
+    shared, large = counts.agg(F.coalesce(F.sum(F.when(~alone, F.col("asked") + F.col("held"))), F.lit(0)), F.coalesce(F.sum(F.when(alone, us * vs)), F.lit(0))).first()
+    bins = 1 + shared // TOGETHER
+    shape = counts.select("token", us.alias("us"), vs.alias("vs"), F.when(alone, F.col("token")).otherwise(-1 - F.pmod(F.xxhash64("token"), F.lit(bins))).alias("bin"))
+    own, other = F.when(F.col("asks"), F.col("us")).otherwise(F.col("vs")), F.when(F.col("asks"), F.col("vs")).otherwise(F.col("us"))
+    dealt = posted.join(shape, "token").withColumn("own", F.pmod(F.xxhash64("tokens", "piece"), own).cast("int"))
+    dealt = dealt.select("bin", "asks", "token", "place", "askers", "ids", "tokens", "own", F.explode(F.sequence(F.lit(0), other - 1)).alias("other"))
+    u, v = (F.when(F.col("asks") == asks, F.col("own")).otherwise(F.col("other")) for asks in (True, False))
+    dealt = dealt.select("bin", u.alias("u"), v.alias("v"), "asks", "token", "place", "askers", "ids", "tokens")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = pa.Table.from_batches(batches)
+        token, place, asks = (part[c].to_numpy() for c in ("token", "place", "asks"))
+        sets = _Sets(part["tokens"].combine_chunks(), token, place)
+        mine, theirs = (part[c].combine_chunks() for c in ("askers", "ids"))
+        n, m = (pc.fill_null(pc.list_value_length(x), 0).to_numpy().astype(np.int64) for x in (mine, theirs))
+        query, name = (x.flatten().field(0) for x in (mine, theirs))
+        of_query, of_name = np.cumsum(n) - n, np.cumsum(m) - m
+        for p, q, s in sets.alike(np.flatnonzero(asks), np.flatnonzero(~asks), theta):
+            for i, k in _spread(n[p] * m[q], 100_000):
+                a, b = of_query[p[i]] + k // m[q[i]], of_name[q[i]] + k % m[q[i]]
+                yield pa.RecordBatch.from_arrays([query.take(pa.array(a)), name.take(pa.array(b)), pa.array(s[i])], ["query_id", "id", "jaccard"])
+
+    kind = lambda d: d.schema["id"].dataType.simpleString()
+    # What a task reads says little of what it writes, so tasks are not to be merged by that.
+    dealt = dealt.repartition(min(bins + large, TASKS), "bin", "u", "v")
+    return dealt.groupBy("bin", "u", "v").applyInArrow(meet, f"query_id {kind(queries)}, id {kind(names)}, jaccard double")
 
 
 def alias_hits(queries: DataFrame, aliases: DataFrame, theta: float, cosine: float, k: int | None, own: bool) -> DataFrame:

@@ -152,6 +152,32 @@ def test_similar_sets_against_all_pairs(spark, monkeypatch, theta):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+@pytest.mark.parametrize("theta", [0.2, 0.4, 1.0])
+def test_similar_names_leave_their_task_as_results(spark, monkeypatch, theta):
+    """Equal to all pairs, whatever pieces and blocks there are; what is found is
+    neither joined nor shuffled again."""
+    for name, n in (("PIECE", 3), ("MOST", 8), ("TOGETHER", 20)):
+        monkeypatch.setattr(lexical, name, n, raising=False)
+    rng = random.Random(11)
+    some = [" ".join(rng.choices("abcdefghij", k=rng.randint(0, 5))) for _ in range(60)]
+    rows = [(i, n) for i, n in enumerate([*some, *["a b c"] * 20, *["C  b d A"] * 9, "", " ", None])] + [(None, "a b")]
+    names = spark.createDataFrame(rows, "id long, name string")
+    queries = spark.createDataFrame([(f"q{i}", n) for i, n in rows if i is None or i % 3 == 0], "id string, name string")
+    found = lexical.similar_names(queries, names, theta)
+    words = lambda n: set((n or "").lower().split())
+    want = []
+    for q in queries.collect():
+        for i, n in rows:
+            a, b = words(q["name"]), words(n)
+            if a & b and len(a & b) / len(a | b) >= theta:
+                want.append((q["id"], i, len(a & b) / len(a | b)))
+    assert sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in found.collect())
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    above = plan[: plan.index("FlatMapGroups")]
+    assert "Exchange" not in above and "Join" not in above
+    assert lexical.similar_names(queries.limit(0), names, theta).count() == 0 == lexical.similar_names(queries, names.limit(0), theta).count()
+
+
 def test_why_writes_no_pairs_of_names(spark):
     """Pairs come from the join of entities and are reduced where they are."""
     aliases = spark.createDataFrame([(1, "Acme"), (1, "Acme Bank")], "entity long, name string")
