@@ -77,7 +77,7 @@ def clustered_join(spark, d):
     a = _clustered(spark, d)
     cells = search.Cells(a, 32)
     half = search.shares(a, cells, 0.92).select((2 * F.col("rows_met") < F.col("rows")).alias("spared"))
-    found = search.in_cells(a, cells, least=0.92, decimals=D).select("query_id", "rank", "feat_id", "cosine")
+    found = search.in_cells(None, cells, least=0.92, decimals=D).select("query_id", "rank", "feat_id", "cosine")
     return found.crossJoin(F.broadcast(half))
 
 
