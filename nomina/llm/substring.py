@@ -257,7 +257,9 @@ def _solve(pieces: DataFrame, window: int, most: int) -> DataFrame:
         if held:
             yield solved(held)
 
-    dealt = pieces.repartition(partitions(pieces), "key")
+    # Not by the key itself: after a join by key Spark would drop this exchange, and
+    # adaptive execution could then read that join's shuffle so that groups part.
+    dealt = pieces.repartition(partitions(pieces), F.xxhash64("key"))
     return dealt.sortWithinPartitions("key").mapInArrow(run, schema)
 
 
@@ -306,6 +308,7 @@ def repeated_passages(docs: DataFrame, window: int = 50, group: int = 8192, seed
         hot = checkpoint(pieces.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > group).select("key"))
         if hot.isEmpty():
             break
+        hot = F.broadcast(hot)  # a key for every ``group`` pieces at most; no text moves for it
         found = found.unionByName(_solve(pieces.join(hot, "key", "left_anti"), window, 2 * group))
         pieces = pieces.join(hot, "key").select(*_NAMES)
         if length is None:

@@ -263,6 +263,21 @@ def test_groups_are_split_until_they_fit(spark, make_docs, prose, monkeypatch):
     assert sorted([(x["doc_id"], x["n_words"], x["n_removed"], x["kept_sha256"]) for x in got], key=str) == plain_removal(rows)
 
 
+def test_groups_stay_whole_beside_one_that_is_split(spark, make_docs, prose):
+    """A line in 40 texts makes a large group; the small groups beside it are in
+    one task each, however adaptive execution reads its shuffles."""
+    line = prose(5, 32)
+    rows = [(i, f"{prose(300 + i % 60, 90)} {prose(700 + i, 30)}") for i in range(120)]
+    rows += [(200 + i, f"{prose(100 + i, 70)} {line} {prose(200 + i // 2, 80)}") for i in range(40)]
+    keep = "spark.sql.adaptive.coalescePartitions.enabled"  # as where tables are large
+    spark.conf.set(keep, "false")
+    try:
+        got = substring.digest(substring.remove_repeats(make_docs(rows), group=8)).collect()
+    finally:
+        spark.conf.unset(keep)
+    assert sorted([(x["doc_id"], x["n_words"], x["n_removed"], x["kept_sha256"]) for x in got], key=str) == plain_removal(rows)
+
+
 def test_words_that_collide_in_polynomials_are_different(spark, make_docs, prose):
     """Thue and Morse's words of 1,024 letters have equal polynomial hashes modulo
     2 ** 64 under any odd base."""
