@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..session import checkpoint
-from .scoring import scored_names, scored_pairs
+from .alignment import Names, spread
+from .scoring import name_words, scored_names, scored_pairs
 from .search import neighbours
 
 
@@ -22,8 +23,10 @@ def _words(name: Column) -> Column:
     return F.array_distinct(text.words(F.lower(name)))
 
 
-#: Posting rows of one token that meet in a task, and of the tokens that share one.
-BLOCK, TOGETHER = 2_048, 20_000
+#: Sets of a block, and their words, at most; sets of one that is cut for the sake of more tasks, at least, and blocks then.
+BLOCK, TOKENS, LEAST, SPLIT = 32_768, 1_000_000, 1_024, 8
+#: Posting rows of the tokens that share a task.
+TOGETHER = 20_000
 #: Ids of a set that move together; queries, and as many names, of a token that meet in a task.
 PIECE, MOST = 512, 8_192
 #: Tasks that blocks are dealt to, at most.
@@ -41,35 +44,6 @@ def _sketch(tokens: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     return bits
 
 
-def _alike(size: np.ndarray, place: np.ndarray, tokens: np.ndarray, token: int, theta: float, meets: np.ndarray, bits: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Pairs of one token's sets (``tokens``: ids in order, a row a set, padded by
-    -1; ``place``: where the token is) that are alike, with their similarity, if
-    the token is the first that they have in common. What comes after the token,
-    and the bits that differ, bound what two sets can have in common."""
-    n, after = len(size), size - place
-    step = max(1, 200_000 // n)
-    for at in range(0, n, step):
-        own = slice(at, min(n, at + step))
-        need = theta / (1 + theta) * (size[own, None] + size[None, :]) - 1e-9
-        ok = meets[own] & (np.minimum(after[own, None], after[None, :]) >= need)
-        ok &= np.arange(n)[None, :] > np.arange(n)[own, None]
-        i, j = np.nonzero(ok)
-        i += at
-        differ = sum(np.bitwise_count(bits[i, k] ^ bits[j, k]).astype(np.int64) for k in range(4))
-        some = size[i] + size[j] - differ >= 2 * (theta / (1 + theta) * (size[i] + size[j]) - 1e-9)
-        i, j = i[some], j[some]
-        for start in range(0, len(i), 10_000):
-            p, q = i[start : start + 10_000], j[start : start + 10_000]
-            wide = int(max(size[p].max(), size[q].max()))
-            both = np.sort(np.concatenate([tokens[p, :wide], tokens[q, :wide]], axis=1), axis=1)
-            same = (both[:, 1:] == both[:, :-1]) & (both[:, 1:] >= 0)
-            common = same.sum(axis=1)
-            jaccard = common / (size[p] + size[q] - common)
-            first = both[np.arange(len(p)), np.argmax(same, axis=1) + 1]
-            hit = (jaccard >= theta) & (first == token)
-            yield p[hit], q[hit], jaccard[hit]
-
-
 def _by_rarity(sets: DataFrame, theta: float, *more: str) -> DataFrame:
     """``sets`` (``node``, unique; ``words``: distinct, not null, not empty) with
     ``tokens``, their words by number, rarest first, and ``rarest``: how many of
@@ -84,60 +58,135 @@ def _by_rarity(sets: DataFrame, theta: float, *more: str) -> DataFrame:
     return rows.withColumn("rarest", few)
 
 
+def _needed(theta: float, own: int, sizes: np.ndarray) -> np.ndarray:
+    """The fewest tokens that a set of ``own`` has in common with sets of ``sizes``
+    that are as similar as ``theta``."""
+    both = own + sizes
+    least = np.maximum(1, np.ceil(theta / (1 + theta) * both)).astype(np.int64)
+    for step in (-1, 1):  # what rounding may have moved
+        other = least - 1 if step < 0 else least
+        enough = other / np.maximum(1, both - other) >= theta
+        least = np.where(enough & (other > 0), other, least) if step < 0 else np.where(enough, least, least + 1)
+    return least
+
+
+def _met(tokens: pa.ListArray, left: np.ndarray, right: np.ndarray, theta: float, inside: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs of a ``left`` and a ``right`` row (``inside``: these are the same rows)
+    that are alike, with what they have in common, which is counted for a left row
+    and all right ones at once: tokens that many have are rows of a matrix, others
+    lists of who has them."""
+    size = pc.list_value_length(tokens).to_numpy(zero_copy_only=False).astype(np.int64)
+    start = np.cumsum(size) - size
+    token = tokens.flatten().dictionary_encode().indices.to_numpy().astype(np.int64)
+    left, right = (rows[np.argsort(size[rows], kind="stable")] for rows in (left, right))
+    theirs = size[right]
+    i, k = next(spread(theirs, int(theirs.sum())), (np.zeros(0, np.int64),) * 2)
+    held = token[start[right[i]] + k]
+    n = np.bincount(held, minlength=int(token.max(initial=0)) + 1)
+    widest = int(max(size[left].max(initial=0), theirs.max(initial=0)))
+    kind = np.uint8 if widest < 120 else np.int32
+    often = np.argsort(-n, kind="stable")[: max(1, 64_000_000 // (len(right) * np.dtype(kind).itemsize))]
+    often = often[n[often] > max(8, len(right) // 64)]
+    row = np.full(len(n), -1)
+    row[often] = np.arange(len(often))
+    matrix = np.zeros((len(often), len(right)), kind)
+    dense = row[held] >= 0
+    matrix[row[held[dense]], i[dense]] = 1
+    held, i = held[~dense], i[~dense]
+    order = np.argsort(held, kind="stable")
+    who, ends = i[order], np.searchsorted(held[order], np.arange(len(n) + 1))
+    common, of, need = np.zeros(len(right), kind), -1, None
+    found, waiting = [], 0
+    for x in left:
+        if size[x] != of:
+            of = size[x]
+            need = _needed(theta, int(of), theirs).astype(kind)
+        common.fill(0)
+        for t in token[start[x] : start[x] + of]:
+            if row[t] >= 0:
+                common += matrix[row[t]]
+            elif ends[t] < ends[t + 1]:
+                common[who[ends[t] : ends[t + 1]]] += 1
+        hit = np.flatnonzero(common >= need)
+        if inside:
+            hit = hit[right[hit] > x]
+        if len(hit):
+            found.append((np.full(len(hit), x), right[hit], common[hit].astype(np.int64)))
+            waiting += len(hit)
+        if waiting >= 100_000:
+            yield tuple(np.concatenate(c) for c in zip(*found))
+            found, waiting = [], 0
+    if found:
+        yield tuple(np.concatenate(c) for c in zip(*found))
+
+
+def _in_blocks(sets: DataFrame, kept: list[str]) -> DataFrame:
+    """``sets`` (``node``, ``words``, ``asks``) in blocks, grouped by the pairs of
+    blocks that meet (``u <= v``), with ``own``, the block a row is of. Rows that
+    don't ask are blocks of their own, which meet those that do, so work follows
+    these. Blocks hold some ``BLOCK`` sets of ``TOKENS`` words together."""
+    rows = checkpoint(sets.filter(F.size("words") > 0))
+    shape = {r["asks"]: (r["n"], r["w"]) for r in rows.groupBy("asks").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("words")).alias("w")).collect()}
+    blocks = lambda asks: max(-(-n // min(BLOCK, max(LEAST, n // SPLIT))), -(-w // TOKENS)) if (n := (shape.get(asks) or (0, 0))[0]) and (w := shape[asks][1]) else 0
+    a, s = blocks(True), blocks(False)
+    if not a:
+        rows = rows.limit(0)
+    own = F.when(F.col("asks"), F.pmod(F.xxhash64("node"), F.lit(max(1, a)))).otherwise(a + F.pmod(F.xxhash64("node"), F.lit(max(1, s)))).cast("int")
+    others = F.when(F.col("asks"), F.lit(a + s)).otherwise(F.lit(a))
+    dealt = rows.withColumn("own", own).select(*kept, "own", F.explode(F.sequence(F.lit(0), others - 1)).alias("other"))
+    dealt = dealt.select(*kept, "own", F.least("own", "other").alias("u"), F.greatest("own", "other").alias("v"))
+    # What a task reads says little of what it writes, so tasks are not to be merged by that.
+    return dealt.repartition(min(max(1, 3 * a * (a + 1 + 2 * s) // 2), TASKS), "u", "v").groupBy("u", "v")
+
+
+def _sides(part: pa.Table) -> tuple[np.ndarray, np.ndarray, bool]:
+    own, u, v = part["own"].to_numpy(), part["u"][0].as_py(), part["v"][0].as_py()
+    return np.flatnonzero(own == u), np.flatnonzero(own == v), u == v
+
+
 def similar_sets(sets: DataFrame, theta: float) -> DataFrame:
     """``x, y, jaccard``: pairs, once each and in any order, of the ``sets``
     (``node`` string, unique; ``words``: distinct, not null; ``asks``: one of a
     pair must) whose shares of common words are at least ``theta``, which is
     above 0; sets without words match nothing.
 
-    Two sets as similar as that share one of their ``n - ceil(theta * n) + 1``
-    rarest words. Sets are dealt to these, with all their words by number, and
-    a pair is compared in the task of the first word that both have: candidates
-    are never written. Words that many sets have are met in blocks."""
-    rows = checkpoint(_by_rarity(sets.filter(F.size("words") > 0), theta, "asks"))
-    posted = rows.select("node", "asks", "tokens", F.posexplode(F.slice("tokens", F.lit(1), F.col("rarest"))).alias("place", "token"))
-    counts = checkpoint(posted.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
-    whole = counts.agg(F.sum("n")).first()[0] or 0
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    shape = counts.select("token", blocks.alias("blocks"), F.when(blocks > 1, F.col("token")).otherwise(-1 - F.pmod(F.xxhash64("token"), F.lit(1 + whole // TOGETHER))).alias("bin"))
-    dealt = posted.join(shape, "token").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    dealt = dealt.select("bin", "token", "own", "place", "node", "asks", "tokens", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("bin", F.least("own", "other").alias("u"), F.greatest("own", "other").alias("v"), "token", "own", "place", "node", "asks", "tokens")
+    Sets are dealt to pairs of blocks. A task counts what a set has in common with
+    all of a block, token by token, so a pair is met once and candidates are never
+    written."""
 
-    def meet(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("token", kind="stable", ignore_index=True)
-        token, nodes = part["token"].to_numpy(), part["node"].to_numpy()
-        size, place = part["tokens"].map(len).to_numpy(np.int64), part["place"].to_numpy(np.int64)
-        own, asks, across = part["own"].to_numpy(), part["asks"].to_numpy(bool), part["u"].iloc[0] != part["v"].iloc[0]
-        flat, owner = np.concatenate(part["tokens"].to_numpy()), np.repeat(np.arange(len(part)), size)
-        bits, out = _sketch(flat, owner, len(part)), [(nodes[:0], nodes[:0], np.empty(0))]
-        start = np.cumsum(size) - size
-        ends = np.r_[np.flatnonzero(token[1:] != token[:-1]) + 1, len(part)]
-        for a, b in zip(np.r_[0, ends[:-1]], ends):
-            if b - a < 2:
-                continue
-            padded = np.full((b - a, size[a:b].max()), -1, np.int64)
-            at = slice(start[a], start[b - 1] + size[b - 1])
-            padded[owner[at] - a, np.arange(at.start, at.stop) - start[owner[at]]] = flat[at]
-            meets = asks[a:b, None] | asks[None, a:b]
-            if across:
-                meets = meets & (own[a:b, None] != own[None, a:b])
-            for i, j, s in _alike(size[a:b], place[a:b], padded, token[a], theta, meets, bits[a:b]):
-                out.append((nodes[a + i], nodes[a + j], s))
-        x, y, s = (np.concatenate(c) for c in zip(*out))
-        return pd.DataFrame({"x": x, "y": y, "jaccard": s})
-
-    return dealt.groupBy("bin", "u", "v").applyInPandas(meet, "x string, y string, jaccard double")
-
-
-def _spread(n: np.ndarray, step: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Every ``i`` with each ``k`` below ``n[i]``, ``step`` at a time."""
-    end = np.cumsum(n)
-    whole = int(end[-1]) if len(end) else 0
-    for at in range(0, whole, step):
-        slot = np.arange(at, min(whole, at + step))
-        i = np.searchsorted(end, slot, side="right")
-        yield i, slot - (end[i] - n[i])
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = pa.Table.from_batches(batches)
+        left, right, inside = _sides(part)
+        node, words = part["node"].combine_chunks(), part["words"].combine_chunks()
+        size = pc.list_value_length(words).to_numpy(zero_copy_only=False)
+        for p, q, c in _met(words, left, right, theta, inside):
+            yield pa.RecordBatch.from_arrays([node.take(pa.array(p)), node.take(pa.array(q)), pa.array(c / (size[p] + size[q] - c))], ["x", "y", "jaccard"])
+
+    return _in_blocks(sets, ["node", "words"]).applyInArrow(meet, "x string, y string, jaccard double")
+
+
+def scored_sets(sets: DataFrame, theta: float, least: int | None = None) -> DataFrame:
+    """The pairs that ``similar_sets`` finds among names (``node``) as ``name_a``,
+    the first in byte order, ``name_b`` and their ``score``, null where nothing
+    agrees; with ``least`` only those that score as much. A pair is scored in the
+    task that finds it."""
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = pa.Table.from_batches(batches)
+        left, right, inside = _sides(part)
+        node, names = part["node"].combine_chunks(), Names(part["terms"].combine_chunks())
+        rank = np.empty(len(node), np.int64)
+        rank[pc.sort_indices(node).to_numpy()] = np.arange(len(node))
+        for p, q, _ in _met(part["words"].combine_chunks(), left, right, theta, inside):
+            score = names.scores(p, q)
+            if least is not None:
+                p, q, score = (c[score >= least] for c in (p, q, score))
+            turned = rank[p] > rank[q]
+            a, b = np.where(turned, q, p), np.where(turned, p, q)
+            yield pa.RecordBatch.from_arrays([node.take(pa.array(a)), node.take(pa.array(b)), pa.array(score, mask=score == 0)], ["name_a", "name_b", "score"])
+
+    termed = sets.select("node", "words", "asks", name_words(F.col("node")).alias("terms"))
+    return _in_blocks(termed, ["node", "words", "terms"]).applyInArrow(meet, "name_a string, name_b string, score int")
 
 
 class _Sets:
@@ -155,10 +204,11 @@ class _Sets:
 
     def alike(self, left: np.ndarray, right: np.ndarray, theta: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Pairs of a left and a right row that have their token as the first in
-        common and are alike, with their similarity. See ``_alike``."""
+        common and are alike, with their similarity. What comes after the token,
+        and the bits that differ, bound what two sets can have in common."""
         left, right = (x[np.argsort(self.token[x], kind="stable")] for x in (left, right))
         first, last = (np.searchsorted(self.token[right], self.token[left], side=x) for x in ("left", "right"))
-        for i, k in _spread(last - first, 200_000):
+        for i, k in spread(last - first, 200_000):
             p, q = left[i], right[first[i] + k]
             need = theta / (1 + theta) * (self.size[p] + self.size[q]) - 1e-9
             some = np.minimum(self.after[p], self.after[q]) >= need
@@ -195,7 +245,8 @@ def similar_names(queries: DataFrame, names: DataFrame, theta: float = 0.5, toke
     of common words, or whatever distinct ``tokens`` a name has, are at least
     ``theta``, which is above 0; names without any match nothing.
 
-    Words choose where sets meet as in ``similar_sets``. The ids of a set go with
+    Sets meet at one of their ``n - ceil(theta * n) + 1`` rarest words, of which
+    two that similar share one, and in the first that both have. The ids of a set go with
     it, so pairs leave the task that finds them as rows of the result: neither
     pairs of sets nor of ids are ever shuffled. A token that many have is met in
     blocks of ``MOST`` queries and ``MOST`` names."""
@@ -226,7 +277,7 @@ def similar_names(queries: DataFrame, names: DataFrame, theta: float = 0.5, toke
         query, name = (x.flatten().field(0) for x in (mine, theirs))
         of_query, of_name = np.cumsum(n) - n, np.cumsum(m) - m
         for p, q, s in sets.alike(np.flatnonzero(asks), np.flatnonzero(~asks), theta):
-            for i, k in _spread(n[p] * m[q], 100_000):
+            for i, k in spread(n[p] * m[q], 100_000):
                 a, b = of_query[p[i]] + k // m[q[i]], of_name[q[i]] + k % m[q[i]]
                 yield pa.RecordBatch.from_arrays([query.take(pa.array(a)), name.take(pa.array(b)), pa.array(s[i])], ["query_id", "id", "jaccard"])
 

@@ -12,14 +12,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text
-
-INITIAL, LEAST, TURNED = 80, 60, 5
+from .alignment import INITIAL, LEAST, TURNED, Names, align, in_any_order, in_order  # noqa: F401
 
 
 def name_words(name: Column) -> Column:
@@ -37,72 +38,18 @@ def word_agreement(u: Column, v: Column) -> Column:
     return F.when(u == v, 100).when(initial, INITIAL).when(kept >= LEAST, kept).otherwise(0).cast("int")
 
 
-def in_order(rows: list[list[int]]) -> int:
-    """The best matching of rows to columns that keeps their order."""
-    best = [0] * (len(rows[0]) + 1)
-    for row in rows:
-        last = 0  # what the cell before had in the row before
-        for j, s in enumerate(row):
-            last, best[j + 1] = best[j + 1], max(best[j], best[j + 1], last + s)
-    return best[-1]
-
-
-def in_any_order(rows: list[list[int]]) -> int:
-    """The best matching of rows to columns, by shortest augmenting paths over
-    potentials."""
-    if len(rows) > len(rows[0]):
-        rows = [list(c) for c in zip(*rows)]
-    n, m = len(rows), len(rows[0])
-    up, across, owner = [0] * (n + 1), [0] * (m + 1), [0] * (m + 1)
-    for i in range(1, n + 1):
-        owner[0], at = i, 0
-        least, came, seen = [1 << 30] * (m + 1), [0] * (m + 1), [False] * (m + 1)
-        while owner[at]:
-            seen[at] = True
-            r, step, to = owner[at], 1 << 30, 0
-            for j in range(1, m + 1):
-                if not seen[j]:
-                    cost = -rows[r - 1][j - 1] - up[r] - across[j]
-                    if cost < least[j]:
-                        least[j], came[j] = cost, at
-                    if least[j] < step:
-                        step, to = least[j], j
-            for j in range(m + 1):
-                if seen[j]:
-                    up[owner[j]] += step
-                    across[j] -= step
-                else:
-                    least[j] -= step
-            at = to
-        while at:
-            owner[at], at = owner[came[at]], came[at]
-    return sum(rows[owner[j] - 1][j - 1] for j in range(1, m + 1) if owner[j])
-
-
-def align(rows: list[list[int]]) -> int:
-    """The score of two names from the agreements of their words."""
-    if not len(rows) or not len(rows[0]):
-        return 0
-    words = len(rows) + len(rows[0])
-    ordered = in_order(rows)
-    best = 2 * ordered // words
-    if ordered < 100 * min(len(rows), len(rows[0])):  # else no other can be better
-        best = max(best, 2 * in_any_order(rows) // words - TURNED)
-    return max(0, best)
-
-
 def scored_pairs(pairs: DataFrame, a: str = "name_a", b: str = "name_b", score: str = "score") -> DataFrame:
     """Distinct pairs of names (``a, b``, neither null) with their ``score``, 0 to
     100, null where nothing agrees or a name has no word. Nothing is moved."""
-    words = pairs.select(F.col(a).alias("_x"), F.col(b).alias("_y"), name_words(F.col(a)).alias("u"), name_words(F.col(b)).alias("v"))
-    table = words.select("_x", "_y", F.transform("u", lambda u: F.transform("v", lambda v: word_agreement(u, v))).alias("rows"))
+    table = pairs.select(F.col(a).alias("_x"), F.col(b).alias("_y"), name_words(F.col(a)).alias("u"), name_words(F.col(b)).alias("v"))
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            found = pd.Series([align(r) or None for r in part["rows"]], dtype="Int64")
-            yield pd.DataFrame({a: part["_x"].to_numpy(), b: part["_y"].to_numpy(), score: found})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            n = part.num_rows
+            found = Names(part["u"], part["v"]).scores(np.arange(n), n + np.arange(n))
+            yield pa.RecordBatch.from_arrays([part["_x"], part["_y"], pa.array(found, mask=found == 0)], [a, b, score])
 
-    return table.mapInPandas(run, f"`{a}` string, `{b}` string, `{score}` int")
+    return table.mapInArrow(run, f"`{a}` string, `{b}` string, `{score}` int")
 
 
 def scored_names(pairs: DataFrame, a: str = "name_a", b: str = "name_b", score: str = "score") -> DataFrame:

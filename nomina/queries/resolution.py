@@ -14,8 +14,7 @@ SHARE, LEAST = 0.4, 75
 def name_scores(spark, d):
     """Pairs of names that share a fifth of their three-letter stretches, scored."""
     n = names(spark, d).filter("name <> ''").select(F.col("name").alias("node")).distinct()
-    near = lexical.similar_sets(n.select("node", resolution.trigrams(F.col("node")).alias("words"), F.lit(True).alias("asks")), 0.2)
-    return scoring.scored_pairs(near.select(F.least("x", "y").alias("name_a"), F.greatest("x", "y").alias("name_b")))
+    return lexical.scored_sets(n.select("node", resolution.trigrams(F.col("node")).alias("words"), F.lit(True).alias("asks")), 0.2)
 
 
 def _records(spark, d):

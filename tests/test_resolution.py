@@ -4,12 +4,14 @@ batch by batch against all at once."""
 import random
 from itertools import permutations
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from nomina.operators import components, lexical, resolution, scoring
+from nomina.operators import alignment, components, lexical, resolution, scoring
 
 
 def plain_align(rows):
@@ -183,3 +185,44 @@ def test_why_writes_no_pairs_of_names(spark):
     aliases = spark.createDataFrame([(1, "Acme"), (1, "Acme Bank")], "entity long, name string")
     plan = scoring.why(aliases.select("entity", F.lit("Acme").alias("name")), aliases)._jdf.queryExecution().optimizedPlan().toString()
     assert "_x" not in plan and "_y" not in plan
+
+
+def plain_agreement(u, v):
+    if u == v:
+        return 100
+    if min(len(u), len(v)) == 1 and u[0] == v[0]:
+        return scoring.INITIAL
+    kept = 100 * (max(len(u), len(v)) - alignment.edits(u, v)) // max(len(u), len(v))
+    return kept if kept >= scoring.LEAST else 0
+
+
+def test_scores_of_many_names_at_once():
+    """Words of one letter, long ones, those of other alphabets; names of no word and of many."""
+    r = random.Random(5)
+    known = ["".join(r.choices("abcdé日", k=r.choice([1, 1, 2, 3, 5, 6, 8, 11]))) for _ in range(60)] + ["x" * 300, "x" * 280 + "y" * 20, "z" * 249 + "ab"]
+    rows = [r.choices(known, k=r.randint(0, 8)) for _ in range(80)]
+    names = alignment.Names(pa.array(rows[:30], pa.list_(pa.string())), pa.array(rows[30:], pa.list_(pa.string())))
+    p, q = (x.ravel() for x in np.meshgrid(np.arange(80), np.arange(80)))
+    memo = {(u, v): plain_agreement(u, v) for u in known for v in known}
+    assert names.scores(p, q).tolist() == [scoring.align([[memo[u, v] for v in rows[b]] for u in rows[a]]) for a, b in zip(p, q)]
+
+
+@pytest.mark.parametrize("theta,least", [(0.2, None), (0.4, 75)])
+def test_names_are_scored_where_they_meet(spark, monkeypatch, theta, least):
+    monkeypatch.setattr(lexical, "BLOCK", 16)
+    names = sorted({n for _, n, _ in people(8, 120)} | {"J. Smith", "smith", "Ö Ä", "..."})
+    asks = {n: i % 3 > 0 for i, n in enumerate(names)}
+    df = spark.createDataFrame([*asks.items()], "node string, asks boolean")
+    found = lexical.scored_sets(df.select("node", resolution.trigrams(F.col("node")).alias("words"), "asks"), theta, least)
+    words = {n: [w.strip(".,") for w in n.lower().split() if w.strip(".,")] for n in names}
+    grams = {n: {f"^{w}$"[i : i + 3] for w in ws for i in range(len(w))} for n, ws in words.items()}
+    want = []
+    for i, b in enumerate(names):
+        for a in names[:i]:
+            share = len(grams[a] & grams[b]) / max(1, len(grams[a] | grams[b]))
+            score = scoring.align([[plain_agreement(u, v) for v in words[b]] for u in words[a]])
+            if share >= theta and (asks[a] or asks[b]) and score >= (least or 0):
+                want.append((a, b, score or None))
+    assert len(want) > 20 and sorted(map(repr, want)) == sorted(repr(tuple(x)) for x in found.collect())
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "levenshtein" not in plan and "MapIn" not in plan  # pairs go nowhere to be scored
