@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import checkpoint
+from ..session import checkpoint, settled
 
 #: Links up to which a round's minima, at most two a link, are broadcast.
 FEW = 100_000
@@ -24,10 +24,11 @@ def components(links: DataFrame, rounds: int = 40) -> DataFrame:
     smaller ones, which leaves stars around the least nodes after some
     log(n) ** 2 rounds (alternating stars). Both are grouped minima and equi-joins.
     Minima of up to ``FEW`` links are broadcast; those of more are written, so that
-    the join can split a star with many leaves. Null ends and loops are ignored.
+    the join can split a star with many leaves. The planner's guess of what is left is
+    dropped after each round, or its digits would be four times as many. Null ends and loops are ignored.
     Raises if ``rounds`` do not do, rather than return wrong roots."""
     e = links.filter("u is not null and v is not null and u <> v")
-    e = checkpoint(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    e = settled(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = _fingerprint(e)
     for _ in range(rounds):
         if not before[0]:
@@ -38,7 +39,7 @@ def components(links: DataFrame, rounds: int = 40) -> DataFrame:
         large = kept(e.join(least, "v").select("u", F.col("m").alias("v")).distinct())
         small = held(large.groupBy("u").agg(F.min("v").alias("m")))
         end = F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v"))
-        e = checkpoint(large.join(small, "u").select(end.alias("u"), F.col("m").alias("v")).distinct())
+        e = settled(large.join(small, "u").select(end.alias("u"), F.col("m").alias("v")).distinct())
         now = _fingerprint(e)
         if now == before:
             return e.toDF("node", "root").union(e.select("v", "v").distinct().toDF("node", "root"))

@@ -180,7 +180,7 @@ def scored_sets(sets: DataFrame, theta: float, least: int | None = None) -> Data
         for p, q, _ in _met(part["words"].combine_chunks(), left, right, theta, inside):
             score = names.scores(p, q)
             if least is not None:
-                p, q, score = (c[score >= least] for c in (p, q, score))
+                p, q, score = (c[score >= max(1, least)] for c in (p, q, score))
             turned = rank[p] > rank[q]
             a, b = np.where(turned, q, p), np.where(turned, p, q)
             yield pa.RecordBatch.from_arrays([node.take(pa.array(a)), node.take(pa.array(b)), pa.array(score, mask=score == 0)], ["name_a", "name_b", "score"])

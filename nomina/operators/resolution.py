@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from ..functions import vectors
 from ..session import checkpoint
 from .components import components, merged
-from .lexical import similar_sets
-from .scoring import name_words, scored_pairs
+from .lexical import scored_sets
+from .scoring import name_words
 
 RECORD = ("record_id", "name", "v")
 
@@ -42,10 +42,9 @@ def links(batch: DataFrame, stored: DataFrame, share: float = 0.4, least: int =
     every = flagged(batch, True).unionByName(flagged(stored, False))
     old = F.min(F.when(~F.col("new"), F.col("record_id"))).alias("old")
     names = checkpoint(every.groupBy("name").agg(F.min("record_id").alias("first"), old, F.max("new").alias("met"), F.max("v").alias("v")))
-    near = similar_sets(names.select(F.col("name").alias("node"), trigrams(F.col("name")).alias("words"), F.col("old").isNull().alias("asks")), share)
-    near = near.select(F.least("x", "y").alias("name_a"), F.greatest("x", "y").alias("name_b"))
+    sets = names.select(F.col("name").alias("node"), trigrams(F.col("name")).alias("words"), F.col("old").isNull().alias("asks"))
     side = lambda s: names.select(F.col("name").alias(f"name_{s}"), F.col("first").alias(f"first_{s}"), F.col("v").alias(f"v_{s}"))
-    alike = scored_pairs(near).filter(F.col("score") >= least).join(side("a"), "name_a").join(side("b"), "name_b")
+    alike = scored_sets(sets, share, least).join(side("a"), "name_a").join(side("b"), "name_b")
     agree = F.col("v_a").isNull() | F.col("v_b").isNull() | (F.round(vectors.cosine(F.col("v_a"), F.col("v_b")), 6) >= cosine)
     between = alike.filter(agree).select(F.col("first_a").alias("u"), F.col("first_b").alias("v"))
     own = batch.join(names.select("name", "first"), "name").filter("record_id <> first").select(F.col("record_id").alias("u"), F.col("first").alias("v"))

@@ -226,3 +226,15 @@ def test_names_are_scored_where_they_meet(spark, monkeypatch, theta, least):
     assert len(want) > 20 and sorted(map(repr, want)) == sorted(repr(tuple(x)) for x in found.collect())
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "levenshtein" not in plan and "MapIn" not in plan  # pairs go nowhere to be scored
+
+
+def test_guesses_of_sizes_stay_small(spark, monkeypatch):
+    """The planner's guess of the size of what a round leaves was the product of
+    the round's tables: 8,038 bits after five rounds, then four times as many."""
+    monkeypatch.setattr(components, "FEW", 0)
+    nodes = list(range(400))
+    random.Random(6).shuffle(nodes)
+    got = components.components(spark.createDataFrame([*zip(nodes, nodes[1:])], "u long, v long"))
+    guess = got._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    assert {(x["node"], x["root"]) for x in got.collect()} == {(n, 0) for n in nodes}
+    assert guess.bit_length() < 100
