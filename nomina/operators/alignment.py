@@ -259,3 +259,36 @@ class Names:
                 u, v = (self.word[self.start[r] : self.start[r] + self.size[r]] for r in (p[k], q[k]))
                 out[k] = align(self.words.table(u, v).tolist())
         return out
+
+    def _bounds(self, p: np.ndarray, best: np.ndarray, sizes: np.ndarray, known: np.ndarray) -> np.ndarray:
+        """What rows ``p`` can score at most with others, if each of their words
+        finds the word that agrees ``best`` (words, others)."""
+        at = np.searchsorted(known, self.word)
+        out = np.empty((len(p), len(sizes)), np.float32)
+        for k in np.unique(self.size[p]):
+            rows = np.flatnonzero(self.size[p] == k)
+            total = np.zeros((len(rows), len(sizes)), np.int32 if k > 300 else np.uint16)
+            for j in range(k):
+                total += best[at[self.start[p[rows]] + j]]
+            out[rows] = total * (2 / (k + sizes)).astype(np.float32)[None, :]
+        return out
+
+    def leading(self, p: np.ndarray, q: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Rows of ``p`` and of ``q`` with their scores, among them all pairs that
+        score best for their row of ``p``."""
+        words = lambda rows: self.word[np.concatenate([np.arange(a, a + n) for a, n in zip(self.start[rows], self.size[rows])])]
+        theirs = words(q)
+        us, (vs, back) = np.unique(words(p)), np.unique(theirs, return_inverse=True)
+        starts = np.cumsum(self.size[q]) - self.size[q]
+        best = np.empty((len(us), len(q)), np.uint8)
+        step = max(1, 4_000_000 // max(len(theirs), 1))
+        for at in range(0, len(us), step):
+            best[at : at + step] = np.maximum.reduceat(self.words.table(us[at : at + step], vs)[:, back], starts, axis=1)
+        found, step = [], max(1, 2_000_000 // len(q))
+        for at in range(0, len(p), step):
+            rows = p[at : at + step]
+            most = self._bounds(rows, best, self.size[q], us) + 1e-3
+            tried = self.scores(rows, q[np.argmax(most, axis=1)])
+            i, j = np.nonzero(most >= np.maximum(tried, 1)[:, None])
+            found.append((rows[i], q[j], self.scores(rows[i], q[j])))
+        return found

@@ -13,15 +13,23 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text
+from ..session import checkpoint
 from .alignment import INITIAL, LEAST, TURNED, Names, align, in_any_order, in_order  # noqa: F401
 
+#: Names, and aliases, of an entity that meet in a task; names and aliases of the entities that share one.
+MOST, TOGETHER = 4_096, 20_000
+#: Pairs of an entity that are listed rather than bounded first.
+LISTED = 2_048
+#: Tasks that entities are dealt to, at most.
+TASKS = 4_096
+
 
 def name_words(name: Column) -> Column:
     """Lower-cased words without the dots and commas around them."""
@@ -76,23 +84,53 @@ def why(pairs: DataFrame, aliases: DataFrame) -> DataFrame:
     the name that ``agree`` with it.
 
     Each distinct (name, entity) is looked up once and remembered for all its
-    pairs. Names are scored against an entity's aliases as these are met, and the
-    best is kept; pairs of names are never written. A row without a name, an entity or an agreeing alias has nulls."""
-    asked = pairs.select("name", "entity").filter("name is not null and entity is not null").distinct()
-    known = aliases.filter("entity is not null and name is not null").select("entity", F.col("name").alias("alias")).distinct()
-    words = lambda rows, name, w: rows.withColumn(w, name_words(F.col(name)))
-    both = words(asked, "name", "u").join(words(known, "alias", "v"), "entity").filter("size(u) > 0 and size(v) > 0")
-    table = both.select("name", "entity", "alias", F.transform("u", lambda u: F.transform("v", lambda v: word_agreement(u, v))).alias("rows"))
-    # What agrees nowhere scores nothing and is not sent to the kernel.
-    table = table.filter(F.exists("rows", lambda r: F.array_max(r) > 0))
-    kind = asked.schema["entity"].dataType
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            yield part[["name", "entity", "alias"]].assign(score=[align(r) for r in part["rows"]])
+    pairs. The names asked of an entity meet its aliases in blocks of ``MOST``;
+    their words are compared once, which bounds what each pair can score, and the
+    pairs that may be a name's best are scored. Pairs of names are never written.
+    A row without a name, an entity or an agreeing alias has nulls."""
+    listed = lambda rows, asks: rows.select("name", "entity", F.lit(asks).alias("asks")).filter("name is not null and entity is not null").distinct()
+    rows = listed(pairs, True).unionByName(listed(aliases, False)).withColumn("words", name_words(F.col("name"))).filter("size(words) > 0")
+    rows = checkpoint(rows)
+    counts = rows.groupBy("entity").agg(F.count_if("asks").alias("asked"), F.count_if(~F.col("asks")).alias("held")).filter("asked > 0 and held > 0")
+    counts = checkpoint(counts.select("*", F.monotonically_increasing_id().alias("no")))
+    us, vs = (F.ceil(F.col(n) / MOST).cast("int") for n in ("asked", "held"))
+    alone = F.col("asked") + F.col("held") > TOGETHER // 10
+    shared, large = counts.agg(F.coalesce(F.sum(F.when(~alone, F.col("asked") + F.col("held"))), F.lit(0)), F.coalesce(F.sum(F.when(alone, us * vs)), F.lit(0))).first()
+    bins = 1 + shared // TOGETHER
+    shape = counts.select("entity", "no", us.alias("us"), vs.alias("vs"), F.when(alone, F.col("no")).otherwise(-1 - F.pmod(F.xxhash64("no"), F.lit(bins))).alias("bin"))
+    own, other = F.when(F.col("asks"), F.col("us")).otherwise(F.col("vs")), F.when(F.col("asks"), F.col("vs")).otherwise(F.col("us"))
+    dealt = rows.join(shape, "entity").withColumn("own", F.pmod(F.xxhash64("name"), own).cast("int"))
+    dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), other - 1)).alias("other"))
+    u, v = (F.when(F.col("asks") == asks, F.col("own")).otherwise(F.col("other")) for asks in (True, False))
+    dealt = dealt.select("bin", u.alias("u"), v.alias("v"), "no", "asks", "name", "entity", "words")
+    kind = pairs.schema["entity"].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = pa.Table.from_batches(batches)
+        name, entity, names = part["name"].combine_chunks(), part["entity"].combine_chunks(), Names(part["words"].combine_chunks())
+        rank = np.empty(len(name), np.int64)
+        rank[pc.sort_indices(name).to_numpy()] = np.arange(len(name))
+        no, asks = part["no"].to_numpy(), part["asks"].to_numpy(zero_copy_only=False).astype(bool)
+        order = np.argsort(no, kind="stable")
+        few, found = [], []
+        for rows in np.split(order, np.flatnonzero(np.diff(no[order])) + 1):
+            p, q = rows[asks[rows]], rows[~asks[rows]]
+            if len(p) * len(q) <= LISTED:
+                few.append((np.repeat(p, len(q)), np.tile(q, len(p))))
+            else:
+                found += names.leading(p, q)
+        if few:
+            p, q = (np.concatenate(c) for c in zip(*few))
+            found.append((p, q, names.scores(p, q)))
+        p, q, score = (np.concatenate(c) for c in zip(*found))
+        order = np.lexsort((rank[q], -score, p))
+        first = order[np.r_[True, p[order][1:] != p[order][:-1]]] if len(order) else order
+        first = first[score[first] > 0]
+        take = pa.array(p[first])
+        yield pa.RecordBatch.from_arrays([name.take(take), entity.take(take), name.take(pa.array(q[first])), pa.array(score[first])], ["name", "entity", "alias", "score"])
 
     out = T.StructType([T.StructField("name", T.StringType()), T.StructField("entity", kind), T.StructField("alias", T.StringType()), T.StructField("score", T.IntegerType())])
-    met = table.mapInPandas(run, out).filter("score > 0")
+    met = dealt.repartition(min(3 * (bins + large), TASKS), "bin", "u", "v").groupBy("bin", "u", "v").applyInArrow(run, out)
     best = met.groupBy("name", "entity").agg(F.min(F.struct((-F.col("score")).alias("s"), "alias")).alias("b"))
     memo = best.select("name", "entity", (-F.col("b.s")).alias("score"), F.col("b.alias").alias("alias"))
     memo = memo.withColumn("bucket", text.bucket(F.col("score"))).withColumn("agree", agreeing_words(F.col("name"), F.col("alias")))

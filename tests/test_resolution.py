@@ -238,3 +238,22 @@ def test_guesses_of_sizes_stay_small(spark, monkeypatch):
     guess = got._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
     assert {(x["node"], x["root"]) for x in got.collect()} == {(n, 0) for n in nodes}
     assert guess.bit_length() < 100
+
+
+@pytest.mark.parametrize("listed", [0, 10**6])
+def test_the_best_alias_of_large_entities(spark, monkeypatch, listed):
+    """Equal to all pairs, in blocks or not, bounded or listed; words are compared
+    as words of a block, not pair by pair."""
+    monkeypatch.setattr(scoring, "MOST", 16, raising=False)
+    monkeypatch.setattr(scoring, "LISTED", listed, raising=False)
+    known = [(i % 3, n) for i, (_, n, _) in enumerate(people(9, 90))] + [(1, "J. Smith"), (1, "..."), (7, "Alone")]
+    asked = [(n, (e + 1) % 3) for e, n in known] + [("Smith John", 0), ("x", 1)]
+    found = scoring.why(spark.createDataFrame(asked, "name string, entity long"), spark.createDataFrame(known, "entity long, name string"))
+    words = lambda n: [w.strip(".,") for w in n.lower().split() if w.strip(".,")]
+    score = lambda a, b: scoring.align([[plain_agreement(u, v) for v in words(b)] for u in words(a)])
+    want = []
+    for name, entity in asked:
+        s, alias = min((-score(name, n), n) for e, n in known if e == entity)
+        want.append((name, entity, -s or None, alias if s else None))
+    assert sorted(map(repr, want)) == sorted(repr(tuple(x)) for x in found.select("name", "entity", "score", "alias").collect())
+    assert "MapIn" not in found._jdf.queryExecution().optimizedPlan().toString()
